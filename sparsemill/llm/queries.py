@@ -18,8 +18,16 @@ _WHERE = {
 }
 
 
+def _lazy(name: str, module: str):
+    def query(spark, sf_dir):
+        return getattr(import_module(f"{__package__}.{module}"), name)(spark, sf_dir)
+
+    query.__name__ = name
+    return query
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()} | {"pipeline": pipeline}
+    return {name: _lazy(name, module) for name, module in _WHERE.items()} | {"pipeline": pipeline}
 
 
 def pipeline(spark, sf_dir):

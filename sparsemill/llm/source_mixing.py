@@ -32,7 +32,8 @@ def fill_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     All targets together are share times all sizes; each is in proportion to its weight but at most `most` times its
     source's size, and the excess goes to the others by weight until none is above. With sources in ascending order of
     most * size / weight, those before some point are full and the others share what is left at one level, so a single
-    running sum gives the result of the repeated resharing. The table has one row a source.
+    running sum gives the result of the repeated resharing: the level is the first, and largest, that lies at or below
+    its own source's ratio. The table has one row a source.
     """
     cap = F.col("source_size") * F.lit(float(most))
     up = Window.orderBy(F.col("_ratio"), F.col("source").asc_nulls_last())
@@ -42,7 +43,7 @@ def fill_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     out = out.withColumn("_total", F.sum("source_size").over(whole) * F.lit(float(share)))
     out = out.withColumn("_open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     out = out.withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.col("_open"))
-    out = out.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
+    out = out.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
     level = F.coalesce(F.col("_level") * F.col("weight"), F.col("_cap"))
     out = out.withColumn("target", F.least(F.col("_cap"), level))
     out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
