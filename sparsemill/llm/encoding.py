@@ -21,8 +21,8 @@ RULES = {
 }
 #: Characters on whose kind Unicode tables may differ; pieces with one are encoded as they are.
 ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]")
-#: A worker keeps the ids of at most so many pieces and so many units, of at most so many characters each.
-KEPT_PIECES, KEPT_UNITS, KEPT_CHARS = 200_000, 500_000, 48
+#: A worker keeps the ids of at most twice so many pieces and units, of at most so many characters each.
+KEPT_PIECES, KEPT_UNITS, KEPT_CHARS = 100_000, 400_000, 48
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,9 +38,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Units(dict):
+class _Kept(dict):
+    """A cache of two generations: when the younger is full it becomes the elder, from which what is used comes back."""
+
+    most = KEPT_PIECES
+
+    def __init__(self):
+        super().__init__()
+        self.elder: dict = {}
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= KEPT_CHARS:
+            if len(self) >= self.most:
+                self.elder = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class _Units(_Kept):
     """Ids of what the tokenizer's rule cuts out: its merges alone are left to do."""
 
+    most = KEPT_UNITS
+
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.merge, self.letters = tokenizer, tokenizer.model.tokenize, byte_letters()
@@ -49,16 +69,13 @@ class _Units(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        written = unit.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.merge(written)]).tobytes()
-        if len(unit) <= KEPT_CHARS:
-            if len(self) >= KEPT_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
+        if (ids := self.elder.pop(unit, None)) is None:
+            written = unit.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.merge(written)]).tobytes()
+        return self.keep(unit, ids)
 
 
-class _Pieces(dict):
+class _Pieces(_Kept):
     """Ids of what lies between cuts."""
 
     def __init__(self, units: _Units, cut: str):
@@ -68,17 +85,15 @@ class _Pieces(dict):
         self.units, self.rule, self.lower = units, regex.compile(RULES[cut]).findall, cut == "words"
 
     def __missing__(self, piece: str) -> bytes:
+        if (ids := self.elder.pop(piece, None)) is not None:
+            return self.keep(piece, ids)
         if piece[-1] not in " \t\n\r" and piece[-1].isspace():
             raise LookupError
         if (piece.isascii() or max(piece) <= "\xff") and not ODD.search(piece):
             ids = b"".join([self.units[u] for u in self.rule(piece.lower() if self.lower else piece)])
         else:
             ids = self.units.encode(piece)
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return self.keep(piece, ids)
 
 
 class Encoder:
