@@ -4,7 +4,7 @@ A text is cut where its tokenizer always cuts, and a piece's ids are looked up:
 `words` cuts at and drops blanks (for tokenizers that drop white space and case); `gaps` cuts before white space that
 follows something else, so that pieces keep their leading white space (for byte-level tokenizers). White space here is
 blank, tab, line feed and carriage return; a piece that ends in any other white space has the whole text encoded
-instead. Pieces of Latin-1 characters are cut further by the tokenizer's own rule; all others are encoded as they are.
+instead. Texts of Latin-1 characters are cut at once by the tokenizer's own rule, whose units only need merging.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import re
 from array import array
 
 CUTS = {"words": r"[^ \t\n\r]+", "gaps": r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"}
-#: How the two kinds of tokenizers cut a text before they merge pairs.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+#: How the two kinds of tokenizers cut a text before they merge pairs, for Latin-1.
 RULES = {
-    "words": r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
-    "gaps": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "words": f"[{_LETTER}]+|{_SHORT}|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+",
+    "gaps": f" ?[{_LETTER}]+|{_SHORT}| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+",
 }
-#: Characters on whose kind Unicode tables may differ; pieces with one are encoded as they are.
-ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]")
+#: Characters on whose kind Unicode tables may differ; texts with one, or with any beyond Latin-1, take the other way.
+ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]|[^\x00-\xff]")
 #: A worker keeps the ids of at most twice so many pieces and units, of at most so many characters each.
 KEPT_PIECES, KEPT_UNITS, KEPT_CHARS = 100_000, 400_000, 48
 
@@ -78,22 +80,16 @@ class _Units(_Kept):
 class _Pieces(_Kept):
     """Ids of what lies between cuts."""
 
-    def __init__(self, units: _Units, cut: str):
-        import regex
-
+    def __init__(self, units: _Units):
         super().__init__()
-        self.units, self.rule, self.lower = units, regex.compile(RULES[cut]).findall, cut == "words"
+        self.units = units
 
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.elder.pop(piece, None)) is not None:
             return self.keep(piece, ids)
         if piece[-1] not in " \t\n\r" and piece[-1].isspace():
             raise LookupError
-        if (piece.isascii() or max(piece) <= "\xff") and not ODD.search(piece):
-            ids = b"".join([self.units[u] for u in self.rule(piece.lower() if self.lower else piece)])
-        else:
-            ids = self.units.encode(piece)
-        return self.keep(piece, ids)
+        return self.keep(piece, self.units.encode(piece))
 
 
 class Encoder:
@@ -108,7 +104,8 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.units = _Units(tokenizer)
-        self.pieces, self.find = _Pieces(self.units, cut), re.compile(CUTS[cut]).findall
+        self.pieces, self.find = _Pieces(self.units), re.compile(CUTS[cut]).findall
+        self.rule, self.lower = re.compile(RULES[cut]).findall, cut == "words"
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     @classmethod
@@ -121,6 +118,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
+        if not ODD.search(text):
+            return b"".join(map(self.units.__getitem__, self.rule(text.lower() if self.lower else text))) + self.end
         try:
             return b"".join(map(self.pieces.__getitem__, self.find(text))) + self.end
         except LookupError:

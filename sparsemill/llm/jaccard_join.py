@@ -16,7 +16,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, table, text_or_empty, window_hashes, word_hashes, words
+from .common import WORD, stage_table, table, text_or_empty, window_hashes, word_hashes, words
 
 SHINGLE, PERCENT = 5, 80
 #: The order of shingles knows at most so many common ones (12 bytes each in every task); all others count as rare.
@@ -79,9 +79,11 @@ def prefixes(sets: DataFrame, common) -> DataFrame:
     def cut(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         hashes, ranks = shared.value
         for b in batches:
+            b = b.filter(pc.greater(b.column("n"), 0))
             column = b.column("_set")
             flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).cumsum()
             at = np.searchsorted(hashes, flat)
@@ -95,7 +97,8 @@ def prefixes(sets: DataFrame, common) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n", "d1", "d2")), lists], ["doc_id", "n", "d1", "d2", "prefix"])
 
-    rows = sets.where(F.size("_set") > 0).select("doc_id", F.size("_set").alias("n"), F.xxhash64("_set").alias("d1"), F.xxhash64("_set", F.lit(1)).alias("d2"), "_set")
+    # empty sets go in cut(): a filter on a computed column would be moved below, and the column computed twice
+    rows = sets.select("doc_id", F.size("_set").alias("n"), F.xxhash64("_set").alias("d1"), F.xxhash64("_set", F.lit(1)).alias("d2"), "_set")
     cut_ = rows.mapInArrow(cut, "doc_id long, n int, d1 long, d2 long, prefix array<long>")
     return cut_.select("doc_id", "n", "d1", "d2", F.xxhash64("n", "prefix").alias("g"), "prefix")
 
@@ -250,7 +253,8 @@ def link_components(docs: DataFrame) -> DataFrame:
         labels = components(links)
     named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("n", "d1", "d2", F.coalesce("comp", "cid").alias("component_id"))
     linked = cut.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    bare = sets.where(F.col("doc_id").isNull() | (F.size("_set") == 0)).select("doc_id", F.size("_set").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    wordless = F.col("doc_id").isNull() | ~text_or_empty(F.col("text")).rlike(WORD)
+    bare = with_set(docs.where(wordless)).select("doc_id", F.size("_set").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(bare)
 
 
