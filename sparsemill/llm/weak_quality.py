@@ -7,6 +7,8 @@ of labellers of those, so the estimation works on a table of bounded size howeve
 
 from __future__ import annotations
 
+import operator
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ def byte_classes(text: str | None):
     return _LUT()[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
 
 
-_lut = []
+_lut: list = []
 
 
 def _LUT():
@@ -54,7 +56,13 @@ def _LUT():
     return _lut[0]
 
 
-def measures(classes) -> dict[str, float]:
+def repeats(text: str | None) -> tuple[float, float]:
+    """Shares of words equal to the one before, and of lines with text equal to an earlier one."""
+    words, lines = (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+    return sum(map(operator.eq, words, words[1:])) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines))
+
+
+def measures(classes, again=(0.0, 0.0)) -> dict[str, float]:
     """Shares that the labellers look at; all 0 for an empty text."""
     import numpy as np
 
@@ -73,26 +81,30 @@ def measures(classes) -> dict[str, float]:
         "stops": (mark["."] + mark[","]) / words,
         "digits": n[4] / max(1, len(classes)),
         "lines": lines / words,
+        "same": again[0],
+        "twice": again[1],
         "word": (len(classes) - spaces - lines) / words,
     }
 
 
-#: Each labeller votes BAD, GOOD or NONE on a document's measures.
+#: Each labeller votes on a document's measures: BAD where it finds its defect, else NONE; the last two also vote GOOD.
 LABELLERS = {
-    "symbols": lambda m: BAD if m["symbols"] > 0.3 else GOOD if m["symbols"] < 0.1 else NONE,
-    "letters": lambda m: BAD if m["letters"] < 0.62 else GOOD if m["letters"] > 0.74 else NONE,
-    "upper": lambda m: BAD if m["upper"] > 0.4 else GOOD if m["upper"] < 0.15 else NONE,
-    "shouts": lambda m: BAD if m["shouts"] > 0.3 else GOOD if m["shouts"] < 0.1 else NONE,
-    "bars": lambda m: BAD if m["bars"] > 0.2 else GOOD if m["bars"] < 0.02 else NONE,
-    "prose": lambda m: GOOD if 0.05 <= m["stops"] <= 0.5 and m["shouts"] + m["symbols"] + m["bars"] < 0.15 else BAD if m["shouts"] + m["symbols"] + m["bars"] > 0.4 else NONE,
+    "symbols": lambda m: BAD if m["symbols"] > 0.3 else NONE,
+    "letters": lambda m: BAD if m["letters"] < 0.62 else NONE,
+    "upper": lambda m: BAD if m["upper"] > 0.4 else NONE,
+    "shouts": lambda m: BAD if m["shouts"] > 0.3 else NONE,
+    "bars": lambda m: BAD if m["bars"] > 0.2 else NONE,
     "digits": lambda m: BAD if m["digits"] > 0.3 else NONE,
-    "words": lambda m: BAD if m["word"] > 25 else GOOD if 3 <= m["word"] <= 9 and m["symbols"] < 0.2 else NONE,
+    "same": lambda m: BAD if m["same"] > 0.15 else NONE,
+    "twice": lambda m: BAD if m["twice"] > 0.3 else NONE,
+    "prose": lambda m: GOOD if 0.05 <= m["stops"] <= 0.5 and m["shouts"] + m["symbols"] + m["bars"] < 0.15 and m["same"] < 0.05 else NONE,
+    "words": lambda m: BAD if m["word"] > 25 else GOOD if 3 <= m["word"] <= 9 else NONE,
 }
 
 
-def votes(classes) -> int:
+def votes(classes, again=(0.0, 0.0)) -> int:
     """All labellers' votes as one number in base 3."""
-    m, out = measures(classes), 0
+    m, out = measures(classes, again), 0
     if m["bytes"] < 1:
         return sum(NONE * 3**i for i in range(len(LABELLERS)))
     for i, f in enumerate(LABELLERS.values()):
@@ -100,16 +112,21 @@ def votes(classes) -> int:
     return out
 
 
-def trigrams(classes):
-    """(bucket, value) of the hashed byte-class trigrams: square roots of shares, so that the values' norm is 1."""
+_AGAIN = [zlib.crc32(name) % BUCKETS for name in (b"same", b"twice")]
+
+
+def features(classes, again=(0.0, 0.0)):
+    """(bucket, value): hashed byte-class trigrams, square roots of shares so that their norm is 1, and hashed repeats."""
     import numpy as np
 
     if len(classes) < 3:
         return np.array([], np.int32), np.array([], np.float32)
     code = (classes[:-2] * np.uint32(CLASSES) + classes[1:-1]) * np.uint32(CLASSES) + classes[2:]
     n = np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=BUCKETS)
-    at = np.flatnonzero(n)
-    return at.astype(np.int32), np.sqrt(n[at] / n.sum()).astype(np.float32)
+    value = np.sqrt(n / n.sum())
+    value[_AGAIN] += np.sqrt(again)
+    at = np.flatnonzero(value)
+    return at.astype(np.int32), value[at].astype(np.float32)
 
 
 @dataclass
@@ -129,13 +146,19 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(good - bad, -500, 500)))
 
 
+#: P(vote | good) and P(vote | bad) to start from, in the order GOOD, BAD, NONE: a defect is rarely found where there is
+#: none, and each labeller knows only some of the defects.
+START = ((0.3, 0.005, 0.695), (0.05, 0.35, 0.6))
+#: What is believed beforehand counts as so many documents for each that is thought to be of the kind. Without it, one
+#: kind of defect alone may become the bad class.
+BELIEF = (0.5, 0.1)
+
+
 def estimate(patterns, counts, rounds: int = EM_ROUNDS) -> LabelModel:
-    """Expectation-maximisation over counted vote patterns. It starts from labellers that are right more often than not,
-    and priors of a few documents keep every probability off 0; without documents the start is returned."""
+    """Expectation-maximisation over counted vote patterns; without documents the start is returned."""
     import numpy as np
 
-    p, c = np.asarray(patterns, np.int64), np.asarray(counts, float)
-    start = np.array([[0.7, 0.05, 0.25], [0.05, 0.7, 0.25]])
+    p, c, start = np.asarray(patterns, np.int64), np.asarray(counts, float), np.array(START)
     model = LabelModel(0.15, [start.copy() for _ in LABELLERS])
     for _ in range(rounds if len(p) else 0):
         bad = model.posterior(p)
@@ -143,7 +166,7 @@ def estimate(patterns, counts, rounds: int = EM_ROUNDS) -> LabelModel:
         for i in range(len(LABELLERS)):
             v = p // 3**i % 3
             for y, w in ((0, c * (1 - bad)), (1, c * bad)):
-                n = np.bincount(v, weights=w, minlength=3) + 5 * start[y]
+                n = np.bincount(v, weights=w, minlength=3) + (5 + BELIEF[y] * w.sum()) * start[y]
                 model.table[i][y] = n / n.sum()
     return model
 
@@ -181,9 +204,9 @@ def train(docs: DataFrame):
         for b in batches:
             out = []
             for fit, text in zip(b.column("_fit").to_pylist(), b.column("text").to_pylist()):
-                classes = byte_classes(text)
-                a, v = trigrams(classes) if fit else (None, None)
-                out.append((votes(classes), None if a is None else a.tobytes(), None if v is None else v.tobytes()))
+                classes, again = byte_classes(text), repeats(text)
+                a, v = features(classes, again) if fit else (None, None)
+                out.append((votes(classes, again), None if a is None else a.tobytes(), None if v is None else v.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["votes", "at", "value"])
 
     voted = stage_table(marked.mapInArrow(vote, "votes int, at binary, value binary"), "votes")
@@ -191,18 +214,27 @@ def train(docs: DataFrame):
     model = estimate(counted["votes"], counted["count"])
     sample = voted.where("at is not null").select("votes", "at", "value").toPandas()  # about FIT_DOCS rows
     soft = model.posterior(sample["votes"])
-    features = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(sample["at"], sample["value"])]
+    inputs = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(sample["at"], sample["value"])]
     balance = np.where(soft > 0.5, 0.5 / max(1e-3, float(np.mean(soft > 0.5)) if len(soft) else 1), 1.0)
-    w, b = fit_scorer(features, soft, np.minimum(balance, 5.0))
+    w, b = fit_scorer(inputs, soft, np.minimum(balance, 5.0))
     return w.astype(np.float32), b, model
 
 
-def _scorer(w, b):
-    import numpy as np
+#: A text of so many bytes counts as half its own evidence and half that of all documents.
+HALF_KNOWN = 20
+
+
+def _scorer(w, b, prior: float):
+    import math
+
+    usual = math.log(prior / (1 - prior))
 
     def score(text) -> float:
-        at, v = trigrams(byte_classes(text))
-        return float(1 / (1 + np.exp(-np.clip(v @ w[at] + b, -30, 30)))) if len(at) else 0.0
+        classes = byte_classes(text)
+        at, v = features(classes, repeats(text))
+        own = len(classes) / (len(classes) + HALF_KNOWN)
+        z = own * (float(v @ w[at]) + b) + (1 - own) * usual if len(at) else usual
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
     return score
 
@@ -210,15 +242,16 @@ def _scorer(w, b):
 def quality_scores(docs: DataFrame) -> DataFrame:
     """doc_id, bad (score in 0 to 1) and kept (bad < 0.5) of every row.
 
-    Texts of fewer than three bytes, empty and null ones have no features: their score is 0 and they are kept. Repeated
-    rows are scored each; an empty table gives no rows.
+    Short texts are drawn towards the share of bad documents, and those of fewer than three bytes, empty and null ones
+    have that share as their score and are kept. Repeated rows are scored each; an empty table gives no rows.
     """
-    w, b, _ = train(docs)
+    w, b, model = train(docs)
+    prior = model.prior
 
     def run(batches):
         import pyarrow as pa
 
-        score = _scorer(w, b)
+        score = _scorer(w, b, prior)
         for batch in batches:
             bad = [score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bad, pa.float64()), pa.array([x < 0.5 for x in bad], pa.bool_())], ["doc_id", "bad", "kept"])
@@ -228,12 +261,13 @@ def quality_scores(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the scorer keeps, with the columns of docs."""
-    w, b, _ = train(docs)
+    w, b, model = train(docs)
+    prior = model.prior
 
     def run(batches):
         import pyarrow as pa
 
-        score = _scorer(w, b)
+        score = _scorer(w, b, prior)
         for batch in batches:
             yield batch.filter(pa.array([score(t) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
 
