@@ -1,11 +1,422 @@
-"""Queries over the reference tables, by name, with the SQL that gives the same rows."""
+"""Queries over the reference tables, by name, with the SQL that gives the same rows.
+
+Cells are lineitem's quantities by part (row) and order (column); names are parts and orders; individuals are nations of
+customers, treatments order statuses, labels order priorities; vectors are the embeddings with their label as batch.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .core import Matrix, canonical
+from .functions.vector import doubles
+from .operators import annotate as annotation
+from .operators import edit, knn, network, pseudobulk, simulate, spectral, stats
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def cells(spark, sf, where: str = "true") -> DataFrame:
+    return canonical(_t(spark, sf, "lineitem").where(where).select(F.col("l_partkey").alias("row_id"), F.col("l_orderkey").alias("col_id"), F.col("l_quantity").alias("value")))
+
+
+def rows(spark, sf) -> DataFrame:
+    return _t(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.concat_ws("_", "p_name", "p_partkey").alias("row_name"))
+
+
+def cols(spark, sf) -> DataFrame:
+    return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("col_id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("col_name"))
+
+
+def matrix(spark, sf, where: str = "true") -> Matrix:
+    return Matrix(cells(spark, sf, where), rows(spark, sf), cols(spark, sf))
+
+
+def vectors(spark, sf) -> DataFrame:
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), doubles(F.col("embedding")).alias("v"), F.col("label").alias("batch"))
+
+
+def member(spark, sf) -> DataFrame:
+    o = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(F.col("o_orderkey").alias("col_id"), F.col("c_nationkey").cast("long").alias("indv"), F.col("o_orderpriority").alias("label"), F.lit(1.0).alias("z"))
+
+
+def _r(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in names})
+
+
+# The lists that selections are made with.
+KEPT_COLUMN, KEPT_ROW = "o_orderkey % 3 = 0", "p_partkey % 4 = 1"
+REQUEST = [5, 2, 9, 100000000, 7, 40, 3]
+
+
+def row_scores(spark, sf):
+    out = stats.row_scores(cells(spark, sf), rows(spark, sf), cols(spark, sf))
+    return _r(out, 6, "sum", "sum_sq", "mean", "sd", "cv").select("row_id", "row_name", "nnz", "sum", "sum_sq", "mean", "sd", "cv")
+
+
+def col_scores(spark, sf):
+    out = stats.col_scores(cells(spark, sf), rows(spark, sf), cols(spark, sf))
+    return _r(out, 6, "sum", "sum_sq", "mean", "sd", "cv").select("col_id", "col_name", "nnz", "sum", "sum_sq", "mean", "sd", "cv")
+
+
+def value_histogram(spark, sf):
+    return stats.value_histogram(cells(spark, sf))
+
+
+def matrix_info(spark, sf):
+    return matrix(spark, sf).dims()
+
+
+def build_sparse_sum(spark, sf):
+    raw = _t(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("row_id"), (F.col("l_orderkey") % 500).alias("col_id"), F.col("l_quantity").alias("weight"))
+    return _r(edit.build_sparse(raw, 450, 400), 6, "value")
+
+
+def symmetrize(spark, sf):
+    raw = _t(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("row_id"), (F.col("l_orderkey") % 500).alias("col_id"), F.col("l_quantity").alias("weight"))
+    return _r(edit.build_sparse(raw, 400, 400), 6, "value")
+
+
+def _out(m: Matrix) -> DataFrame:
+    return m.triplets.join(m.cols, "col_id").select("row_id", "col_id", "col_name", F.round("value", 6).alias("value"))
+
+
+def select_columns(spark, sf):
+    names = _t(spark, sf, "orders").where(KEPT_COLUMN).select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("col_name"))
+    return _out(edit.select_columns(matrix(spark, sf), names.union(names).union(spark.createDataFrame([("nobody",)], "col_name string"))))
+
+
+def select_rows(spark, sf):
+    names = _t(spark, sf, "part").where(KEPT_ROW).select(F.concat_ws("_", "p_name", "p_partkey").alias("row_name"))
+    return _out(edit.select_rows(matrix(spark, sf), names))
+
+
+def filter_columns_nnz(spark, sf):
+    return _out(edit.filter_columns(matrix(spark, sf), 4))
+
+
+def merge_batches(spark, sf):
+    parts = [(f, matrix(spark, sf, f"l_returnflag = '{f}' and l_partkey % 7 <> {k}")) for k, f in enumerate("ANR")]
+    return _out(edit.merge(parts, 2))
+
+
+def common_names_union(spark, sf):
+    return edit.common_names([_t(spark, sf, t).select(F.col(c).cast("string").alias("name")) for t, c in (("supplier", "s_nationkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey"))], True)
+
+
+def common_names_intersect(spark, sf):
+    return edit.common_names([_t(spark, sf, t).select(F.col(c).cast("string").alias("name")) for t, c in (("supplier", "s_nationkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey"))], False)
+
+
+def column_index(spark, sf):
+    return edit.column_index(cells(spark, sf), cols(spark, sf))
+
+
+def index_check(spark, sf):
+    index = edit.column_index(cells(spark, sf), cols(spark, sf)).withColumn("nnz", F.when(F.col("col_id") % 100 == 0, F.col("nnz") + 1).otherwise(F.col("nnz")))
+    return edit.index_problems(cells(spark, sf), index)
+
+
+def column_blocks(spark, sf):
+    return edit.column_blocks(_t(spark, sf, "orders").where("o_orderkey % 37 < 5 or o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("col_id")))
+
+
+def read_columns_sparse(spark, sf):
+    return edit.read_columns(cells(spark, sf), REQUEST)
+
+
+def read_columns_dense(spark, sf):
+    out = edit.read_columns_dense(cells(spark, sf), rows(spark, sf), REQUEST)
+    return out.select("row_id", *[F.col("values")[i].alias(f"c{i + 1}") for i in range(len(REQUEST))])
+
+
+def normalize_fixed(spark, sf):
+    return _r(stats.normalize_fixed(cells(spark, sf)), 6, "value")
+
+
+def normalize_median(spark, sf):
+    return _r(stats.normalize_median(cells(spark, sf)), 6, "value")
+
+
+def l2_columns(spark, sf):
+    return _r(stats.normalize_l2(cells(spark, sf)), 6, "value")
+
+
+def laplacian_norm(spark, sf):
+    return _r(stats.laplacian(cells(spark, sf)), 6, "value")
+
+
+def standardize_columns(spark, sf):
+    few = cols(spark, sf).where("col_id < 20")
+    return _r(stats.standardize(cells(spark, sf).where("col_id < 20"), rows(spark, sf), few), 6, "value")
+
+
+def top_columns_cv(spark, sf):
+    out = stats.col_scores(cells(spark, sf), rows(spark, sf), cols(spark, sf)).withColumn("cv", F.round("cv", 6))
+    return stats.top_columns(out, 50).select("col_id", "cv")
+
+
+def pseudobulk_sum_mean(spark, sf):
+    return _r(pseudobulk.pseudobulk(cells(spark, sf), member(spark, sf)), 6, "sum", "mean")
+
+
+def annotate_join(spark, sf):
+    pairs = _t(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("col_name"), F.col("o_orderpriority").alias("label"))
+    return pseudobulk.membership(cols(spark, sf), pairs.union(pairs), "label")
+
+
+def knn_l2(spark, sf):
+    v = vectors(spark, sf)
+    return _r(knn.knn(v, v, 5), 6, "dist").select("src", "tgt", "dist")
+
+
+def knn_cosine(spark, sf):
+    v = knn.unit_vectors(vectors(spark, sf))
+    return _r(knn.knn(v, v, 5, "ip"), 6, "dist").select("src", "tgt", "dist")
+
+
+def knn_balanced(spark, sf):
+    return _r(knn.balanced_knn(vectors(spark, sf), 20), 6, "dist")
+
+
+def knn_reciprocal(spark, sf):
+    v = vectors(spark, sf)
+    return _r(knn.reciprocal(knn.knn(v, v, 8).where("src <> tgt"), True), 6, "dist").select("src", "tgt", "dist")
+
+
+def knn_cross_group(spark, sf):
+    v = vectors(spark, sf)
+    return _r(knn.knn(v, v, 2, "l2", "batch", True), 6, "dist").select("src", "tgt", "dist", F.col("tgt_group").alias("tgt_batch"))
+
+
+def match_individuals(spark, sf):
+    return _r(knn.match_groups(vectors(spark, sf), "batch", 2), 5, "dist").select("src", "tgt", "dist")
+
+
+def dedup_pairs(spark, sf):
+    v = vectors(spark, sf)
+    return _r(knn.nearest_records(knn.knn(v, v, 6).where("src <> tgt").select("src", "tgt", F.round("dist", 6).alias("dist"))), 6, "dist")
+
+
+def _chain(spark, sf) -> DataFrame:
+    """A graph of orders of one customer, each with the next, of weight 1."""
+    from pyspark.sql import Window
+
+    o = _t(spark, sf, "orders")
+    nxt = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return o.select(F.col("o_orderkey").alias("src"), nxt.alias("tgt"), F.lit(1.0).alias("weight")).where("tgt is not null")
+
+
+def _few(spark, sf) -> DataFrame:
+    """Cells with few rows, so that orders have rows in common."""
+    return canonical(_t(spark, sf, "lineitem").select((F.col("l_partkey") % 25).alias("row_id"), F.col("l_orderkey").alias("col_id"), F.col("l_quantity").alias("value")))
+
+
+def edge_features(spark, sf):
+    return _r(network.edge_features(_few(spark, sf), _chain(spark, sf)), 6, "value")
+
+
+def feature_incidence(spark, sf):
+    return _r(network.feature_incidence(network.edge_features(_few(spark, sf), _chain(spark, sf))), 6, "value")
+
+
+def sample_incidence(spark, sf):
+    return network.vertex_incidence(network.numbered_edges(network.edge_features(_few(spark, sf), _chain(spark, sf))))
+
+
+def sample_adjacency(spark, sf):
+    return _r(network.adjacency(_chain(spark, sf)), 6, "value")
+
+
+def marker_match(spark, sf):
+    named = _t(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("row_name"))
+    marks = _t(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("label"), F.col("p_name").alias("feature"))
+    return network.marker_match(marks.union(spark.createDataFrame([("Brand#0", "no such part")], "label string, feature string")), named)
+
+
+def qc_disqualified(spark, sf):
+    checks = spark.createDataFrame([(1, 10.0), (2, 1.0)], "row_id long, threshold double")
+    return network.disqualified(_few(spark, sf), cols(spark, sf), checks)
+
+
+def regression_residuals(spark, sf):
+    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_quantity")
+    return _r(simulate.regression_residuals(li, ["l_returnflag"], "l_extendedprice", "l_quantity"), 4, "fitted", "residual").select("l_orderkey", "l_linenumber", "fitted", "residual")
+
+
+# Iterative operators and those with draws: not SQL; tests hold them against numpy.
+
+
+def knn_weights(spark, sf):
+    v = vectors(spark, sf)
+    return knn.with_weights(knn.knn(v, v, 6).where("src <> tgt").select("src", "tgt", "dist"))
+
+
+def knn_reweighted(spark, sf):
+    v = vectors(spark, sf)
+    return knn.reweighted(knn.reciprocal(knn.knn(v, v, 8).where("src <> tgt")), v, 5)
+
+
+def knn_lsh_candidates(spark, sf):
+    return knn.candidates_lsh(vectors(spark, sf))
+
+
+def poisson_pseudobulk(spark, sf):
+    return pseudobulk.poisson_gamma(_few(spark, sf), member(spark, sf), spark.range(25).withColumnRenamed("id", "row_id"), rounds=3)
+
+
+def _embedded(spark, sf):
+    """Vectors as columns of a matrix: cells of the positive coordinates."""
+    long = vectors(spark, sf).select(F.col("id").alias("col_id"), F.posexplode("v").alias("row_id", "x")).select(F.col("row_id").cast("long").alias("row_id"), "col_id", F.round(F.exp("x"), 6).alias("value"))
+    return canonical(long)
+
+
+def _latent(spark, sf):
+    return spark.range(64).withColumnRenamed("id", "row_id"), vectors(spark, sf).select(F.col("id").alias("col_id"))
+
+
+def counterfactual(spark, sf):
+    return pseudobulk.counterfactual(_embedded(spark, sf), vectors(spark, sf).withColumn("trt", F.col("batch") % 2).select("id", "v", "trt"), "trt", 5)
+
+
+def pairwise_delta(spark, sf):
+    v = vectors(spark, sf)
+    who = v.select(F.col("id").alias("col_id"), F.col("batch").cast("long").alias("indv"), F.lit("ct1").alias("label"), F.lit(1.0).alias("z"))
+    pairs = knn.match_groups(v, "batch", 1).select("src", "tgt")
+    return pseudobulk.pairwise_delta(_embedded(spark, sf), who, v.select("id", "v"), pairs, 5)
+
+
+def svd_approx(spark, sf):
+    r, c = _latent(spark, sf)
+    return spectral.svd(_embedded(spark, sf), r, c, 5, rounds=4)[2]
+
+
+def svd_em(spark, sf):
+    r, c = _latent(spark, sf)
+    return spectral.svd_em(_embedded(spark, sf), r, c, 5, iterations=4)[2]
+
+
+def svd_project(spark, sf):
+    r, c = _latent(spark, sf)
+    u, d, _, ids = spectral.svd(_embedded(spark, sf), r, c, 5, rounds=3)
+    return spectral.project(_embedded(spark, sf), c, u, d, ids)
+
+
+def bbknn(spark, sf):
+    return spectral.bbknn(vectors(spark, sf).withColumn("batch", F.col("batch") % 3), 9)[0]
+
+
+def match_files(spark, sf):
+    r, c = _latent(spark, sf)
+    x = _embedded(spark, sf)
+    return spectral.match_columns(x, c, x, r, c, 3, 5)
+
+
+def annotate(spark, sf):
+    r, c = _latent(spark, sf)
+    marks = r.where("row_id < 40").select(F.concat(F.lit("type"), (F.col("row_id") % 4)).alias("label"), "row_id")
+    return annotation.annotate(_embedded(spark, sf), c, marks, iterations=6)
+
+
+def simulate_poisson(spark, sf):
+    return simulate.simulate_poisson(spark, [[1.0, 4.0], [3.0, 0.5], [0.2, 2.0]], [0.5, 1.0, 2.0], 500)[0]
+
+
+def simulate_mixture(spark, sf):
+    return simulate.simulate_mixture(spark, [[[1.0, 4.0]] * 5, [[3.0, 0.5]] * 5], 100)[0]
+
+
+_NAMES = """row_scores col_scores value_histogram matrix_info build_sparse_sum symmetrize select_columns select_rows filter_columns_nnz
+merge_batches common_names_union common_names_intersect column_index index_check column_blocks read_columns_sparse read_columns_dense
+normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns top_columns_cv pseudobulk_sum_mean annotate_join knn_l2
+knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
+sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_lsh_candidates poisson_pseudobulk
+counterfactual pairwise_delta svd_approx svd_em svd_project bbknn match_files annotate simulate_poisson simulate_mixture""".split()
+
 
 def queries() -> dict:
-    return {}
+    return {n: globals()[n] for n in _NAMES}
+
+
+_T = "t AS (SELECT l_partkey AS row_id, l_orderkey AS col_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
+_FEW = "t AS (SELECT l_partkey % 25 AS row_id, l_orderkey AS col_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
+_E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label AS batch FROM embeddings)"
+_D = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+_DOT = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))"
+_CHAIN = "g AS (SELECT * FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS tgt, 1.0::DOUBLE AS weight FROM orders) WHERE tgt IS NOT NULL)"
+_EF = "f AS (SELECT g.src, g.tgt, x.row_id, (x.value + y.value) / 2 AS value FROM g JOIN t x ON x.col_id = g.src JOIN t y ON y.col_id = g.tgt AND y.row_id = x.row_id)"
+_NUM = "k AS (SELECT row_number() OVER (ORDER BY src, tgt) AS edge_id, src, tgt FROM (SELECT DISTINCT src, tgt FROM f))"
+
+
+def _sql_scores(key: str, names: str, other: str) -> str:
+    return f"""WITH {_T}, s AS (SELECT {key}, sum(value) AS s1, sum(value * value) AS s2, count(*) FILTER (WHERE abs(value) > 1e-8) AS nnz FROM t GROUP BY 1),
+    n AS (SELECT count(*) AS n FROM {other}), j AS (SELECT names.*, coalesce(nnz, 0) AS nnz, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, n FROM ({names}) names LEFT JOIN s USING ({key}), n),
+    k AS (SELECT *, s1 / n AS mean, sqrt(greatest(s2 - s1 * s1 / n, 0) / greatest(n - 1, 1)) AS sd FROM j)"""
+
+
+_SELECT_SCORES = "nnz, round(s1, 6) AS sum, round(s2, 6) AS sum_sq, round(mean, 6) AS mean, round(sd, 6) AS sd, round(CASE WHEN abs(mean) > 1e-8 THEN sd / abs(mean) ELSE 0 END, 6) AS cv FROM k"
+_ROWS = "SELECT p_partkey AS row_id, concat_ws('_', p_name, p_partkey) AS row_name FROM part"
+_COLS = "SELECT o_orderkey AS col_id, concat('o', o_orderkey) AS col_name FROM orders"
+
+
+def _sql_built(n_row: int, n_col: int) -> str:
+    return f"SELECT l_partkey % 500 AS row_id, l_orderkey % 500 AS col_id, sum(l_quantity) AS value FROM lineitem WHERE l_partkey % 500 BETWEEN 1 AND {n_row} AND l_orderkey % 500 BETWEEN 1 AND {n_col} GROUP BY ALL"
+
+
+def _sql_knn(k: int, dist: str, e: str, where: str = "true", by: str = "a.id", more: str = "") -> str:
+    return f"WITH {e} SELECT src, tgt, dist{more and ', tgt_batch'} FROM (SELECT a.id AS src, b.id AS tgt, round({dist}, 6) AS dist{more}, row_number() OVER (PARTITION BY {by} ORDER BY round({dist}, 10), b.id) AS r FROM e a, e b WHERE {where}) WHERE r <= {k}"
+
+
+_UNIT = _E[:-1].replace("e AS (SELECT", "e0 AS (SELECT") + "), e AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-8)) AS v, batch FROM e0)"
+_NORMED = "(SELECT col_id, sum(value) AS d, sum(value * value) AS d2 FROM t GROUP BY 1)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    request = ", ".join(f"({c}, {i + 1})" for i, c in enumerate(REQUEST))
+    dense = ", ".join(f"coalesce(max(CASE WHEN new_col = {i + 1} THEN value END), 0)::DOUBLE AS c{i + 1}" for i in range(len(REQUEST)))
+    merged = " UNION ALL ".join(f"SELECT {k} AS part, '{f}' AS flag, l_partkey AS p, l_orderkey AS own, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = '{f}' AND l_partkey % 7 <> {k} GROUP BY ALL" for k, f in enumerate("ANR"))
+    return {
+        "row_scores": f"{_sql_scores('row_id', _ROWS, 'orders')} SELECT row_id, row_name, {_SELECT_SCORES}",
+        "col_scores": f"{_sql_scores('col_id', _COLS, 'part')} SELECT col_id, col_name, {_SELECT_SCORES}",
+        "value_histogram": f"WITH {_T} SELECT round(value)::BIGINT AS bin, count(*) AS n FROM t GROUP BY 1",
+        "matrix_info": f"WITH {_T} SELECT (SELECT count(*) FROM part) AS max_row, (SELECT count(*) FROM orders) AS max_col, (SELECT count(*) FROM t) AS max_elem",
+        "build_sparse_sum": f"SELECT row_id, col_id, round(value, 6) AS value FROM ({_sql_built(450, 400)})",
+        "symmetrize": f"WITH b AS ({_sql_built(400, 400)}) SELECT row_id, col_id, round(sum(value) * 0.5, 6) AS value FROM (SELECT * FROM b UNION ALL SELECT col_id, row_id, value FROM b) GROUP BY 1, 2",
+        "select_columns": f"WITH {_T}, c AS (SELECT o_orderkey AS old, row_number() OVER (ORDER BY o_orderkey) - 1 AS col_id, concat('o', o_orderkey) AS col_name FROM orders WHERE {KEPT_COLUMN}) SELECT row_id, c.col_id, col_name, round(value, 6) AS value FROM t JOIN c ON t.col_id = c.old",
+        "select_rows": f"WITH {_T}, r AS (SELECT p_partkey AS old, row_number() OVER (ORDER BY p_partkey) - 1 AS new FROM part WHERE {KEPT_ROW}), x AS (SELECT new AS row_id, col_id, value FROM t JOIN r ON t.row_id = r.old), c AS (SELECT col_id AS old, row_number() OVER (ORDER BY col_id) - 1 AS new FROM (SELECT DISTINCT col_id FROM x)) SELECT row_id, new AS col_id, concat('o', old) AS col_name, round(value, 6) AS value FROM x JOIN c ON x.col_id = c.old",
+        "filter_columns_nnz": f"WITH {_T}, c AS (SELECT col_id AS old, row_number() OVER (ORDER BY col_id) - 1 AS new FROM (SELECT col_id FROM t GROUP BY 1 HAVING count(*) >= 4)) SELECT row_id, new AS col_id, concat('o', old) AS col_name, round(value, 6) AS value FROM t JOIN c ON t.col_id = c.old",
+        "merge_batches": f"WITH m AS ({merged}), r AS (SELECT p_partkey AS p, row_number() OVER (ORDER BY concat_ws('_', p_name, p_partkey)) - 1 AS row_id FROM part), c AS (SELECT part, flag, own, row_number() OVER (ORDER BY part, own) - 1 AS col_id FROM (SELECT part, flag, own FROM m GROUP BY ALL HAVING count(*) >= 2)) SELECT row_id, col_id, concat('o', own, '_', c.flag) AS col_name, round(value, 6) AS value FROM m JOIN r USING (p) JOIN c USING (part, own)",
+        "common_names_union": "SELECT s_nationkey::VARCHAR AS name FROM supplier UNION SELECT c_nationkey::VARCHAR FROM customer UNION SELECT n_nationkey::VARCHAR FROM nation",
+        "common_names_intersect": "SELECT s_nationkey::VARCHAR AS name FROM supplier INTERSECT SELECT c_nationkey::VARCHAR FROM customer INTERSECT SELECT n_nationkey::VARCHAR FROM nation",
+        "column_index": f"WITH {_T}, n AS (SELECT o_orderkey AS col_id, coalesce(k, 0)::BIGINT AS nnz FROM orders LEFT JOIN (SELECT col_id, count(*) AS k FROM t GROUP BY 1) x ON x.col_id = o_orderkey) SELECT col_id, (sum(nnz) OVER (ORDER BY col_id) - nnz)::BIGINT AS first_pos, nnz FROM n",
+        "index_check": f"WITH {_T} SELECT o_orderkey AS col_id, coalesce(k, 0)::BIGINT + 1 AS listed, coalesce(k, 0)::BIGINT AS found FROM orders LEFT JOIN (SELECT col_id, count(*) AS k FROM t GROUP BY 1) x ON x.col_id = o_orderkey WHERE o_orderkey % 100 = 0",
+        "column_blocks": "WITH q AS (SELECT DISTINCT o_orderkey AS c FROM orders WHERE o_orderkey % 37 < 5 OR o_orderkey % 11 = 0), b AS (SELECT c, CASE WHEN c - lag(c) OVER (ORDER BY c) >= 10 THEN 1 ELSE 0 END AS new FROM q), s AS (SELECT c, (sum(new) OVER (ORDER BY c))::BIGINT AS block FROM b) SELECT block, min(c) AS lo, max(c) AS hi, count(*) AS n FROM s GROUP BY 1",
+        "read_columns_sparse": f"WITH {_T}, q(col_id, new_col) AS (VALUES {request}) SELECT row_id, new_col::BIGINT AS col_id, value FROM t JOIN q USING (col_id)",
+        "read_columns_dense": f"WITH {_T}, q(col_id, new_col) AS (VALUES {request}), x AS (SELECT row_id, new_col, value FROM t JOIN q USING (col_id)) SELECT p_partkey AS row_id, {dense} FROM part LEFT JOIN x ON x.row_id = p_partkey GROUP BY 1",
+        "normalize_fixed": f"WITH {_T} SELECT row_id, col_id, round(value * 10000.0::DOUBLE / greatest(d, 1), 6) AS value FROM t JOIN {_NORMED} USING (col_id)",
+        "normalize_median": f"WITH {_T}, n AS {_NORMED}, m AS (SELECT greatest(1, d) AS m FROM (SELECT d, row_number() OVER (ORDER BY d) AS r, count(*) OVER () AS k FROM n) WHERE r = k // 2 + 1) SELECT row_id, col_id, round(value * m / greatest(d, 1), 6) AS value FROM t JOIN n USING (col_id), m",
+        "l2_columns": f"WITH {_T} SELECT row_id, col_id, round(value / greatest(sqrt(d2), 1e-8), 6) AS value FROM t JOIN {_NORMED} USING (col_id)",
+        "laplacian_norm": f"WITH {_T}, x AS (SELECT row_id, col_id, ln(1 + value * 10000.0::DOUBLE / greatest(d, 1)) AS value FROM t JOIN {_NORMED} USING (col_id)), n AS (SELECT col_id, sum(value * value) AS n2 FROM x GROUP BY 1), m AS (SELECT avg(n2) AS m2 FROM n) SELECT row_id, col_id, round(value / sqrt(greatest(1, n2 + m2)), 6) AS value FROM x JOIN n USING (col_id), m",
+        "standardize_columns": f"WITH {_T}, n AS (SELECT count(*) AS n FROM part), s AS (SELECT o_orderkey AS col_id, coalesce(sum(value), 0) / any_value(n) AS m, sqrt(greatest(coalesce(sum(value * value), 0) / any_value(n) - (coalesce(sum(value), 0) / any_value(n)) ** 2, 0)) AS sd FROM orders LEFT JOIN t ON t.col_id = o_orderkey, n WHERE o_orderkey < 20 GROUP BY 1) SELECT p_partkey AS row_id, s.col_id, round((coalesce(value, 0) - m) / greatest(sd, 1e-8), 6) AS value FROM part CROSS JOIN s LEFT JOIN t ON t.row_id = p_partkey AND t.col_id = s.col_id",
+        "top_columns_cv": f"{_sql_scores('col_id', _COLS, 'part')}, v AS (SELECT col_id, round(CASE WHEN abs(mean) > 1e-8 THEN sd / abs(mean) ELSE 0 END, 6) AS cv FROM k) SELECT col_id, cv FROM v ORDER BY cv DESC, col_id LIMIT 50",
+        "pseudobulk_sum_mean": f"WITH {_T}, m AS (SELECT o_orderkey AS col_id, c_nationkey::BIGINT AS indv, o_orderpriority AS label FROM orders JOIN customer ON o_custkey = c_custkey), z AS (SELECT indv, label, count(*) AS z FROM m GROUP BY ALL) SELECT row_id, indv, label, round(sum(value), 6) AS sum, round(sum(value) / any_value(z), 6) AS mean FROM t JOIN m USING (col_id) JOIN z USING (indv, label) GROUP BY row_id, indv, label",
+        "annotate_join": "SELECT o_orderkey AS col_id, concat('o', o_orderkey) AS col_name, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority ELSE '?' END AS label FROM orders",
+        "knn_l2": _sql_knn(5, _D, _E),
+        "knn_cosine": _sql_knn(5, f"1 - {_DOT}", _UNIT),
+        "knn_balanced": f"WITH {_E}, s AS (SELECT batch, count(*) AS n, count(*) OVER () AS nb FROM e GROUP BY 1) SELECT src, tgt, dist, src_batch, tgt_batch FROM (SELECT a.id AS src, b.id AS tgt, round({_D}, 6) AS dist, a.batch AS src_batch, b.batch AS tgt_batch, greatest(1, least(20, n) // nb) AS q, row_number() OVER (PARTITION BY a.id, b.batch ORDER BY round({_D}, 10), b.id) AS r FROM e a, e b JOIN s ON s.batch = b.batch) WHERE r <= q AND src <> tgt",
+        "knn_reciprocal": f"WITH n AS ({_sql_knn(8, _D, _E)}), m AS (SELECT * FROM n WHERE src <> tgt) SELECT a.src, a.tgt, a.dist FROM m a JOIN m b ON a.src = b.tgt AND a.tgt = b.src WHERE a.src < a.tgt",
+        "knn_cross_group": _sql_knn(2, _D, _E, "a.batch <> b.batch", "a.id, b.batch", ", b.batch AS tgt_batch"),
+        "match_individuals": f"WITH {_E}, l AS (SELECT batch, unnest(range(1, 65)) AS f, unnest(v) AS x FROM e), s AS (SELECT batch, f, sum(x) AS x FROM l GROUP BY ALL), h AS (SELECT f, greatest(sqrt(sum(x * x)), 1e-8) AS h FROM s GROUP BY 1), p AS (SELECT batch, f, x / h AS x FROM s JOIN h USING (f)), u AS (SELECT batch, greatest(sqrt(sum(x * x)), 1e-8) AS u FROM p GROUP BY 1), y AS (SELECT batch, f, x / u AS x FROM p JOIN u USING (batch)), d AS (SELECT a.batch AS src, b.batch AS tgt, 1 - sum(a.x * b.x) AS dist FROM y a JOIN y b USING (f) WHERE a.batch <> b.batch GROUP BY 1, 2) SELECT src::BIGINT AS src, tgt::BIGINT AS tgt, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) AS r FROM d) WHERE r <= 2",
+        "dedup_pairs": f"WITH n AS ({_sql_knn(6, _D, _E)}) SELECT src, tgt, dist FROM (SELECT *, row_number() OVER (PARTITION BY least(src, tgt), greatest(src, tgt) ORDER BY dist, src) AS r FROM n WHERE src <> tgt) WHERE r = 1",
+        "edge_features": f"WITH {_FEW}, {_CHAIN}, {_EF} SELECT src, tgt, row_id, round(value, 6) AS value FROM f",
+        "feature_incidence": f"WITH {_FEW}, {_CHAIN}, {_EF}, {_NUM} SELECT row_id, edge_id, round(value, 6) AS value FROM f JOIN k USING (src, tgt)",
+        "sample_incidence": f"WITH {_FEW}, {_CHAIN}, {_EF}, {_NUM} SELECT unnest([src, tgt]) AS col_id, edge_id, 1.0::DOUBLE AS value FROM k",
+        "sample_adjacency": f"WITH {_CHAIN} SELECT row_id, col_id, round(sum(w) * 0.5, 6) AS value FROM (SELECT src AS row_id, tgt AS col_id, weight AS w FROM g UNION ALL SELECT tgt, src, weight FROM g) GROUP BY 1, 2",
+        "marker_match": "WITH r AS (SELECT p_name, min(p_partkey) AS row_id FROM part GROUP BY 1) SELECT p_brand AS label, row_id, count(*)::DOUBLE AS value FROM part JOIN r USING (p_name) WHERE p_partkey % 3 = 0 GROUP BY 1, 2",
+        "qc_disqualified": f"WITH {_FEW}, c(row_id, threshold) AS (VALUES (1, 10.0), (2, 1.0)) SELECT DISTINCT o_orderkey AS col_id FROM orders CROSS JOIN c LEFT JOIN t ON t.col_id = o_orderkey AND t.row_id = c.row_id WHERE coalesce(value, 0) < threshold",
+        "regression_residuals": "WITH s AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 4) AS fitted, round(l_extendedprice - (a + b * l_quantity), 4) AS residual FROM lineitem JOIN s USING (l_returnflag)",
+    }
