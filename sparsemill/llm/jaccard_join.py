@@ -11,57 +11,135 @@ a posting with one of them, and the last one compares every pair of sets that ar
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stage_table, table, text_or_empty, window_hashes, word_hashes, words
+from .common import stage_table, table, text_or_empty
 
 SHINGLE, PERCENT = 5, 80
 #: The order of shingles knows at most so many common ones (12 bytes each in every task); all others count as rare.
 #: It decides how much work is done, never what is found.
 COMMON_SHINGLES = 1 << 18
 STAR_ROUNDS = 2
+#: Lists of ids and of pairs are broadcast up to so many rows (16 bytes each); beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Texts are hashed in chunks of about so many bytes.
+CHUNK = 2 << 20
+
+# Odd numbers for multiplicative hashing modulo 2**64.
+_P = 0x9E3779B97F4A7C15
+_M = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+_tables: dict = {}
+
 
+def _powers(n: int):
+    """Powers of _P and of its inverse up to n."""
+    import numpy as np
+
+    if len(_tables.get("up", ())) < n:
+        n = max(n, CHUNK)
+        for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            _tables[name] = np.multiply.accumulate(x)
+        lower, space = np.arange(256, dtype=np.uint64) + 1, np.zeros(256, bool)
+        lower[65:91] += 32
+        space[[9, 10, 11, 12, 13, 32]] = True
+        _tables["lower"], _tables["space"] = lower, space
+    return _tables
 
-def with_set(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with _set, the ascending hashes of its shingles. No words: empty; under five: one shingle."""
-    d = docs.withColumn("_w", word_hashes(words(F.translate(text_or_empty(F.col("text")), string.ascii_uppercase, string.ascii_lowercase))))
-    few = F.when(F.size("_w") == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64("_w", F.lit("few"))))
-    d = d.withColumn("_g", F.when(F.size("_w") < SHINGLE, few).otherwise(window_hashes(F.col("_w"), SHINGLE)))
-    return d.withColumn("_set", F.sort_array(F.array_distinct("_g"))).drop("_w", "_g")
 
+def _mixed(x):
+    import numpy as np
 
-def common_shingles(sets: DataFrame):
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def _chunk_sets(data, offsets) -> list:
+    """Ascending distinct shingle hashes of the texts data[offsets[i]:offsets[i + 1]] (UTF-8), A-Z read as a-z.
+
+    A word's hash comes from running sums of byte times power, so that all words of a chunk are hashed at once.
+    """
+    import numpy as np
+
+    n, docs = len(data), len(offsets) - 1
+    t = _powers(n + 1)
+    nothing = np.array([], np.int64)
+    space = t["space"][data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begin = np.flatnonzero(~space & (np.r_[True, space[:-1]] | edge[:-1])) if n else nothing
+    if not len(begin):
+        return [nothing] * docs
+    end = np.flatnonzero(~space & (np.r_[space[1:], True] | edge[1:])) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(t["lower"][data] * t["up"][:n], out=sums[1:])
+    word = _mixed((sums[end] - sums[begin]) * t["down"][begin])
+    first = np.searchsorted(begin, offsets)  # of each text, among all words
+    m = [np.uint64(x) for x in _M]
+    window = np.array([], np.uint64)
+    if len(word) >= SHINGLE:
+        k = len(word) - SHINGLE + 1
+        window = _mixed(sum(word[j : k + j] * m[j] for j in range(SHINGLE))).view(np.int64)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= SHINGLE:
+            out.append(np.unique(window[a : b - SHINGLE + 1]))
+        elif b > a:
+            few = sum(word[a + j : a + j + 1] * m[j] for j in range(b - a)) + np.uint64(b - a)
+            out.append(_mixed(few).view(np.int64))
+        else:
+            out.append(nothing)
+    return out
+
+
+def text_sets(column):
+    """The sets of an Arrow column of texts, some at a time; null texts have empty ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.cast(pa.large_string()).fill_null("")
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.array([], np.uint8)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
+        yield from _chunk_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        lo = hi
+
+
+def common_shingles(docs: DataFrame):
     """The most common shingles as (ascending hashes, their ranks, the most common last).
 
-    Each task counts all shingles of its rows and passes on those it has seen more than once; their sums tell the
-    common ones apart. What reaches the driver is bounded by COMMON_SHINGLES.
+    Each task counts all shingles of its rows, once for texts with the same set, and passes on those it has seen more than
+    once; their sums tell the common ones apart. What reaches the driver is bounded by COMMON_SHINGLES.
     """
     import numpy as np
 
     def repeated(batches):
         import pyarrow as pa
 
-        kept, n = [], 0
+        kept, n, seen = [], 0, set()
 
         def condensed():
             values, counts = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.array([], "i8"), np.array([], "i8"))
-            return values[counts > 1], counts[counts > 1]
+            return pa.RecordBatch.from_arrays([pa.array(values[counts > 1], pa.int64()), pa.array(counts[counts > 1], pa.int64())], ["s", "n"])
 
         for b in batches:
-            values = b.column("_set").flatten().to_numpy(zero_copy_only=False)
-            kept.append(values)
-            n += len(values)
+            for own in text_sets(b.column("text")):
+                if len(own) and (digest := hash(own.tobytes())) not in seen:
+                    seen.add(digest)
+                    kept.append(own)
+                    n += len(own)
             if n >= 8_000_000:  # a task's memory is bounded, whatever its input
-                values, counts = condensed()
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["s", "n"])
-                kept, n = [], 0
-        values, counts = condensed()
-        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["s", "n"])
+                yield condensed()
+                kept, n, seen = [], 0, set()
+        yield condensed()
 
-    found = sets.select("_set").mapInArrow(repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = found.where("n >= 4").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toPandas()
     top = top.assign(rank=np.arange(len(top), 0, -1)).sort_values("s")
     return top["s"].to_numpy("i8"), top["rank"].to_numpy("i4")
@@ -72,35 +150,44 @@ def prefix_length(n: int) -> int:
     return n - (n * PERCENT + 99) // 100 + 1
 
 
-def prefixes(sets: DataFrame, common) -> DataFrame:
-    """(doc_id, n, d1, d2, g, prefix): size, digest of the set, group and prefix of every document with a set."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
+def prefixes(docs: DataFrame, common) -> DataFrame:
+    """(doc_id, n, d1, d2, g, prefix) of every document with a set: its size, digests of the set, group and prefix. A task
+    gives a group's prefix once, so that a large group of copies is a few rows a task before anything is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    kinds = "doc_id long, n int, d1 long, d2 long, g long, prefix array<long>"
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
+        import xxhash
 
         hashes, ranks = shared.value
+        seen: set[int] = set()
+        signed = lambda x: x - (1 << 63)
         for b in batches:
-            b = b.filter(pc.greater(b.column("n"), 0))
-            column = b.column("_set")
-            flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).cumsum()
-            at = np.searchsorted(hashes, flat)
-            at[at == len(hashes)] = 0
-            rank = np.where(hashes[at] == flat, ranks[at], 0) if len(hashes) else np.zeros(len(flat), "i4")
-            out, begin = [], 0
-            for end in offsets.tolist():
-                own, r = flat[begin:end], rank[begin:end]
-                out.append(own[np.lexsort((own, r))[: prefix_length(end - begin)]] if r.any() else own[: prefix_length(end - begin)])
-                begin = end
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n", "d1", "d2")), lists], ["doc_id", "n", "d1", "d2", "prefix"])
-
-    # empty sets go in cut(): a filter on a computed column would be moved below, and the column computed twice
-    rows = sets.select("doc_id", F.size("_set").alias("n"), F.xxhash64("_set").alias("d1"), F.xxhash64("_set", F.lit(1)).alias("d2"), "_set")
-    cut_ = rows.mapInArrow(cut, "doc_id long, n int, d1 long, d2 long, prefix array<long>")
-    return cut_.select("doc_id", "n", "d1", "d2", F.xxhash64("n", "prefix").alias("g"), "prefix")
+            out = []
+            for doc_id, own in zip(b.column("doc_id").to_pylist(), text_sets(b.column("text"))):
+                n = len(own)
+                if not n:
+                    continue
+                raw = own.tobytes()
+                d1, d2 = signed(xxhash.xxh3_64_intdigest(raw)), signed(xxhash.xxh64_intdigest(raw, 1))
+                at = np.searchsorted(hashes, own)
+                at[at == len(hashes)] = 0
+                known = hashes[at] == own if len(hashes) else np.zeros(n, bool)
+                if known.any():
+                    own = own[np.lexsort((own, np.where(known, ranks[at], 0)))]
+                prefix = own[: prefix_length(n)]
+                g = signed(xxhash.xxh3_64_intdigest(prefix.tobytes(), n))
+                out.append((doc_id, n, d1, d2, g, None if g in seen else prefix))
+                if len(seen) < 1_000_000:  # beyond, repeats are only left out later
+                    seen.add(g)
+            if out:
+                *plain, lists = zip(*out)
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, types)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "g", "prefix"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(cut, kinds)
 
 
 def _runs(batches, names: list[str]):
@@ -130,7 +217,8 @@ def _bounds(s):
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
-    """rows(g, n, prefix) to (s, g, n, pos) of those postings' rows that have another row near in size."""
+    """rows(g, n, prefix) to (s, g, n, pos) of those postings' rows that may link to another row of the posting, by their
+    sizes and by what is left of both sets after the places of s."""
     at = rows.select("g", "n", F.posexplode("prefix").alias("pos", "s"))
 
     def keep(batches):
@@ -138,14 +226,37 @@ def shared_postings(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for s, g, n, pos in _runs(batches, ["s", "g", "n", "pos"]):
-            near = (s[1:] == s[:-1]) & (5 * n[:-1].astype("i8") >= 4 * n[1:])  # in order of size
-            ok = np.r_[False, near] | np.r_[near, False]
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (s, g, n, pos)], ["s", "g", "n", "pos"])
+            new = np.r_[True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])]  # a group may come from several tasks
+            s, g, n, pos = s[new], g[new], n[new].astype("i8"), pos[new].astype("i8")
+            ok = np.zeros(len(s), bool)
+            edges = _bounds(s)
+            size = np.diff(edges)
+            two = edges[:-1][size == 2]
+            fit = _may_link(n[two], pos[two], n[two + 1], pos[two + 1])
+            ok[two[fit]] = ok[two[fit] + 1] = True
+            for lo, k in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist()):
+                own = slice(lo, lo + k)
+                if k > 400:  # told apart later
+                    ok[own] = True
+                else:
+                    fit = _may_link(n[own, None], pos[own, None], n[None, own], pos[None, own])
+                    np.fill_diagonal(fit, False)
+                    ok[own] = fit.any(1)
+            yield pa.RecordBatch.from_arrays([pa.array(s[ok]), pa.array(g[ok]), pa.array(n[ok], pa.int32()), pa.array(pos[ok], pa.int32())], ["s", "g", "n", "pos"])
 
     dealt = at.select("s", "g", "n", "pos").repartition("s").sortWithinPartitions("s", "n", "g")
     return dealt.mapInArrow(keep, "s long, g long, n int, pos int")
 
 
+def _may_link(n, pos, m, at):
+    """Whether sets of n and m elements may be PERCENT alike if the first they share is at these places of both."""
+    import numpy as np
+
+    small, large = np.minimum(n, m), np.maximum(n, m)
+    most = 1 + np.minimum(n - pos - 1, m - at - 1)
+    return (100 * small >= PERCENT * large) & (most * (100 + PERCENT) >= PERCENT * (n + m))
+
+
 def candidates(postings: DataFrame, seed: int | None) -> DataFrame:
     """postings(s, cid, n, pos, comp) to pairs (a, b), a < b, of sets in different components.
 
@@ -159,7 +270,7 @@ def candidates(postings: DataFrame, seed: int | None) -> DataFrame:
 
         for s, cid, n, pos, comp in _runs(batches, ["s", "cid", "n", "pos", "comp"]):
             left, right, out = [], [], _bounds(s)
-            n = n.astype("i8")
+            n, pos = n.astype("i8"), pos.astype("i8")
             for lo, hi in zip(out[:-1].tolist(), out[1:].tolist()):
                 if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
                     continue
@@ -168,9 +279,8 @@ def candidates(postings: DataFrame, seed: int | None) -> DataFrame:
                         far = lo + int(np.searchsorted(n[lo:hi], 5 * n[i] // 4, "right"))
                         j = np.arange(i + 1, far)
                         j = j[comp[j] != comp[i]]
+                        j = j[_may_link(n[i], pos[i], n[j], pos[j])]
                         if len(j):
-                            rest = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-                            j = j[rest * (100 + PERCENT) >= PERCENT * (n[i] + n[j])]
                             left.append(np.full(len(j), cid[i]))
                             right.append(cid[j])
                 else:
@@ -180,7 +290,7 @@ def candidates(postings: DataFrame, seed: int | None) -> DataFrame:
                         own = cid[i:far]
                         mixed = (own.astype("u8") + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
                         p = i + int(np.argmin(mixed ^ (mixed >> np.uint64(29))))
-                        other = own[comp[i:far] != comp[p]]
+                        other = own[(comp[i:far] != comp[p]) & _may_link(n[p], pos[p], n[i:far], pos[i:far])]
                         left.append(np.full(len(other), cid[p]))
                         right.append(other)
                         i = far
@@ -193,13 +303,40 @@ def candidates(postings: DataFrame, seed: int | None) -> DataFrame:
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
+def _hinted(df: DataFrame) -> DataFrame:
+    """df, for a broadcast if its number of rows is within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that link, by their whole sets(cid, set)."""
-    a, b = (sets.select(F.col("cid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
+    pairs = _hinted(pairs)
+    a, b = (sets.select(F.col("cid").alias(x), F.col("set").alias(f"set_{x}")).join(pairs, x) for x in "ab")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    linked = both.withColumn("i", common).where(100 * F.col("i") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("i")))
-    return linked.select("a", "b")
+    linked = a.join(b, ["a", "b"]).select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), common.alias("i"))
+    return linked.where(100 * F.col("i") >= PERCENT * (F.col("n") - F.col("i"))).select("a", "b").distinct()
+
+
+def needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, set) of classes(cid, d1, d2), from the texts. Rows that share a doc_id but not a text are told by digests."""
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            ids, want, out = b.column("doc_id").to_pylist(), b.column("d1").to_pylist(), []
+            for doc_id, d1, own in zip(ids, want, text_sets(b.column("text"))):
+                if xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) == d1:
+                    out.append((doc_id, own))
+            if out:
+                flat = np.concatenate([x for _, x in out])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for _, x in out)]), pa.int32()), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), lists], ["cid", "set"])
+
+    wanted = _hinted(classes.select(F.col("cid").alias("doc_id"), "d1"))
+    return docs.join(wanted, "doc_id").select("doc_id", "d1", "text").mapInArrow(cut, "cid long, set array<long>")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -224,19 +361,14 @@ def link_components(docs: DataFrame) -> DataFrame:
     own doc_id. Rows without doc_id get no component and connect nothing. Repeated rows are returned as often as they
     occur. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = with_set(docs)
-    cut = stage_table(prefixes(sets.where(F.col("doc_id").isNotNull()), common_shingles(sets)), "prefixes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    cut = stage_table(prefixes(docs, common_shingles(docs)), "prefixes")
     classes = stage_table(cut.groupBy("n", "d1", "d2", "g").agg(F.min("doc_id").alias("cid")), "classes")
-    leads = classes.groupBy("g").agg(F.min("cid").alias("doc_id"))
-    index = stage_table(shared_postings(cut.select("doc_id", "g", "n", "prefix").join(leads.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["g"])), "postings")
+    index = stage_table(shared_postings(cut.where("prefix is not null").select("g", "n", "prefix")), "postings")
     within = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k > 1").select(F.col("g").alias("s"), "g", "n", F.lit(0).alias("pos"))
     postings = stage_table(index.unionByName(within).join(classes.select("g", "cid"), "g").select("s", "cid", "n", "pos"), "class-postings")
-    needed = postings.select(F.col("cid").alias("doc_id")).distinct()
-    # one row for each cid: rows that share a doc_id may differ in text, and the class's own text is wanted
-    own = classes.select(F.col("cid").alias("doc_id"), "d1", "d2").join(needed, "doc_id")
-    texts = with_set(docs.join(needed, "doc_id", "left_semi")).withColumn("d1", F.xxhash64("_set")).withColumn("d2", F.xxhash64("_set", F.lit(1)))
-    known = stage_table(texts.join(own, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("cid"), F.col("_set").alias("set")).dropDuplicates(["cid"]), "sets")
+    needed = classes.select("cid", "d1").join(postings.select("cid").distinct(), "cid")
+    known = stage_table(needed_sets(docs, stage_table(needed, "needed")), "sets")
     links, tried, labels = None, None, None
     for seed in [*range(1, STAR_ROUNDS + 1), None]:
         if labels is None:
@@ -253,8 +385,15 @@ def link_components(docs: DataFrame) -> DataFrame:
         labels = components(links)
     named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("n", "d1", "d2", F.coalesce("comp", "cid").alias("component_id"))
     linked = cut.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    wordless = F.col("doc_id").isNull() | ~text_or_empty(F.col("text")).rlike(WORD)
-    bare = with_set(docs.where(wordless)).select("doc_id", F.size("_set").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+
+    def wordless(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = [(i, len(x)) for i, x in zip(b.column("doc_id").to_pylist(), text_sets(b.column("text"))) if i is None or not len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64()), pa.array([i for i, _ in out], pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    bare = docs.where(F.col("doc_id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).mapInArrow(wordless, "doc_id long, n_shingles long, component_id long")
     return linked.unionByName(bare)
 
 

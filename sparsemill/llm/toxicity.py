@@ -31,13 +31,15 @@ BREAK = re.compile(r"[.!?;\n]+")
 
 
 class Transducer:
-    """Arcs by state and label: (next state, output label, weight). A label without an arc stays as it is."""
+    """Arcs by state and label: (next state, output label, weight). A label without an arc stays as it is; the label None
+    stands for any other one, and the output None for the label that was read."""
 
     def __init__(self, arcs: dict, start=0):
         self.arcs, self.start = arcs, start
 
     def step(self, state, label):
-        return self.arcs.get((state, label)) or self.arcs.get((state, None)) or (state, label, 0.0)
+        after, out, weight = self.arcs.get((state, label)) or self.arcs.get((state, None)) or (state, label, 0.0)
+        return after, label if out is None else out, weight
 
     def then(self, other: Transducer, labels: str) -> Transducer:
         """The composition: other reads what this one writes; weights add up."""
@@ -48,8 +50,8 @@ class Transducer:
             a, b = open_.pop()
             for x in labels:
                 na, y, wa = self.step(a, x)
-                nb, z, wb = other.step(b, x if y is None else y)
-                arcs[((a, b), x)] = ((na, nb), x if z is None else z, wa + wb)
+                nb, z, wb = other.step(b, y)
+                arcs[((a, b), x)] = ((na, nb), z, wa + wb)
                 if (na, nb) not in seen:
                     seen.add((na, nb))
                     open_.append((na, nb))
