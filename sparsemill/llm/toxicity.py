@@ -161,7 +161,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = {y: min(1.0, most / max(1, n.get(y, 0))) for y, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))}
     by = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     known = known.where(hash_unit("doc_id", seed=11) < by).withColumn("weight", 1 / by)
-    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).join(known, "doc_id")
+    # known is drawn to a bounded number of rows, so that texts need not move to it
+    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).join(F.broadcast(known), "doc_id")
     rows = rows.withColumn("_w", word_hashes(words(F.lower("text")))).withColumn("_least", F.array_min(window_hashes(F.col("_w"))))
     rows = rows.withColumn("_least", F.coalesce(F.col("_least"), F.xxhash64("text"))).drop("_w")
     return rows.groupBy("_least").agg(F.min_by(F.struct("doc_id", "text", "toxic", "weight"), F.struct("doc_id", "text")).alias("r")).select("r.*")

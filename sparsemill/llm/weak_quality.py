@@ -87,7 +87,7 @@ def measures(classes, again=(0.0, 0.0)) -> dict[str, float]:
     }
 
 
-#: Each labeller votes on a document's measures: BAD where it finds its defect, else NONE; the last two also vote GOOD.
+#: Each labeller votes on a document's measures: BAD where it finds its defect, else NONE; the last one votes GOOD.
 LABELLERS = {
     "symbols": lambda m: BAD if m["symbols"] > 0.3 else NONE,
     "letters": lambda m: BAD if m["letters"] < 0.62 else NONE,
@@ -97,8 +97,8 @@ LABELLERS = {
     "digits": lambda m: BAD if m["digits"] > 0.3 else NONE,
     "same": lambda m: BAD if m["same"] > 0.15 else NONE,
     "twice": lambda m: BAD if m["twice"] > 0.3 else NONE,
+    "words": lambda m: BAD if m["word"] > 25 else NONE,
     "prose": lambda m: GOOD if 0.05 <= m["stops"] <= 0.5 and m["shouts"] + m["symbols"] + m["bars"] < 0.15 and m["same"] < 0.05 else NONE,
-    "words": lambda m: BAD if m["word"] > 25 else GOOD if 3 <= m["word"] <= 9 else NONE,
 }
 
 
@@ -147,26 +147,28 @@ class LabelModel:
 
 
 #: P(vote | good) and P(vote | bad) to start from, in the order GOOD, BAD, NONE: a defect is rarely found where there is
-#: none, and each labeller knows only some of the defects.
-START = ((0.3, 0.005, 0.695), (0.05, 0.35, 0.6))
-#: What is believed beforehand counts as so many documents for each that is thought to be of the kind. Without it, one
-#: kind of defect alone may become the bad class.
-BELIEF = (0.5, 0.1)
+#: none, each labeller knows only some of the defects, and most good documents read like prose.
+DEFECT = ((1e-6, 0.005, 0.994999), (1e-6, 0.35, 0.649999))
+PROSE = ((0.8, 1e-6, 0.199999), (0.1, 1e-6, 0.899999))
+#: What is believed beforehand about defects counts as so many documents for each that is thought to be of the kind.
+#: Without it, one kind of defect alone may become the bad class and the others pass for good.
+BELIEF = ((3.0, 0.1), (0.1, 0.1))
 
 
 def estimate(patterns, counts, rounds: int = EM_ROUNDS) -> LabelModel:
     """Expectation-maximisation over counted vote patterns; without documents the start is returned."""
     import numpy as np
 
-    p, c, start = np.asarray(patterns, np.int64), np.asarray(counts, float), np.array(START)
-    model = LabelModel(0.15, [start.copy() for _ in LABELLERS])
+    p, c = np.asarray(patterns, np.int64), np.asarray(counts, float)
+    starts = [np.array(PROSE if name == "prose" else DEFECT) for name in LABELLERS]
+    model = LabelModel(0.15, [start.copy() for start in starts])
     for _ in range(rounds if len(p) else 0):
         bad = model.posterior(p)
         model.prior = float(np.clip((c @ bad + 1.5) / (c.sum() + 10), 0.005, 0.5))
-        for i in range(len(LABELLERS)):
-            v = p // 3**i % 3
+        for i, (name, start) in enumerate(zip(LABELLERS, starts)):
+            v, belief = p // 3**i % 3, BELIEF[name == "prose"]
             for y, w in ((0, c * (1 - bad)), (1, c * bad)):
-                n = np.bincount(v, weights=w, minlength=3) + (5 + BELIEF[y] * w.sum()) * start[y]
+                n = np.bincount(v, weights=w, minlength=3) + (5 + belief[y] * w.sum()) * start[y]
                 model.table[i][y] = n / n.sum()
     return model
 
