@@ -6,6 +6,8 @@ number of stored cells, and names without a cell still get a row.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,3 +55,16 @@ def renumber(names: DataFrame, key: str, new: str, order: list | None = None) ->
 def first_positions(names: DataFrame, key: str, at: str) -> DataFrame:
     """One row a name: its first position; later ones of the same name are left out."""
     return names.groupBy(key).agg(F.min(at).alias(at))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder (spark.checkpoint.dir; a temporary one where that is unset) and read back. Rounds of
+    an iteration start from such tables, so that plans stay short and lost executors cost one round."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + tempfile.mkdtemp(prefix="sparsemill-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/sparsemill-round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

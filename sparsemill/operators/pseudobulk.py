@@ -31,6 +31,7 @@ def poisson_gamma(cells: DataFrame, member: DataFrame, rows: DataFrame, a0: floa
     one a column. With other (cells of matched columns under the same col_id), its sums are added to both. Every cell
     counts in the totals; rows without a cell of a group have the group's rate for zero.
     """
+    from ..core import settled
     from ..functions.special import digamma
 
     arms = [cells] if other is None else [cells, other]
@@ -38,18 +39,19 @@ def poisson_gamma(cells: DataFrame, member: DataFrame, rows: DataFrame, a0: floa
     for arm in arms:
         s = arm.join(member, "col_id").groupBy("row_id", "indv", "label").agg(F.sum(F.col("value") * F.col("z")).alias("zy"))
         zy = s if zy is None else zy.unionByName(s)
-    zy = zy.groupBy("row_id", "indv", "label").agg(F.sum("zy").alias("zy")).persist()
+    zy = zy.groupBy("row_id", "indv", "label").agg(F.sum("zy").alias("zy"))
+    zy = settled(zy)
     groups = member.groupBy("indv", "label").agg(F.sum("z").alias("zsum"))
     totals = groups.join(zy.groupBy("indv", "label").agg(F.sum("zy").alias("zytot")), ["indv", "label"], "left").fillna(0.0, ["zytot"])
     n_rows = rows.count()
     sizes = [member.select("col_id").distinct().join(arm.groupBy("col_id").agg(F.sum("value").alias("y")), "col_id", "left").fillna(0.0, ["y"]).withColumn("arm", F.lit(i)) for i, arm in enumerate(arms)]
     size = sizes[0] if len(sizes) == 1 else sizes[0].unionByName(sizes[1])
-    cells_of = member.join(size, "col_id").persist()
-    shape = totals.select("indv", "label", (F.lit(n_rows * a0) + F.col("zytot")).alias("top"))
+    cells_of = settled(member.join(size, "col_id"))
+    shape = settled(totals.select("indv", "label", (F.lit(n_rows * a0) + F.col("zytot")).alias("top")))
     rho = cells_of.select("col_id", "arm", "indv", "label", "z", "y").withColumn("rho", F.lit(a0 / b0))
     rate = None
     for _ in range(max(1, rounds)):
-        rate = rho.groupBy("indv", "label").agg((F.lit(b0) + F.sum(F.col("z") * F.col("rho"))).alias("rate"))
+        rate = settled(rho.groupBy("indv", "label").agg((F.lit(b0) + F.sum(F.col("z") * F.col("rho"))).alias("rate")))
         mu = shape.join(rate, ["indv", "label"]).select("indv", "label", (F.col("top") / F.col("rate")).alias("mu_total"))
         fit = cells_of.join(mu, ["indv", "label"]).groupBy("col_id", "arm").agg(((F.lit(a0) + F.first("y")) / (F.lit(b0) + F.sum(F.col("z") * F.col("mu_total")))).alias("rho"))
         rho = cells_of.join(fit, ["col_id", "arm"])
