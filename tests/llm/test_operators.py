@@ -115,6 +115,121 @@ def test_licence_scan_equals_plain_version(spark, sf):
         assert got[r["doc_id"]] == " ".join(known[x] for x in s if x in known)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Copyright (c) 2019, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """Frob is free software{colon} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{semi} either version {v} of the License, or
+(at your option) any later version.
+
+Frob is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted{}.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS."""
+
+
+def test_whole_licence_texts(spark):
+    gpl = lambda kind, v, colon=":", semi=",": GPL.format(kind=kind, v=v, colon=colon, semi=semi)
+    whole = {
+        "MIT": MIT,
+        "BSD-2-Clause": BSD.format(third="").replace("All rights reserved.", ""),
+        "BSD-3-Clause": BSD.format(third=THIRD).replace("All rights reserved.", ""),
+        "GPL-3.0-or-later": gpl("", 3),
+        "GPL-2.0-or-later": gpl("", 2, "", ";"),
+        "LGPL-2.1-or-later": gpl("Lesser ", "2.1", ";", ";"),
+        "LGPL-3.0-or-later": gpl("Lesser ", 3),
+        "AGPL-3.0-or-later": gpl("Affero ", 3),
+        "Apache-2.0": APACHE,
+        "ISC": ISC.format(", provided that the above\ncopyright notice and this permission notice appear in all copies"),
+        "0BSD": ISC.format(""),
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Unlicense": "This is free and unencumbered software released into the public\ndomain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+        "CC0-1.0": "To the extent possible under law, A. Person has waived all copyright\nand related or neighboring rights to This Thing.",
+        "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991",
+    }
+    styles = {
+        "wrapped": lambda t: t,
+        "hash": lambda t: "import os\n" + "\n".join(f"# {x}" for x in t.split("\n")) + "\nprint(1)",
+        "star": lambda t: "/*\r\n" + "\r\n".join(f" * {x}" for x in t.split("\n")) + "\r\n */\r\nint x;",
+        "rem": lambda t: "\n".join(f"REM {x}" for x in t.split("\n")),
+        "one line": lambda t: "Some words before. " + " ".join(t.replace("http://www.apache.org/licenses/LICENSE-2.0", "http://www.apache.org/licenses/LICENSE-2.0\n").split()),
+    }
+    # a copyright line has no sentence mark, nor has a title; in one line each is part of the sentence after it
+    cases = [(name, style, f(t)) for name, t in whole.items() for style, f in styles.items() if style != "one line" or not t.startswith(("MIT License", "Copyright", "   "))]
+    cases += [("MIT", "one line", " ".join(MIT.split("\n\n", 2)[2].split())), ("BSD-3-Clause", "one line", " ".join(BSD.format(third=THIRD).split("\n\n", 1)[1].split()))]
+    cases += [("Apache-2.0 MIT", "spdx", "// SPDX-License-Identifier: Apache-2.0 OR MIT\n"), ("GPL-2.0-or-later", "spdx", "/* SPDX-License-Identifier: GPL-2.0+ */"), ("All-rights-reserved BSD-3-Clause", "both", BSD.format(third=THIRD)), ("", "none", "Not all rights reserved here.\nNobody knows the warranty\nor the license of this text.")]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: " ".join(r["licenses"]) for r in license_scan.with_licenses(df).collect()}
+    assert [(n, s, got[i]) for i, (n, s, _) in enumerate(cases) if got[i] != n] == []
+    needed = re.compile(license_scan.NEEDED)
+    assert [t for ts in license_scan.SENTENCES.values() for t in ts if not needed.search(t)] == []
+
+
 # 3
 
 
