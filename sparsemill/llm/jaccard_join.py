@@ -5,8 +5,9 @@ first, and the first part of a set (its prefix) must share a shingle with that o
 the same prefix and size are one group; an inverted index over the groups' prefixes gives group pairs, filtered by size
 and position; these are expanded to the groups' distinct sets and verified exactly.
 
-Only components are asked for, so sets that are already connected are not compared again: two rounds compare all sets of
-a posting with one of them, and the last one compares every pair of sets that are still in different components.
+For components, sets that are already connected are not compared again: two rounds compare all sets of a posting with one
+of them, and the last one compares every pair of sets that are still in different components. For the join itself, all
+sets of a component are then compared in blocks, as every link lies within one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ COMMON_SHINGLES = 1 << 18
 STAR_ROUNDS = 2
 #: Lists of ids and of pairs are broadcast up to so many rows (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Components of more sets than this are compared in blocks of about so many, dealt by size and hash.
+LINK_BLOCK = 128
 #: Texts are hashed in chunks of about so many bytes.
 CHUNK = 2 << 20
 
@@ -354,16 +357,82 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = after.select("v", "comp")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
+def class_links(classes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """classes(cid, n, copies), labels(v, comp) and sets(cid, set) to (cid, partners, n_links): all links of each class to others,
+    in one or more rows a class, and the copies of these others. Every link is in both of its classes' rows.
 
-    Texts without words (and null ones) have no shingles and are linked with nothing; component_id is then the row's
-    own doc_id. Rows without doc_id get no component and connect nothing. Repeated rows are returned as often as they
-    occur. An empty table gives no rows.
+    A large component's sets are dealt to buckets of sizes, wider than the most that linked ones differ by, and within
+    these to parts by a hash; each part meets those of its own and of both neighbouring buckets.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    here = labels.groupBy("comp").agg(F.count("*").alias("k"))
+    large = here.where(F.col("k") > LINK_BLOCK).select("comp")
+    bucket = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")
+    of = stage_table(classes.select("cid", "n", "copies").join(labels.withColumnRenamed("v", "cid"), "cid"), "linked-classes")
+    parts = of.join(F.broadcast(large), "comp").groupBy("comp", bucket.alias("b")).agg(F.ceil(F.count("*") / LINK_BLOCK).cast("int").alias("p"))
+    parts = stage_table(parts.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("b", "p"))).alias("parts")), "parts")
+    dealt = of.join(_hinted(parts), "comp", "left").withColumn("b", F.when(F.col("parts").isNull(), 0).otherwise(bucket))
+    near = lambda d: F.coalesce(F.try_element_at("parts", F.col("b") + d), F.lit(1 - abs(d)))
+    dealt = dealt.withColumns({"own": near(0), "above": near(1), "below": near(-1)}).withColumn("p", F.pmod(F.xxhash64("cid"), F.col("own")).cast("int"))
+    pair = lambda b, p, c, q, right: F.struct(b.alias("b"), p.alias("p"), c.alias("c"), q.alias("q"), right.alias("right"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    b, p, no, yes = F.col("b"), F.col("p"), F.lit(False), F.lit(True)
+    meets = F.concat(
+        F.transform(upto("own"), lambda q: pair(b, F.least(p, q), b, F.greatest(p, q), p > q)),
+        F.transform(upto("above"), lambda q: pair(b, p, b + 1, q, no)),
+        F.transform(upto("below"), lambda q: pair(b - 1, q, b, p, yes)),
+    )
+    wanted = dealt.select("cid", "copies", "comp", meets.alias("meets"))
+    rows = sets.join(_hinted(wanted), "cid").select("cid", "copies", "set", "comp", F.explode("meets").alias("m")).select("cid", "copies", "set", "comp", "m.*")
+
+    def compare(pdf):
+        import numpy as np
+        import pandas as pd
+
+        same = (pdf["b"].iloc[0], pdf["p"].iloc[0]) == (pdf["c"].iloc[0], pdf["q"].iloc[0])
+        right = pdf["right"].to_numpy(bool)
+        left, other = (np.arange(len(pdf)),) * 2 if same else (np.flatnonzero(~right), np.flatnonzero(right))
+        cid, copies = pdf["cid"].to_numpy(), pdf["copies"].to_numpy()
+        size = np.array([len(x) for x in pdf["set"]])
+        found = []
+        if len(left) and len(other):
+            ids = np.unique(np.concatenate(list(pdf["set"])), return_inverse=True)[1]
+            at = np.r_[0, np.cumsum(size)]
+            of_others = ids if same else np.concatenate([ids[at[j] : at[j + 1]] for j in other])
+            begin = np.r_[0, np.cumsum(size[other])][:-1]
+            mask = np.zeros(int(ids.max()) + 1, bool)
+            for i in left:
+                own = ids[at[i] : at[i + 1]]
+                mask[own] = True
+                both = np.add.reduceat(mask[of_others], begin, dtype="i8")
+                mask[own] = False
+                j = other[100 * both >= PERCENT * (size[i] + size[other] - both)]
+                found.append((i, j[j != i]))
+        links = [(i, j) for i, j in found if len(j)]
+        if not same and links:  # the other direction
+            i, j = (np.concatenate(x) for x in zip(*((np.full(len(j), i), j) for i, j in links)))
+            order = np.argsort(j, kind="stable")
+            i, j = i[order], j[order]
+            cuts = np.flatnonzero(np.r_[True, j[1:] != j[:-1], True])
+            links += [(j[lo], i[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame([(cid[i], cid[j], copies[j].sum()) for i, j in links], columns=["cid", "partners", "n_links"])
+
+    return rows.groupBy("comp", "b", "p", "c", "q").applyInPandas(compare, "cid long, partners array<long>, n_links long")
+
+
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join: (a, b), a < b, of all pairs of classes that link, and (doc_id, cid), the class of each row of docs with words.
+
+    A class has the rows of one set. Two rows link if they are of one class or of two that link.
+    """
+    cut, classes, known, labels = _connected(docs)
+    pairs = class_links(classes, labels, known).select(F.col("cid").alias("a"), F.explode("partners").alias("b")).where("a < b")
+    return stage_table(pairs, "class-links"), cut.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "cid")
+
+
+def _connected(docs: DataFrame) -> tuple[DataFrame, ...]:
+    """docs(doc_id, text) to their rows' digests, classes of the same set, sets of those that may link, and (v, comp)."""
     cut = stage_table(prefixes(docs, common_shingles(docs)), "prefixes")
-    classes = stage_table(cut.groupBy("n", "d1", "d2", "g").agg(F.min("doc_id").alias("cid")), "classes")
+    classes = stage_table(cut.groupBy("n", "d1", "d2", "g").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")), "classes")
     index = stage_table(shared_postings(cut.where("prefix is not null").select("g", "n", "prefix")), "postings")
     within = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k > 1").select(F.col("g").alias("s"), "g", "n", F.lit(0).alias("pos"))
     postings = stage_table(index.unionByName(within).join(classes.select("g", "cid"), "g").select("s", "cid", "n", "pos"), "class-postings")
@@ -383,8 +452,26 @@ def link_components(docs: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("n", "d1", "d2", F.coalesce("comp", "cid").alias("component_id"))
-    linked = cut.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return cut, classes, known, labels
+
+
+def link_components(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id[, n_links]) of every row of docs(doc_id, text).
+
+    n_links is the number of other rows that a row links to, copies among them; it asks for the whole join. Texts without words (and null ones) have no shingles and are linked with nothing; component_id is then the row's
+    own doc_id. Rows without doc_id get no component and connect nothing. Repeated rows are returned as often as they
+    occur. An empty table gives no rows.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    cut, classes, known, labels = _connected(docs)
+    named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left")
+    more = []
+    if count_links:
+        total = stage_table(class_links(classes, labels, known).groupBy("cid").agg(F.sum("n_links").alias("more")), "link-counts")
+        named = named.join(total, "cid", "left").withColumn("n_links", F.coalesce("more", F.lit(0)) + F.col("copies") - 1)
+        more = ["n_links"]
+    named = named.select("n", "d1", "d2", F.coalesce("comp", "cid").alias("component_id"), *more)
+    linked = cut.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", *more)
 
     def wordless(batches):
         import pyarrow as pa
@@ -394,7 +481,7 @@ def link_components(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64()), pa.array([i for i, _ in out], pa.int64())], ["doc_id", "n_shingles", "component_id"])
 
     bare = docs.where(F.col("doc_id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).mapInArrow(wordless, "doc_id long, n_shingles long, component_id long")
-    return linked.unionByName(bare)
+    return linked.unionByName(bare.withColumn("n_links", F.lit(0).cast("long")) if count_links else bare)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -407,4 +494,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return link_components(table(spark, sf_dir, "documents"))
+    return link_components(table(spark, sf_dir, "documents"), count_links=True)

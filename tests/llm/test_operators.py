@@ -344,6 +344,29 @@ def test_jaccard_chains_and_large_groups(spark):
     assert got == sorted(plain_components(made))
 
 
+@pytest.mark.parametrize("block", [128, 6])
+def test_jaccard_join_loses_no_link(spark, docs, rows, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", block)
+    rng = random.Random(11)
+    base = [f"v{rng.randint(0, 999)}" for _ in range(150)]
+    made = []
+    for i in range(60):  # a large group of near copies of several sizes, with copies of their own
+        text = base[: 110 + rng.randint(0, 40)]
+        text[rng.randrange(len(text))] = f"new{i}"
+        made += [(1000 + 2 * i + k, " ".join(text)) for k in range(1 + (i % 7 == 0))]
+    made += [(r[0], r[1]) for r in rows]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    sets = [(i, shingle_set(t)) for i, t in made]
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * (len(x) + len(y) - len(x & y))
+    want = sorted((i, sum(j is not None and k != o and linked(x, y) for o, (j, y) in enumerate(sets))) for k, (i, x) in enumerate(sets) if i is not None)
+    got = jaccard_join.link_components(frame, count_links=True).where("doc_id is not null").select("doc_id", "n_links").collect()
+    assert sorted(tuple(r) for r in got) == want and max(n for _, n in want) > 20
+    pairs, members = jaccard_join.jaccard_links(frame)
+    classes = dict(tuple(r) for r in members.collect())
+    by_class = {classes[i]: x for i, x in sets if i is not None and x}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted((a, b) for a in by_class for b in by_class if a < b and linked(by_class[a], by_class[b]))
+
+
 def test_one_of_each_group_stays(docs, rows, empty):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
