@@ -14,10 +14,13 @@ def annotate(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: DataFr
     Columns are restricted to marker rows and brought to unit length; a label's score is kappa mu'x less that of its
     counter-markers. A round sums, by label and row, the columns assigned to it (the best label, or one drawn with a seed);
     only these sums, bounded by labels times markers, come to the driver. Columns without a marker or disqualified ones
-    are Incomplete."""
+    are Incomplete. More than MOST_MARKERS different marker rows are an error, as their arrays are kept in every task."""
     import numpy as np
 
-    ids = sorted({r["row_id"] for r in markers.select("row_id").distinct().limit(MOST_MARKERS).collect()} | ({r["row_id"] for r in anti.select("row_id").distinct().limit(MOST_MARKERS).collect()} if anti is not None else set()))
+    marked = markers.select("row_id") if anti is None else markers.select("row_id").unionByName(anti.select("row_id"))
+    ids = sorted(r["row_id"] for r in marked.distinct().limit(MOST_MARKERS + 1).collect())
+    if len(ids) > MOST_MARKERS:
+        raise ValueError(f"more than {MOST_MARKERS} different marker rows")
     labels = sorted(r["label"] for r in markers.select("label").distinct().collect())
     at, d = {r: i for i, r in enumerate(ids)}, len(ids)
 

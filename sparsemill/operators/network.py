@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A list of checks is broadcast up to so many rows (16 bytes each); beyond, it is joined by shuffle.
+BROADCAST_CHECKS = 100_000
+
 
 def edge_features(cells: DataFrame, edges: DataFrame, cutoff: float = 1e-4, weighted: bool = True, max_weight: float = 1.0) -> DataFrame:
     """(src, tgt, row_id, value): features above the cutoff at both ends; the mean of both, times the weight up to a most."""
@@ -58,7 +61,8 @@ def marker_match(markers: DataFrame, rows: DataFrame) -> DataFrame:
 def disqualified(cells: DataFrame, cols: DataFrame, checks: DataFrame) -> DataFrame:
     """checks(row_id, threshold) to the columns that are below a threshold on any of these rows; absent cells are 0."""
     n = checks.agg(F.count("*").alias("n_checks"), F.count_if(F.col("threshold") > 0).alias("n_above"))
-    seen = cells.join(F.broadcast(checks.limit(10_000)), "row_id")  # a list of checks is short
+    few = checks.limit(BROADCAST_CHECKS + 1).count() <= BROADCAST_CHECKS
+    seen = cells.join(F.broadcast(checks) if few else checks, "row_id")
     per = seen.groupBy("col_id").agg(F.count_if(F.col("value") < F.col("threshold")).alias("low"), F.count_if(F.col("threshold") > 0).alias("seen_above"))
     out = cols.select("col_id").join(per, "col_id", "left").crossJoin(F.broadcast(n))
     return out.where((F.coalesce("low", F.lit(0)) > 0) | (F.coalesce("seen_above", F.lit(0)) < F.col("n_above"))).select("col_id")

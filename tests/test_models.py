@@ -198,3 +198,22 @@ def test_stream_of_cells(spark, small, tmp_path):
     q.stop()
     got = {r["row_id"]: r["sum"] for r in spark.sql("select * from sums").collect()}
     assert np.allclose([got[i] for i in range(12)], x.sum(1))
+
+
+@pytest.mark.parametrize("most", [100_000, 1_000])
+def test_many_checks_all_count(spark, monkeypatch, most):
+    monkeypatch.setattr(network, "BROADCAST_CHECKS", most)
+    n = 12_000
+    checks = spark.range(n).select(F.col("id").alias("row_id"), F.lit(1.0).alias("threshold"))
+    cells = spark.range(3 * n).select((F.col("id") % n).alias("row_id"), F.floor(F.col("id") / n).alias("col_id"), F.when(F.col("id") == n + 11_999, 0.5).otherwise(2.0).alias("value"))
+    cells = cells.where(f"not (col_id = 2 and row_id = {n - 5})")
+    cols = spark.range(4).withColumnRenamed("id", "col_id")
+    assert sorted(r["col_id"] for r in network.disqualified(cells, cols, checks).collect()) == [1, 2, 3]
+
+
+def test_too_many_markers_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(annotate, "MOST_MARKERS", 3)
+    marks = spark.createDataFrame([("a", i) for i in range(4)], "label string, row_id long")
+    cells = spark.createDataFrame([(i, i, 1.0) for i in range(4)], "row_id long, col_id long, value double")
+    with pytest.raises(ValueError, match="more than 3"):
+        annotate.annotate(cells, cells.select("col_id"), marks)
