@@ -100,7 +100,7 @@ def filter_columns_nnz(spark, sf):
 
 
 def merge_batches(spark, sf):
-    parts = [(f, matrix(spark, sf, f"l_returnflag = '{f}' and l_partkey % 7 <> {k}")) for k, f in enumerate("ANR")]
+    parts = [(f, matrix(spark, sf, f"l_returnflag = '{f}'")) for f in "ANR"]
     return _out(edit.merge(parts, 2))
 
 
@@ -151,8 +151,7 @@ def laplacian_norm(spark, sf):
 
 
 def standardize_columns(spark, sf):
-    few = cols(spark, sf).where("col_id < 20")
-    return _r(stats.standardize(cells(spark, sf).where("col_id < 20"), rows(spark, sf), few), 6, "value")
+    return _r(stats.standardize(_few(spark, sf), _few_rows(spark), cols(spark, sf)), 6, "value")
 
 
 def top_columns_cv(spark, sf):
@@ -194,7 +193,8 @@ def knn_cross_group(spark, sf):
 
 
 def match_individuals(spark, sf):
-    return _r(knn.match_groups(vectors(spark, sf), "batch", 2), 5, "dist").select("src", "tgt", "dist")
+    out = knn.match_groups(vectors(spark, sf), "batch", 2)
+    return out.select(F.col("src").cast("long").alias("src"), F.col("tgt").cast("long").alias("tgt"), F.round("dist", 5).alias("dist"))
 
 
 def dedup_pairs(spark, sf):
@@ -216,6 +216,10 @@ def _few(spark, sf) -> DataFrame:
     return canonical(_t(spark, sf, "lineitem").select((F.col("l_partkey") % 25).alias("row_id"), F.col("l_orderkey").alias("col_id"), F.col("l_quantity").alias("value")))
 
 
+def _few_rows(spark) -> DataFrame:
+    return spark.range(25).withColumnRenamed("id", "row_id")
+
+
 def edge_features(spark, sf):
     return _r(network.edge_features(_few(spark, sf), _chain(spark, sf)), 6, "value")
 
@@ -261,12 +265,26 @@ def knn_reweighted(spark, sf):
     return knn.reweighted(knn.reciprocal(knn.knn(v, v, 8).where("src <> tgt")), v, 5)
 
 
-def knn_lsh_candidates(spark, sf):
-    return knn.candidates_lsh(vectors(spark, sf))
+def knn_reweighted_distances(spark, sf):
+    return _r(knn_reweighted(spark, sf), 6, "dist").select("src", "tgt", "dist")
+
+
+def knn_indexed(spark, sf):
+    v = vectors(spark, sf)
+    return _r(knn.knn_indexed(v, v, 5), 6, "dist")
+
+
+def knn_named(spark, sf):
+    v = vectors(spark, sf).withColumn("name", F.concat(F.lit("v"), "id"))
+    return _r(knn.knn_named(v, v, 3, valid=v.where("batch < 5").select("name")), 6, "dist")
 
 
 def poisson_pseudobulk(spark, sf):
-    return pseudobulk.poisson_gamma(_few(spark, sf), member(spark, sf), spark.range(25).withColumnRenamed("id", "row_id"), rounds=3)
+    return pseudobulk.poisson_gamma(_few(spark, sf), member(spark, sf), _few_rows(spark))
+
+
+def poisson_rates(spark, sf):
+    return _r(poisson_pseudobulk(spark, sf), 6, "mu", "mu_sd", "ln_mu_sd").select("row_id", "indv", "label", "mu", "mu_sd", "ln_mu_sd")
 
 
 def _embedded(spark, sf):
@@ -283,26 +301,35 @@ def counterfactual(spark, sf):
     return pseudobulk.counterfactual(_embedded(spark, sf), vectors(spark, sf).withColumn("trt", F.col("batch") % 2).select("id", "v", "trt"), "trt", 5)
 
 
-def pairwise_delta(spark, sf):
+def counterfactual_nearest(spark, sf):
+    out = pseudobulk.counterfactual(_embedded(spark, sf), vectors(spark, sf).withColumn("trt", F.col("batch") % 2).select("id", "v", "trt"), "trt", 1)
+    return _r(out, 6, "value").select("col_id", "row_id", "value")
+
+
+def pairwise_nearest(spark, sf):
+    return _r(pairwise_delta(spark, sf, 1), 4, "sum_delta", "mean_delta")
+
+
+def pairwise_delta(spark, sf, k: int = 5):
     v = vectors(spark, sf)
     who = v.select(F.col("id").alias("col_id"), F.col("batch").cast("long").alias("indv"), F.lit("ct1").alias("label"), F.lit(1.0).alias("z"))
     pairs = knn.match_groups(v, "batch", 1).select("src", "tgt")
-    return pseudobulk.pairwise_delta(_embedded(spark, sf), who, v.select("id", "v"), pairs, 5)
+    return pseudobulk.pairwise_delta(_embedded(spark, sf), who, v.select("id", "v"), pairs.select(F.col("src").cast("long").alias("src"), F.col("tgt").cast("long").alias("tgt")), k)
 
 
 def svd_approx(spark, sf):
     r, c = _latent(spark, sf)
-    return spectral.svd(_embedded(spark, sf), r, c, 5, rounds=4)[2]
+    return spectral.svd(_embedded(spark, sf), r, c, 5)[2]
 
 
 def svd_em(spark, sf):
     r, c = _latent(spark, sf)
-    return spectral.svd_em(_embedded(spark, sf), r, c, 5, iterations=4)[2]
+    return spectral.svd_em(_embedded(spark, sf), r, c, 5)[2]
 
 
 def svd_project(spark, sf):
     r, c = _latent(spark, sf)
-    u, d, _, ids = spectral.svd(_embedded(spark, sf), r, c, 5, rounds=3)
+    u, d, _, ids = spectral.svd(_embedded(spark, sf), r, c, 5)
     return spectral.project(_embedded(spark, sf), c, u, d, ids)
 
 
@@ -310,6 +337,53 @@ def bbknn(spark, sf):
     return spectral.bbknn(vectors(spark, sf).withColumn("batch", F.col("batch") % 3), 9)[0]
 
 
+def column_degrees_scaled(spark, sf):
+    return _r(stats.scale_by_degree(cells(spark, sf)), 6, "value")
+
+
+def nonempty_columns(spark, sf):
+    return edit.nonempty_columns(matrix(spark, sf)).select("col_id", "col_name", "nnz")
+
+
+def read_block(spark, sf):
+    return edit.read_block(_few(spark, sf), [3, 1, 24, 77], REQUEST)
+
+
+def read_column_range(spark, sf):
+    return edit.read_column_range(cells(spark, sf), 100, 600)
+
+
+def relabelled_by_size(spark, sf):
+    return stats.relabelled_by_size(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("col_id"), F.col("o_orderpriority").alias("label")))
+
+
+def observed_products(spark, sf):
+    x = _few(spark, sf)
+    return _r(stats.observed_products(x.select(F.col("row_id").alias("i"), F.col("col_id").alias("k"), "value"), x.select(F.col("col_id").alias("k"), F.col("row_id").alias("j"), "value")), 4, "product")
+
+
+def topic_features(spark, sf):
+    """Features on the edges of vectors' mutual neighbours, without weights."""
+    v = vectors(spark, sf)
+    names = v.select(F.col("id").alias("col_id"), F.concat(F.lit("v"), "id").alias("col_name"))
+    return _r(network.topic_data(_embedded(spark, sf), names, v.select("id", "batch", "v"), 20, weighted=False)["features"], 5, "value")
+
+
+def file_set(spark, sf):
+    """Written as text with names and index, read back with all columns and names."""
+    import uuid
+
+    from .core import drop_at_exit, shared_dir
+    from .sources import mtx
+
+    folder = f"{shared_dir(spark)}/file-set-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
+    files = mtx.write_file_set(Matrix(_few(spark, sf), _few_rows(spark).withColumn("row_name", F.concat(F.lit("r"), "row_id")), cols(spark, sf)), f"{folder}/m")
+    m = mtx.read_mtx_sparse(spark, files)
+    out = m.triplets.join(m.rows, "row_id").join(m.cols, "col_id").join(mtx.read_index(spark, files.idx), "col_id")
+    return _r(out, 6, "value").select("row_name", "col_name", "row_id", "col_id", "value", "first_pos", "nnz")
+
+
 def match_files(spark, sf):
     r, c = _latent(spark, sf)
     x = _embedded(spark, sf)
@@ -319,7 +393,7 @@ def match_files(spark, sf):
 def annotate(spark, sf):
     r, c = _latent(spark, sf)
     marks = r.where("row_id < 40").select(F.concat(F.lit("type"), (F.col("row_id") % 4)).alias("label"), "row_id")
-    return annotation.annotate(_embedded(spark, sf), c, marks, iterations=6)
+    return annotation.annotate(_embedded(spark, sf), c, marks)
 
 
 def simulate_poisson(spark, sf):
@@ -334,14 +408,24 @@ _NAMES = """row_scores col_scores value_histogram matrix_info build_sparse_sum s
 merge_batches common_names_union common_names_intersect column_index index_check column_blocks read_columns_sparse read_columns_dense
 normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns top_columns_cv pseudobulk_sum_mean annotate_join knn_l2
 knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
-sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_lsh_candidates poisson_pseudobulk
-counterfactual pairwise_delta svd_approx svd_em svd_project bbknn match_files annotate simulate_poisson simulate_mixture""".split()
+sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_named poisson_pseudobulk
+poisson_rates counterfactual counterfactual_nearest pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
+read_column_range relabelled_by_size observed_products topic_features file_set svd_approx svd_em svd_project bbknn match_files annotate simulate_poisson simulate_mixture""".split()
 
 
 def queries() -> dict:
     return {n: globals()[n] for n in _NAMES}
 
 
+def _sql_poisson(rounds: int) -> str:
+    """The rounds of rates and sizes, one common table each."""
+    steps = "".join(f", r{i} AS MATERIALIZED (SELECT indv, label, any_value(top) AS top, 1 + sum((1 + y) / (1 + top / rate)) AS rate FROM m JOIN r{i - 1} USING (indv, label) GROUP BY ALL)" for i in range(2, rounds + 1))
+    return f"""WITH {_FEW}, y AS (SELECT col_id, sum(value) AS y FROM t GROUP BY 1), m AS MATERIALIZED (SELECT o_orderkey AS col_id, c_nationkey::BIGINT AS indv, o_orderpriority AS label, coalesce(y, 0) AS y FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN y ON y.col_id = o_orderkey),
+    z AS (SELECT row_id, indv, label, sum(value) AS zy FROM t JOIN m USING (col_id) GROUP BY ALL), r1 AS MATERIALIZED (SELECT indv, label, 25 + sum(y) AS top, 1.0::DOUBLE + count(*) AS rate FROM m GROUP BY ALL){steps},
+    e AS (SELECT r.row_id::BIGINT AS row_id, indv, label, 1 + coalesce(zy, 0) AS a, rate FROM range(25) r(row_id) CROSS JOIN r{rounds} LEFT JOIN z USING (row_id, indv, label))
+    SELECT row_id, indv, label, round(a / rate, 6) AS mu, round(sqrt(a) / rate, 6) AS mu_sd, round(1 / sqrt(CASE WHEN a > 1 THEN greatest(a - 1, 1e-8) ELSE a END), 6) AS ln_mu_sd FROM e"""
+
+
 _T = "t AS (SELECT l_partkey AS row_id, l_orderkey AS col_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 _FEW = "t AS (SELECT l_partkey % 25 AS row_id, l_orderkey AS col_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 _E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label AS batch FROM embeddings)"
@@ -372,13 +456,17 @@ def _sql_knn(k: int, dist: str, e: str, where: str = "true", by: str = "a.id", m
 
 
 _UNIT = _E[:-1].replace("e AS (SELECT", "e0 AS (SELECT") + "), e AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-8)) AS v, batch FROM e0)"
+_CELLS = "t AS (SELECT unnest(range(64)) AS row_id, vec_id AS col_id, round(exp(unnest(embedding)::DOUBLE), 6) AS value FROM embeddings)"
+_MATCH = "l AS (SELECT batch, unnest(range(1, 65)) AS f, unnest(v) AS x FROM e), s AS (SELECT batch, f, sum(x) AS x FROM l GROUP BY ALL), h AS (SELECT f, greatest(sqrt(sum(x * x)), 1e-8) AS h FROM s GROUP BY 1), p AS (SELECT batch, f, x / h AS x FROM s JOIN h USING (f)), u AS (SELECT batch, greatest(sqrt(sum(x * x)), 1e-8) AS u FROM p GROUP BY 1), y AS (SELECT batch, f, x / u AS x FROM p JOIN u USING (batch)), d AS (SELECT a.batch AS src, b.batch AS tgt, 1 - sum(a.x * b.x) AS dist FROM y a JOIN y b USING (f) WHERE a.batch <> b.batch GROUP BY 1, 2)"
+#: All pairs, once: the distance is that of lists.
+_PAIRS = "x AS MATERIALIZED (SELECT a.id AS src, b.id AS tgt, a.batch AS src_batch, b.batch AS tgt_batch, list_distance(a.v, b.v) ** 2 AS dist FROM e a, e b)"
 _NORMED = "(SELECT col_id, sum(value) AS d, sum(value * value) AS d2 FROM t GROUP BY 1)"
 
 
 def oracle_sql() -> dict[str, str]:
     request = ", ".join(f"({c}, {i + 1})" for i, c in enumerate(REQUEST))
     dense = ", ".join(f"coalesce(max(CASE WHEN new_col = {i + 1} THEN value END), 0)::DOUBLE AS c{i + 1}" for i in range(len(REQUEST)))
-    merged = " UNION ALL ".join(f"SELECT {k} AS part, '{f}' AS flag, l_partkey AS p, l_orderkey AS own, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = '{f}' AND l_partkey % 7 <> {k} GROUP BY ALL" for k, f in enumerate("ANR"))
+    merged = " UNION ALL ".join(f"SELECT {k} AS part, '{f}' AS flag, l_partkey AS p, l_orderkey AS own, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = '{f}' GROUP BY ALL" for k, f in enumerate("ANR"))
     return {
         "row_scores": f"{_sql_scores('row_id', _ROWS, 'orders')} SELECT row_id, row_name, {_SELECT_SCORES}",
         "col_scores": f"{_sql_scores('col_id', _COLS, 'part')} SELECT col_id, col_name, {_SELECT_SCORES}",
@@ -401,14 +489,27 @@ def oracle_sql() -> dict[str, str]:
         "normalize_median": f"WITH {_T}, n AS {_NORMED}, m AS (SELECT greatest(1, d) AS m FROM (SELECT d, row_number() OVER (ORDER BY d) AS r, count(*) OVER () AS k FROM n) WHERE r = k // 2 + 1) SELECT row_id, col_id, round(value * m / greatest(d, 1), 6) AS value FROM t JOIN n USING (col_id), m",
         "l2_columns": f"WITH {_T} SELECT row_id, col_id, round(value / greatest(sqrt(d2), 1e-8), 6) AS value FROM t JOIN {_NORMED} USING (col_id)",
         "laplacian_norm": f"WITH {_T}, x AS (SELECT row_id, col_id, ln(1 + value * 10000.0::DOUBLE / greatest(d, 1)) AS value FROM t JOIN {_NORMED} USING (col_id)), n AS (SELECT col_id, sum(value * value) AS n2 FROM x GROUP BY 1), m AS (SELECT avg(n2) AS m2 FROM n) SELECT row_id, col_id, round(value / sqrt(greatest(1, n2 + m2)), 6) AS value FROM x JOIN n USING (col_id), m",
-        "standardize_columns": f"WITH {_T}, n AS (SELECT count(*) AS n FROM part), s AS (SELECT o_orderkey AS col_id, coalesce(sum(value), 0) / any_value(n) AS m, sqrt(greatest(coalesce(sum(value * value), 0) / any_value(n) - (coalesce(sum(value), 0) / any_value(n)) ** 2, 0)) AS sd FROM orders LEFT JOIN t ON t.col_id = o_orderkey, n WHERE o_orderkey < 20 GROUP BY 1) SELECT p_partkey AS row_id, s.col_id, round((coalesce(value, 0) - m) / greatest(sd, 1e-8), 6) AS value FROM part CROSS JOIN s LEFT JOIN t ON t.row_id = p_partkey AND t.col_id = s.col_id",
+        "standardize_columns": f"WITH {_FEW}, s AS (SELECT o_orderkey AS col_id, coalesce(sum(value), 0) / 25 AS m, sqrt(greatest(coalesce(sum(value * value), 0) / 25 - (coalesce(sum(value), 0) / 25) ** 2, 0)) AS sd FROM orders LEFT JOIN t ON t.col_id = o_orderkey GROUP BY 1) SELECT r.row_id::BIGINT AS row_id, s.col_id, round((coalesce(value, 0) - m) / greatest(sd, 1e-8), 6) AS value FROM range(25) r(row_id) CROSS JOIN s LEFT JOIN t ON t.row_id = r.row_id AND t.col_id = s.col_id",
         "top_columns_cv": f"{_sql_scores('col_id', _COLS, 'part')}, v AS (SELECT col_id, round(CASE WHEN abs(mean) > 1e-8 THEN sd / abs(mean) ELSE 0 END, 6) AS cv FROM k) SELECT col_id, cv FROM v ORDER BY cv DESC, col_id LIMIT 50",
         "pseudobulk_sum_mean": f"WITH {_T}, m AS (SELECT o_orderkey AS col_id, c_nationkey::BIGINT AS indv, o_orderpriority AS label FROM orders JOIN customer ON o_custkey = c_custkey), z AS (SELECT indv, label, count(*) AS z FROM m GROUP BY ALL) SELECT row_id, indv, label, round(sum(value), 6) AS sum, round(sum(value) / any_value(z), 6) AS mean FROM t JOIN m USING (col_id) JOIN z USING (indv, label) GROUP BY row_id, indv, label",
         "annotate_join": "SELECT o_orderkey AS col_id, concat('o', o_orderkey) AS col_name, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority ELSE '?' END AS label FROM orders",
         "knn_l2": _sql_knn(5, _D, _E),
         "knn_cosine": _sql_knn(5, f"1 - {_DOT}", _UNIT),
         "knn_balanced": f"WITH {_E}, s AS (SELECT batch, count(*) AS n, count(*) OVER () AS nb FROM e GROUP BY 1) SELECT src, tgt, dist, src_batch, tgt_batch FROM (SELECT a.id AS src, b.id AS tgt, round({_D}, 6) AS dist, a.batch AS src_batch, b.batch AS tgt_batch, greatest(1, least(20, n) // nb) AS q, row_number() OVER (PARTITION BY a.id, b.batch ORDER BY round({_D}, 10), b.id) AS r FROM e a, e b JOIN s ON s.batch = b.batch) WHERE r <= q AND src <> tgt",
-        "knn_reciprocal": f"WITH n AS ({_sql_knn(8, _D, _E)}), m AS (SELECT * FROM n WHERE src <> tgt) SELECT a.src, a.tgt, a.dist FROM m a JOIN m b ON a.src = b.tgt AND a.tgt = b.src WHERE a.src < a.tgt",
+        "knn_reciprocal": f"WITH {_E}, {_PAIRS}, n AS MATERIALIZED (SELECT src, tgt, dist FROM x QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 8), m AS MATERIALIZED (SELECT * FROM n WHERE src <> tgt) SELECT a.src, a.tgt, round(a.dist, 6) AS dist FROM m a JOIN m b ON a.src = b.tgt AND a.tgt = b.src WHERE a.src < a.tgt",
+        "knn_reweighted_distances": f"WITH {_E}, {_PAIRS}, n AS MATERIALIZED (SELECT src, tgt, dist FROM x QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 8), m AS MATERIALIZED (SELECT * FROM n WHERE src <> tgt) SELECT a.src, a.tgt, round(a.dist / 64, 6) AS dist FROM m a JOIN m b ON a.src = b.tgt AND a.tgt = b.src QUALIFY row_number() OVER (PARTITION BY a.src ORDER BY a.tgt) <= 5",
+        "knn_named": f"WITH {_E}, {_PAIRS} SELECT concat('v', src) AS src_name, concat('v', tgt) AS tgt_name, round(dist, 6) AS dist FROM x WHERE tgt_batch < 5 QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 3",
+        "poisson_rates": _sql_poisson(10),
+        "counterfactual_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, n AS (SELECT src, tgt FROM x WHERE src_batch % 2 <> tgt_batch % 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1) SELECT src AS col_id, row_id::BIGINT AS row_id, value FROM n JOIN t ON t.col_id = n.tgt",
+        "pairwise_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, {_MATCH}, g AS (SELECT src, tgt FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1), n AS (SELECT x.src, x.tgt, src_batch, tgt_batch FROM x JOIN g ON g.src = src_batch AND g.tgt = tgt_batch QUALIFY row_number() OVER (PARTITION BY x.src, tgt_batch ORDER BY round(dist, 10), x.tgt) <= 1), k AS (SELECT batch, count(*) AS k FROM e GROUP BY 1) SELECT src_batch::BIGINT AS src, tgt_batch::BIGINT AS tgt, 'ct1' AS label, a.row_id::BIGINT AS row_id, round(sum(a.value - b.value), 4) AS sum_delta, round(sum(a.value - b.value) / any_value(k), 4) AS mean_delta, ((sum(a.value) > 0)::INT + (sum(b.value) > 0)::INT)::INT AS nobs FROM n JOIN t a ON a.col_id = n.src JOIN t b ON b.col_id = n.tgt AND b.row_id = a.row_id JOIN k ON k.batch = src_batch GROUP BY src_batch, tgt_batch, a.row_id",
+        "column_degrees_scaled": f"WITH {_T} SELECT row_id, col_id, round(value / greatest(1, sqrt(d2 + 1)), 6) AS value FROM t JOIN {_NORMED} USING (col_id)",
+        "nonempty_columns": f"WITH {_T} SELECT col_id, concat('o', col_id) AS col_name, count(*) AS nnz FROM t GROUP BY 1",
+        "read_block": f"WITH {_FEW}, q(col_id, new_col) AS (VALUES {request}), p(row_id, new_row) AS (VALUES (3, 1), (1, 2), (24, 3), (77, 4)) SELECT new_row::BIGINT AS row_id, new_col::BIGINT AS col_id, value FROM t JOIN q USING (col_id) JOIN p USING (row_id)",
+        "read_column_range": f"WITH {_T} SELECT row_id, col_id - 100 AS col_id, value FROM t WHERE col_id >= 100 AND col_id < 600",
+        "relabelled_by_size": "WITH k AS (SELECT o_orderpriority AS label, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS new_label FROM orders GROUP BY 1) SELECT label, o_orderkey AS col_id, new_label FROM orders JOIN k ON label = o_orderpriority",
+        "observed_products": f"WITH {_FEW} SELECT a.row_id AS i, b.row_id AS j, round(sum(a.value * b.value), 4) AS product, count(*)::DOUBLE AS n FROM t a JOIN t b USING (col_id) GROUP BY 1, 2",
+        "topic_features": f"WITH {_E}, {_PAIRS}, {_CELLS}, s AS (SELECT batch, count(*) AS n, count(*) OVER () AS nb FROM e GROUP BY 1), n AS MATERIALIZED (SELECT src, tgt FROM (SELECT src, tgt, greatest(1, least(20, n) // nb) AS q, row_number() OVER (PARTITION BY src, tgt_batch ORDER BY round(dist, 10), tgt) AS r FROM x JOIN s ON s.batch = tgt_batch) WHERE r <= q AND src <> tgt), g AS (SELECT DISTINCT least(a.src, a.tgt) AS src, greatest(a.src, a.tgt) AS tgt FROM n a JOIN n b ON a.src = b.tgt AND a.tgt = b.src), k AS (SELECT *, row_number() OVER (ORDER BY src, tgt) AS edge_id FROM g) SELECT a.row_id::BIGINT AS row_id, edge_id, round((a.value + b.value) / 2, 5) AS value FROM k JOIN t a ON a.col_id = src JOIN t b ON b.col_id = tgt AND a.row_id = b.row_id",
+        "file_set": f"WITH {_FEW}, c AS (SELECT o_orderkey, concat('o', o_orderkey) AS col_name, row_number() OVER (ORDER BY o_orderkey) AS col_id, coalesce(k, 0) AS nnz FROM orders LEFT JOIN (SELECT col_id AS o, count(*) AS k FROM t GROUP BY 1) ON o = o_orderkey), i AS (SELECT *, (sum(nnz) OVER (ORDER BY col_id) - nnz)::BIGINT AS first_pos FROM c) SELECT concat('r', t.row_id) AS row_name, col_name, t.row_id + 1 AS row_id, i.col_id, round(value, 6) AS value, first_pos, nnz::BIGINT AS nnz FROM t JOIN i ON i.o_orderkey = t.col_id",
         "knn_cross_group": _sql_knn(2, _D, _E, "a.batch <> b.batch", "a.id, b.batch", ", b.batch AS tgt_batch"),
         "match_individuals": f"WITH {_E}, l AS (SELECT batch, unnest(range(1, 65)) AS f, unnest(v) AS x FROM e), s AS (SELECT batch, f, sum(x) AS x FROM l GROUP BY ALL), h AS (SELECT f, greatest(sqrt(sum(x * x)), 1e-8) AS h FROM s GROUP BY 1), p AS (SELECT batch, f, x / h AS x FROM s JOIN h USING (f)), u AS (SELECT batch, greatest(sqrt(sum(x * x)), 1e-8) AS u FROM p GROUP BY 1), y AS (SELECT batch, f, x / u AS x FROM p JOIN u USING (batch)), d AS (SELECT a.batch AS src, b.batch AS tgt, 1 - sum(a.x * b.x) AS dist FROM y a JOIN y b USING (f) WHERE a.batch <> b.batch GROUP BY 1, 2) SELECT src::BIGINT AS src, tgt::BIGINT AS tgt, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) AS r FROM d) WHERE r <= 2",
         "dedup_pairs": f"WITH n AS ({_sql_knn(6, _D, _E)}) SELECT src, tgt, dist FROM (SELECT *, row_number() OVER (PARTITION BY least(src, tgt), greatest(src, tgt) ORDER BY dist, src) AS r FROM n WHERE src <> tgt) WHERE r = 1",

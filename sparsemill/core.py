@@ -6,11 +6,12 @@ number of stored cells, and names without a cell still get a row.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A stored value counts as different from zero above this.
@@ -47,24 +48,66 @@ def count_true(condition: Column) -> Column:
     return F.coalesce(F.count_if(condition), F.lit(0)).cast("long")
 
 
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df as a written table in ranges of order, with _part, the number of each row's range: ranges ascend."""
+    return settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def running(df: DataFrame, order: list[str], value: str | None, new: str) -> DataFrame:
+    """df with new, the sum of value (or, without one, the number) of the rows before in order; no two rows should be equal
+    in it. Rows are summed within ranges; only one number a range is summed over all of them, so that no task gets more
+    than its range."""
+    df = ranged(df, order)
+    x = F.col(value) if value else F.lit(1).cast("long")
+    total = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = df.groupBy("_part").agg(F.sum(x).alias("_n")).select("_part", F.coalesce(total, F.lit(0)).alias("_before"))
+    within = F.sum(x).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = df.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(before), "_part")  # a row a range
+    return out.withColumn(new, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+
+
 def renumber(names: DataFrame, key: str, new: str, order: list | None = None) -> DataFrame:
-    """names with new = 0, 1, ... in order of key. The running number is over names, which are few beside the cells."""
-    return names.withColumn(new, F.row_number().over(Window.orderBy(*(order or [key]))).cast("long") - 1)
+    """names with new = 0, 1, ... in order of key."""
+    return running(names, order or [key], None, new)
+
 
+_written: list[tuple[SparkSession, str]] = []
 
-def first_positions(names: DataFrame, key: str, at: str) -> DataFrame:
-    """One row a name: its first position; later ones of the same name are left out."""
-    return names.groupBy(key).agg(F.min(at).alias(at))
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one is made and set, on a single machine only: the
+    executors of a cluster would not see each other's."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sparsemill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir; a temporary one where that is unset) and read back. Rounds of
-    an iteration start from such tables, so that plans stay short and lost executors cost one round."""
+
+def settled(df: DataFrame, name: str = "round") -> DataFrame:
+    """df written to the shared folder and read back; it is removed when the process ends. Rounds of an iteration start from
+    such tables, so that plans stay short and lost executors cost one round."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="sparsemill-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/sparsemill-round-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sparsemill-{name}-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    if not _written:
+        atexit.register(drop_settled)
+    _written.append((spark, path))
+
+
+def drop_settled() -> None:
+    """Remove what settled() wrote in this process; a stopped session leaves that to the cluster's own clean-up."""
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            pass
+    _written.clear()

@@ -46,10 +46,6 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
-
-
 def finite_or_zero(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
 

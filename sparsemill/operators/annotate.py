@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_MARKERS = 20_000
+from ..core import settled
+
+MOST_MARKERS, MOST_LABELS = 20_000, 2_000
 
 
 def annotate(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: DataFrame | None = None, disqualified: DataFrame | None = None, take_ln: bool = False, kappa_max: float = 100.0, iterations: int = 100, tol: float = 1e-4, sample: bool = False, seed: int = 1) -> DataFrame:
@@ -14,19 +16,22 @@ def annotate(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: DataFr
     Columns are restricted to marker rows and brought to unit length; a label's score is kappa mu'x less that of its
     counter-markers. A round sums, by label and row, the columns assigned to it (the best label, or one drawn with a seed);
     only these sums, bounded by labels times markers, come to the driver. Columns without a marker or disqualified ones
-    are Incomplete. More than MOST_MARKERS different marker rows are an error, as their arrays are kept in every task."""
+    are Incomplete. More than MOST_MARKERS different marker rows or MOST_LABELS labels are an error, as arrays of them are
+    kept in every task."""
     import numpy as np
 
     marked = markers.select("row_id") if anti is None else markers.select("row_id").unionByName(anti.select("row_id"))
     ids = sorted(r["row_id"] for r in marked.distinct().limit(MOST_MARKERS + 1).collect())
     if len(ids) > MOST_MARKERS:
         raise ValueError(f"more than {MOST_MARKERS} different marker rows")
-    labels = sorted(r["label"] for r in markers.select("label").distinct().collect())
+    labels = sorted(r["label"] for r in markers.select("label").distinct().limit(MOST_LABELS + 1).collect())
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     at, d = {r: i for i, r in enumerate(ids)}, len(ids)
 
     def mask(m: DataFrame | None):
         out = np.zeros((len(labels), d))
-        for r in m.distinct().collect() if m is not None else []:
+        for r in m.distinct().collect() if m is not None else []:  # at most labels times markers
             out[labels.index(r["label"]), at[r["row_id"]]] = 1
         return out
 
@@ -36,7 +41,7 @@ def annotate(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: DataFr
         x = x.withColumn("value", F.log2(1 + F.col("value")))
     bad = disqualified.select("col_id").withColumn("_bad", F.lit(True)) if disqualified is not None else None
     lists = x.where("value <> 0").groupBy("col_id").agg(F.collect_list(F.struct("row_id", "value")).alias("x"))
-    lists = (lists.join(bad, "col_id", "left").where(F.col("_bad").isNull()).drop("_bad") if bad is not None else lists).persist()
+    lists = settled(lists.join(bad, "col_id", "left").where(F.col("_bad").isNull()).drop("_bad") if bad is not None else lists)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
     mu, mu0, kappa, kappa0 = unit(up), unit(down), 1.0, 1.0
 
@@ -61,13 +66,20 @@ def annotate(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: DataFr
                     best = (s - np.log(-np.log(rng.uniform(1e-12, 1, s.shape)))).argmax(1)
                 else:
                     best = s.argmax(1)
-                rows = [(int(k), int((best == k).sum()), float(s[best == k, k].sum()), vs[best == k].sum(0).tolist()) for k in np.unique(best)]
-                yield pd.DataFrame(rows, columns=["k", "n", "s", "v"])
+                for k in np.unique(best):
+                    own = vs[best == k].sum(0)
+                    j = np.flatnonzero(own)
+                    # the number of columns and their scores as rows d and d + 1
+                    yield pd.DataFrame({"k": int(k), "j": np.r_[j, d, d + 1], "v": np.r_[own[j], (best == k).sum(), s[best == k, k].sum()]})
 
-        got = lists.mapInPandas(stats, "k int, n long, s double, v array<double>").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(d)]).collect()
         total, n, score = np.zeros((len(labels), d)), np.zeros(len(labels)), 0.0
-        for r in got:
-            total[r["k"]], n[r["k"]], score = [r[f"v{j}"] for j in range(d)], r["n"], score + r["s"]
+        for r in lists.mapInPandas(stats, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v")).collect():
+            if r["j"] < d:
+                total[r["k"], r["j"]] = r["v"]
+            elif r["j"] == d:
+                n[r["k"]] = r["v"]
+            else:
+                score += r["v"]
         if not n.sum():
             break
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import Matrix, canonical, count_true, nonzero, renumber
+from ..core import Matrix, canonical, count_true, nonzero, ranged, renumber, running
 
 
 def build_sparse(cells: DataFrame, n_row: int, n_col: int, symmetrize: bool = True) -> DataFrame:
@@ -85,9 +85,9 @@ def stack(upper: DataFrame, lower: DataFrame, offset: int, by: str = "row_id") -
 
 def column_index(cells: DataFrame, cols: DataFrame) -> DataFrame:
     """(col_id, first_pos, nnz) of every named column: its place among the cells in order of columns. Columns without a
-    cell have the next one's place. The running sum is over columns, not cells."""
+    cell have the next one's place."""
     n = cols.select("col_id").join(cells.groupBy("col_id").agg(F.count("*").alias("nnz")), "col_id", "left").withColumn("nnz", F.coalesce("nnz", F.lit(0)).cast("long"))
-    return n.select("col_id", (F.sum("nnz").over(Window.orderBy("col_id")) - F.col("nnz")).alias("first_pos"), "nnz")
+    return running(n, ["col_id"], "nnz", "first_pos").select("col_id", "first_pos", "nnz")
 
 
 def index_problems(cells: DataFrame, index: DataFrame) -> DataFrame:
@@ -99,19 +99,64 @@ def index_problems(cells: DataFrame, index: DataFrame) -> DataFrame:
 
 def column_blocks(request: DataFrame, gap: int = 10) -> DataFrame:
     """request(col_id) as ranges (block, lo, hi, n): ids closer than gap lie in one."""
-    order = Window.orderBy("col_id")
-    new = (F.col("col_id") - F.lag("col_id", 1).over(order) >= gap).cast("int")
-    marked = request.select("col_id").distinct().withColumn("block", F.sum(F.coalesce(new, F.lit(0))).over(order).cast("long"))
+    ids = ranged(request.select("col_id").distinct(), ["col_id"])
+    last = ids.groupBy("_part").agg(F.max("col_id").alias("last")).select("_part", F.lag("last").over(Window.orderBy("_part")).alias("last"))
+    before = F.coalesce(F.lag("col_id").over(Window.partitionBy("_part").orderBy("col_id")), F.col("last"))
+    new = F.coalesce((F.col("col_id") - before >= gap).cast("long"), F.lit(0).cast("long"))
+    marked = ids.join(F.broadcast(last), "_part").select("col_id", new.alias("new"))  # a row a range
+    marked = running(marked, ["col_id"], "new", "block").withColumn("block", F.col("block") + F.col("new"))
     return marked.groupBy("block").agg(F.min("col_id").alias("lo"), F.max("col_id").alias("hi"), F.count("*").alias("n"))
 
 
+#: Ids up to so many are written into the plan, so that the filter reaches the Parquet scan; a longer list is a table. A list
+#: of ids is broadcast up to BROADCAST_IDS (16 bytes each).
+PUSHED_IDS, BROADCAST_IDS = 1000, 1_000_000
+
+
+def asked_ids(cells: DataFrame, request: list[int], key: str, new: str) -> DataFrame:
+    """Cells whose key is in the request, with new, its place there from 1. The range of a long list is pushed down too."""
+    request = [int(c) for c in request]
+    asked = cells.sparkSession.createDataFrame([(c, i + 1) for i, c in enumerate(request)], f"{key} long, {new} long")
+    if not request:
+        found = cells.where(F.lit(False))
+    elif len(request) <= PUSHED_IDS:
+        found = cells.where(F.col(key).isin(request))
+    else:
+        found = cells.where(F.col(key).between(min(request), max(request)))
+    return found.join(F.broadcast(asked) if len(request) <= BROADCAST_IDS else asked, key)
+
+
 def read_columns(cells: DataFrame, request: list[int]) -> DataFrame:
-    """Cells of the requested columns, numbered 1, 2, ... by their place in the request. The request is the caller's own
-    list, so it is a small table; the filter on col_id reaches the Parquet scan."""
-    spark = cells.sparkSession
-    asked = spark.createDataFrame([(int(c), i + 1) for i, c in enumerate(request)], "col_id long, new_col long")
-    found = cells.where(F.col("col_id").isin([int(c) for c in request])) if len(request) <= 1000 else cells
-    return found.join(F.broadcast(asked), "col_id").select("row_id", F.col("new_col").alias("col_id"), "value")
+    """Cells of the requested columns, numbered 1, 2, ... by their place in the request; a column asked for twice comes
+    twice. The request is the caller's own list."""
+    return asked_ids(cells, request, "col_id", "new_col").select("row_id", F.col("new_col").alias("col_id"), "value")
+
+
+def read_column_range(cells: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Cells of the columns lo, ..., hi - 1, numbered from 0."""
+    return cells.where((F.col("col_id") >= lo) & (F.col("col_id") < hi)).select("row_id", (F.col("col_id") - lo).alias("col_id"), "value")
+
+
+def read_block(cells: DataFrame, row_request: list[int], col_request: list[int]) -> DataFrame:
+    """Cells of the requested rows and columns, both numbered by their places in the requests."""
+    found = asked_ids(asked_ids(cells, col_request, "col_id", "new_col"), row_request, "row_id", "new_row")
+    return found.select(F.col("new_row").alias("row_id"), F.col("new_col").alias("col_id"), "value")
+
+
+def nonempty_columns(m: Matrix) -> DataFrame:
+    """(col_id, col_name, nnz) of columns with a cell beyond 1e-8; a column without a name has its number."""
+    found = m.triplets.groupBy("col_id").agg(count_true(nonzero(F.col("value"))).alias("nnz")).where("nnz > 0")
+    return found.join(m.cols, "col_id", "left").select("col_id", F.coalesce("col_name", F.col("col_id").cast("string")).alias("col_name"), "nnz")
+
+
+def rows_overlap(rows: DataFrame, fixed: DataFrame) -> bool:
+    """Whether at least one of fixed(row_name) is a row's name."""
+    return bool(fixed.join(rows, "row_name", "left_semi").limit(1).count())
+
+
+def scale_columns(cells: DataFrame, scale: DataFrame) -> DataFrame:
+    """Cells times their column's factor in scale(col_id, scale), 1 where there is none."""
+    return cells.join(scale, "col_id", "left").select("row_id", "col_id", (F.col("value") * F.coalesce("scale", F.lit(1.0))).alias("value"))
 
 
 def read_columns_dense(cells: DataFrame, rows: DataFrame, request: list[int]) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Nearest neighbours of vectors, exact, by blocks; graphs of reciprocal neighbours and their weights.
+"""Nearest neighbours of vectors, exact, by blocks, or by lists around centres; graphs of reciprocal neighbours and their
+weights.
 
 Vectors are packed into blocks of a bounded number, every query block meets every target block once (that is what exact
 search asks for), a task multiplies two blocks and passes on the k nearest of each query only, and the lists are merged.
-`candidates_lsh` is the way for sizes at which all pairs of blocks are too many.
+`knn_indexed` is the way for sizes at which all pairs of blocks are too many: a query meets the blocks of a few lists.
+Rows without id or vector take no part.
 """
 
 from __future__ import annotations
@@ -12,77 +14,164 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import running, settled
+
 BLOCK = 2048
+#: Centres of an index are found from at most so many vectors for each, drawn by a hash of the id.
+SAMPLED = 64
 
 
-def _blocks(vectors: DataFrame, group: str | None, prefix: str, block: int) -> DataFrame:
-    """vectors(id, v[, group]) to one row a block: ids and values, and the group if there is one."""
-    n = vectors.count()
-    parts = max(1, math.ceil(n / block))
-    keys = [F.pmod(F.xxhash64("id"), F.lit(parts)).alias(f"{prefix}_block")] + ([F.col(group).alias(f"{prefix}_group")] if group else [])
-    v = F.col("v").cast("array<double>")
-    return vectors.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), v.alias("v")))).alias(f"{prefix}_rows"))
+def _known(vectors: DataFrame, group: str | None = None) -> DataFrame:
+    more = [F.col(group).alias("group")] if group else []
+    return vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), *more)
 
 
-def knn(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2", group: str | None = None, other_groups: bool = False, block: int = BLOCK) -> DataFrame:
-    """(src, tgt, dist[, tgt_group]): for every query its k nearest targets, the query itself included if it is one; equal
-    distances by id. space l2: squared distance; ip: 1 - x.y. With group (a column of targets), k nearest in each group;
-    with other_groups too (a column of both), only groups other than the query's own."""
-    q, t = _blocks(queries, group if other_groups else None, "q", block), _blocks(targets, group, "t", block)
-    pairs = q.crossJoin(t)  # blocks, not rows
-    if other_groups:
-        pairs = pairs.where(F.col("q_group") != F.col("t_group"))
-    kind = targets.schema[group].dataType.simpleString() if group else None
+def _blocks(vectors: DataFrame, prefix: str, parts) -> DataFrame:
+    """vectors(id, v[, group]) to one row a block: ids and values as bytes, and the group if there is one. parts: among how
+    many blocks (of each group) a vector's are dealt."""
+    keys = [F.pmod(F.xxhash64("id"), parts).alias("part")] + (["group"] if "group" in vectors.columns else [])
+    kind = f", {prefix}_group {vectors.schema['group'].dataType.simpleString()}" if "group" in vectors.columns else ""
+
+    def pack(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        out = {f"{prefix}_ids": [pdf["id"].to_numpy("i8").tobytes()], f"{prefix}_vs": [np.stack(pdf["v"]).astype("f8").tobytes()]}
+        return pd.DataFrame(out | ({f"{prefix}_group": [key[1]]} if kind else {}))
+
+    return vectors.groupBy(*keys).applyInPandas(pack, f"{prefix}_ids binary, {prefix}_vs binary{kind}")
+
+
+def _centre(vectors: DataFrame) -> list[float]:
+    """The mean vector; a number for each dimension."""
+    rows = vectors.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).orderBy("at").collect()
+    return [r["x"] for r in rows]
+
+
+def block_distances(x, y, k: int, space: str):
+    """Places in y of the k nearest of each row of x, and the distances. The product that picks them is less exact than the
+    distance, so rows whose next ones come within its error are searched with the distance itself."""
+    import numpy as np
+
+    inner = space == "ip"
+    near = -x @ y.T if inner else (y * y).sum(1)[None, :] - 2 * x @ y.T
+    n, m = len(y), min(len(y), k + 8)
+    at = np.argpartition(near, m - 1, axis=1)[:, :m]
+    exact = lambda a, b: 1 - (a * b).sum(-1) if inner else ((a - b) ** 2).sum(-1)
+    d = exact(y[at], x[:, None, :])
+    order = np.lexsort((at, np.round(d, 10)), axis=1)[:, :k]
+    rows = np.arange(len(x))[:, None]
+    at, last = at[rows, order], np.take_along_axis(near, at, 1).max(1)
+    d = d[rows, order]
+    if m < n:
+        size, most = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1).max())
+        error = 8 * x.shape[1] * 2.0**-53 * (size + most) ** 2 + 2e-10
+        beyond = last + (1 if inner else size * size) - error  # no distance that was not looked at is smaller
+        for i in np.flatnonzero(d[:, -1] >= beyond):
+            whole = exact(y, x[i])
+            own = np.lexsort((np.arange(n), np.round(whole, 10)))[:k]
+            at[i], d[i] = own, whole[own]
+    return at, d
+
+
+def _search(pairs: DataFrame, k: int, space: str, centre: list[float], kind: str | None) -> DataFrame:
+    """Pairs of blocks to (src, tgt, dist[, tgt_group]), the k nearest for each query (and group)."""
 
     def nearest(batches):
         import numpy as np
         import pandas as pd
 
+        dim, mean = max(1, len(centre)), np.array(centre if space == "l2" else [0.0] * len(centre))
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                a, b = row["q_rows"], row["t_rows"]
-                ai, bi = np.array([r["id"] for r in a]), np.array([r["id"] for r in b])
-                x, y = np.array([r["v"] for r in a], float), np.array([r["v"] for r in b], float)
-                near = -x @ y.T if space == "ip" else (y * y).sum(1)[None, :] - 2 * x @ y.T
-                m = min(len(bi), k + 8)  # some more, as the product is less exact than the distance
-                at = np.argpartition(near, m - 1, axis=1)[:, :m]
-                picked = y[at]
-                d = 1 - (picked * x[:, None, :]).sum(2) if space == "ip" else ((picked - x[:, None, :]) ** 2).sum(2)
-                order = np.lexsort((bi[at], np.round(d, 10)), axis=1)[:, :k]
-                rows = np.arange(len(ai))[:, None]
-                out = pd.DataFrame({"src": np.repeat(ai, order.shape[1]), "tgt": bi[at][rows, order].ravel(), "dist": d[rows, order].ravel()})
-                if group:
-                    out["tgt_group"] = row["t_group"]
+            for row in pdf.itertuples(index=False):
+                ai, bi = (np.frombuffer(x, "i8") for x in (row.q_ids, row.t_ids))
+                x, y = (np.frombuffer(v, "f8").reshape(-1, dim) - mean for v in (row.q_vs, row.t_vs))
+                at, d = block_distances(x, y, k, space)
+                out = pd.DataFrame({"src": np.repeat(ai, at.shape[1]), "tgt": bi[at].ravel(), "dist": d.ravel()})
+                if kind:
+                    out["tgt_group"] = row.t_group
                 yield out
 
-    found = pairs.mapInPandas(nearest, "src long, tgt long, dist double" + (f", tgt_group {kind}" if group else ""))
-    by = ["src"] + (["tgt_group"] if group else [])
+    found = pairs.mapInPandas(nearest, "src long, tgt long, dist double" + (f", tgt_group {kind}" if kind else ""))
+    by = ["src"] + (["tgt_group"] if kind else [])
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("dist", 10), "tgt"))
     return found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    from ..functions.vector import unit
-
-    return vectors.withColumn("v", unit(F.col("v").cast("array<double>")))
-
-
-def candidates_lsh(vectors: DataFrame, tables: int = 8, width: float = 4.0, seed: int = 1) -> DataFrame:
-    """Pairs (src, tgt) that share a bucket of random projections in one of the tables: an approximate search's candidates.
-    A bucket is split by the next projection's value until it is small, so that no bucket is a bottleneck."""
+def knn(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2", group: str | None = None, other_groups: bool = False, block: int = BLOCK, wanted: DataFrame | None = None) -> DataFrame:
+    """(src, tgt, dist[, tgt_group]): for every query its k nearest targets, the query itself included if it is one; equal
+    distances (to ten places) by id. space l2: squared distance; ip: 1 - x.y. With group (a column of targets), k nearest
+    in each group; with other_groups too (a column of both), only groups other than the query's own, and with
+    wanted(q_group, t_group), only these pairs of groups."""
+    q, t = _known(queries, group if other_groups else None), _known(targets, group)
+    parts = lambda v: F.lit(max(1, math.ceil(v.count() / block)))
+    left, right = _blocks(q, "q", parts(q)), _blocks(t, "t", parts(t))
+    if wanted is not None:
+        pairs = left.join(wanted.select("q_group", "t_group").distinct(), "q_group").join(right, "t_group")
+    else:
+        pairs = left.crossJoin(right)  # blocks, not rows
+        if other_groups:
+            pairs = pairs.where(F.col("q_group") != F.col("t_group"))
+    return _search(pairs, k, space, _centre(t), targets.schema[group].dataType.simpleString() if group else None)
+
+
+def knn_indexed(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2", lists: int | None = None, probes: int = 16, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """knn without groups, approximate: targets lie in lists around centres and a query meets those of its `probes` nearest
+    centres; with as many probes as lists the result is exact. Centres come from a bounded sample (SAMPLED for each), every
+    target is in a list, and a large list is as many blocks as it needs, so that a hot one is no bottleneck."""
     import numpy as np
 
-    dim = len(vectors.select("v").first()["v"])
+    q, t = _known(queries), settled(_known(targets), "indexed")
+    n = t.count()
+    lists = max(1, min(lists or min(4096, math.isqrt(n)), n))
+    share = min(1.0, SAMPLED * lists / max(1, n))
+    unit = F.xxhash64("id", F.lit(seed)).bitwiseAND(F.expr("9007199254740991L")) / F.lit(float(1 << 53))
+    sample = np.array([r["v"] for r in t.where(unit < share).select("v").orderBy(F.xxhash64("v")).collect()])  # about SAMPLED * lists rows
+    if not len(sample):
+        return _search(_blocks(q, "q", F.lit(1)).crossJoin(_blocks(t, "t", F.lit(1))), k, space, _centre(t), None)  # one block each
     rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(tables, 3, dim))
-    from ..functions.vector import dot
+    centres = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
+    for _ in range(8):
+        own = ((centres * centres).sum(1)[None, :] - 2 * sample @ centres.T).argmin(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        size = np.bincount(own, minlength=len(centres))
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+
+    def placed(vectors: DataFrame, most: int) -> DataFrame:
+        def place(batches):
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["v"])
+                    far = -x @ centres.T if space == "ip" else (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+                    pdf["group"] = np.argsort(far, axis=1, kind="stable")[:, :most].astype("i4").tolist()
+                    yield pdf[["id", "v", "group"]]
+
+        return vectors.mapInPandas(place, "id long, v array<double>, group array<int>").withColumn("group", F.explode("group"))
+
+    t, q = settled(placed(t, 1), "lists"), placed(q, probes)
+    sizes = t.groupBy("group").agg(F.ceil(F.count("*") / block).alias("parts"))
+    in_lists = t.join(F.broadcast(sizes), "group")  # a row a list
+    left = _blocks(q, "q", F.lit(max(1, math.ceil(q.count() / len(centres) / block))))
+    right = _blocks(in_lists.select("id", "v", "group", "parts"), "t", F.col("parts"))
+    return _search(left.join(right, F.col("q_group") == F.col("t_group")), k, space, _centre(t), None)
+
+
+def knn_named(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2", valid: DataFrame | None = None) -> DataFrame:
+    """knn of queries(id, name, v) among targets(id, name, v) as (src_name, tgt_name, dist); valid(name), if given, are the
+    only targets."""
+    if valid is not None:
+        targets = targets.join(valid.select("name").distinct(), "name", "left_semi")
+    found = knn(queries, targets, k, space)
+    a, b = queries.select(F.col("id").alias("src"), F.col("name").alias("src_name")), targets.select(F.col("id").alias("tgt"), F.col("name").alias("tgt_name"))
+    return found.join(a, "src").join(b, "tgt").select("src_name", "tgt_name", "dist")
+
 
-    def bucket(t: int):
-        return F.xxhash64(F.lit(t), *[F.floor(dot(F.col("v").cast("array<double>"), F.array(*map(F.lit, map(float, p)))) / width) for p in planes[t]])
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    from ..functions.vector import unit
 
-    keyed = vectors.select("id", F.explode(F.array(*[bucket(t) for t in range(tables)])).alias("bucket"))
-    a, b = keyed.select(F.col("id").alias("src"), "bucket"), keyed.select(F.col("id").alias("tgt"), "bucket")
-    return a.join(b, "bucket").where("src <> tgt").select("src", "tgt").distinct()
+    return vectors.withColumn("v", unit(F.col("v").cast("array<double>")))
 
 
 def balanced_knn(vectors: DataFrame, k: int, batch: str = "batch") -> DataFrame:
@@ -90,7 +179,7 @@ def balanced_knn(vectors: DataFrame, k: int, batch: str = "batch") -> DataFrame:
     then the query itself is left out."""
     sizes = vectors.groupBy(batch).agg(F.count("*").alias("n"))
     batches = max(1, sizes.count())
-    quota = sizes.select(F.col(batch).alias("tgt_group"), F.greatest(F.lit(1), F.expr(f"least({min(max(k, 1), 1000)}, n) div {batches}")).alias("quota"))
+    quota = sizes.select(F.col(batch).alias("tgt_group"), F.greatest(F.lit(1), F.expr(f"least({max(k, 1)}, n) div {batches}")).alias("quota"))
     found = knn(vectors, vectors, max(1, k // batches), "l2", batch)
     place = F.row_number().over(Window.partitionBy("src", "tgt_group").orderBy(F.round("dist", 10), "tgt"))
     found = found.join(quota, "tgt_group").withColumn("_r", place).where("_r <= quota and src <> tgt")
@@ -123,18 +212,20 @@ def weights_of(distances) -> list[float]:
     return np.exp(-level * d).tolist()
 
 
-def with_weights(edges: DataFrame) -> DataFrame:
-    """edges(src, tgt, dist) with weight. A source has at most some hundred neighbours, so a list of them is small."""
-    lists = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "tgt"))).alias("near"))
+def with_weights(edges: DataFrame, keys: tuple[str, ...] = ("src",)) -> DataFrame:
+    """edges(keys, tgt, dist) with weight, for each source by itself. A source has at most some hundred neighbours, so a list
+    of them is small."""
+    lists = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dist", "tgt"))).alias("near"))
+    kinds = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in keys)
 
     def weigh(batches):
         for pdf in batches:
             pdf["weight"] = [weights_of([x["dist"] for x in near]) for near in pdf["near"]]
-            yield pdf[["src", "near", "weight"]]
+            yield pdf[[*keys, "near", "weight"]]
 
-    done = lists.mapInPandas(weigh, "src long, near array<struct<dist:double,tgt:long>>, weight array<double>")
-    flat = done.select("src", F.explode(F.arrays_zip("near", "weight")).alias("x"))
-    return flat.select("src", F.col("x.near.tgt").alias("tgt"), F.col("x.near.dist").alias("dist"), F.col("x.weight").alias("weight"))
+    done = lists.mapInPandas(weigh, kinds + "near array<struct<dist:double,tgt:long>>, weight array<double>")
+    flat = done.select(*keys, F.explode(F.arrays_zip("near", "weight")).alias("x"))
+    return flat.select(*keys, F.col("x.near.tgt").alias("tgt"), F.col("x.near.dist").alias("dist"), F.col("x.weight").alias("weight"))
 
 
 def reweighted(edges: DataFrame, vectors: DataFrame, k: int, order: str = "index") -> DataFrame:
@@ -156,18 +247,21 @@ def nearest_records(pairs: DataFrame) -> DataFrame:
 
 
 def group_profiles(vectors: DataFrame, group: str) -> DataFrame:
-    """(id = group, v): sums of the vectors of each group, divided by their length across groups for each factor, then to
-    unit length."""
-    long = vectors.select(F.col(group).alias("g"), F.posexplode(F.col("v").cast("array<double>")).alias("f", "x"))
-    sums = long.groupBy("g", "f").agg(F.sum("x").alias("x"))
+    """(group, v): sums of the vectors of each group, divided by their length across groups for each factor, then to unit
+    length."""
+    long = vectors.select(F.col(group).alias("group"), F.posexplode(F.col("v").cast("array<double>")).alias("f", "x"))
+    sums = long.groupBy("group", "f").agg(F.sum("x").alias("x"))
     lengths = sums.groupBy("f").agg(F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1e-8)).alias("l"))
-    scaled = sums.join(lengths, "f").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("f", (F.col("x") / F.col("l")).alias("x")))).alias("s"))
-    return unit_vectors(scaled.select(F.col("g").cast("long").alias("id"), F.transform("s", lambda s: s["x"]).alias("v")))
+    scaled = sums.join(lengths, "f").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("f", (F.col("x") / F.col("l")).alias("x")))).alias("s"))
+    return unit_vectors(scaled.select("group", F.transform("s", lambda s: s["x"]).alias("v")))
 
 
 def match_groups(vectors: DataFrame, group: str, k: int = 1) -> DataFrame:
-    """For each group its k nearest other groups by inner product of their profiles."""
-    profiles = group_profiles(vectors, group)
+    """(src, tgt, dist): for each group, named by any type, its k nearest other groups by inner product of their profiles;
+    equal ones in order of the names."""
+    profiles = running(group_profiles(vectors, group).where("group is not null"), ["group"], None, "id")
     found = knn(profiles, profiles, k + 1, "ip").where("src <> tgt")
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.round("dist", 10), "tgt"))
-    return found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+    found = found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+    a, b = (profiles.select(F.col("id").alias(x), F.col("group").alias(f"{x}_name")) for x in ("src", "tgt"))
+    return found.join(a, "src").join(b, "tgt").select(F.col("src_name").alias("src"), F.col("tgt_name").alias("tgt"), "dist")

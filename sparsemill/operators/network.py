@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import running, settled
+
 #: A list of checks is broadcast up to so many rows (16 bytes each); beyond, it is joined by shuffle.
 BROADCAST_CHECKS = 100_000
 
@@ -20,12 +22,9 @@ def edge_features(cells: DataFrame, edges: DataFrame, cutoff: float = 1e-4, weig
 
 
 def numbered_edges(found: DataFrame) -> DataFrame:
-    """(edge_id, src, tgt) of edges with at least one feature, numbered from 1 in order of (src, tgt). Edges are first
-    counted by source, so that the running number is over sources and within a source's few edges."""
-    edges = found.select("src", "tgt").distinct()
-    before = edges.groupBy("src").agg(F.count("*").alias("n")).select("src", (F.sum("n").over(Window.orderBy("src")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy("tgt"))
-    return edges.join(before, "src").select((F.col("before") + place).cast("long").alias("edge_id"), "src", "tgt")
+    """(edge_id, src, tgt) of edges with at least one feature, numbered from 1 in order of (src, tgt)."""
+    numbered = running(found.select("src", "tgt").distinct(), ["src", "tgt"], None, "before")
+    return numbered.select((F.col("before") + 1).alias("edge_id"), "src", "tgt")
 
 
 def feature_incidence(found: DataFrame) -> DataFrame:
@@ -51,6 +50,19 @@ def edge_names(edges: DataFrame, cols: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "tgt").select("edge_id", F.concat_ws("_", "a", "b").alias("edge_name"))
 
 
+def topic_data(cells: DataFrame, cols: DataFrame, latent: DataFrame, k: int = 10, cutoff: float = 1e-4, weighted: bool = True, max_weight: float = 1.0) -> dict[str, DataFrame]:
+    """Cells by edges of the columns' neighbour graph, from latent(id, batch, v): features (row_id, edge_id, value), edges
+    (edge_id, src, tgt), names (edge_id, edge_name), vertices (col_id, edge_id, value) and adjacency."""
+    from .knn import balanced_knn, reciprocal, reweighted
+
+    graph = settled(reweighted(reciprocal(balanced_knn(latent, k)), latent, k), "graph")
+    once = graph.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight").groupBy("src", "tgt").agg(F.avg("weight").alias("weight"))
+    found = settled(edge_features(cells, once, cutoff, weighted, max_weight), "edge-features")
+    edges = settled(numbered_edges(found), "edges")
+    features = found.join(edges, ["src", "tgt"]).select("row_id", "edge_id", "value")
+    return {"features": features, "edges": edges, "names": edge_names(edges, cols), "vertices": vertex_incidence(edges), "adjacency": adjacency(graph)}
+
+
 def marker_match(markers: DataFrame, rows: DataFrame) -> DataFrame:
     """markers(label, feature) to (label, row_id, value): matched features, repeated pairs summed, the others left out.
     A name that occurs twice stands for its first row."""
@@ -58,8 +70,17 @@ def marker_match(markers: DataFrame, rows: DataFrame) -> DataFrame:
     return markers.join(first, markers["feature"] == first["row_name"]).groupBy("label", "row_id").agg(F.count("*").cast("double").alias("value"))
 
 
+def unit_columns(cells: DataFrame, rows: DataFrame, take_ln: bool = False) -> DataFrame:
+    """Cells on rows(row_id), log2(1 + x) if asked for, their columns brought to unit length: what annotation works on."""
+    from .stats import normalize_l2
+
+    x = cells.join(rows.select("row_id").distinct(), "row_id", "left_semi")
+    return normalize_l2(x.withColumn("value", F.log2(1 + F.col("value"))) if take_ln else x)
+
+
 def disqualified(cells: DataFrame, cols: DataFrame, checks: DataFrame) -> DataFrame:
-    """checks(row_id, threshold) to the columns that are below a threshold on any of these rows; absent cells are 0."""
+    """checks(row_id, threshold) to the columns that are below a threshold on any of these rows; absent cells are 0. For
+    thresholds on what annotation works on, give the cells of unit_columns."""
     n = checks.agg(F.count("*").alias("n_checks"), F.count_if(F.col("threshold") > 0).alias("n_above"))
     few = checks.limit(BROADCAST_CHECKS + 1).count() <= BROADCAST_CHECKS
     seen = cells.join(F.broadcast(checks) if few else checks, "row_id")

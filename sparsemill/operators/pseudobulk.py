@@ -73,11 +73,12 @@ def poisson_gamma(cells: DataFrame, member: DataFrame, rows: DataFrame, a0: floa
     return every.mapInPandas(moments, f"row_id long, indv {kinds['indv']}, label {kinds['label']}, mu double, mu_sd double, ln_mu double, ln_mu_sd double")
 
 
-def matched_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """Cells of each source column as its neighbours have them: weighted mean over edges(src, tgt, weight)."""
-    total = edges.groupBy("src").agg(F.sum("weight").alias("w"))
-    near = edges.join(cells.select(F.col("col_id").alias("tgt"), "row_id", "value"), "tgt").groupBy("src", "row_id").agg(F.sum(F.col("weight") * F.col("value")).alias("s"))
-    return near.join(total, "src").select(F.col("src").alias("col_id"), "row_id", (F.col("s") / F.greatest("w", F.lit(1e-8))).alias("value"))
+def matched_cells(cells: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("src",)) -> DataFrame:
+    """Cells of each source column as its neighbours have them: weighted mean over edges(keys, tgt, weight), src being one
+    of the keys. (col_id, other keys, row_id, value)."""
+    total = edges.groupBy(*keys).agg(F.sum("weight").alias("w"))
+    near = edges.join(cells.select(F.col("col_id").alias("tgt"), "row_id", "value"), "tgt").groupBy(*keys, "row_id").agg(F.sum(F.col("weight") * F.col("value")).alias("s"))
+    return near.join(total, list(keys)).select(F.col("src").alias("col_id"), *keys[1:], "row_id", (F.col("s") / F.greatest("w", F.lit(1e-8))).alias("value"))
 
 
 def counterfactual(cells: DataFrame, vectors: DataFrame, treatment: str, k: int = 10) -> DataFrame:
@@ -95,13 +96,12 @@ def pairwise_delta(cells: DataFrame, member: DataFrame, vectors: DataFrame, pair
 
     who = member.select(F.col("col_id").alias("id"), "indv").distinct()
     v = vectors.join(who, "id")
-    near = knn(v, v, k, "l2", "indv", other_groups=True)
-    own = who.select(F.col("id").alias("src_"), F.col("indv").alias("a"))
-    kept = near.withColumnRenamed("src", "src_").join(own, "src_").join(pairs.select(F.col("src").alias("a"), F.col("tgt").alias("tgt_group")), ["a", "tgt_group"])
-    w = with_weights(kept.select(F.struct("src_", "tgt_group").alias("key"), "tgt", "dist").select(F.xxhash64("key").alias("src"), "tgt", "dist"))
-    back = kept.select(F.xxhash64(F.struct("src_", "tgt_group")).alias("src"), "src_", "a", "tgt_group").distinct()
-    y0 = matched_cells(cells, w).withColumnRenamed("col_id", "src").join(back, "src").select(F.col("src_").alias("col_id"), F.col("tgt_group").alias("b"), "row_id", (-F.col("value")).alias("value"), F.lit(1).alias("arm"))
-    y1 = cells.join(back.select(F.col("src_").alias("col_id"), F.col("tgt_group").alias("b")), "col_id").select("col_id", "b", "row_id", "value", F.lit(0).alias("arm"))
+    near = knn(v, v, k, "l2", "indv", other_groups=True, wanted=pairs.select(F.col("src").alias("q_group"), F.col("tgt").alias("t_group")))
+    kept = near.withColumnRenamed("tgt_group", "b")
+    w = with_weights(kept, ("src", "b"))
+    back = kept.select(F.col("src").alias("col_id"), "b").distinct()
+    y0 = matched_cells(cells, w, ("src", "b")).select("col_id", "b", "row_id", (-F.col("value")).alias("value"), F.lit(1).alias("arm"))
+    y1 = cells.join(back, "col_id").select("col_id", "b", "row_id", "value", F.lit(0).alias("arm"))
     parts = y1.unionByName(y0).join(member, "col_id")
     zy = F.col("value") * F.col("z")
     got = parts.groupBy("indv", "b", "label", "row_id").agg(F.sum(zy).alias("sum_delta"), (F.sum(F.when(F.col("arm") == 0, zy).otherwise(0.0)) > 0).cast("int").alias("o1"), (F.sum(F.when(F.col("arm") == 1, -zy).otherwise(0.0)) > 0).cast("int").alias("o2"))

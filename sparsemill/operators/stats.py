@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import count_true, nonzero
+from ..core import count_true, nonzero, running
 
 
 def _scores(cells: DataFrame, names: DataFrame, key: str, other: DataFrame) -> DataFrame:
@@ -36,41 +36,63 @@ def value_histogram(cells: DataFrame) -> DataFrame:
     return cells.groupBy(F.round("value").cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def degree(cells: DataFrame) -> Column:
-    return F.sum("value").over(Window.partitionBy("col_id"))
-
-
 def column_degrees(cells: DataFrame) -> DataFrame:
     return cells.groupBy("col_id").agg(F.sum("value").alias("degree"), F.sum(F.col("value") * F.col("value")).alias("norm2"))
 
 
+def with_degrees(cells: DataFrame) -> DataFrame:
+    """Cells with their column's degree and norm2: one shuffle by column."""
+    column = Window.partitionBy("col_id")
+    return cells.withColumns({"degree": F.sum("value").over(column), "norm2": F.sum(F.col("value") * F.col("value")).over(column)})
+
+
 def normalize_fixed(cells: DataFrame, target: float = 1e4) -> DataFrame:
     """Columns scaled to the target; columns that sum to less than 1 are treated as 1."""
-    out = cells.join(column_degrees(cells), "col_id")
+    out = with_degrees(cells)
     return out.select("row_id", "col_id", (F.col("value") * target / F.greatest("degree", F.lit(1.0))).alias("value"))
 
 
 def median_degree(cells: DataFrame) -> DataFrame:
-    """The upper median of the columns' sums, at least 1, as a single row. Ranks are taken from counts of equal sums, so
-    that no task gets more rows than there are different sums."""
-    sums = column_degrees(cells).groupBy("degree").agg(F.count("*").alias("k"))
+    """The upper median of the columns' sums, at least 1, as a single row."""
+    sums = running(column_degrees(cells).groupBy("degree").agg(F.count("*").alias("k")), ["degree"], "k", "before")
     total = sums.agg(F.sum("k").alias("total"))
-    ranked = sums.withColumn("upto", F.sum("k").over(Window.orderBy("degree"))).crossJoin(F.broadcast(total))
-    return ranked.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.greatest(F.min("degree"), F.lit(1.0)).alias("median"))
+    ranked = sums.crossJoin(F.broadcast(total))  # total is one row
+    return ranked.where(F.col("before") + F.col("k") > F.floor(F.col("total") / 2)).agg(F.greatest(F.min("degree"), F.lit(1.0)).alias("median"))
 
 
 def normalize_median(cells: DataFrame) -> DataFrame:
     """Columns scaled to the upper median of all columns' sums."""
-    out = cells.join(column_degrees(cells), "col_id").crossJoin(F.broadcast(median_degree(cells)))
+    out = with_degrees(cells).crossJoin(F.broadcast(median_degree(cells)))  # one row
     return out.select("row_id", "col_id", (F.col("value") * F.col("median") / F.greatest("degree", F.lit(1.0))).alias("value"))
 
 
 def normalize_l2(cells: DataFrame) -> DataFrame:
     """Columns of unit length, lengths below 1e-8 treated as that."""
-    out = cells.join(column_degrees(cells), "col_id")
+    out = with_degrees(cells)
     return out.select("row_id", "col_id", (F.col("value") / F.greatest(F.sqrt("norm2"), F.lit(1e-8))).alias("value"))
 
 
+def scale_by_degree(cells: DataFrame, tau: float = 1.0) -> DataFrame:
+    """Columns divided by max(1, sqrt(sum of squares + tau))."""
+    out = with_degrees(cells)
+    return out.select("row_id", "col_id", (F.col("value") / F.greatest(F.lit(1.0), F.sqrt(F.col("norm2") + tau))).alias("value"))
+
+
+def relabelled_by_size(labels: DataFrame, label: str = "label") -> DataFrame:
+    """labels with new_label: 0 for the label with the most rows, 1 for the next, ...; the smaller label first among equals."""
+    sizes = labels.groupBy(label).agg(F.count("*").alias("_size")).withColumn("_less", -F.col("_size"))
+    order = running(sizes, ["_less", label], None, "new_label").select(label, "new_label")
+    return labels.join(order, label)
+
+
+def observed_products(x: DataFrame, y: DataFrame, pseudo: float = 0.0) -> DataFrame:
+    """x(i, k, value), y(k, j, value) to (i, j, product, n): sums over the k at which both have a cell, and how many these
+    are, with pseudo added. Pairs without a common k are left out. A k with many cells on both sides gives all their
+    pairs, as a product does; sums are partial before they are shuffled."""
+    both = x.select("i", "k", F.col("value").alias("_x")).join(y.select("k", "j", F.col("value").alias("_y")), "k")
+    return both.groupBy("i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("product"), (F.count("*") + F.lit(pseudo)).alias("n"))
+
+
 def laplacian(cells: DataFrame, target: float | None = 1e4, tau: float = 1.0, take_ln: bool = True, weights: DataFrame | None = None) -> DataFrame:
     """Scaled columns (to the target or, with None, to the median), ln(1 + x), rows divided by the root of their weight,
     columns divided by sqrt(max(1, own sum of squares + tau * the mean of all columns')). The mean is over all columns."""
@@ -99,5 +121,5 @@ def standardize(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame
 
 def top_columns(scores: DataFrame, n: int, by: str = "cv", seed: int | None = None) -> DataFrame:
     """The n columns with the largest score, the smaller id first among equals; by a seeded draw instead if by is random."""
-    order = F.rand(seed) if by == "random" else F.desc(by)
+    order = F.xxhash64("col_id", F.lit(seed or 0)) if by == "random" else F.desc(by)
     return scores.orderBy(order, "col_id").limit(n)

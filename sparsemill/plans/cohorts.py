@@ -12,10 +12,11 @@ from ..operators.spectral import svd
 
 
 def align(cols: DataFrame, celltype: DataFrame, cell2indv: DataFrame, indv2exposure: DataFrame) -> DataFrame:
-    """(col_id, col_name, label, indv, exposure, z): first matches by name, NA where there is none."""
+    """(col_id, col_name, label, indv, exposure, z): first matches by name (by pos if the table has it, else the least), NA
+    where there is none."""
     out = membership(cols, celltype, "label", "NA")
     out = membership(out, cell2indv, "indv", "NA")
-    exposure = indv2exposure.groupBy("indv").agg(F.first("exposure").alias("exposure"))
+    exposure = indv2exposure.groupBy("indv").agg(F.min("exposure").alias("exposure"))
     out = out.join(exposure, "indv", "left").withColumn("exposure", F.coalesce(F.col("exposure").cast("string"), F.lit("NA")))
     return out.withColumn("z", F.lit(1.0))
 
@@ -34,8 +35,10 @@ def cocoa(m: Matrix, aligned: DataFrame, latent: DataFrame | None = None, rank:
     }
 
 
-def pine(m: Matrix, aligned: DataFrame, latent: DataFrame, k_cell: int = 10, k_indv: int = 1) -> dict[str, DataFrame]:
-    """Differences of matched individuals; each unordered pair once, by its nearest record. Individuals are numbered."""
-    member = aligned.select("col_id", F.col("indv").cast("long").alias("indv"), "label", "z")
+def pine(m: Matrix, aligned: DataFrame, latent: DataFrame | None = None, rank: int = 10, k_cell: int = 10, k_indv: int = 1) -> dict[str, DataFrame]:
+    """Differences of matched individuals; each unordered pair once, by its nearest record."""
+    member = aligned.select("col_id", "indv", "label", "z")
+    if latent is None:
+        latent = svd(m.triplets, m.rows, m.cols, rank)[2].withColumnRenamed("col_id", "id")
     pairs = match_groups(latent.join(member.select(F.col("col_id").alias("id"), "indv"), "id"), "indv", k_indv)
     return {"pairs": nearest_records(pairs), "delta": pairwise_delta(m.triplets, member, latent, pairs, k_cell)}
