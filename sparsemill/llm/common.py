@@ -2,56 +2,45 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import drop_at_exit, settled, shared_dir  # noqa: F401  shared_dir and drop_at_exit are for operators that write files
+
 #: White space that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
 
-_written: list[tuple[SparkSession, str]] = []
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives the loss of executors. The table
+    is removed when the process ends."""
+    return settled(df, name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sparsemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: A table is broadcast up to so many bytes on disk.
+BROADCAST_BYTES = 8 << 20
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparsemill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(drop_stage_tables)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stage_tables() -> None:
-    """Remove what stage_table wrote in this process. Runs at exit; a stopped session leaves nothing to do."""
-    for spark, path in _written:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session has ended; the cluster's own clean-up takes over
-            pass
-    _written.clear()
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all files that df is read from have at most so many bytes together. Asks the file system, not for rows."""
+    spark, total = df.sparkSession, 0
+    for f in df.inputFiles():
+        where = spark._jvm.org.apache.hadoop.fs.Path(f)
+        total += where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+    return total <= most
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_at_once(column, n: int = 256):
+    """The values of an Arrow column, n of them as Python objects at a time, as texts may be long."""
+    for lo in range(0, len(column), n):
+        yield from column.slice(lo, n).to_pylist()
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

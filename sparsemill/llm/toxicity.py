@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit, stage_table, table, text_or_empty, window_hashes, word_hashes, words
+from .common import few_at_once, hash_unit, stage_table, table, text_or_empty, window_hashes, word_hashes, words
 
 # Word lists that the grammar starts from.
 INSULTS = "idiot moron loser scum trash clown stupid pathetic worthless disgusting dumb imbecile dummkopf idiotin abschaum crétin imbécile connard abruti estúpido imbécil basura escoria".split()
@@ -218,7 +218,7 @@ def clause_features(docs: DataFrame, lexicon: dict[str, float], carry: list[str]
 
         scorer = Scorer(lexicon)
         for b in batches:
-            f = [document_features(scorer.clauses(t)) for t in b.column("text").to_pylist()]
+            f = [document_features(scorer.clauses(t)) for t in few_at_once(b.column("text"))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], [*carry, "strongest", "total"])
 
     return docs.select(*carry, text_or_empty(F.col("text")).alias("text")).mapInArrow(score, schema.add("strongest", "double").add("total", "double"))
@@ -259,7 +259,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         scorer = Scorer(lexicon)
         for batch in batches:
-            f = [document_features(scorer.clauses(t)) for t in batch.column("text").to_pylist()]
+            f = [document_features(scorer.clauses(t)) for t in few_at_once(batch.column("text"))]
             yield batch.filter(pa.array([a + b * x + c * y < 0 for x, y in f], pa.bool_()))
 
     return scorer_input.mapInArrow(keep, docs.schema)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit, stage_table, table
+from .common import few_at_once, hash_unit, stage_table, table
 
 GOOD, BAD, NONE = 0, 1, 2
 #: The scorer is fitted on at most about so many documents, drawn by a hash of doc_id.
@@ -205,7 +205,7 @@ def train(docs: DataFrame):
 
         for b in batches:
             out = []
-            for fit, text in zip(b.column("_fit").to_pylist(), b.column("text").to_pylist()):
+            for fit, text in zip(b.column("_fit").to_pylist(), few_at_once(b.column("text"))):
                 classes, again = byte_classes(text), repeats(text)
                 a, v = features(classes, again) if fit else (None, None)
                 out.append((votes(classes, again), None if a is None else a.tobytes(), None if v is None else v.tobytes()))
@@ -255,7 +255,7 @@ def quality_scores(docs: DataFrame) -> DataFrame:
 
         score = _scorer(w, b, prior)
         for batch in batches:
-            bad = [score(t) for t in batch.column("text").to_pylist()]
+            bad = [score(t) for t in few_at_once(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bad, pa.float64()), pa.array([x < 0.5 for x in bad], pa.bool_())], ["doc_id", "bad", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, bad double, kept boolean")
@@ -271,7 +271,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
         score = _scorer(w, b, prior)
         for batch in batches:
-            yield batch.filter(pa.array([score(t) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([score(t) < 0.5 for t in few_at_once(batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
