@@ -3,7 +3,9 @@
 Documents are cut into pieces; pieces that fill a sequence need no search. The others are dealt by a hash to problems of
 a bounded number of pieces. Each problem has several islands, one Spark row group each, whose populations start from
 best-fit packings in different orders. Crossover injects a parent's well-filled bins into another, removes the bins
-that held the same pieces and best-fits the displaced pieces. Between rounds each island's elite moves to the next one.
+that held the same pieces and the least filled ones, and fits the displaced pieces best into new bins, one bin after
+another by the sums that they can make. Between rounds each island's elite moves to the next one. A search ends where
+the number of bins is a lower bound; how many crossovers it may try depends on the size of the problem.
 Pieces of the poorly filled bins of all problems are dealt anew, once, to fewer problems.
 """
 
@@ -15,12 +17,16 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_table, table
+from .common import few_at_once, stage_table, table
 from .encoding import Encoder, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
-PROBLEM_PIECES, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 4096, 3, 2, 4, 3
+PROBLEM_PIECES, ISLANDS, ROUNDS, POPULATION = 4096, 3, 2, 6
+#: Generations of two crossovers that an island may have a round, times the number of pieces; at least FEW of them.
+WORK, FEW, MANY = 200_000, 4, 400
+#: A crossover injects at most so many bins, so that it costs little and many can be tried.
+INJECTED = 32
 #: Bins filled below this share are packed again together with those of other problems.
 POOR = 0.97
 PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,7 +48,7 @@ def token_pieces(docs: DataFrame, path: str, cut: str = "gaps", capacity: int =
         encoder, item = Encoder.of(path, cut, END_ID), TaskContext.get().partitionId() << 33
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), few_at_once(b.column("text"))):
                 ids = encoder.encode(text)
                 for piece, (start, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
                     out.append((item, doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
@@ -97,33 +103,75 @@ def cost(bins, lengths, capacity: int) -> tuple[int, float]:
     return len(fill), -float(np.square(fill / capacity).sum())
 
 
+def least_bins(lengths, capacity: int) -> int:
+    """A lower bound: pieces above half a bin have one each, and what the smaller ones need beyond their room; the best
+    over all sizes from which on pieces are counted."""
+    import numpy as np
+
+    x = np.sort(np.asarray(lengths))
+    if not len(x):
+        return 0
+    sums, half = np.r_[0, np.cumsum(x)], int(np.searchsorted(x, capacity // 2, "right"))
+    best = max(math.ceil(sums[-1] / capacity), len(x) - half)
+    for k in np.unique(x[:half]).tolist():
+        from_ = int(np.searchsorted(x, k))  # pieces of k and more
+        large = int(np.searchsorted(x, capacity - k, "right"))  # above that share a bin with none of them
+        room = (len(x) - half) * capacity - (sums[-1] - sums[half])
+        lone = (len(x) - large) * capacity - (sums[-1] - sums[large])
+        best = max(best, len(x) - half + max(0, math.ceil((sums[half] - sums[from_] - (room - lone)) / capacity)))
+    return best
+
+
+def refilled(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins for a few displaced pieces: each time the largest one left and those others that together fill its bin best, so
+    that what is not filled gathers in the last bins. The sums that can be reached are the bits of a number."""
+    left = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    out = []
+    while left:
+        first, *left = left
+        room = capacity - lengths[first]
+        below, reach = (2 << room) - 1, [1]
+        for i in left:
+            reach.append((reach[-1] | reach[-1] << lengths[i]) & below)
+        at, taken, rest = reach[-1].bit_length() - 1, [first], []
+        for k in range(len(left), 0, -1):
+            if reach[k - 1] >> at & 1:
+                rest.append(left[k - 1])
+            else:
+                taken.append(left[k - 1])
+                at -= lengths[left[k - 1]]
+        out.append(taken)
+        left = rest[::-1]
+    return out
+
+
 def crossover(giver, taker, lengths, capacity: int, rng):
-    """The taker's packing with well-filled bins of the giver in it."""
+    """The taker's packing with well-filled bins of the giver in it. Bins of the taker that held the same pieces are taken
+    apart, and so are the least filled ones and a few others; the displaced pieces fill new bins as well as they can."""
     import numpy as np
 
-    n = len(lengths)
     fill = np.bincount(giver, weights=lengths)
-    good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    chosen = rng.choice(good, size=max(1, len(good) // 4), replace=False)
+    good = np.flatnonzero(fill >= np.median(fill))
+    chosen = rng.choice(good, size=max(1, min(len(good) // 4, INJECTED)), replace=False)
     flag = np.zeros(len(fill), bool)
     flag[chosen] = True
     injected = flag[giver]
-    broken = np.zeros(int(taker.max()) + 1, bool)
+    held = np.bincount(taker, weights=lengths)
+    broken = np.zeros(len(held), bool)
     broken[taker[injected]] = True
-    kept = ~injected & ~broken[taker]
-    # number the bins anew: the giver's first, then the taker's that are whole
-    bins = np.full(n, -1)
-    _, bins[injected] = np.unique(giver[injected], return_inverse=True)
-    if kept.any():
-        _, bins[kept] = np.unique(taker[kept], return_inverse=True)
-        bins[kept] += len(chosen)
-    there = bins >= 0
-    room = (capacity - np.bincount(bins[there], weights=lengths[there])).astype(int).tolist()
-    displaced = np.flatnonzero(~there)
-    order = displaced[np.argsort(-lengths[displaced], kind="stable")].tolist()
-    out = bins.tolist()
-    best_fit(order, lengths.tolist(), out, room, capacity)
-    return np.array(out)
+    broken[rng.choice(len(held), max(1, min(len(held) // 8, INJECTED // 4)))] = True
+    few = min(len(held) - 1, int(rng.integers(1, 5)))
+    broken[np.argpartition(held, few)[: few + 1]] = True
+    number = np.cumsum(~broken) - 1  # of the bins that stay whole
+    bins = np.where(broken[taker], -1, number[taker])
+    n = int(number[-1]) + 1
+    bins[injected] = n + np.searchsorted(np.sort(chosen), giver[injected])
+    n += len(chosen)
+    displaced = np.flatnonzero(bins < 0)
+    for held_together in refilled(lengths[displaced].tolist(), capacity):
+        bins[displaced[held_together]] = n
+        n += 1
+    return bins
 
 
 def first_packings(lengths, capacity: int, rng, how_many: int):
@@ -138,23 +186,27 @@ def first_packings(lengths, capacity: int, rng, how_many: int):
         yield np.array(out)
 
 
-def evolve(lengths, capacity: int, seed: int, elites: list, population: int = POPULATION, generations: int = GENERATIONS):
+def evolve(lengths, capacity: int, seed: int, elites: list, population: int = POPULATION, work: int = WORK):
     """The best packing that one island finds. It ends early where the number of bins is the least possible one."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     lengths = np.asarray(lengths)
-    least = math.ceil(lengths.sum() / capacity)
-    pool = [(cost(b, lengths, capacity), b) for b in [*elites, *first_packings(lengths, capacity, rng, max(1, population - len(elites)))]]
+    least = least_bins(lengths, capacity)
+    pool = [(cost(b, lengths, capacity), b) for b in elites]
+    for b in first_packings(lengths, capacity, rng, max(1, population - len(elites))):
+        pool.append((cost(b, lengths, capacity), b))
+        if pool[-1][0][0] <= least:
+            break
     pool.sort(key=lambda x: x[0])
-    for _ in range(generations):
+    for _ in range(min(MANY, max(FEW, work // max(1, len(lengths))))):
         if pool[0][0][0] <= least or len(pool) < 2:
             break
         a, b = rng.choice(len(pool), 2, replace=False)
-        child = crossover(pool[a][1], pool[b][1], lengths, capacity, rng)
-        pool.append((cost(child, lengths, capacity), child))
-        child = crossover(pool[0][1], pool[rng.integers(1, len(pool))][1], lengths, capacity, rng)
-        pool.append((cost(child, lengths, capacity), child))
+        pairs = [(pool[a][1], pool[b][1]), (pool[rng.integers(1, len(pool))][1], pool[0][1])]
+        for giver, taker in pairs:
+            child = crossover(giver, taker, lengths, capacity, rng)
+            pool.append((cost(child, lengths, capacity), child))
         pool = sorted(pool, key=lambda x: x[0])[:population]
     return pool[0][1], pool[0][0]
 
