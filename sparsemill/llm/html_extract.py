@@ -1,5 +1,6 @@
 """HTML extraction with site template removal: element subtrees are hashed, counted per host in Spark, and those that
-recur across many different pages of their host are deleted; the rest gives the page's main text."""
+recur across many different pages of their host are deleted, wherever they are in a page. The main text is then the block
+that holds most of what is left, without elements that are by their kind not part of it."""
 
 from __future__ import annotations
 
@@ -23,19 +24,22 @@ NOISE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|si
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>|([^<]+)|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-#: A subtree is the site's if it is on at least so many different pages of the host and on at least this share of them;
-#: within an article a larger share is asked for.
-MIN_PAGES, SHARE, ARTICLE_SHARE = 8, 0.2, 0.6
+#: A subtree is the site's if it is on at least so many different pages of the host, and on this share of them or, on large
+#: hosts, on MANY_PAGES. Within an article or main element only a larger share counts, as passages recur there.
+MIN_PAGES, SHARE, MANY_PAGES, ARTICLE_SHARE = 8, 0.2, 100, 0.6
+#: Articles, or main elements, are the main block if they hold this share of what the page has left.
+MAIN_SHARE = 0.5
 #: Up to so many such subtrees of all hosts are sent to every task (8 bytes each); beyond, they are joined to the pages.
 BROADCAST_TEMPLATES = 200_000
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "begin", "end")
+    __slots__ = ("tag", "attributes", "children", "begin", "end", "hash", "own")
 
     def __init__(self, tag: str, attributes: str, begin: int):
         self.tag, self.attributes, self.begin, self.end = tag, attributes, begin, begin
         self.children: list = []
+        self.hash = self.own = 0
 
 
 def parse(source: str) -> Node:
@@ -107,32 +111,80 @@ def is_noise(node: Node, in_article: bool) -> bool:
     return any(NOISE.search(a[k]) for k in ("class", "id") if a.get(k))
 
 
-def subtree_hash(source: str, node: Node) -> int:
+def _ordered(root: Node) -> list[tuple[Node, bool]]:
+    """All elements, each before its children, and whether it lies in an article or main element."""
+    out = [(root, False)]
+    for node, inside in out:  # grows as it is read
+        inside = inside or node.tag in ("article", "main")
+        out += [(c, inside) for c in node.children if not isinstance(c, str)]
+    return out
+
+
+def hash_subtrees(nodes: list[tuple[Node, bool]]) -> None:
+    """Give every element the hash of its tag, attributes, texts without surplus white space and children's hashes: each
+    text is read once, however deep it lies."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(re.sub(r"\s+", " ", source[node.begin : node.end]).strip()) - (1 << 63)
+    for node, _ in reversed(nodes):
+        x = xxhash.xxh64(f"{node.tag}\x00{' '.join(node.attributes.split())}")
+        for c in node.children:
+            if not isinstance(c, str):
+                x.update(c.hash.to_bytes(8, "little", signed=True))
+            elif words := " ".join(c.split()):
+                x.update(f"\x01{words}")
+        node.hash = x.intdigest() - (1 << 63)
+
+
+def _counted(node: Node) -> bool:
+    """Whether a subtree may be a template: a block with something in it that is not the page or its main element."""
+    return node.tag not in ("", "html", "body", "head", "article", "main") and (node.tag in BLOCKS or node.tag in DROPPED) and bool(node.children)
 
 
 def subtrees(source: str) -> list[tuple[int, bool]]:
     """(hash, whether it lies in an article) of every block element with something in it."""
-    out: dict[tuple[int, bool], None] = {}
-    open_ = [(parse(source), False)]
-    while open_:
-        node, inside = open_.pop()
-        if node.tag and node.tag not in ("html", "body", "head", "article", "main") and (node.tag in BLOCKS or node.tag in DROPPED) and node.children:
-            out[subtree_hash(source, node), inside] = None
-        inside = inside or node.tag in ("article", "main")
-        open_ += [(c, inside) for c in node.children if not isinstance(c, str) and node.tag not in RAW]
-    return list(out)
+    nodes = _ordered(parse(source))
+    hash_subtrees(nodes)
+    return list(dict.fromkeys((node.hash, inside) for node, inside in nodes if _counted(node)))
+
+
+def prune(root: Node, templates) -> None:
+    """Take out subtrees whose (hash, in article) is in templates and elements that are by their kind noise, and count the
+    letters and digits that each element has left (own)."""
+    nodes = _ordered(root)
+    if templates:
+        hash_subtrees(nodes)
+    for node, inside in nodes:
+        within = inside or node.tag in ("article", "main")
+        kept = []
+        for c in node.children:
+            if not isinstance(c, str) and (is_noise(c, within) or templates and _counted(c) and (c.hash, within) in templates):
+                c.children = []
+                if c.tag in BLOCKS:
+                    kept.append(Node("hr", "", 0))  # a block ends where one is taken out
+            else:
+                kept.append(c)
+        node.children = kept
+    for node, _ in reversed(_ordered(root)):
+        node.own = sum(c.own if not isinstance(c, str) else sum(map(str.isalnum, c)) for c in node.children)
+
+
+def main_blocks(root: Node) -> list[Node]:
+    """The articles of a pruned page, or its main elements, if they hold most of what is left; else the page itself, so that a
+    teaser beside the text is not taken for it."""
+    for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or 'role="main"' in n.attributes):
+        found = _outermost(root, wanted)
+        if found and sum(n.own for n in found) >= MAIN_SHARE * root.own:
+            return found
+    return [root]
 
 
 def main_text(source: str | None, templates=frozenset()) -> str:
-    """The page's text without noise and without subtrees whose (hash, in article) is in templates: its articles, else its
-    main element, else its body. Blocks are joined by two line ends; white space within one is a single blank."""
+    """The page's text without noise and without subtrees whose (hash, in article) is in templates. Blocks are joined by two
+    line ends; white space within one is a single blank."""
     if not source:
         return ""
     root = parse(source)
-    roots = _outermost(root, lambda n: n.tag == "article") or _outermost(root, lambda n: n.tag == "main" or 'role="main"' in n.attributes) or [root]
+    prune(root, templates)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -142,29 +194,22 @@ def main_text(source: str | None, templates=frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    for top in roots:
-        # (node or text, in article) to visit, or None where a block ends
-        todo: list = [(top, top.tag in ("article", "main"))]
+    for top in main_blocks(root):
+        todo: list = [top]  # nodes or texts to visit, or None where a block ends
         while todo:
-            x = todo.pop()
-            if x is None:
+            node = todo.pop()
+            if node is None:
                 flush()
                 continue
-            node, inside = x
             if isinstance(node, str):
                 now.append(_html.unescape(node))
                 continue
-            if node is not top and (is_noise(node, inside) or templates and node.tag in BLOCKS and (subtree_hash(source, node), inside) in templates):
-                if node.tag in BLOCKS:
-                    flush()
-                continue
             if node.tag == "br":
                 now.append(" ")
             if node.tag in BLOCKS:
                 flush()
                 todo.append(None)
-            inside = inside or node.tag in ("article", "main")
-            todo += [(c, inside) for c in reversed(node.children)]
+            todo += reversed(node.children)
         flush()
     return "\n\n".join(blocks)
 
@@ -175,7 +220,7 @@ def _outermost(root: Node, wanted) -> list[Node]:
         node = open_.pop()
         if node.tag and wanted(node):
             found.append(node)
-        elif not (node.tag and is_noise(node, False)):
+        else:
             open_ += [c for c in reversed(node.children) if not isinstance(c, str)]
     return found
 
@@ -206,8 +251,8 @@ def recurring(pages: DataFrame) -> DataFrame:
     keyed = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
     different = keyed.distinct().groupBy("host").agg(F.count("*").alias("pages"))
     seen = page_subtrees(pages).groupBy("host", "hash", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    share = F.when(F.col("inside"), ARTICLE_SHARE).otherwise(SHARE)
-    return seen.join(different, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash", "inside")
+    least = F.when(F.col("inside"), ARTICLE_SHARE * F.col("pages")).otherwise(F.least(SHARE * F.col("pages"), F.lit(float(MANY_PAGES))))
+    return seen.join(different, "host").where(F.col("n") >= least).select("host", "hash", "inside")
 
 
 def extract(pages: DataFrame) -> DataFrame:
