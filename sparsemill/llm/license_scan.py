@@ -328,7 +328,8 @@ def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with sentence_ids (array of the known sentences, in order), sentence_at (their places among the
     sentences), license_rules (number of each rule that holds) and licenses (sorted distinct licence names).
 
-    Null and empty texts and texts without a known sentence have empty arrays. Rows are independent of each other.
+    Null and empty texts and texts without a known sentence have empty arrays. Rows are independent of each other. Columns of
+    docs with one of these names are replaced, others stay whatever their names.
     """
 
     @F.pandas_udf("sentence_ids array<string>, sentence_at array<int>, license_rules array<int>")
@@ -338,8 +339,9 @@ def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         return pd.DataFrame([scan(x) for x in texts], columns=["sentence_ids", "sentence_at", "license_rules"])
 
     source = text_or_empty(F.col(text))
-    out = docs.withColumn("_scan", found(F.when(source.rlike(NEEDED), source)))
-    out = out.withColumns({c: F.col(f"_scan.{c}") for c in ("sentence_ids", "sentence_at", "license_rules")}).drop("_scan")
+    new = ("sentence_ids", "sentence_at", "license_rules")
+    out = docs.select(F.struct("*").alias("row"), found(F.when(source.rlike(NEEDED), source)).alias("scan"))
+    out = out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in (*new, "licenses")], *[f"scan.{c}" for c in new])
     names = F.array(*[F.lit(name) for name, _ in RULES])
     return out.withColumn("licenses", F.array_sort(F.array_distinct(F.transform("license_rules", lambda k: F.get(names, k)))))
 

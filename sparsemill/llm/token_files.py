@@ -16,7 +16,9 @@ dictionary lies beside it. One document is read by its index entry and one small
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import struct
 import uuid
 import zlib
@@ -24,7 +26,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_or_empty
+from .common import drop_at_exit, few_at_once, shared_dir, table, text_or_empty
 from .encoding import Encoder, tokenizer_path
 
 MAGIC = b"TOKBLK01"
@@ -34,6 +36,7 @@ END_ID = 2
 #: The dictionary is trained on the first ids of about so many documents, those with the least hash of doc_id.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 32 << 10
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+BLOCKS = "part int, number long, n_ids long, lo long, hi long, block binary"
 
 
 def serialize(ids32: bytes, width: int) -> bytes:
@@ -101,7 +104,7 @@ def train_dictionary(docs: DataFrame, path: str, cut: str, width: int, n: int, s
 
         yield pa.RecordBatch.from_pydict({"d": pa.array([found], pa.binary())})
 
-    found = sample.coalesce(1).mapInArrow(train, "d binary").first()
+    found = sample.repartition(1).mapInArrow(train, "d binary").first()
     return bytes(found["d"]) if found else b""
 
 
@@ -127,11 +130,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, cut: str = "
         part, number, before, now, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def block():
-            n = sum(x[1] for x in now)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([n], pa.int64()), pa.array([build_block(now, before, dictionary, width)], pa.binary())], ["part", "number", "n_ids", "block"]), n
+            n, known = sum(x[1] for x in now), [x[0] for x in now if x[0] is not None]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([n], pa.int64()), pa.array([min(known, default=None)], pa.int64()), pa.array([max(known, default=None)], pa.int64()), pa.array([build_block(now, before, dictionary, width)], pa.binary())], ["part", "number", "n_ids", "lo", "hi", "block"]), n
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("_text").to_pylist()):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), few_at_once(b.column("_text"))):
                 ids = encoder.encode(text)
                 frame = pack.compress(serialize(ids, width))
                 now.append((doc_id, len(ids) // 4, frame))
@@ -143,7 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, cut: str = "
         if now:
             yield block()[0]
 
-    ordered.mapInArrow(blocks, "part int, number long, n_ids long, block binary").write.option("compression", "none").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 
 
@@ -154,7 +157,7 @@ def read_token_files(spark, folder: str) -> DataFrame:
     its part (in the block's head) and of the documents before in its block. Only one number a part is summed at once.
     """
     dictionary = bytes(spark.read.schema("sha256 string, dictionary binary").parquet(f"{folder}/dictionary").first()["dictionary"])
-    blocks = spark.read.schema("part int, number long, n_ids long, block binary").parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select(F.col("part").alias("_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_before"))
 
@@ -178,7 +181,8 @@ def read_token_files(spark, folder: str) -> DataFrame:
 
 
 def read_document(spark, folder: str, doc_id: int) -> list[list[int]]:
-    """The ids of the documents with this doc_id, by index and frame; other frames stay packed."""
+    """The ids of the documents with this doc_id. Only blocks whose range of doc_ids holds it are read (lo and hi are
+    statistics of the Parquet files), the entry is found by halving the index, and other frames stay packed."""
     dictionary = bytes(spark.read.schema("sha256 string, dictionary binary").parquet(f"{folder}/dictionary").first()["dictionary"])
 
     def find(batches):
@@ -188,14 +192,18 @@ def read_document(spark, folder: str, doc_id: int) -> list[list[int]]:
             found = []
             for block in b.column("block").to_pylist():
                 reader = BlockReader(block, dictionary)
-                found += [reader.ids(i) for i in range(reader.n_docs) if reader.entry(i)[0] == doc_id]
+                i = bisect.bisect_left(range(reader.n_docs), doc_id, key=lambda i: -math.inf if (d := reader.entry(i)[0]) is None else d)
+                while i < reader.n_docs and reader.entry(i)[0] == doc_id:
+                    found.append(reader.ids(i))
+                    i += 1
             yield pa.RecordBatch.from_pydict({"ids": pa.array(found, pa.binary())})
 
-    blocks = spark.read.schema("part int, number long, n_ids long, block binary").parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where((F.col("lo") <= doc_id) & (F.col("hi") >= doc_id)).select("block")
     return [list(struct.unpack(f"<{len(r['ids']) // 4}I", r["ids"])) for r in blocks.mapInArrow(find, "ids binary").collect()]
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
     write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
     return read_token_files(spark, folder).drop("ids")

@@ -11,6 +11,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparsemill.llm import encoding, fingerprints, html_extract, jaccard_join, license_scan, packing, quality_rules, source_mixing, token_files, toxicity, weak_quality
 from sparsemill.llm.common import table
@@ -77,6 +78,33 @@ def test_site_templates_are_deleted(spark, monkeypatch, most):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+def test_templates_decide_where_names_say_nothing(spark):
+    """Pages without articles, and teaser articles beside the text: classes and tags alone give the wrong text."""
+    box = "<div class='q7'><p>All about this site</p><p>More of it</p></div>"
+    made = []
+    for i in range(30):
+        own = f"<p>Text {i} begins here.</p><p>And {i} ends there with some more words.</p>"
+        made.append((i, f"http://a.org/{i}", f"<body>{box}<div class='c'>{own}</div><div class='z'>Made by a.org</div></body>"))
+        made.append((100 + i, f"http://b.org/{i}", f"<body><article>Teaser</article>{box}<main>{own}{own}</main></body>"))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        own = f"Text {i} begins here.\n\nAnd {i} ends there with some more words."
+        assert got[i] == own and got[100 + i] == f"{own}\n\n{own}"
+        assert "All about" in html_extract.main_text(made[2 * i][2])
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for depth in (2000, 8000):
+        page = "<div class='a'>word " * depth
+        began = time.perf_counter()
+        assert len(html_extract.subtrees(page)) == depth and html_extract.main_text(page).count("word") == depth
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_extract_pages_table(spark, sf):
     pages = table(spark, sf, "pages")
     truth = {}
@@ -280,15 +308,38 @@ def test_mixing_emits_what_it_takes(docs):
 def test_mixing_comes_near_targets(spark):
     rng = random.Random(1)
     sizes = [rng.randint(5, 60) for _ in range(8000)]
-    made = spark.createDataFrame([(i, "w " * n, f"s{i % 4}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
-    taken, goal, spread = collections.Counter(), {}, collections.Counter()
-    for r in source_mixing.mix_table(made).collect():
-        s, part = r["doc_id"] % 4, r["target"] / r["source_size"] % 1
-        taken[s] += r["taken"]
-        goal[s] = r["target"]
-        spread[s] += r["size"] ** 2 * part * (1 - part)
-    for s in goal:  # within four standard deviations of independent draws
-        assert abs(taken[s] - goal[s]) <= 4 * math.sqrt(spread[s]) + 1
+    made = [(i, "w " * n, f"s{i % 4}") for i, n in enumerate(sizes)]
+    made += [(10_000 + 50 * k + i, "w " * int(rng.lognormvariate(5, 0.7) + 1), f"t{k:02}") for k in range(20) for i in range(50)]  # small sources
+    taken, goal = collections.Counter(), {}
+    source = {r[0]: r[2] for r in made}
+    for r in source_mixing.mix_table(spark.createDataFrame(made, "doc_id long, text string, source string")).collect():
+        taken[source[r["doc_id"]]] += r["taken"]
+        goal[source[r["doc_id"]]] = r["target"]
+    off = {s: abs(taken[s] / goal[s] - 1) for s in goal}
+    assert max(off[s] for s in goal if s[0] == "s") < 0.005 and max(off.values()) < 0.08 and sum(off.values()) / len(off) < 0.02, off
+
+
+def test_balanced_draws_keep_probabilities_and_sums():
+    rng = random.Random(8)
+    p, size = [rng.random() for _ in range(20)], [rng.uniform(1, 50) for _ in range(20)]
+    goal, seen = sum(a * b for a, b in zip(p, size)), [0] * 20
+    for _ in range(4000):
+        got = source_mixing.balanced(p, size, rng.random)
+        seen = [a + b for a, b in zip(seen, got)]
+        assert abs(sum(a * b for a, b in zip(got, size)) - goal) <= max(size)
+    assert all(abs(n / 4000 - x) < 0.05 for n, x in zip(seen, p))
+    assert source_mixing.balanced([0.0, 1.0], [1.0, 1.0], rng.random) == [0, 1] and source_mixing.balanced([], [], rng.random) == []
+
+
+def test_names_of_other_columns_do_not_clash(spark):
+    made = [(1, "one two " * 9, "a", 1, "k", 2.0, 3, 4), (2, "x", None, 2, "l", 1.0, 5, 6)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string, _n int, key string, rate double, copies int, stratum int")
+    mixed = source_mixing.mix(docs)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()}
+    named = docs.select("doc_id", "text", F.lit(1).alias("scan"), F.lit(2).alias("row"), F.lit(3).alias("_s"), F.lit(4).alias("licenses"))
+    got = license_scan.with_licenses(named)
+    assert {"scan", "row", "_s", "licenses"} <= set(got.columns) and got.first()["scan"] == 1 and got.first()["licenses"] == []
+    assert jaccard_join.keep_one(docs).columns == docs.columns and jaccard_join.keep_one(docs).count() == 2
 
 
 def test_mixing_empty_and_wordless(spark, empty):
@@ -532,8 +583,6 @@ def test_fingerprints(docs, rows, monkeypatch, range_rows):
 
 
 def test_sketches_estimate_and_merge(spark, empty):
-    from pyspark.sql import functions as F
-
     rng = random.Random(9)
     w = [f"w{rng.randint(0, 10**9)}" for _ in range(3000)]
     a, b = " ".join(w[:2000]), " ".join(w[500:3000])
@@ -594,8 +643,41 @@ def test_genetic_search_is_valid_and_no_worse_than_best_fit():
         lengths = rng.integers(100, 620, 300)
         plain = [0] * len(lengths)
         n = packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), plain, [], 1024)
-        best, (bins, _) = packing.evolve(lengths, 1024, seed, [], generations=10)
-        assert np.bincount(best, weights=lengths).max() <= 1024 and bins == len(set(best.tolist())) <= n
+        best, (bins, _) = packing.evolve(lengths, 1024, seed, [])
+        assert np.bincount(best, weights=lengths).max() <= 1024 and packing.least_bins(lengths, 1024) <= bins == len(set(best.tolist())) <= n
+
+
+def test_genetic_search_beats_best_fit_on_real_lengths(spark):
+    import numpy as np
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    pieces = packing.token_pieces(docs, encoding.tokenizer_path("byte_bpe_50k.json")).where("length < 1024").orderBy("doc_id", "piece")
+    lengths = np.array([r["length"] for r in pieces.collect()])
+    n = packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), [0] * len(lengths), [], 1024)
+    least = packing.least_bins(lengths, 1024)
+    found = min(packing.evolve(lengths, 1024, seed, [], work=1_000_000)[1][0] for seed in range(2))
+    assert least <= found <= n and (found < n or n == least)
+
+
+def test_least_bins_is_a_bound():
+    rng = random.Random(1)
+    assert packing.least_bins([], 10) == 0 and packing.least_bins([6, 6, 6], 10) == 3 and packing.least_bins([5, 5, 5], 10) == 2
+    for _ in range(60):
+        x = [rng.randint(1, 9) for _ in range(7)]
+        best = len(x)
+
+        def place(i, rooms):
+            nonlocal best
+            if i == len(x):
+                best = min(best, len(rooms))
+                return
+            for k in range(len(rooms)):
+                if rooms[k] >= x[i]:
+                    place(i + 1, [*rooms[:k], rooms[k] - x[i], *rooms[k + 1 :]])
+            place(i + 1, [*rooms, 10 - x[i]])
+
+        place(0, [])
+        assert packing.least_bins(x, 10) <= best
 
 
 # 10

@@ -39,6 +39,25 @@ def test_stages(spark, sf):
     assert max(full.values()) <= 1024
 
 
+def test_run_on_odd_rows(spark, tmp_path):
+    """run() on nulls, repeats, a very long text, clashing names; and on empty tables."""
+    long = " ".join(f"w{i % 900}x{i // 900}" for i in range(40_000))
+    plain = "The old mill stands by the river and its wheel turns slowly through the long afternoon of early summer."
+    rows = [(1, plain, "a", 1), (1, plain, "a", 1), (2, None, None, 2), (3, "", "a", 3), (None, "no number here", "b", 4), (5, long, "b", 5), (6, plain + " Indeed.", "b", 6), (7, "some other words that nobody else has said so far", None, 7)]
+    kinds = "doc_id long, text string, source string, `_n` int, rate double, lang string, `key` string"
+    for name, made in (("odd", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame([(*r, 0.5, "xx", "k") for r in made], kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, None, None)] if made else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        full = collections.Counter()
+        for r in got:
+            full[r["sequence_id"]] += r["length"]
+        assert max(full.values(), default=0) <= 1024 and bool(got) == bool(made)
+        if made:
+            assert {r["doc_id"] for r in got} <= {r[0] for r in made} and any(r["piece"] > 10 for r in got if r["doc_id"] == 5)
+
+
 def test_all_queries_are_listed(spark):
     found = queries.queries()
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in found)] == [] and "pipeline" in found
