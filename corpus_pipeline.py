@@ -11,22 +11,32 @@ from sparsemill.llm.encoding import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go. Null and empty texts have no clause and stay; rows without doc_id and repeated
+    rows are judged like any others; an empty table stays empty; without labels listed insults alone decide."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer thinks bad go. Null and empty texts and those of a few bytes stay, as they say nothing;
+    repeated rows are judged each; an empty table stays empty."""
     return weak_quality.keep_good(docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row with the smallest doc_id stays, and one of several rows with one doc_id. Rows
+    without words or without doc_id all stay; an empty table stays empty."""
     return jaccard_join.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks for. A null source is one of its own, null texts have no words,
+    repeated rows share the draw; an empty table stays empty."""
     return source_mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of pieces, see packing.pack: null and empty texts are one token, repeated rows are packed each, a long text is as
+    many pieces as it needs; an empty table gives no rows."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -43,6 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all of documents. Each stage's rows are a written table, from which the next starts.
+    Other columns than doc_id, text and source pass through all stages but the last, whatever their names."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
