@@ -301,6 +301,15 @@ def counterfactual(spark, sf):
     return pseudobulk.counterfactual(_embedded(spark, sf), vectors(spark, sf).withColumn("trt", F.col("batch") % 2).select("id", "v", "trt"), "trt", 5)
 
 
+def residual_rates(spark, sf):
+    """What is left beside rates that are the same for all labels of an individual: their mean."""
+    from pyspark.sql import Window
+
+    mu = poisson_pseudobulk(spark, sf).withColumn("mu", F.avg("mu").over(Window.partitionBy("row_id", "indv")))
+    out = pseudobulk.residual_rates(_few(spark, sf), member(spark, sf), mu)
+    return _r(out, 5, "resid_mu", "resid_mu_sd").select("row_id", "indv", "label", "resid_mu", "resid_mu_sd")
+
+
 def counterfactual_nearest(spark, sf):
     out = pseudobulk.counterfactual(_embedded(spark, sf), vectors(spark, sf).withColumn("trt", F.col("batch") % 2).select("id", "v", "trt"), "trt", 1)
     return _r(out, 6, "value").select("col_id", "row_id", "value")
@@ -409,7 +418,7 @@ merge_batches common_names_union common_names_intersect column_index index_check
 normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns top_columns_cv pseudobulk_sum_mean annotate_join knn_l2
 knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
 sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_named poisson_pseudobulk
-poisson_rates counterfactual counterfactual_nearest pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
+poisson_rates residual_rates counterfactual counterfactual_nearest pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
 read_column_range relabelled_by_size observed_products topic_features file_set svd_approx svd_em svd_project bbknn match_files annotate simulate_poisson simulate_mixture""".split()
 
 
@@ -426,6 +435,14 @@ def _sql_poisson(rounds: int) -> str:
     SELECT row_id, indv, label, round(a / rate, 6) AS mu, round(sqrt(a) / rate, 6) AS mu_sd, round(1 / sqrt(CASE WHEN a > 1 THEN greatest(a - 1, 1e-8) ELSE a END), 6) AS ln_mu_sd FROM e"""
 
 
+def _sql_residual(rounds: int) -> str:
+    """The rounds of _sql_poisson, means of its rates over labels, and the rounds of residuals."""
+    rates = _sql_poisson(rounds).split("    SELECT row_id, indv")[0]
+    steps = "".join(f", q{i} AS MATERIALIZED (SELECT indv, label, sum((1 + y) / (1 + total)) AS rate FROM m JOIN (SELECT indv, label, sum(u.mu * u.a / (1 + q.rate * u.mu)) AS total FROM u JOIN q{i - 1} q USING (indv, label) GROUP BY ALL) USING (indv, label) GROUP BY ALL)" for i in range(1, rounds + 1))
+    return f"""{rates}, u AS MATERIALIZED (SELECT row_id, indv, label, a, avg(a / rate) OVER (PARTITION BY row_id, indv) AS mu FROM e), q0 AS MATERIALIZED (SELECT indv, label, count(*)::DOUBLE AS rate FROM m GROUP BY ALL){steps}
+    SELECT u.row_id, u.indv, u.label, round(a / (1 + q.rate * mu), 5) AS resid_mu, round(sqrt(a) / (1 + q.rate * mu), 5) AS resid_mu_sd FROM u JOIN q{rounds} q USING (indv, label)"""
+
+
 _T = "t AS (SELECT l_partkey AS row_id, l_orderkey AS col_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 _FEW = "t AS (SELECT l_partkey % 25 AS row_id, l_orderkey AS col_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
 _E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label AS batch FROM embeddings)"
@@ -500,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_reweighted_distances": f"WITH {_E}, {_PAIRS}, n AS MATERIALIZED (SELECT src, tgt, dist FROM x QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 8), m AS MATERIALIZED (SELECT * FROM n WHERE src <> tgt) SELECT a.src, a.tgt, round(a.dist / 64, 6) AS dist FROM m a JOIN m b ON a.src = b.tgt AND a.tgt = b.src QUALIFY row_number() OVER (PARTITION BY a.src ORDER BY a.tgt) <= 5",
         "knn_named": f"WITH {_E}, {_PAIRS} SELECT concat('v', src) AS src_name, concat('v', tgt) AS tgt_name, round(dist, 6) AS dist FROM x WHERE tgt_batch < 5 QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 3",
         "poisson_rates": _sql_poisson(10),
+        "residual_rates": _sql_residual(10),
         "counterfactual_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, n AS (SELECT src, tgt FROM x WHERE src_batch % 2 <> tgt_batch % 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1) SELECT src AS col_id, row_id::BIGINT AS row_id, value FROM n JOIN t ON t.col_id = n.tgt",
         "pairwise_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, {_MATCH}, g AS (SELECT src, tgt FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1), n AS (SELECT x.src, x.tgt, src_batch, tgt_batch FROM x JOIN g ON g.src = src_batch AND g.tgt = tgt_batch QUALIFY row_number() OVER (PARTITION BY x.src, tgt_batch ORDER BY round(dist, 10), x.tgt) <= 1), k AS (SELECT batch, count(*) AS k FROM e GROUP BY 1) SELECT src_batch::BIGINT AS src, tgt_batch::BIGINT AS tgt, 'ct1' AS label, a.row_id::BIGINT AS row_id, round(sum(a.value - b.value), 4) AS sum_delta, round(sum(a.value - b.value) / any_value(k), 4) AS mean_delta, ((sum(a.value) > 0)::INT + (sum(b.value) > 0)::INT)::INT AS nobs FROM n JOIN t a ON a.col_id = n.src JOIN t b ON b.col_id = n.tgt AND b.row_id = a.row_id JOIN k ON k.batch = src_batch GROUP BY src_batch, tgt_batch, a.row_id",
         "column_degrees_scaled": f"WITH {_T} SELECT row_id, col_id, round(value / greatest(1, sqrt(d2 + 1)), 6) AS value FROM t JOIN {_NORMED} USING (col_id)",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import running, settled
+
 
 def membership(cols: DataFrame, pairs: DataFrame, to: str, missing: str = "?") -> DataFrame:
     """cols(col_id, col_name) with the first match in pairs(col_name, <to>), else the mark for missing."""
@@ -31,9 +33,6 @@ def poisson_gamma(cells: DataFrame, member: DataFrame, rows: DataFrame, a0: floa
     one a column. With other (cells of matched columns under the same col_id), its sums are added to both. Every cell
     counts in the totals; rows without a cell of a group have the group's rate for zero.
     """
-    from ..core import settled
-    from ..functions.special import digamma
-
     arms = [cells] if other is None else [cells, other]
     zy = None
     for arm in arms:
@@ -58,19 +57,47 @@ def poisson_gamma(cells: DataFrame, member: DataFrame, rows: DataFrame, a0: floa
     every = rows.select("row_id").crossJoin(groups.select("indv", "label")).join(zy, ["row_id", "indv", "label"], "left").join(rate, ["indv", "label"])
     every = every.select("row_id", "indv", "label", (F.lit(a0) + F.coalesce("zy", F.lit(0.0))).alias("a"), F.col("rate").alias("b"))
 
+    return _moments(every, "mu")
+
+
+def _moments(every: DataFrame, name: str) -> DataFrame:
+    """every(row_id, indv, label, a, b) with the mean and deviation of a Gamma(a, b) rate and of its logarithm."""
+
     def moments(batches):
         import numpy as np
 
+        from ..functions.special import digamma
+
         for pdf in batches:
             a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
-            over = a > 1
-            pdf["mu"], pdf["mu_sd"] = a / b, np.sqrt(a) / b
-            pdf["ln_mu"] = digamma(np.where(over, np.maximum(a - 1, 1e-8), a)) - np.log(b)
-            pdf["ln_mu_sd"] = 1 / np.sqrt(np.where(over, np.maximum(a - 1, 1e-8), a))
+            shape = np.where(a > 1, np.maximum(a - 1, 1e-8), a)
+            pdf[name], pdf[f"{name}_sd"] = a / b, np.sqrt(a) / b
+            pdf[f"ln_{name}"], pdf[f"ln_{name}_sd"] = digamma(shape) - np.log(b), 1 / np.sqrt(shape)
             yield pdf.drop(columns=["a", "b"])
 
     kinds = {f.name: f.dataType.simpleString() for f in every.schema}
-    return every.mapInPandas(moments, f"row_id long, indv {kinds['indv']}, label {kinds['label']}, mu double, mu_sd double, ln_mu double, ln_mu_sd double")
+    every = every.select("row_id", "indv", "label", "a", "b")
+    return every.mapInPandas(moments, f"row_id {kinds['row_id']}, indv {kinds['indv']}, label {kinds['label']}, {name} double, {name}_sd double, ln_{name} double, ln_{name}_sd double")
+
+
+def residual_rates(cells: DataFrame, member: DataFrame, mu: DataFrame, a0: float = 1.0, b0: float = 1.0, rounds: int = 10, name: str = "resid_mu") -> DataFrame:
+    """(row_id, indv, label, resid_mu, its deviation, and both of its logarithm): what is left of the cells' rates beside
+    mu(row_id, indv, label, mu), which has a row for each row and group.
+
+    residual = (a0 + sum z y) / (b0 + mu sum z rho), rho = (a0 + column sum) / (b0 + sum z total), with the total over rows
+    of residual times mu, repeated: a round moves one number a group and one a column.
+    """
+    zy = cells.join(member, "col_id").groupBy("row_id", "indv", "label").agg(F.sum(F.col("value") * F.col("z")).alias("zy"))
+    every = mu.select("row_id", "indv", "label", "mu").join(zy, ["row_id", "indv", "label"], "left")
+    every = settled(every.select("row_id", "indv", "label", "mu", (F.lit(a0) + F.coalesce("zy", F.lit(0.0))).alias("a")))
+    of = member.join(cells.groupBy("col_id").agg(F.sum("value").alias("y")), "col_id", "left").fillna(0.0, ["y"])
+    of = settled(of.select("col_id", "indv", "label", "z", "y"))
+    rate = settled(of.groupBy("indv", "label").agg((F.sum("z") * (a0 / b0)).alias("rate")))
+    for _ in range(rounds):
+        total = every.join(rate, ["indv", "label"]).groupBy("indv", "label").agg(F.sum(F.col("mu") * F.col("a") / (b0 + F.col("rate") * F.col("mu"))).alias("total"))
+        rho = of.join(total, ["indv", "label"]).groupBy("col_id").agg(((a0 + F.first("y")) / (b0 + F.sum(F.col("z") * F.col("total")))).alias("rho"))
+        rate = settled(of.join(rho, "col_id").groupBy("indv", "label").agg(F.sum(F.col("z") * F.col("rho")).alias("rate")))
+    return _moments(every.join(rate, ["indv", "label"]).withColumn("b", b0 + F.col("rate") * F.col("mu")), name)
 
 
 def matched_cells(cells: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("src",)) -> DataFrame:
@@ -89,19 +116,39 @@ def counterfactual(cells: DataFrame, vectors: DataFrame, treatment: str, k: int
     return matched_cells(cells, with_weights(near))
 
 
-def pairwise_delta(cells: DataFrame, member: DataFrame, vectors: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
-    """pairs(src, tgt) of individuals to (src, tgt, label, row_id, sum_delta, mean_delta, nobs): own sums less those of the
-    nearest columns of the other individual. A label without weight has a null mean."""
+def _matched_pairs(cells: DataFrame, member: DataFrame, vectors: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Own and matched cells (col_id, b, row_id, value) of the columns of pairs' first individuals, b being the second one."""
     from .knn import knn, with_weights
 
     who = member.select(F.col("col_id").alias("id"), "indv").distinct()
     v = vectors.join(who, "id")
     near = knn(v, v, k, "l2", "indv", other_groups=True, wanted=pairs.select(F.col("src").alias("q_group"), F.col("tgt").alias("t_group")))
-    kept = near.withColumnRenamed("tgt_group", "b")
-    w = with_weights(kept, ("src", "b"))
-    back = kept.select(F.col("src").alias("col_id"), "b").distinct()
-    y0 = matched_cells(cells, w, ("src", "b")).select("col_id", "b", "row_id", (-F.col("value")).alias("value"), F.lit(1).alias("arm"))
-    y1 = cells.join(back, "col_id").select("col_id", "b", "row_id", "value", F.lit(0).alias("arm"))
+    near = settled(near.withColumnRenamed("tgt_group", "b"), "matched")
+    own = cells.join(near.select(F.col("src").alias("col_id"), "b").distinct(), "col_id").select("col_id", "b", "row_id", "value")
+    return own, matched_cells(cells, with_weights(near, ("src", "b")), ("src", "b")).select("col_id", "b", "row_id", "value")
+
+
+def pairwise_rates(cells: DataFrame, member: DataFrame, vectors: DataFrame, pairs: DataFrame, rows: DataFrame, k: int = 10, a0: float = 1.0, b0: float = 1.0, rounds: int = 10) -> DataFrame:
+    """pairs(src, tgt) of individuals to (src, tgt, label, row_id) with mu, the rate that a pair's own and matched columns
+    have in common, and delta, what its own columns have beside it, with deviations and logarithms of both."""
+    own, other = _matched_pairs(cells, member, vectors, pairs, k)
+    numbered = settled(running(pairs.select("src", "tgt").distinct(), ["src", "tgt"], None, "pair"), "pairs")
+    of = member.join(numbered.select(F.col("src").alias("indv"), F.col("tgt").alias("b"), "pair"), "indv")
+    key = F.struct("col_id", "b").alias("col_id")  # a column may be in several pairs
+    of = of.select(key, F.col("pair").alias("indv"), "label", "z")
+    own, other = (x.select(key, "row_id", "value") for x in (own, other))
+    mu = settled(poisson_gamma(own, of, rows, a0, b0, rounds, other), "pair-rates")
+    delta = residual_rates(own, of, mu, a0, b0, rounds, "delta")
+    both = mu.join(delta, ["row_id", "indv", "label"]).withColumnRenamed("indv", "pair").join(numbered, "pair")
+    return both.drop("pair")
+
+
+def pairwise_delta(cells: DataFrame, member: DataFrame, vectors: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
+    """pairs(src, tgt) of individuals to (src, tgt, label, row_id, sum_delta, mean_delta, nobs): own sums less those of the
+    nearest columns of the other individual. A label without weight has a null mean."""
+    own, other = _matched_pairs(cells, member, vectors, pairs, k)
+    y0 = other.withColumns({"value": -F.col("value"), "arm": F.lit(1)})
+    y1 = own.withColumn("arm", F.lit(0))
     parts = y1.unionByName(y0).join(member, "col_id")
     zy = F.col("value") * F.col("z")
     got = parts.groupBy("indv", "b", "label", "row_id").agg(F.sum(zy).alias("sum_delta"), (F.sum(F.when(F.col("arm") == 0, zy).otherwise(0.0)) > 0).cast("int").alias("o1"), (F.sum(F.when(F.col("arm") == 1, -zy).otherwise(0.0)) > 0).cast("int").alias("o2"))

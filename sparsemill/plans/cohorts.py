@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..core import Matrix
 from ..operators.knn import match_groups, nearest_records
-from ..operators.pseudobulk import counterfactual, membership, pairwise_delta, poisson_gamma, pseudobulk
+from ..operators.pseudobulk import counterfactual, membership, pairwise_delta, pairwise_rates, poisson_gamma, pseudobulk, residual_rates
 from ..operators.spectral import svd
 
 
@@ -22,16 +22,19 @@ def align(cols: DataFrame, celltype: DataFrame, cell2indv: DataFrame, indv2expos
 
 
 def cocoa(m: Matrix, aligned: DataFrame, latent: DataFrame | None = None, rank: int = 10, k: int = 10, rounds: int = 5) -> dict[str, DataFrame]:
-    """Sums, means, estimates, and estimates together with what columns would be in other exposures."""
+    """Sums, means, estimates, estimates together with what columns would be in other exposures, and what the columns have
+    beside these."""
     member = aligned.select("col_id", "indv", "label", "z")
     if latent is None:
         latent = svd(m.triplets, m.rows, m.cols, rank)[2].withColumnRenamed("col_id", "id")
     v = latent.join(aligned.select(F.col("col_id").alias("id"), "exposure"), "id")
     cf = counterfactual(m.triplets, v, "exposure", k)
+    both = poisson_gamma(m.triplets, member, m.rows, rounds=rounds, other=cf)
     return {
         "bulk": pseudobulk(m.triplets, member),
         "mu": poisson_gamma(m.triplets, member, m.rows, rounds=rounds),
-        "cf": poisson_gamma(m.triplets, member, m.rows, rounds=rounds, other=cf),
+        "cf": both,
+        "resid": residual_rates(m.triplets, member, both, rounds=rounds),
     }
 
 
@@ -41,4 +44,5 @@ def pine(m: Matrix, aligned: DataFrame, latent: DataFrame | None = None, rank: i
     if latent is None:
         latent = svd(m.triplets, m.rows, m.cols, rank)[2].withColumnRenamed("col_id", "id")
     pairs = match_groups(latent.join(member.select(F.col("col_id").alias("id"), "indv"), "id"), "indv", k_indv)
-    return {"pairs": nearest_records(pairs), "delta": pairwise_delta(m.triplets, member, latent, pairs, k_cell)}
+    delta = pairwise_delta(m.triplets, member, latent, pairs, k_cell)
+    return {"pairs": nearest_records(pairs), "delta": delta, "rates": pairwise_rates(m.triplets, member, latent, pairs, m.rows, k_cell)}

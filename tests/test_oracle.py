@@ -47,9 +47,12 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert not bad, bad[:3]
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_other_queries_give_rows(spark, sf, name):
-    assert catalog.queries()[name](spark, sf).limit(5).count() > 0
+#: Held against numpy in test_numeric, test_search and test_models.
+NUMERIC = "annotate bbknn counterfactual knn_indexed knn_reweighted knn_weights match_files pairwise_delta poisson_pseudobulk simulate_mixture simulate_poisson svd_approx svd_em svd_project".split()
+
+
+def test_every_query_is_held_against_something():
+    assert sorted(set(catalog.queries()) - set(catalog.oracle_sql())) == NUMERIC
 
 
 def test_data_is_there(sf):
