@@ -35,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, as texts may be long: what a task holds in Python and beside the heap grows with it.
+BATCH_ROWS = 2000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most BATCH_ROWS rows. Operators that send texts to Python ask for it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def few_at_once(column, n: int = 256):
     """The values of an Arrow column, n of them as Python objects at a time, as texts may be long."""
     for lo in range(0, len(column), n):

@@ -24,7 +24,7 @@ RULES = {
 #: Characters on whose kind Unicode tables may differ; texts with one, or with any beyond Latin-1, take the other way.
 ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]|[^\x00-\xff]")
 #: A worker keeps the ids of at most twice so many pieces and units, of at most so many characters each.
-KEPT_PIECES, KEPT_UNITS, KEPT_CHARS = 50_000, 200_000, 48
+KEPT_PIECES, KEPT_UNITS, KEPT_CHARS = 30_000, 120_000, 48
 
 
 def tokenizer_path(name: str) -> str:

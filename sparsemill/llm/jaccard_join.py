@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage_table, table, text_or_empty
+from .common import in_small_batches, small, stage_table, table, text_or_empty
 
 SHINGLE, PERCENT = 5, 80
 #: The order of shingles knows at most so many common ones (12 bytes each in every task); all others count as rare.
@@ -30,7 +30,7 @@ LINK_BLOCK = 512
 #: Stands for the component of a group whose sets are in several.
 APART = -(1 << 63)
 #: Texts are hashed in chunks of about so many bytes.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 # Odd numbers for multiplicative hashing modulo 2**64.
 _P = 0x9E3779B97F4A7C15
@@ -141,7 +141,7 @@ def common_shingles(docs: DataFrame):
                     seen.add(digest)
                     kept.append(own)
                     n += len(own)
-            if n >= 3_000_000:  # a task's memory is bounded, whatever its input
+            if n >= 1_500_000:  # a task's memory is bounded, whatever its input
                 yield condensed()
                 kept, n, seen = [], 0, set()
         yield condensed()
@@ -188,7 +188,7 @@ def prefixes(docs: DataFrame, common) -> DataFrame:
                     own_ranks = np.where(known, ranks[at], 0)
                     order = np.lexsort((own, own_ranks))
                     own, rank = own[order], int(own_ranks[order[last - 1]])
-                prefix = own[:last]
+                prefix = own[:last].copy()  # else the whole set is kept
                 g = signed(xxhash.xxh3_64_intdigest(prefix.tobytes(), n))
                 out.append((doc_id, n, d1, d2, g, rank, None if g in seen else prefix))
                 if len(seen) < 200_000:  # beyond, repeats are only left out later
@@ -562,6 +562,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _connected(docs: DataFrame) -> tuple[DataFrame, ...]:
     """docs(doc_id, text) to their rows' digests, classes of the same set, sets of those that may link, (v, comp), links."""
+    in_small_batches(docs.sparkSession)
     cut = stage_table(prefixes(docs, common_shingles(docs)), "prefixes")
     classes = stage_table(cut.groupBy("n", "d1", "d2", "g").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")), "classes")
     index = stage_table(shared_postings(cut.where("prefix is not null").select("g", "n", "prefix")), "postings")

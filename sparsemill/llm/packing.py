@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_at_once, stage_table, table
+from .common import few_at_once, in_small_batches, stage_table, table
 from .encoding import Encoder, tokenizer_path
 
 CAPACITY = 1024
@@ -57,6 +57,7 @@ def token_pieces(docs: DataFrame, path: str, cut: str = "gaps", capacity: int =
             kinds = [pa.int32() if n == "piece" else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], names)
 
+    in_small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(encode, PIECES)
 

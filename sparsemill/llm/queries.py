@@ -37,4 +37,13 @@ def pipeline(spark, sf_dir):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """All pairs that share a shingle, and what each document reaches by those that link."""
+    return {
+        "op4_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+    r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v WHERE r.c < l.b)
+    SELECT r.v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, coalesce(any_value(k), 0) AS n_links FROM r LEFT JOIN n ON n.doc_id = r.v LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY 1) k ON k.a = r.v GROUP BY r.v""",
+    }

@@ -68,7 +68,7 @@ def _source_key() -> Column:
 
 
 def _stratum(size: str = "size") -> Column:
-    return F.when(F.col(size) > 0, F.floor(F.log2(F.col(size).cast("double")) * STRATA)).otherwise(-1).cast("int")
+    return F.coalesce(F.floor(F.log2(F.col(size).cast("double")) * STRATA), F.lit(-1)).cast("int")  # no logarithm of 0
 
 
 def balanced(p: list[float], size: list[float], draw) -> list[int]:

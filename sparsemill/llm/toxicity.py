@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_at_once, hash_unit, stage_table, table, text_or_empty, window_hashes, word_hashes, words
+from .common import few_at_once, hash_unit, in_small_batches, stage_table, table, text_or_empty, window_hashes, word_hashes, words
 
 # Word lists that the grammar starts from.
 INSULTS = "idiot moron loser scum trash clown stupid pathetic worthless disgusting dumb imbecile dummkopf idiotin abschaum crétin imbécile connard abruti estúpido imbécil basura escoria".split()
@@ -228,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[floa
     """Lexicon and weights. Without labels of both kinds, listed insults alone decide."""
     import numpy as np
 
+    in_small_batches(docs.sparkSession)
     rows = stage_table(training_rows(docs, labels), "toxic-labelled")
     lexicon = learn_lexicon(rows)
     got = clause_features(rows, lexicon, ["toxic", "weight"]).toPandas()  # at most TRAIN_TOXIC + TRAIN_CLEAN rows

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_at_once, hash_unit, stage_table, table
+from .common import few_at_once, hash_unit, in_small_batches, stage_table, table
 
 GOOD, BAD, NONE = 0, 1, 2
 #: The scorer is fitted on at most about so many documents, drawn by a hash of doc_id.
@@ -196,6 +196,7 @@ def train(docs: DataFrame):
     """(weights, constant, label model) from docs(doc_id, text)."""
     import numpy as np
 
+    in_small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     share = min(1.0, FIT_DOCS / max(1, docs.count()))
     marked = docs.withColumn("_fit", F.coalesce(hash_unit("doc_id", seed=23) < share, F.lit(False)))
