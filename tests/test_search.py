@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsemill import catalog
-from sparsemill.core import running
+from sparsemill.core import ranged, running
 from sparsemill.operators import edit, knn, stats
 
 
@@ -64,10 +64,19 @@ def test_groups_with_names(spark):
     assert got == {("x", "y"), ("y", "x"), ("z", "y")}
 
 
-def test_running_sums_over_ranges(spark):
+@pytest.fixture
+def several_ranges(spark):
+    """Small tables in as many ranges as there are shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_sums_over_ranges(spark, several_ranges):
     rng = np.random.default_rng(4)
     made = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, 50, 3000), rng.permutation(3000), rng.integers(0, 9, 3000))]
     df = spark.createDataFrame(made, "a long, b long, w long").repartition(7)
+    assert ranged(df, ["a", "b"]).select("_part").distinct().count() > 1
     got = {(r["a"], r["b"]): (r["s"], r["n"]) for r in running(running(df, ["a", "b"], "w", "s"), ["a", "b"], None, "n").collect()}
     total = 0
     for n, (a, b, w) in enumerate(sorted(made)):
@@ -76,7 +85,7 @@ def test_running_sums_over_ranges(spark):
     assert running(df.where("a < 0"), ["a"], None, "n").count() == 0
 
 
-def test_blocks_across_ranges(spark):
+def test_blocks_across_ranges(spark, several_ranges):
     ids = sorted({int(i) for i in np.random.default_rng(5).integers(0, 20000, 1500)})
     want, at = [], []
     for i in ids:
