@@ -15,6 +15,9 @@ _WHERE = {
     "op8_document_fingerprints": "fingerprints",
     "op9_best_fit_packing": "packing",
     "op10_quality_classifier": "weak_quality",
+    "op11_fill_in_middle": "fill_middle",
+    "op12_token_alignment": "token_alignment",
+    "op13_sharding": "sharding",
 }
 
 
@@ -37,8 +40,8 @@ def pipeline(spark, sf_dir):
 
 
 def oracle_sql() -> dict[str, str]:
-    """All pairs that share a shingle, and what each document reaches by those that link."""
     return {
+        # All pairs that share a shingle, and what each document reaches by those that link.
         "op4_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
     s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
     n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
@@ -46,4 +49,9 @@ def oracle_sql() -> dict[str, str]:
     l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
     r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v WHERE r.c < l.b)
     SELECT r.v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, coalesce(any_value(k), 0) AS n_links FROM r LEFT JOIN n ON n.doc_id = r.v LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY 1) k ON k.a = r.v GROUP BY r.v""",
+        "op11_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS d, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+    h AS (SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM d),
+    f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    c AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
     }
