@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .core import Matrix, canonical
 from .functions.vector import doubles
 from .operators import annotate as annotation
-from .operators import edit, knn, network, pseudobulk, simulate, spectral, stats
+from .operators import edit, graph, knn, network, pseudobulk, simulate, spectral, stats
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -274,6 +274,15 @@ def knn_indexed(spark, sf):
     return _r(knn.knn_indexed(v, v, 5), 6, "dist")
 
 
+def knn_graph(spark, sf):
+    return _r(graph.neighbour_graph(vectors(spark, sf), 5), 6, "dist")
+
+
+def knn_graph_search(spark, sf):
+    v = vectors(spark, sf)
+    return _r(graph.search_graph(v, v, graph.neighbour_graph(v, 16), 5), 6, "dist")
+
+
 def knn_named(spark, sf):
     v = vectors(spark, sf).withColumn("name", F.concat(F.lit("v"), "id"))
     return _r(knn.knn_named(v, v, 3, valid=v.where("batch < 5").select("name")), 6, "dist")
@@ -417,7 +426,7 @@ _NAMES = """row_scores col_scores value_histogram matrix_info build_sparse_sum s
 merge_batches common_names_union common_names_intersect column_index index_check column_blocks read_columns_sparse read_columns_dense
 normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns top_columns_cv pseudobulk_sum_mean annotate_join knn_l2
 knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
-sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_named poisson_pseudobulk
+sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_graph knn_graph_search knn_named poisson_pseudobulk
 poisson_rates residual_rates counterfactual counterfactual_nearest pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
 read_column_range relabelled_by_size observed_products topic_features file_set svd_approx svd_em svd_project bbknn match_files annotate simulate_poisson simulate_mixture""".split()
 

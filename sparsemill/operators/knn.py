@@ -3,8 +3,8 @@ weights.
 
 Vectors are packed into blocks of a bounded number, every query block meets every target block once (that is what exact
 search asks for), a task multiplies two blocks and passes on the k nearest of each query only, and the lists are merged.
-`knn_indexed` is the way for sizes at which all pairs of blocks are too many: a query meets the blocks of a few lists.
-Rows without id or vector take no part.
+`knn_indexed` is the way for sizes at which all pairs of blocks are too many: a query meets the blocks of some lists; see
+also the graph of graph.py. Rows without id or vector take no part.
 """
 
 from __future__ import annotations
@@ -19,17 +19,20 @@ from ..core import running, settled
 BLOCK = 2048
 #: Centres of an index are found from at most so many vectors for each, drawn by a hash of the id.
 SAMPLED = 64
+#: An index is measured with about so many vectors, and meets as many lists as find this share of their neighbours.
+MEASURED, RECALL = 256, 0.96
 
 
 def _known(vectors: DataFrame, group: str | None = None) -> DataFrame:
     more = [F.col(group).alias("group")] if group else []
-    return vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), *more)
+    whole = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull())
+    return vectors.where(F.col("id").isNotNull() & whole).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), *more)
 
 
 def _blocks(vectors: DataFrame, prefix: str, parts) -> DataFrame:
-    """vectors(id, v[, group]) to one row a block: ids and values as bytes, and the group if there is one. parts: among how
-    many blocks (of each group) a vector's are dealt."""
-    keys = [F.pmod(F.xxhash64("id"), parts).alias("part")] + (["group"] if "group" in vectors.columns else [])
+    """vectors(id, v[, group]) to one row a block: ids and values as bytes, the vectors' length, and the group if there is
+    one. parts: among how many blocks (of each group and length) a vector's are dealt."""
+    keys = [F.pmod(F.xxhash64("id"), parts).alias("part"), F.size("v").alias("dim")] + (["group"] if "group" in vectors.columns else [])
     kind = f", {prefix}_group {vectors.schema['group'].dataType.simpleString()}" if "group" in vectors.columns else ""
 
     def pack(key, pdf):
@@ -37,16 +40,10 @@ def _blocks(vectors: DataFrame, prefix: str, parts) -> DataFrame:
         import pandas as pd
 
         pdf = pdf.sort_values("id")
-        out = {f"{prefix}_ids": [pdf["id"].to_numpy("i8").tobytes()], f"{prefix}_vs": [np.stack(pdf["v"]).astype("f8").tobytes()]}
-        return pd.DataFrame(out | ({f"{prefix}_group": [key[1]]} if kind else {}))
+        out = {f"{prefix}_dim": [int(key[1])], f"{prefix}_ids": [pdf["id"].to_numpy("i8").tobytes()], f"{prefix}_vs": [np.stack(pdf["v"]).astype("f8").tobytes()]}
+        return pd.DataFrame(out | ({f"{prefix}_group": [key[2]]} if kind else {}))
 
-    return vectors.groupBy(*keys).applyInPandas(pack, f"{prefix}_ids binary, {prefix}_vs binary{kind}")
-
-
-def _centre(vectors: DataFrame) -> list[float]:
-    """The mean vector; a number for each dimension."""
-    rows = vectors.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).orderBy("at").collect()
-    return [r["x"] for r in rows]
+    return vectors.groupBy(*keys).applyInPandas(pack, f"{prefix}_dim int, {prefix}_ids binary, {prefix}_vs binary{kind}")
 
 
 def block_distances(x, y, k: int, space: str):
@@ -75,25 +72,29 @@ def block_distances(x, y, k: int, space: str):
     return at, d
 
 
-def _search(pairs: DataFrame, k: int, space: str, centre: list[float], kind: str | None) -> DataFrame:
-    """Pairs of blocks to (src, tgt, dist[, tgt_group]), the k nearest for each query (and group)."""
+def _search(pairs: DataFrame, k: int, space: str, kind: str | None) -> DataFrame:
+    """Pairs of blocks to (src, tgt, dist[, tgt_group]), the k nearest for each query (and group). Vectors of different
+    lengths are no neighbours. Squared distances are taken from the mean of a block of targets."""
 
     def nearest(batches):
         import numpy as np
         import pandas as pd
 
-        dim, mean = max(1, len(centre)), np.array(centre if space == "l2" else [0.0] * len(centre))
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ai, bi = (np.frombuffer(x, "i8") for x in (row.q_ids, row.t_ids))
-                x, y = (np.frombuffer(v, "f8").reshape(-1, dim) - mean for v in (row.q_vs, row.t_vs))
+                x, y = (np.frombuffer(v, "f8").reshape(-1, row.q_dim) for v in (row.q_vs, row.t_vs))
+                if space == "l2":
+                    middle = y.mean(0)
+                    x, y = x - middle, y - middle
                 at, d = block_distances(x, y, k, space)
                 out = pd.DataFrame({"src": np.repeat(ai, at.shape[1]), "tgt": bi[at].ravel(), "dist": d.ravel()})
                 if kind:
                     out["tgt_group"] = row.t_group
                 yield out
 
-    found = pairs.mapInPandas(nearest, "src long, tgt long, dist double" + (f", tgt_group {kind}" if kind else ""))
+    same = pairs.where(F.col("q_dim") == F.col("t_dim"))
+    found = same.mapInPandas(nearest, "src long, tgt long, dist double" + (f", tgt_group {kind}" if kind else ""))
     by = ["src"] + (["tgt_group"] if kind else [])
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("dist", 10), "tgt"))
     return found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
@@ -103,33 +104,45 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2", group
     """(src, tgt, dist[, tgt_group]): for every query its k nearest targets, the query itself included if it is one; equal
     distances (to ten places) by id. space l2: squared distance; ip: 1 - x.y. With group (a column of targets), k nearest
     in each group; with other_groups too (a column of both), only groups other than the query's own, and with
-    wanted(q_group, t_group), only these pairs of groups."""
+    wanted(q_group, t_group), only these pairs of groups. Rows without id or vector, or with a hole in it, take no part;
+    vectors of different lengths are no neighbours; a null group has targets of its own and no query of another group."""
     q, t = _known(queries, group if other_groups else None), _known(targets, group)
-    parts = lambda v: F.lit(max(1, math.ceil(v.count() / block)))
-    left, right = _blocks(q, "q", parts(q)), _blocks(t, "t", parts(t))
+    n_t = targets.count()
+    n_q = n_t if queries.sameSemantics(targets) else queries.count()
+    parts = lambda n: F.lit(max(1, math.ceil(n / block)))
+    left, right = _blocks(q, "q", parts(n_q)), _blocks(t, "t", parts(n_t))
     if wanted is not None:
         pairs = left.join(wanted.select("q_group", "t_group").distinct(), "q_group").join(right, "t_group")
     else:
         pairs = left.crossJoin(right)  # blocks, not rows
         if other_groups:
             pairs = pairs.where(F.col("q_group") != F.col("t_group"))
-    return _search(pairs, k, space, _centre(t), targets.schema[group].dataType.simpleString() if group else None)
+    return _search(pairs, k, space, targets.schema[group].dataType.simpleString() if group else None)
+
 
+def _hash_unit(seed: int):
+    return F.xxhash64("id", F.lit(seed)).bitwiseAND(F.expr("9007199254740991L")) / F.lit(float(1 << 53))
 
-def knn_indexed(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2", lists: int | None = None, probes: int = 16, block: int = BLOCK, seed: int = 7) -> DataFrame:
+
+def knn_indexed(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2", lists: int | None = None, probes: int | None = None, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """knn without groups, approximate: targets lie in lists around centres and a query meets those of its `probes` nearest
     centres; with as many probes as lists the result is exact. Centres come from a bounded sample (SAMPLED for each), every
-    target is in a list, and a large list is as many blocks as it needs, so that a hot one is no bottleneck."""
+    target is in a list, and a large list is as many blocks as it needs, so that a hot one is no bottleneck.
+
+    Without probes their number is measured: for about MEASURED targets the k nearest are found exactly, and as many lists
+    are met as hold RECALL of them. Vectors without structure ask for many lists, clustered ones for few. Targets of
+    another length than most are left out of the index."""
     import numpy as np
 
-    q, t = _known(queries), settled(_known(targets), "indexed")
-    n = t.count()
+    t = settled(_known(targets).withColumn("dim", F.size("v")), "indexed")
+    usual = t.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    n, dim = (usual["count"], usual["dim"]) if usual else (0, 0)
+    t, q = t.where(F.col("dim") == dim).drop("dim"), _known(queries).where(F.size("v") == dim)
     lists = max(1, min(lists or min(4096, math.isqrt(n)), n))
     share = min(1.0, SAMPLED * lists / max(1, n))
-    unit = F.xxhash64("id", F.lit(seed)).bitwiseAND(F.expr("9007199254740991L")) / F.lit(float(1 << 53))
-    sample = np.array([r["v"] for r in t.where(unit < share).select("v").orderBy(F.xxhash64("v")).collect()])  # about SAMPLED * lists rows
+    sample = np.array([r["v"] for r in t.where(_hash_unit(seed) < share).select("v").orderBy(F.xxhash64("v")).collect()])  # about SAMPLED * lists rows
     if not len(sample):
-        return _search(_blocks(q, "q", F.lit(1)).crossJoin(_blocks(t, "t", F.lit(1))), k, space, _centre(t), None)  # one block each
+        return _search(_blocks(q, "q", F.lit(1)).crossJoin(_blocks(t, "t", F.lit(1))), k, space, None)  # one block each
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
     for _ in range(8):
@@ -139,23 +152,37 @@ def knn_indexed(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2
         size = np.bincount(own, minlength=len(centres))
         centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
 
+    def order(x):
+        far = -x @ centres.T if space == "ip" else (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+        return np.argsort(far, axis=1, kind="stable")
+
     def placed(vectors: DataFrame, most: int) -> DataFrame:
         def place(batches):
             for pdf in batches:
                 if len(pdf):
-                    x = np.stack(pdf["v"])
-                    far = -x @ centres.T if space == "ip" else (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
-                    pdf["group"] = np.argsort(far, axis=1, kind="stable")[:, :most].astype("i4").tolist()
+                    pdf["group"] = order(np.stack(pdf["v"]))[:, :most].astype("i4").tolist()
                     yield pdf[["id", "v", "group"]]
 
         return vectors.mapInPandas(place, "id long, v array<double>, group array<int>").withColumn("group", F.explode("group"))
 
-    t, q = settled(placed(t, 1), "lists"), placed(q, probes)
+    t = settled(placed(t, 1), "lists")
+    if probes is None:
+        asked = t.where(_hash_unit(seed + 1) < min(1.0, MEASURED / n)).select("id", "v")
+        near = knn(asked, t.select("id", "v"), k + 1, space).where("src <> tgt")
+        near = near.join(t.select(F.col("id").alias("tgt"), "group"), "tgt").select("src", "group").collect()  # about MEASURED * k rows
+        vectors = {r["id"]: r["v"] for r in asked.collect()}
+        if near:
+            rank = order(np.array(list(vectors.values()))).argsort(1)
+            row = {i: at for at, i in enumerate(vectors)}
+            probes = 1 + int(np.quantile([rank[row[r["src"]], r["group"]] for r in near], RECALL, method="higher"))
+        else:
+            probes = len(centres)
+    q = placed(q, probes)
     sizes = t.groupBy("group").agg(F.ceil(F.count("*") / block).alias("parts"))
     in_lists = t.join(F.broadcast(sizes), "group")  # a row a list
-    left = _blocks(q, "q", F.lit(max(1, math.ceil(q.count() / len(centres) / block))))
+    left = _blocks(q, "q", F.lit(max(1, math.ceil(queries.count() * min(probes, len(centres)) / len(centres) / block))))
     right = _blocks(in_lists.select("id", "v", "group", "parts"), "t", F.col("parts"))
-    return _search(left.join(right, F.col("q_group") == F.col("t_group")), k, space, _centre(t), None)
+    return _search(left.join(right, F.col("q_group") == F.col("t_group")), k, space, None)
 
 
 def knn_named(queries: DataFrame, targets: DataFrame, k: int, space: str = "l2", valid: DataFrame | None = None) -> DataFrame:
@@ -176,7 +203,8 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 def balanced_knn(vectors: DataFrame, k: int, batch: str = "batch") -> DataFrame:
     """(src, tgt, dist, src_batch, tgt_batch): of each batch max(1, min(k, its size) div the number of batches) nearest,
-    then the query itself is left out."""
+    then the query itself is left out. Rows without batch take no part, as queries or targets."""
+    vectors = vectors.where(F.col(batch).isNotNull())
     sizes = vectors.groupBy(batch).agg(F.count("*").alias("n"))
     batches = max(1, sizes.count())
     quota = sizes.select(F.col(batch).alias("tgt_group"), F.greatest(F.lit(1), F.expr(f"least({max(k, 1)}, n) div {batches}")).alias("quota"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparsemill import catalog
 from sparsemill.core import ranged, running
-from sparsemill.operators import edit, knn, stats
+from sparsemill.operators import edit, graph, knn, stats
 
 
 def frame(spark, x, first=0):
@@ -49,13 +49,70 @@ def test_quota_has_no_cap(spark):
     assert tuple(got) == (1499, 1499)
 
 
-def test_index_finds_nearly_all(spark, sf):
+def recall(found, exact):
+    found, exact = ({(r["src"], r["tgt"]) for r in rows.collect()} for rows in (found, exact))
+    return len(found & exact) / len(exact)
+
+
+@pytest.fixture(scope="module")
+def sets(spark):
+    """The vectors of the larger tables, 4,000 Gaussian ones, and ones in clusters."""
+    rng = np.random.default_rng(0)
+    clusters = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(size=(3000, 16))
+    return {"tables": catalog.vectors(spark, "/root/testdata/sf0.1"), "gaussian": frame(spark, rng.normal(size=(4000, 64))), "clusters": frame(spark, clusters)}
+
+
+@pytest.mark.parametrize("name", ["tables", "gaussian", "clusters"])
+@pytest.mark.parametrize("space", ["l2", "ip"])
+def test_index_finds_nearly_all(sets, name, space):
+    v = knn.unit_vectors(sets[name]) if space == "ip" else sets[name]
+    assert recall(knn.knn_indexed(v, v, 5, space), knn.knn(v, v, 5, space)) >= 0.9
+
+
+def test_index_with_all_lists_is_exact(spark, sf):
     v = catalog.vectors(spark, sf)
-    exact = {(r["src"], r["tgt"]) for r in knn.knn(v, v, 5).collect()}
-    found = {(r["src"], r["tgt"]) for r in catalog.knn_indexed(spark, sf).collect()}
-    assert len(found & exact) >= 0.9 * len(exact)
-    every = {(r["src"], r["tgt"]) for r in knn.knn_indexed(v, v, 5, lists=12, probes=12, block=50).collect()}
-    assert every == exact
+    assert recall(knn.knn_indexed(v, v, 5, lists=12, probes=12, block=50), knn.knn(v, v, 5)) == 1.0
+
+
+@pytest.mark.parametrize("name", ["tables", "gaussian", "clusters"])
+def test_graph_finds_nearly_all(sets, name):
+    v, report = sets[name], {}
+    made = graph.neighbour_graph(v, 5, report=report)
+    assert recall(made, knn.knn(v, v, 6).where("src <> tgt")) >= 0.9
+    assert report["distances"] < 0.7 * report["n"] ** 2 and report["distances"] < 2500 * report["n"]
+    assert made.where("src = tgt").isEmpty() and made.groupBy("src").count().where("count <> 5").isEmpty()
+
+
+def test_search_along_the_graph(sets):
+    v = sets["gaussian"]
+    made = graph.neighbour_graph(v, 16)
+    asked = v.where("id % 20 = 3").withColumn("id", F.col("id") + 100_000)
+    assert recall(graph.search_graph(asked, v, made, 5), knn.knn(asked, v, 5)) >= 0.9
+
+
+def test_graph_of_copies_and_holes(spark):
+    """One vector a third of all rows; nulls, holes, other lengths, repeated ids; few rows and none."""
+    x = np.random.default_rng(2).normal(size=(900, 4))
+    x[:300] = x[0]
+    odd = [(2000, None), (None, [1.0] * 4), (2001, [1.0, None, 2.0, 3.0]), (2002, [1.0, 2.0]), (899, x[899].tolist())]
+    v = frame(spark, x).unionByName(spark.createDataFrame(odd, "id long, v array<double>"))
+    got = graph.neighbour_graph(v, 4).collect()
+    assert {r["src"] for r in got} == set(range(900)) and all(r["dist"] < 1e-9 for r in got if r["src"] < 300)
+    few = v.where("id in (1, 2, 500)")
+    assert sorted((r["src"], r["tgt"]) for r in graph.neighbour_graph(few, 4).collect()) == [(1, 2), (1, 500), (2, 1), (2, 500), (500, 1), (500, 2)]
+    none = v.where("id > 9999")
+    assert graph.neighbour_graph(none, 4).count() == 0
+    assert graph.neighbour_graph(v.where("id = 5"), 4).count() == 0
+    assert graph.search_graph(none, v, graph.neighbour_graph(v, 4), 3).count() == 0
+    assert {r["tgt"] for r in graph.search_graph(v.where("id = 700"), few, graph.neighbour_graph(few, 4), 3).collect()} == {1, 2, 500}
+    assert {r["src"] for r in knn.knn(v, v, 2).collect()} == {*range(900), 2002}
+    assert {r["src"] for r in knn.knn_indexed(v, v, 2).collect()} == set(range(900))
+
+
+def test_rows_without_batch_are_no_neighbours(spark):
+    v = frame(spark, np.random.default_rng(5).normal(size=(30, 3))).withColumn("batch", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    got = knn.balanced_knn(v, 6).collect()
+    assert {r["src"] % 3 for r in got} == {1, 2} and {r["tgt"] % 3 for r in got} == {1, 2}
 
 
 def test_groups_with_names(spark):
