@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import running
-from .common import drop_at_exit, in_small_batches, shared_dir, stage_table, table, text_or_empty
+from .common import drop_at_exit, in_small_batches, shared_dir, table, text_or_empty
 
 SHARDS = 16
-#: Bytes of text in a bucket, on average.
-BUCKET_BYTES = 32 << 20
+#: Bytes of text in a bucket, on average, and tasks of the second pass at most; a task has several buckets beyond that.
+BUCKET_BYTES, MOST_TASKS = 16 << 20, 1 << 16
 #: Rows handed on at a time.
 ROWS = 512
 LAW = "rows"
@@ -56,7 +56,10 @@ def scattered(docs: DataFrame, seed: int) -> DataFrame:
                 seen[h] = k + 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array([part if k else 0 for k in n], pa.int32())], [*b.schema.names, "_sh_n", "_sh_p"])
 
-    return stage_table(given.mapInArrow(number, kinds), "scattered")
+    path = f"{shared_dir(docs.sparkSession)}/scattered-{uuid.uuid4().hex}"
+    drop_at_exit(docs.sparkSession, path)
+    given.mapInArrow(number, kinds).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(kinds).parquet(path)
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> str:
@@ -77,7 +80,8 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, seed: int =
     before = running(rows.groupBy("_sh_bucket").agg(F.count("*").alias("_sh_rows")), ["_sh_bucket"], "_sh_rows", "_sh_before")
     # What lies before a bucket comes to it as a row of its own, ahead of the records.
     both = rows.withColumn("_sh_before", F.lit(None).cast("long")).unionByName(before.select("_sh_bucket", "_sh_before"), allowMissingColumns=True)
-    dealt = both.repartitionById(buckets, F.col("_sh_bucket")).sortWithinPartitions("_sh_bucket", F.col("_sh_before").isNull(), "_sh_h", "_sh_n", "_sh_p")
+    tasks = min(buckets, MOST_TASKS)
+    dealt = both.repartitionById(tasks, F.expr(f"int(bigint(_sh_bucket) * {tasks} div {buckets})")).sortWithinPartitions("_sh_bucket", F.col("_sh_before").isNull(), "_sh_h", "_sh_n", "_sh_p")
     kinds = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def shuffled(batches):
@@ -111,7 +115,7 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, seed: int =
         yield from written(bucket, first, held)
 
     placed = dealt.select(*names, "_sh_bucket", "_sh_before").mapInArrow(shuffled, kinds)
-    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(folder)
     return folder
 
 
