@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import in_small_batches, stage_table, table, text_or_empty
 from .encoding import Encoder, byte_letters, tokenizer_path
 
-STRIPES = 256
+STRIPES = 512
 #: A chunk ends with so many code points or documents.
-CHUNK_CHARS, CHUNK_DOCS = 4 << 20, 2048
+CHUNK_CHARS, CHUNK_DOCS = 3 << 20, 1024
 #: A part of a stripe holds about so many bytes of blobs.
 PART_BYTES = 16 << 20
 CHUNKS = "part int, number int, stripe int, ids array<long>, counts binary, groups array<string>, pairs binary, links binary"
