@@ -297,8 +297,8 @@ def poisson_rates(spark, sf):
 
 
 def _embedded(spark, sf):
-    """Vectors as columns of a matrix: cells of the positive coordinates."""
-    long = vectors(spark, sf).select(F.col("id").alias("col_id"), F.posexplode("v").alias("row_id", "x")).select(F.col("row_id").cast("long").alias("row_id"), "col_id", F.round(F.exp("x"), 6).alias("value"))
+    """Vectors as columns of a matrix: cells of the positive coordinates, in 1024ths, so that sums and halves are exact."""
+    long = vectors(spark, sf).select(F.col("id").alias("col_id"), F.posexplode("v").alias("row_id", "x")).select(F.col("row_id").cast("long").alias("row_id"), "col_id", (F.round(F.exp("x") * 1024) / 1024).alias("value"))
     return canonical(long)
 
 
@@ -321,11 +321,11 @@ def residual_rates(spark, sf):
 
 def counterfactual_nearest(spark, sf):
     out = pseudobulk.counterfactual(_embedded(spark, sf), vectors(spark, sf).withColumn("trt", F.col("batch") % 2).select("id", "v", "trt"), "trt", 1)
-    return _r(out, 6, "value").select("col_id", "row_id", "value")
+    return out.select("col_id", "row_id", "value")
 
 
 def pairwise_nearest(spark, sf):
-    return _r(pairwise_delta(spark, sf, 1), 4, "sum_delta", "mean_delta")
+    return pairwise_delta(spark, sf, 1)
 
 
 def pairwise_delta(spark, sf, k: int = 5):
@@ -384,7 +384,7 @@ def topic_features(spark, sf):
     """Features on the edges of vectors' mutual neighbours, without weights."""
     v = vectors(spark, sf)
     names = v.select(F.col("id").alias("col_id"), F.concat(F.lit("v"), "id").alias("col_name"))
-    return _r(network.topic_data(_embedded(spark, sf), names, v.select("id", "batch", "v"), 20, weighted=False)["features"], 5, "value")
+    return network.topic_data(_embedded(spark, sf), names, v.select("id", "batch", "v"), 20, weighted=False)["features"]
 
 
 def file_set(spark, sf):
@@ -482,7 +482,7 @@ def _sql_knn(k: int, dist: str, e: str, where: str = "true", by: str = "a.id", m
 
 
 _UNIT = _E[:-1].replace("e AS (SELECT", "e0 AS (SELECT") + "), e AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-8)) AS v, batch FROM e0)"
-_CELLS = "t AS (SELECT unnest(range(64)) AS row_id, vec_id AS col_id, round(exp(unnest(embedding)::DOUBLE), 6) AS value FROM embeddings)"
+_CELLS = "t AS (SELECT unnest(range(64)) AS row_id, vec_id AS col_id, round(exp(unnest(embedding)::DOUBLE) * 1024) / 1024 AS value FROM embeddings)"
 _MATCH = "l AS (SELECT batch, unnest(range(1, 65)) AS f, unnest(v) AS x FROM e), s AS (SELECT batch, f, sum(x) AS x FROM l GROUP BY ALL), h AS (SELECT f, greatest(sqrt(sum(x * x)), 1e-8) AS h FROM s GROUP BY 1), p AS (SELECT batch, f, x / h AS x FROM s JOIN h USING (f)), u AS (SELECT batch, greatest(sqrt(sum(x * x)), 1e-8) AS u FROM p GROUP BY 1), y AS (SELECT batch, f, x / u AS x FROM p JOIN u USING (batch)), d AS (SELECT a.batch AS src, b.batch AS tgt, 1 - sum(a.x * b.x) AS dist FROM y a JOIN y b USING (f) WHERE a.batch <> b.batch GROUP BY 1, 2)"
 #: All pairs, once: the distance is that of lists.
 _PAIRS = "x AS MATERIALIZED (SELECT a.id AS src, b.id AS tgt, a.batch AS src_batch, b.batch AS tgt_batch, list_distance(a.v, b.v) ** 2 AS dist FROM e a, e b)"
@@ -528,14 +528,14 @@ def oracle_sql() -> dict[str, str]:
         "poisson_rates": _sql_poisson(10),
         "residual_rates": _sql_residual(10),
         "counterfactual_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, n AS (SELECT src, tgt FROM x WHERE src_batch % 2 <> tgt_batch % 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1) SELECT src AS col_id, row_id::BIGINT AS row_id, value FROM n JOIN t ON t.col_id = n.tgt",
-        "pairwise_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, {_MATCH}, g AS (SELECT src, tgt FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1), n AS (SELECT x.src, x.tgt, src_batch, tgt_batch FROM x JOIN g ON g.src = src_batch AND g.tgt = tgt_batch QUALIFY row_number() OVER (PARTITION BY x.src, tgt_batch ORDER BY round(dist, 10), x.tgt) <= 1), k AS (SELECT batch, count(*) AS k FROM e GROUP BY 1) SELECT src_batch::BIGINT AS src, tgt_batch::BIGINT AS tgt, 'ct1' AS label, a.row_id::BIGINT AS row_id, round(sum(a.value - b.value), 4) AS sum_delta, round(sum(a.value - b.value) / any_value(k), 4) AS mean_delta, ((sum(a.value) > 0)::INT + (sum(b.value) > 0)::INT)::INT AS nobs FROM n JOIN t a ON a.col_id = n.src JOIN t b ON b.col_id = n.tgt AND b.row_id = a.row_id JOIN k ON k.batch = src_batch GROUP BY src_batch, tgt_batch, a.row_id",
+        "pairwise_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, {_MATCH}, g AS (SELECT src, tgt FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1), n AS (SELECT x.src, x.tgt, src_batch, tgt_batch FROM x JOIN g ON g.src = src_batch AND g.tgt = tgt_batch QUALIFY row_number() OVER (PARTITION BY x.src, tgt_batch ORDER BY round(dist, 10), x.tgt) <= 1), k AS (SELECT batch, count(*) AS k FROM e GROUP BY 1) SELECT src_batch::BIGINT AS src, tgt_batch::BIGINT AS tgt, 'ct1' AS label, a.row_id::BIGINT AS row_id, sum(a.value - b.value) AS sum_delta, sum(a.value - b.value) / any_value(k) AS mean_delta, ((sum(a.value) > 0)::INT + (sum(b.value) > 0)::INT)::INT AS nobs FROM n JOIN t a ON a.col_id = n.src JOIN t b ON b.col_id = n.tgt AND b.row_id = a.row_id JOIN k ON k.batch = src_batch GROUP BY src_batch, tgt_batch, a.row_id",
         "column_degrees_scaled": f"WITH {_T} SELECT row_id, col_id, round(value / greatest(1, sqrt(d2 + 1)), 6) AS value FROM t JOIN {_NORMED} USING (col_id)",
         "nonempty_columns": f"WITH {_T} SELECT col_id, concat('o', col_id) AS col_name, count(*) AS nnz FROM t GROUP BY 1",
         "read_block": f"WITH {_FEW}, q(col_id, new_col) AS (VALUES {request}), p(row_id, new_row) AS (VALUES (3, 1), (1, 2), (24, 3), (77, 4)) SELECT new_row::BIGINT AS row_id, new_col::BIGINT AS col_id, value FROM t JOIN q USING (col_id) JOIN p USING (row_id)",
         "read_column_range": f"WITH {_T} SELECT row_id, col_id - 100 AS col_id, value FROM t WHERE col_id >= 100 AND col_id < 600",
         "relabelled_by_size": "WITH k AS (SELECT o_orderpriority AS label, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS new_label FROM orders GROUP BY 1) SELECT label, o_orderkey AS col_id, new_label FROM orders JOIN k ON label = o_orderpriority",
         "observed_products": f"WITH {_FEW} SELECT a.row_id AS i, b.row_id AS j, round(sum(a.value * b.value), 4) AS product, count(*)::DOUBLE AS n FROM t a JOIN t b USING (col_id) GROUP BY 1, 2",
-        "topic_features": f"WITH {_E}, {_PAIRS}, {_CELLS}, s AS (SELECT batch, count(*) AS n, count(*) OVER () AS nb FROM e GROUP BY 1), n AS MATERIALIZED (SELECT src, tgt FROM (SELECT src, tgt, greatest(1, least(20, n) // nb) AS q, row_number() OVER (PARTITION BY src, tgt_batch ORDER BY round(dist, 10), tgt) AS r FROM x JOIN s ON s.batch = tgt_batch) WHERE r <= q AND src <> tgt), g AS (SELECT DISTINCT least(a.src, a.tgt) AS src, greatest(a.src, a.tgt) AS tgt FROM n a JOIN n b ON a.src = b.tgt AND a.tgt = b.src), k AS (SELECT *, row_number() OVER (ORDER BY src, tgt) AS edge_id FROM g) SELECT a.row_id::BIGINT AS row_id, edge_id, round((a.value + b.value) / 2, 5) AS value FROM k JOIN t a ON a.col_id = src JOIN t b ON b.col_id = tgt AND a.row_id = b.row_id",
+        "topic_features": f"WITH {_E}, {_PAIRS}, {_CELLS}, s AS (SELECT batch, count(*) AS n, count(*) OVER () AS nb FROM e GROUP BY 1), n AS MATERIALIZED (SELECT src, tgt FROM (SELECT src, tgt, greatest(1, least(20, n) // nb) AS q, row_number() OVER (PARTITION BY src, tgt_batch ORDER BY round(dist, 10), tgt) AS r FROM x JOIN s ON s.batch = tgt_batch) WHERE r <= q AND src <> tgt), g AS (SELECT DISTINCT least(a.src, a.tgt) AS src, greatest(a.src, a.tgt) AS tgt FROM n a JOIN n b ON a.src = b.tgt AND a.tgt = b.src), k AS (SELECT *, row_number() OVER (ORDER BY src, tgt) AS edge_id FROM g) SELECT a.row_id::BIGINT AS row_id, edge_id, (a.value + b.value) / 2 AS value FROM k JOIN t a ON a.col_id = src JOIN t b ON b.col_id = tgt AND a.row_id = b.row_id",
         "file_set": f"WITH {_FEW}, c AS (SELECT o_orderkey, concat('o', o_orderkey) AS col_name, row_number() OVER (ORDER BY o_orderkey) AS col_id, coalesce(k, 0) AS nnz FROM orders LEFT JOIN (SELECT col_id AS o, count(*) AS k FROM t GROUP BY 1) ON o = o_orderkey), i AS (SELECT *, (sum(nnz) OVER (ORDER BY col_id) - nnz)::BIGINT AS first_pos FROM c) SELECT concat('r', t.row_id) AS row_name, col_name, t.row_id + 1 AS row_id, i.col_id, round(value, 6) AS value, first_pos, nnz::BIGINT AS nnz FROM t JOIN i ON i.o_orderkey = t.col_id",
         "knn_cross_group": _sql_knn(2, _D, _E, "a.batch <> b.batch", "a.id, b.batch", ", b.batch AS tgt_batch"),
         "match_individuals": f"WITH {_E}, l AS (SELECT batch, unnest(range(1, 65)) AS f, unnest(v) AS x FROM e), s AS (SELECT batch, f, sum(x) AS x FROM l GROUP BY ALL), h AS (SELECT f, greatest(sqrt(sum(x * x)), 1e-8) AS h FROM s GROUP BY 1), p AS (SELECT batch, f, x / h AS x FROM s JOIN h USING (f)), u AS (SELECT batch, greatest(sqrt(sum(x * x)), 1e-8) AS u FROM p GROUP BY 1), y AS (SELECT batch, f, x / u AS x FROM p JOIN u USING (batch)), d AS (SELECT a.batch AS src, b.batch AS tgt, 1 - sum(a.x * b.x) AS dist FROM y a JOIN y b USING (f) WHERE a.batch <> b.batch GROUP BY 1, 2) SELECT src::BIGINT AS src, tgt::BIGINT AS tgt, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) AS r FROM d) WHERE r <= 2",
