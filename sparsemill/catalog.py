@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .core import Matrix, canonical
 from .functions.vector import doubles
 from .operators import annotate as annotation
-from .operators import edit, graph, knn, network, pseudobulk, simulate, spectral, stats
+from .operators import edit, graph, knn, network, pseudobulk, regression, simulate, spectral, stats
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -324,6 +324,18 @@ def counterfactual_nearest(spark, sf):
     return out.select("col_id", "row_id", "value")
 
 
+def counterfactual_regression(spark, sf):
+    v = vectors(spark, sf).withColumn("trt", F.col("batch") % 2).select("id", "v", "trt")
+    return pseudobulk.counterfactual(_embedded(spark, sf), v, "trt", 5, by="regression", rows=_latent(spark, sf)[0])
+
+
+def least_squares(spark, sf):
+    """Prices on three covariates by return flag."""
+    li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *[F.col(f"l_{c}").cast("double").alias(c) for c in ("extendedprice", "quantity", "discount", "tax")])
+    out = regression.least_squares(li, ["l_returnflag"], ["extendedprice"], ["quantity", "discount", "tax"])
+    return out.select("l_orderkey", "l_linenumber", F.round("fitted_extendedprice", 4).alias("fitted"), F.round("residual_extendedprice", 4).alias("residual"))
+
+
 def pairwise_nearest(spark, sf):
     return pairwise_delta(spark, sf, 1)
 
@@ -427,7 +439,7 @@ merge_batches common_names_union common_names_intersect column_index index_check
 normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns top_columns_cv pseudobulk_sum_mean annotate_join knn_l2
 knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
 sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_graph knn_graph_search knn_named poisson_pseudobulk
-poisson_rates residual_rates counterfactual counterfactual_nearest pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
+poisson_rates residual_rates counterfactual counterfactual_nearest counterfactual_regression least_squares pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
 read_column_range relabelled_by_size observed_products topic_features file_set svd_approx svd_em svd_project bbknn match_files annotate simulate_poisson simulate_mixture""".split()
 
 
@@ -546,5 +558,9 @@ def oracle_sql() -> dict[str, str]:
         "sample_adjacency": f"WITH {_CHAIN} SELECT row_id, col_id, round(sum(w) * 0.5, 6) AS value FROM (SELECT src AS row_id, tgt AS col_id, weight AS w FROM g UNION ALL SELECT tgt, src, weight FROM g) GROUP BY 1, 2",
         "marker_match": "WITH r AS (SELECT p_name, min(p_partkey) AS row_id FROM part GROUP BY 1) SELECT p_brand AS label, row_id, count(*)::DOUBLE AS value FROM part JOIN r USING (p_name) WHERE p_partkey % 3 = 0 GROUP BY 1, 2",
         "qc_disqualified": f"WITH {_FEW}, c(row_id, threshold) AS (VALUES (1, 10.0), (2, 1.0)) SELECT DISTINCT o_orderkey AS col_id FROM orders CROSS JOIN c LEFT JOIN t ON t.col_id = o_orderkey AND t.row_id = c.row_id WHERE coalesce(value, 0) < threshold",
+        "least_squares": """WITH s AS (SELECT l_returnflag, avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_tax) AS m3, var_pop(l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, covar_pop(l_quantity, l_tax) AS c, var_pop(l_discount) AS d, covar_pop(l_discount, l_tax) AS e, var_pop(l_tax) AS f, covar_pop(l_quantity, l_extendedprice) AS u, covar_pop(l_discount, l_extendedprice) AS v, covar_pop(l_tax, l_extendedprice) AS w FROM lineitem GROUP BY 1),
+    k AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s),
+    g AS (SELECT *, (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS b1, (a * (v * f - e * w) - u * (b * f - c * e) + c * (b * w - v * c)) / det AS b2, (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det AS b3 FROM k),
+    p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, my + b1 * (l_quantity - m1) + b2 * (l_discount - m2) + b3 * (l_tax - m3) AS f FROM lineitem JOIN g USING (l_returnflag)) SELECT l_orderkey, l_linenumber, round(f, 4) AS fitted, round(y - f, 4) AS residual FROM p""",
         "regression_residuals": "WITH s AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 4) AS fitted, round(l_extendedprice - (a + b * l_quantity), 4) AS residual FROM lineitem JOIN s USING (l_returnflag)",
     }

@@ -108,11 +108,18 @@ def matched_cells(cells: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("
     return near.join(total, list(keys)).select(F.col("src").alias("col_id"), *keys[1:], "row_id", (F.col("s") / F.greatest("w", F.lit(1e-8))).alias("value"))
 
 
-def counterfactual(cells: DataFrame, vectors: DataFrame, treatment: str, k: int = 10) -> DataFrame:
-    """What each column would be in the other treatments: weighted mean of its k nearest columns in each of them."""
+def counterfactual(cells: DataFrame, vectors: DataFrame, treatment: str, k: int = 10, by: str = "mean", rows: DataFrame | None = None, **fit) -> DataFrame:
+    """What each column would be in the other treatments, from its k nearest columns in each of them: their weighted mean
+    or, by="regression", what a Poisson regression of the column on them gives in all of rows(row_id); fit: see
+    regression.neighbour_regressions. A column without a column in another treatment has no rows."""
     from .knn import knn, with_weights
+    from .regression import neighbour_regressions
 
     near = knn(vectors, vectors, k, "l2", treatment, other_groups=True).select("src", "tgt", "dist")
+    if by == "regression":
+        if rows is None:
+            raise ValueError("a regression needs the names of the rows")
+        return neighbour_regressions(cells, near, rows, **fit)
     return matched_cells(cells, with_weights(near))
 
 
@@ -154,25 +161,3 @@ def pairwise_delta(cells: DataFrame, member: DataFrame, vectors: DataFrame, pair
     got = parts.groupBy("indv", "b", "label", "row_id").agg(F.sum(zy).alias("sum_delta"), (F.sum(F.when(F.col("arm") == 0, zy).otherwise(0.0)) > 0).cast("int").alias("o1"), (F.sum(F.when(F.col("arm") == 1, -zy).otherwise(0.0)) > 0).cast("int").alias("o2"))
     zsum = member.groupBy("indv", "label").agg(F.sum("z").alias("zsum"))
     return got.join(zsum, ["indv", "label"]).select(F.col("indv").alias("src"), F.col("b").alias("tgt"), "label", "row_id", "sum_delta", F.when(F.col("zsum") > 1e-8, F.col("sum_delta") / F.col("zsum")).alias("mean_delta"), (F.col("o1") + F.col("o2")).alias("nobs"))
-
-
-def poisson_glm(y, x, reg: float = 1e-4, rounds: int = 100, tol: float = 1e-8):
-    """Weights of a Poisson regression with intercept (last), by coordinate-wise reweighted least squares with ridge."""
-    import numpy as np
-
-    x = np.asarray(x, float)
-    sd = np.maximum(x.std(0), 1e-2)
-    x = np.column_stack([(x - x.mean(0)) / sd, np.ones(len(x))])
-    b, eta, before = np.zeros(x.shape[1]), np.zeros(len(x)), -np.inf
-    for _ in range(rounds):
-        for j in range(x.shape[1]):
-            w = np.exp(np.clip(eta, -30, 30))
-            work = eta + y / w - 1
-            rest = eta - x[:, j] * b[j]
-            new = (w * x[:, j] * (work - rest)).sum() / ((w * x[:, j] ** 2).sum() + reg)
-            eta, b[j] = rest + x[:, j] * new, new
-        now = float((y * eta - np.exp(np.clip(eta, -30, 30))).sum())
-        if abs(now - before) < tol * (abs(before) + 1):
-            break
-        before = now
-    return b, np.exp(np.clip(eta, -30, 30))

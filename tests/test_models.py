@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparsemill.core import Matrix, canonical
 from sparsemill.functions import special, vector
-from sparsemill.operators import annotate, edit, knn, network, pseudobulk, simulate, spectral, stats
+from sparsemill.operators import annotate, edit, knn, network, pseudobulk, regression, simulate, spectral, stats
 from sparsemill.plans import cohorts
 from sparsemill.streaming.scores import streaming_sums
 
@@ -103,12 +103,76 @@ def test_special_functions():
     assert abs(float(special.lgamma(10.5)) - math.lgamma(10.5)) < 1e-9
 
 
-def test_poisson_glm():
+def plain_poisson(y, x, reg=1e-4, rounds=5000):
+    """One fit, coordinate by coordinate: the reweighted least squares of each, with the ridge, until nothing moves."""
+    x = np.column_stack([(x - x.mean(0)) / np.maximum(x.std(0), 1e-2), np.ones(len(x))])
+    b = np.r_[np.zeros(x.shape[1] - 1), np.log(max(y.mean(), 1e-3))]
+    for _ in range(rounds):
+        old = b.copy()
+        for j in range(len(b)):
+            w = np.exp(x @ b)
+            b[j] += (x[:, j] @ (y - w) - reg * b[j]) / (x[:, j] ** 2 @ w + reg)
+        if np.abs(b - old).max() < 1e-12:
+            break
+    return np.exp(x @ b)
+
+
+def test_poisson_fits_of_planted_slopes():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 2))
-    y = rng.poisson(np.exp(0.5 + 0.8 * x[:, 0] - 0.3 * x[:, 1]))
-    b, fitted = pseudobulk.poisson_glm(y, x)
-    assert abs(b[0] / x[:, 0].std() - 0.8) < 0.1 and abs(b[1] / x[:, 1].std() + 0.3) < 0.1 and abs(fitted.mean() - y.mean()) < 0.05 * y.mean()
+    x = rng.normal(size=(3, 400, 2))
+    y = rng.poisson(np.exp(0.5 + 0.8 * x[:, :, 0] - 0.3 * x[:, :, 1])).astype(float)
+    b = regression.poisson_fits(np.concatenate([x, np.ones((3, 400, 1))], 2), y, np.ones((3, 400)), 1e-4)
+    assert np.abs(b - [0.8, -0.3, 0.5]).max() < 0.12
+    huge = regression.poisson_fits(np.ones((1, 5, 1)), np.full((1, 5), 1e6), np.ones((1, 5)), 1e-8)
+    assert abs(huge[0, 0] - np.log(1e6)) < 1e-6  # a start far away
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_counterfactual_regression(spark, k):
+    """Column by column as numpy; sparse columns, one without a cell, a row without any, fewer columns than neighbours."""
+    rng = np.random.default_rng(6)
+    y, v = rng.poisson(1.5, (25, 24)).astype(float), rng.normal(size=(24, 3))
+    y[:, 3], y[7], trt = 0, 0, [i % 3 if i < 22 else 0 for i in range(24)]
+    cells = spark.createDataFrame([(r, c, float(y[r, c])) for r in range(25) for c in range(24) if y[r, c]] + [(999, 0, 5.0)], "row_id long, col_id long, value double")
+    vectors = spark.createDataFrame([(i, x.tolist(), t) for i, (x, t) in enumerate(zip(v, trt))], "id long, v array<double>, trt int")
+    got = {(r["col_id"], r["row_id"]): r["value"] for r in pseudobulk.counterfactual(cells, vectors, "trt", k, by="regression", rows=spark.range(25).withColumnRenamed("id", "row_id")).collect()}
+    assert len(got) == 24 * 25
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    for i in range(24):
+        near = [j for t in sorted({0, 1, 2} - {trt[i]}) for j in sorted((j for j in range(24) if trt[j] == t), key=lambda j: d[i, j])[:k]]
+        want = plain_poisson(y[:, i], np.log(y[:, near] + 1))
+        assert np.allclose([got[i, r] for r in range(25)], want, rtol=1e-4, atol=1e-5 if i != 3 else 1e-3), i
+    two = vectors.where("trt < 2 and id < 2")
+    alone = {(r["col_id"], r["row_id"]): r["value"] for r in pseudobulk.counterfactual(cells, two, "trt", 4, by="regression", rows=spark.range(25).withColumnRenamed("id", "row_id")).collect()}
+    assert [alone[0, r] for r in range(25)] == y[:, 1].tolist()
+    assert pseudobulk.counterfactual(cells, vectors.where("trt = 1"), "trt", 4, by="regression", rows=spark.range(25).withColumnRenamed("id", "row_id")).count() == 0
+
+
+def test_least_squares_of_several_responses(spark):
+    """Collinear and constant covariates, nulls and NaN, a null group, a group of one row and one without a whole row."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3)) + 1e4
+    x[:, 2] = 2 * x[:, 0] - x[:, 1]
+    y = rng.normal(size=(300, 2)) + x[:, :1] * [[1.0, -2.0]]
+    group = ["a"] * 150 + [None] * 148 + ["one", "none"]
+    rows = [(i, g, *map(float, y[i]), *map(float, x[i]), 7.0) for i, g in enumerate(group)]
+    rows[3] = (3, "a", None, *rows[3][3:])
+    rows[5] = (5, "a", *rows[5][2:4], float("nan"), *rows[5][5:])
+    rows[299] = (299, "none", 1.0, 2.0, None, 1.0, 1.0, 7.0)
+    df = spark.createDataFrame(rows, "id int, g string, y0 double, y1 double, x0 double, x1 double, x2 double, c double")
+    for keys in (["g"], []):
+        got = {r["id"]: r for r in regression.least_squares(df, keys, ["y0", "y1"], ["x0", "x1", "x2", "c"]).collect()}
+        assert len(got) == 300
+        for g in (["a", None] if keys else [0]):
+            for j in range(2):
+                at = [i for i in range(299) if (not keys or group[i] == g) and i != 5 and not (i == 3 and j == 0)]
+                design = np.column_stack([x[at] - 1e4, np.ones(len(at))])
+                want = design @ np.linalg.lstsq(design, y[at, j], rcond=None)[0]
+                assert np.allclose([got[i][f"fitted_y{j}"] for i in at], want, atol=1e-6)
+                assert np.allclose([got[i][f"residual_y{j}"] for i in at], y[at, j] - want, atol=1e-6)
+        assert got[3]["fitted_y0"] is None and got[3]["fitted_y1"] is not None and got[5]["fitted_y1"] is None and got[299]["fitted_y0"] is None
+    assert abs(regression.least_squares(df, ["g"], ["y0"], ["x0"]).where("id = 298").first()["residual_y0"]) < 1e-9
+    assert regression.least_squares(df.where("id < 0"), ["g"], ["y0"], ["x0"]).count() == 0 and regression.least_squares(df.where("id < 0"), [], ["y0"], ["x0"]).count() == 0
 
 
 def test_annotation_finds_planted_types(spark, small):
