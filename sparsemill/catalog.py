@@ -420,10 +420,27 @@ def match_files(spark, sf):
     return spectral.match_columns(x, c, x, r, c, 3, 5)
 
 
+def _marks(rows) -> DataFrame:
+    return rows.where("row_id < 40").select(F.concat(F.lit("type"), (F.col("row_id") % 4)).alias("label"), "row_id")
+
+
 def annotate(spark, sf):
     r, c = _latent(spark, sf)
-    marks = r.where("row_id < 40").select(F.concat(F.lit("type"), (F.col("row_id") % 4)).alias("label"), "row_id")
-    return annotation.annotate(_embedded(spark, sf), c, marks)
+    return annotation.annotate(_embedded(spark, sf), c, _marks(r))
+
+
+def annotate_posterior(spark, sf):
+    """Two sets of markers, and counter-markers."""
+    r, c = _latent(spark, sf)
+    two = _marks(r).withColumn("set", F.lit(0)).unionByName(r.where("row_id >= 40").select(F.concat(F.lit("type"), F.floor(F.col("row_id") / 6) % 4).alias("label"), "row_id", F.lit(1).alias("set")))
+    anti = r.where("row_id < 8").select(F.concat(F.lit("type"), (F.col("row_id") + 1) % 4).alias("label"), "row_id")
+    return annotation.annotation(_embedded(spark, sf), c, two, anti)["posterior"]
+
+
+def annotate_factors(spark, sf):
+    r, c = _latent(spark, sf)
+    u, d, v, ids = spectral.svd(_embedded(spark, sf), r, c, 5)
+    return annotation.annotate_factors(u, d, v, ids, c, _marks(r))["annotation"]
 
 
 def simulate_poisson(spark, sf):
@@ -440,7 +457,7 @@ normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns t
 knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
 sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_graph knn_graph_search knn_named poisson_pseudobulk
 poisson_rates residual_rates counterfactual counterfactual_nearest counterfactual_regression least_squares pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
-read_column_range relabelled_by_size observed_products topic_features file_set svd_approx svd_em svd_project bbknn match_files annotate simulate_poisson simulate_mixture""".split()
+read_column_range relabelled_by_size observed_products topic_features file_set svd_approx svd_em svd_project bbknn match_files annotate annotate_posterior annotate_factors simulate_poisson simulate_mixture""".split()
 
 
 def queries() -> dict:

@@ -275,9 +275,87 @@ def test_many_checks_all_count(spark, monkeypatch, most):
     assert sorted(r["col_id"] for r in network.disqualified(cells, cols, checks).collect()) == [1, 2, 3]
 
 
-def test_too_many_markers_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(annotate, "MOST_MARKERS", 3)
-    marks = spark.createDataFrame([("a", i) for i in range(4)], "label string, row_id long")
-    cells = spark.createDataFrame([(i, i, 1.0) for i in range(4)], "row_id long, col_id long, value double")
-    with pytest.raises(ValueError, match="more than 3"):
-        annotate.annotate(cells, cells.select("col_id"), marks)
+def plain_annotation(x, sets, anti, d, kappa_max=100.0, iterations=100, tol=1e-4):
+    """x: rows by columns; sets and anti: for each set a rows by labels 0/1 matrix."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=0, keepdims=True), 1e-8)
+    own = [unit(x * (s.sum(1, keepdims=True) > 0)) for s in sets]
+    mu, mu0, kap, kap0, trace = [unit(s) for s in sets], [unit(s) for s in anti], [1.0] * len(sets), [1.0] * len(sets), []
+    score = lambda: sum(k * m.T @ o - k0 * m0.T @ o for m, m0, k, k0, o in zip(mu, mu0, kap, kap0, own))
+    for it in range(iterations):
+        s = score()
+        best = np.round(s, 12).argmax(0)
+        trace.append(s.max(0).mean())
+        z = np.eye(s.shape[0])[best]
+        for a, o in enumerate(own):
+            up, down = (o @ z) * sets[a], (o @ z) * anti[a]
+            r, r0 = (min(np.linalg.norm(m.sum(1)) / x.shape[1], 1 - 1e-6) for m in (up, down))
+            mu[a], mu0[a], kap[a], kap0[a] = unit(up), unit(down), min(r * (d - r * r) / (1 - r * r), kappa_max), min(r0 * (d - r0 * r0) / (1 - r0 * r0), kappa_max)
+        if it > 4 and abs(sum(trace[it - 3 : it - 1]) - sum(trace[it - 1 : it + 1])) / (abs(sum(trace[it - 3 : it - 1])) + tol) < tol:
+            break
+    s = score()
+    p = np.exp(s - s.max(0))
+    return p / p.sum(0), mu, mu0, kap, kap0, own, s.argmax(0)
+
+
+def test_posterior_of_two_sets_with_counter_markers(spark):
+    """Posteriors, directions and concentrations as numpy's, in which planted types come out."""
+    rng = np.random.default_rng(12)
+    kind, rows, labels = np.arange(90) % 3, 24, ["a", "b", "c"]
+    sets, anti = [np.zeros((rows, 3)), np.zeros((rows, 3))], [np.zeros((rows, 3)), np.zeros((rows, 3))]
+    for k in range(3):
+        sets[0][4 * k : 4 * k + 5, k] = 1  # neighbours share a row
+        sets[1][14 + 3 * k : 17 + 3 * k, k] = 1
+        anti[0][4 * ((k + 1) % 3) : 4 * ((k + 1) % 3) + 2, k] = 1
+    x = rng.poisson(0.7, (rows, 90)).astype(float) + (sets[0] + sets[1])[:, kind] * rng.poisson(4, (rows, 90))
+    x[23] = 50.0  # no marker
+    long = lambda ms: spark.createDataFrame([(labels[k], int(r), a) for a, m in enumerate(ms) for r, k in zip(*np.nonzero(m))] * 2, "label string, row_id long, set int")
+    cells = spark.createDataFrame([(r, c, float(x[r, c])) for r in range(rows) for c in range(90) if x[r, c]] + [(23, 90, 1.0), (0, 91, 3.0)], "row_id long, col_id long, value double")
+    cols, bad = spark.range(93).withColumnRenamed("id", "col_id"), spark.createDataFrame([(91,), (None,)], "col_id long")
+    marks = long(sets).unionByName(spark.createDataFrame([(None, 1, 0), ("a", None, 0)], "label string, row_id long, set int"))
+    got = annotate.annotation(cells, cols, marks, long(anti), bad)
+    d = len({r for m in (*sets, *anti) for r in np.nonzero(m)[0]})
+    p, mu, mu0, kap, kap0, own, best = plain_annotation(x, sets, anti, d)
+    found = np.zeros((3, 90))
+    for r in got["posterior"].collect():
+        found[labels.index(r["label"]), r["col_id"]] = r["prob"]
+    assert np.allclose(found, p, atol=1e-9)
+    table = {r["col_id"]: r for r in got["annotation"].collect()}
+    assert len(table) == 93 and {i for i, r in table.items() if r["argmax"] == "Incomplete"} == {90, 91, 92}
+    assert all(table[i]["argmax"] == labels[best[i]] and abs(table[i]["max_prob"] - p[:, i].max()) < 1e-9 for i in range(90))
+    assert np.mean([table[i]["argmax"] == labels[kind[i]] for i in range(90)]) > 0.95
+    assert {r["set"]: (round(r["kappa"], 9), round(r["kappa_anti"], 9)) for r in got["kappas"].collect()} == {a: (round(kap[a], 9), round(kap0[a], 9)) for a in range(2)}
+    for r in got["parameters"].collect():
+        k = labels.index(r["label"])
+        assert abs(r["mu"] - mu[r["set"]][r["row_id"], k]) < 1e-9 and abs(r["mu_anti"] - mu0[r["set"]][r["row_id"], k]) < 1e-9
+        assert abs(r["mean"] - own[r["set"]][r["row_id"]][best == k].mean()) < 1e-9
+
+
+def test_labels_without_a_cell_can_win(spark):
+    """A column whose only markers speak against its labels goes to the first label that has none of them."""
+    marks = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "label string, row_id long")
+    anti = spark.createDataFrame([("a", 1)], "label string, row_id long")
+    cells = spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0)], "row_id long, col_id long, value double")
+    got = annotate.annotation(cells, spark.range(3).withColumnRenamed("id", "col_id"), marks, anti, iterations=0)
+    assert [(r["argmax"], round(r["max_prob"], 6)) for r in got["annotation"].orderBy("col_id").collect()] == [("a", 0.25), ("b", round(math.e / (math.e + 3), 6)), ("Incomplete", 0.0)]
+    anti = anti.unionByName(spark.createDataFrame([("a", 2)], "label string, row_id long"))
+    cells = cells.unionByName(spark.createDataFrame([(2, 0, 1.0)], "row_id long, col_id long, value double")).where("not (row_id = 2 and col_id = 1)")
+    got = annotate.annotation(cells.where("row_id = 2"), spark.range(1).withColumnRenamed("id", "col_id"), marks.where("label <> 'b'").unionByName(spark.createDataFrame([("c", 2)], "label string, row_id long")), anti, iterations=0)
+    assert got["annotation"].first()["argmax"] == "c"
+    none = annotate.annotation(cells, spark.range(2).withColumnRenamed("id", "col_id"), marks.where("row_id > 9"))
+    assert {r["argmax"] for r in none["annotation"].collect()} == {"Incomplete"} and none["posterior"].count() == 0
+
+
+def test_many_markers(spark):
+    n = 40_000
+    marks = spark.range(n).select(F.concat(F.lit("t"), F.col("id") % 3).alias("label"), F.col("id").alias("row_id"))
+    cells = spark.range(n).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 1, 5).otherwise(F.col("id") % 3).alias("col_id"), F.lit(1.0).alias("value"))
+    got = {r["col_id"]: r["argmax"] for r in annotate.annotate(cells, cells.select("col_id").distinct(), marks, iterations=6).collect()}
+    assert got == {0: "t0", 5: "t1", 2: "t2"}
+
+
+def test_annotation_of_factors(spark, small):
+    x, m = small
+    u, d, v, ids = spectral.svd(m.triplets, m.rows, m.cols, 3, rounds=6)
+    marks = spark.createDataFrame([("one", i) for i in range(4)] + [("two", i) for i in range(4, 8)] + [("two", 77)], "label string, row_id long")
+    got = {r["col_id"]: r["argmax"] for r in annotate.annotate_factors(u, d, v, ids, m.cols, marks)["annotation"].collect()}
+    assert sum(got[i] == ("one" if i < 15 else "two") for i in range(30)) >= 29
