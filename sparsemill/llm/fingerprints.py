@@ -11,12 +11,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import ranged
 from .common import table, text_or_empty, window_hashes, word_hashes, words
 
 K = 128
 SHINGLE = 5
-#: Neighbours are found in ranges of about so many documents; the number of ranges has a bound, as they are listed in the plan.
-RANGE_ROWS, MOST_RANGES = 4000, 4096
+#: Neighbours are found in ranges of about so many documents. Bounds of so many ranges at most stand in the plan; beyond that
+#: each of them is cut evenly by value.
+RANGE_ROWS, BOUNDS = 4000, 1024
 
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -65,41 +67,45 @@ def as_string(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def in_ranges(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
-    """docs with _range: ranges of ascending key, balanced by approximate quantiles. Each range also gets a copy (_guest)
-    of the rows with the next range's least key, so that every row's successor is in its own range; the last range gets
-    those of the first. What reaches the driver is one key a range."""
-    n = docs.count()
-    parts = max(1, min(MOST_RANGES, math.ceil(n / RANGE_ROWS)))
-    if parts > 1:
-        bounds = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * MOST_RANGES).alias("b")).first()["b"] or []
-    else:
-        bounds = []
-    bounds = sorted(set(bounds))
-    coarse, step = bounds[:: max(1, math.isqrt(len(bounds)))], max(1, math.isqrt(len(bounds)))
+def range_number(docs: DataFrame, key: str, rows: int, bounds: int) -> Column:
+    """A number that does not fall as the key ascends, nulls first, about as many different ones as docs has times `rows`
+    rows: which of the ranges between quantiles a key lies in, and which even part of that range. At most `bounds` numbers
+    reach the driver."""
+    k = F.col(key).cast("long")
+    seen = docs.agg(F.count("*").alias("n"), F.min(k).alias("lo"), F.max(k).alias("hi")).first()
+    if seen["lo"] is None or seen["n"] <= rows:
+        return F.lit(0).cast("long")
+    parts = min(bounds, math.ceil(seen["n"] / rows))
+    inner = docs.agg(F.percentile_approx(k, [i / parts for i in range(1, parts)], 100 * bounds).alias("b")).first()["b"] if parts > 1 else []
+    edges = sorted({seen["lo"], *inner})
+    fine, step = math.ceil(seen["n"] / len(edges) / rows), max(1, math.isqrt(len(edges)))
 
     def literal(values: list[int]) -> Column:
-        return F.expr(f"array({', '.join(f'{v}L' for v in values)})") if values else F.array().cast("array<bigint>")
-
-    k = F.col(key).cast("long")
-    block = F.size(F.filter(literal(coarse), lambda b: b <= k))  # how many coarse bounds lie at or below
-    inner = F.slice(literal(bounds), F.greatest(block - 1, F.lit(0)) * step + 1, step)
-    at = F.when(k.isNull() | (block == 0), 0).otherwise((block - 1) * step + F.size(F.filter(inner, lambda b: b <= k)))
-    out = docs.withColumn("_range", at.cast("int"))
-    first = {r["_range"]: r["least"] for r in out.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull().alias("a"), F.col(key).alias("b"))).alias("least")).collect()}
-    order = sorted(first)
-    if len(order) < 2:
-        return out.withColumn("_guest", F.lit(False)), len(order)
-    host = {r: order[i - 1] for i, r in enumerate(order)}
-    plain = {r: v["b"] for r, v in first.items() if v["a"]}
-    size = len(bounds) + 1
-    at_least = F.element_at(literal([plain.get(r, 0) for r in range(size)]), F.col("_range") + 1)
-    nulls = F.col("_range").isin([r for r, v in first.items() if not v["a"]])
-    least = F.when(nulls, F.col(key).isNull()).otherwise(F.col(key) == at_least)
-    hosts = F.element_at(literal([host.get(r, r) for r in range(size)]), F.col("_range") + 1).cast("int")
-    own = F.struct(F.col("_range").alias("r"), F.lit(False).alias("g"))
-    out = out.withColumn("_to", F.explode(F.when(least, F.array(own, F.struct(hosts.alias("r"), F.lit(True).alias("g")))).otherwise(F.array(own))))
-    return out.withColumn("_range", F.col("_to.r")).withColumn("_guest", F.col("_to.g")).drop("_to"), len(order)
+        return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+
+    block = F.greatest(F.size(F.filter(literal(edges[::step]), lambda b: b <= k)), F.lit(1))  # how many coarse bounds lie at or below
+    within = F.size(F.filter(F.slice(literal(edges), (block - 1) * step + 1, step), lambda b: b <= k))
+    at = (block - 1) * step + F.greatest(within, F.lit(1))  # from 1
+    low, high = (F.element_at(literal(v), at.cast("int")).cast("double") for v in (edges, [*edges[1:], seen["hi"] + 1]))
+    part = F.least(F.floor((k.cast("double") - low) / (high - low) * fine), F.lit(fine - 1))
+    return F.when(k.isNull(), 0).otherwise((at - 1) * fine + part).cast("long")
+
+
+def with_guests(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with _range and _guest: each range also gets a copy (_guest) of the rows with the least key of the next range that
+    has rows, the last those of the first, so that every row's successor is in its own range. What is joined for that is one
+    row a range."""
+    out = docs.withColumn("_range", range_number(docs, key, RANGE_ROWS, BOUNDS))
+    least = out.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull().alias("a"), F.col(key).alias("k"))).alias("least"))
+    least = ranged(least.select("_range", F.col("least.k").alias("_least")), ["_range"])
+    ends = least.groupBy("_part").agg(F.max("_range").alias("end"))
+    before = ends.select("_part", F.lag("end").over(Window.orderBy("_part")).alias("_end"))  # a row a task
+    own = F.lag("_range").over(Window.partitionBy("_part").orderBy("_range"))
+    last = least.agg(F.max("_range").alias("_last"))
+    hosts = least.withColumn("_own", own).join(F.broadcast(before), "_part").crossJoin(F.broadcast(last))  # a row a task, one row
+    hosts = hosts.select(F.col("_range").alias("_from"), "_least", F.coalesce("_own", "_end", "_last").alias("_host"))
+    guests = out.join(hosts, (F.col("_range") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_least")))
+    return out.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_range", F.col("_host")).select(*out.columns).withColumn("_guest", F.lit(True)))
 
 
 def fingerprint_neighbours(docs: DataFrame, k: int = K) -> DataFrame:
@@ -109,18 +115,10 @@ def fingerprint_neighbours(docs: DataFrame, k: int = K) -> DataFrame:
     followed by the first, a single one by itself. Repeated rows stay. An empty table gives no rows.
     """
     docs = docs.select("doc_id", text_or_empty(F.col("text")).alias("_text"))
-    ranged, ranges = in_ranges(docs)
-    ranged = ranged.withColumn("_tie", F.xxhash64("_text"))
     order = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").asc_nulls_first(), "_tie")
-    if ranges < 2:  # the last one's next is the first of the same range
-        around = F.coalesce(F.lead("_text").over(order), F.first("_text").over(order))
-    else:
-        around = F.lead("_text").over(order)
-    out = ranged.withColumn("_next", around)
+    out = with_guests(docs).withColumn("_tie", F.xxhash64("_text")).withColumn("_next", F.lead("_text").over(order))
     out = with_sketch(out, "_text", "_sketch", k)
     around = F.lead("_sketch").over(order)
-    if ranges < 2:
-        around = F.coalesce(around, F.first("_sketch").over(order))
     out = out.withColumn("_next_sketch", around).where(~F.col("_guest"))
     out = out.withColumn("n_chars", F.length("_text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")

@@ -30,7 +30,31 @@ def _lazy(name: str, module: str):
 
 
 def queries() -> dict:
-    return {name: _lazy(name, module) for name, module in _WHERE.items()} | {"pipeline": pipeline}
+    return {name: _lazy(name, module) for name, module in _WHERE.items()} | {"pipeline": pipeline, "mixing_targets": mixing_targets, "text_statistics": text_statistics, "fingerprint_texts": fingerprint_texts}
+
+
+# The columns of three operators that SQL can express.
+
+
+def mixing_targets(spark, sf_dir):
+    """op3 without what it draws."""
+    from pyspark.sql import functions as F
+
+    return queries()["op3_source_mixing"](spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def text_statistics(spark, sf_dir):
+    """op6 without what it learns."""
+    from .common import table
+    from .quality_rules import base_failed, text_statistics
+
+    out = text_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("base_failed", base_failed())
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def fingerprint_texts(spark, sf_dir):
+    """op8 without its sketches."""
+    return queries()["op8_document_fingerprints"](spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
 def pipeline(spark, sf_dir):
@@ -49,6 +73,20 @@ def oracle_sql() -> dict[str, str]:
     l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
     r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v WHERE r.c < l.b)
     SELECT r.v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, coalesce(any_value(k), 0) AS n_links FROM r LEFT JOIN n ON n.doc_id = r.v LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY 1) k ON k.a = r.v GROUP BY r.v""",
+        "mixing_targets": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY 1),
+    w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 1.5::DOUBLE * sum(n) OVER () AS share FROM s),
+    c AS (SELECT *, 2.0::DOUBLE * n / w AS stop, coalesce(sum(2.0::DOUBLE * n) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+    l AS (SELECT arg_min((share - before) / rest, stop) FILTER (WHERE (share - before) / rest <= stop) AS level FROM c),
+    t AS (SELECT source, n, least(w * level, 2.0::DOUBLE * n) AS target FROM c, l)
+    SELECT doc_id, size, n AS source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+        "text_statistics": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    v AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: {'i': i, 's': array_to_string(w[i : i + 4], ' ')})) AS x FROM d),
+    r AS (SELECT doc_id, x.i AS i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, x.s) > 1),
+    k AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, range(5) o(o) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN k USING (doc_id)""",
+        "fingerprint_texts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS x, first_value(coalesce(text, '')) OVER (ORDER BY doc_id) AS f FROM documents)
+    SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(coalesce(x, f), length(t) // 2)) AS edited_sha256 FROM d""",
         "op11_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS d, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
     h AS (SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM d),
     f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),

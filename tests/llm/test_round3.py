@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparsemill.llm import fill_middle, queries, sharding, token_alignment
+from sparsemill.llm import fill_middle, fingerprints, queries, sharding, token_alignment
 from sparsemill.llm.common import table
 from sparsemill.llm.encoding import tokenizer_path
 
@@ -202,6 +202,48 @@ def test_empty_tables(empty, tmp_path):
     assert sharding.read_shards(empty.sparkSession, sharding.write_shards(empty, f"file://{tmp_path}/none"), empty).collect() == []
 
 
+@pytest.mark.parametrize("name", ["mixing_targets", "text_statistics", "fingerprint_texts", "op11_fill_in_middle"])
+def test_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    path = f"{sf}/documents.parquet"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
+    rel = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(map(repr, rel.fetchall())) == sorted(repr(tuple(r)) for r in queries.queries()[name](spark, sf).select(*names).collect())
+
+
+@pytest.mark.parametrize("rows,bounds", [(10, 4), (7, 1000), (50, 1), (10_000, 4)])
+def test_ranges_ascend_and_are_short(spark, rows, bounds):
+    """Even and uneven keys, repeated ones, nulls and negative ones; more ranges than bounds in the plan."""
+    made = [(i,) for i in range(-300, 300)] + [(10**15 + 1000 * i,) for i in range(100)] + [(5,)] * 40 + [(None,)] * 9
+    df = spark.createDataFrame(made, "doc_id long").repartition(3)
+    got = df.withColumn("r", fingerprints.range_number(df, "doc_id", rows, bounds)).collect()
+    got = sorted(got, key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0))
+    assert all(a["r"] <= b["r"] for a, b in zip(got, got[1:])) and all(x["r"] == got[0]["r"] for x in got if x["doc_id"] is None)
+    sizes = collections.Counter(x["r"] for x in got)
+    assert len(sizes) == 1 if rows > 1000 else len(sizes) > (5 if bounds > 1 else 1)
+    if bounds == 1000:
+        assert max(sizes.values()) < 60
+
+
+def test_every_range_has_its_guests(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 40)
+    monkeypatch.setattr(fingerprints, "BOUNDS", 9)
+    df = spark.range(0, 5000, 3).select((F.col("id") * F.col("id")).alias("doc_id")).unionByName(spark.createDataFrame([(None,), (9,)], "doc_id long"))
+    rows = fingerprints.with_guests(df.repartition(4)).collect()
+    assert sum(not r["_guest"] for r in rows) == df.count()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["_range"]].append((r["_guest"], r["doc_id"] is not None, r["doc_id"] or 0))
+    assert len(by) > 9
+    order = [sorted(by[k]) for k in sorted(k for k, v in by.items() if any(not x[0] for x in v))]
+    for a, b in zip(order, [*order[1:], order[0]]):
+        first = [x[1:] for x in b if not x[0]][0]
+        assert {x[1:] for x in a if x[0]} == {first}
+
+
 def test_queries(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text").collect()
     named = queries.queries()
