@@ -7,6 +7,7 @@ number of stored cells, and names without a cell still get a row.
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -53,16 +54,39 @@ def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     return settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
 
+#: Ranges that running numbers are taken in, at most, and rows of the sample that their bounds come from, for each.
+MOST_RANGES, SAMPLED_ROWS = 1024, 32
+
+
+def numbered_ranges(df: DataFrame, order: list[str]) -> Column:
+    """The number of the range of `order` that a row lies in: about as many as there are shuffle partitions, alike in size,
+    one for a small table. Bounds come from a bounded sample by hash and stand in the plan, so that the number depends on
+    the row alone, however often df is read."""
+    parts = max(1, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLED_ROWS * parts).collect()
+    if len(sample) < SAMPLED_ROWS * parts or parts == 1:
+        return F.lit(0)
+    sample = sorted({tuple(r) for r in sample}, key=lambda r: [(x is not None, x) for x in r])
+    bounds = [sample[len(sample) * i // parts] for i in range(1, parts)]
+    kinds = [df.schema[c].dataType for c in order]
+    literal = lambda rows: F.array(*[F.struct(*[F.lit(x).cast(k).alias(c) for x, k, c in zip(r, kinds, order)]) for r in rows])
+    step, key = max(1, math.isqrt(len(bounds))), F.struct(*[F.col(c) for c in order])
+    block = F.size(F.filter(literal(bounds[::step]), lambda b: b <= key))
+    within = F.size(F.filter(F.slice(literal(bounds), F.greatest(block - 1, F.lit(0)) * step + 1, step), lambda b: b <= key))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + within)
+
+
 def running(df: DataFrame, order: list[str], value: str | None, new: str) -> DataFrame:
     """df with new, the sum of value (or, without one, the number) of the rows before in order; no two rows should be equal
-    in it. Rows are summed within ranges; only one number a range is summed over all of them, so that no task gets more
-    than its range."""
-    df = ranged(df, order)
+    in it, and df must give the same rows each time it is read, as it is read for the sums of ranges and for the result.
+    Rows are summed within ranges; only one number a range is summed over all of them, so that no task gets more than its
+    range."""
+    df = df.withColumn("_part", numbered_ranges(df, order))
     x = F.col(value) if value else F.lit(1).cast("long")
     total = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     before = df.groupBy("_part").agg(F.sum(x).alias("_n")).select("_part", F.coalesce(total, F.lit(0)).alias("_before"))
     within = F.sum(x).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = df.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(before), "_part")  # a row a range
+    out = df.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(before), "_part")  # at most MOST_RANGES rows
     return out.withColumn(new, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
 
 

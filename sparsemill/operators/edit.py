@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import Matrix, canonical, count_true, nonzero, ranged, renumber, running
+from ..core import Matrix, canonical, count_true, nonzero, ranged, renumber, running, settled
 
 
 def build_sparse(cells: DataFrame, n_row: int, n_col: int, symmetrize: bool = True) -> DataFrame:
@@ -25,46 +27,46 @@ def symmetrized(cells: DataFrame) -> DataFrame:
 
 def select_columns(m: Matrix, names: DataFrame) -> Matrix:
     """Columns whose name is in names(col_name), in the matrix's own order, numbered anew; all rows stay."""
-    kept = renumber(m.cols.join(names.select("col_name").distinct(), "col_name", "left_semi"), "col_id", "new")
-    cells = m.triplets.join(kept.select("col_id", "new"), "col_id").select("row_id", F.col("new").alias("col_id"), "value")
+    chosen = settled(m.cols.join(names.select("col_name").distinct(), "col_name", "left_semi"), "chosen")
+    kept = renumber(chosen, "col_id", "new")
+    # A semi join goes below the sums of a matrix that is built from raw cells.
+    cells = m.triplets.join(chosen.select("col_id"), "col_id", "left_semi").join(kept.select("col_id", "new"), "col_id").select("row_id", F.col("new").alias("col_id"), "value")
     return Matrix(cells, m.rows, kept.select(F.col("new").alias("col_id"), "col_name"))
 
 
 def select_rows(m: Matrix, names: DataFrame) -> Matrix:
     """Rows whose name is in names(row_name), numbered anew; columns left without a cell go too."""
-    kept = renumber(m.rows.join(names.select("row_name").distinct(), "row_name", "left_semi"), "row_id", "new")
-    cells = m.triplets.join(kept.select("row_id", "new"), "row_id").select(F.col("new").alias("row_id"), "col_id", "value")
+    chosen = settled(m.rows.join(names.select("row_name").distinct(), "row_name", "left_semi"), "chosen")
+    kept = renumber(chosen, "row_id", "new")
+    cells = m.triplets.join(chosen.select("row_id"), "row_id", "left_semi").join(kept.select("row_id", "new"), "row_id").select(F.col("new").alias("row_id"), "col_id", "value")
     return filter_columns(Matrix(cells, kept.select(F.col("new").alias("row_id"), "row_name"), m.cols), 1)
 
 
 def filter_columns(m: Matrix, least: int) -> Matrix:
-    """Columns with at least so many cells beyond 1e-8, numbered anew."""
+    """Columns with at least so many cells beyond 1e-8, numbered anew. Which they are is counted once and written."""
     found = m.triplets.groupBy("col_id").agg(count_true(nonzero(F.col("value"))).alias("nnz"))
     cols = m.cols.join(found, "col_id", "left").where(F.coalesce("nnz", F.lit(0)) >= least)
-    kept = renumber(cols, "col_id", "new")
+    kept = renumber(settled(cols.drop("nnz"), "kept"), "col_id", "new")
     cells = m.triplets.join(kept.select("col_id", "new"), "col_id").select("row_id", F.col("new").alias("col_id"), "value")
     return Matrix(cells, m.rows, kept.select(F.col("new").alias("col_id"), "col_name"))
 
 
 def merge(parts: list[tuple[str, Matrix]], nnz_cutoff: int = 1, delim: str = "_", fixed_rows: DataFrame | None = None) -> Matrix:
     """Matrices side by side. Rows are the sorted union of names, or fixed_rows(row_id, row_name) in their order; columns
-    with too few cells on those rows go; names get the part's name; cells of rows of the same name are summed."""
+    with too few cells on those rows go; names get the part's name; cells of rows of the same name are summed. All parts'
+    cells go through one join and one sum, and are written once."""
+    one = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    named = one([m.rows.select(F.lit(at).alias("part"), F.col("row_id").alias("own"), "row_name") for at, (_, m) in enumerate(parts)])
     if fixed_rows is None:
-        union = parts[0][1].rows.select("row_name")
-        for _, m in parts[1:]:
-            union = union.union(m.rows.select("row_name"))
-        rows = renumber(union.distinct(), "row_name", "row_id")
+        rows = renumber(named.select("row_name").distinct(), "row_name", "row_id")
     else:
         rows = fixed_rows.groupBy("row_name").agg(F.min("row_id").alias("row_id"))
-    cells, cols = None, None
-    for at, (name, m) in enumerate(parts):
-        global_ = m.rows.select(F.col("row_id").alias("own"), "row_name").join(rows, "row_name").select("own", "row_id")
-        part = canonical(m.triplets.withColumnRenamed("row_id", "own").join(global_, "own").select("row_id", "col_id", "value"))
-        nnz = part.groupBy("col_id").agg(count_true(nonzero(F.col("value"))).alias("nnz"))
-        kept = m.cols.join(nnz, "col_id", "left").where(F.coalesce("nnz", F.lit(0)) >= nnz_cutoff)
-        kept = kept.select(F.lit(at).alias("part"), F.col("col_id").alias("own_col"), F.concat_ws(delim, "col_name", F.lit(name)).alias("col_name"))
-        part = part.select(F.lit(at).alias("part"), "row_id", F.col("col_id").alias("own_col"), "value")
-        cells, cols = (part, kept) if cells is None else (cells.unionByName(part), cols.unionByName(kept))
+    cells = one([m.triplets.select(F.lit(at).alias("part"), F.col("row_id").alias("own"), F.col("col_id").alias("own_col"), "value") for at, (_, m) in enumerate(parts)])
+    cells = cells.join(named.join(rows, "row_name").select("part", "own", "row_id"), ["part", "own"])
+    cells = settled(cells.groupBy("part", "row_id", "own_col").agg(F.sum(F.col("value").cast("double")).alias("value")).where("value <> 0"), "merged")
+    nnz = cells.groupBy("part", "own_col").agg(count_true(nonzero(F.col("value"))).alias("nnz"))
+    cols = one([m.cols.select(F.lit(at).alias("part"), F.col("col_id").alias("own_col"), F.concat_ws(delim, "col_name", F.lit(name)).alias("col_name")) for at, (name, m) in enumerate(parts)])
+    cols = settled(cols.join(nnz, ["part", "own_col"], "left").where(F.coalesce("nnz", F.lit(0)) >= nnz_cutoff).drop("nnz"), "kept")
     cols = renumber(cols, "col_id", "col_id", ["part", "own_col"])
     out = cells.join(cols.select("part", "own_col", "col_id"), ["part", "own_col"]).select("row_id", "col_id", "value")
     return Matrix(out, rows.select("row_id", "row_name"), cols.select("col_id", "col_name"))
@@ -87,7 +89,7 @@ def column_index(cells: DataFrame, cols: DataFrame) -> DataFrame:
     """(col_id, first_pos, nnz) of every named column: its place among the cells in order of columns. Columns without a
     cell have the next one's place."""
     n = cols.select("col_id").join(cells.groupBy("col_id").agg(F.count("*").alias("nnz")), "col_id", "left").withColumn("nnz", F.coalesce("nnz", F.lit(0)).cast("long"))
-    return running(n, ["col_id"], "nnz", "first_pos").select("col_id", "first_pos", "nnz")
+    return running(settled(n, "index"), ["col_id"], "nnz", "first_pos").select("col_id", "first_pos", "nnz")
 
 
 def index_problems(cells: DataFrame, index: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def column_blocks(request: DataFrame, gap: int = 10) -> DataFrame:
     last = ids.groupBy("_part").agg(F.max("col_id").alias("last")).select("_part", F.lag("last").over(Window.orderBy("_part")).alias("last"))
     before = F.coalesce(F.lag("col_id").over(Window.partitionBy("_part").orderBy("col_id")), F.col("last"))
     new = F.coalesce((F.col("col_id") - before >= gap).cast("long"), F.lit(0).cast("long"))
-    marked = ids.join(F.broadcast(last), "_part").select("col_id", new.alias("new"))  # a row a range
+    marked = settled(ids.join(F.broadcast(last), "_part").select("col_id", new.alias("new")), "gaps")  # a row a range
     marked = running(marked, ["col_id"], "new", "block").withColumn("block", F.col("block") + F.col("new"))
     return marked.groupBy("block").agg(F.min("col_id").alias("lo"), F.max("col_id").alias("hi"), F.count("*").alias("n"))
 
@@ -159,9 +161,37 @@ def scale_columns(cells: DataFrame, scale: DataFrame) -> DataFrame:
     return cells.join(scale, "col_id", "left").select("row_id", "col_id", (F.col("value") * F.coalesce("scale", F.lit(1.0))).alias("value"))
 
 
+def scattered(lists: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """lists(keys, at array of places from 1, x array of values) to (keys, values): arrays of n with the values at their
+    places and zeros elsewhere; a null list is all zeros. Places beyond n are an error."""
+    import pyarrow as pa
+
+    kinds = ", ".join(f"`{c}` {lists.schema[c].dataType.simpleString()}" for c in keys)
+
+    def scatter(batches):
+        import numpy as np
+
+        rows = max(1, (1 << 24) // max(1, n))  # values that are made at a time
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
+                at, x = b.column("at"), b.column("x")
+                size = np.array([0 if v is None else v for v in at.value_lengths().to_pylist()], "i8")
+                out = np.zeros((b.num_rows, n))
+                out[np.repeat(np.arange(b.num_rows), size), at.flatten().to_numpy(zero_copy_only=False) - 1] = x.flatten().to_numpy(zero_copy_only=False)
+                made = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype="i4") * n), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), made], [*keys, "values"])
+
+    return lists.select(*keys, "at", "x").mapInArrow(scatter, f"{kinds}, values array<double>")
+
+
+def listed(cells: DataFrame, key: str, place: str) -> DataFrame:
+    """(key, at, x): places and values of each key's cells."""
+    both = cells.groupBy(key).agg(F.collect_list(F.struct(F.col(place).cast("long").alias("at"), F.col("value").cast("double").alias("x"))).alias("_c"))
+    return both.select(key, F.col("_c.at").alias("at"), F.col("_c.x").alias("x"))
+
+
 def read_columns_dense(cells: DataFrame, rows: DataFrame, request: list[int]) -> DataFrame:
     """(row_id, values): for every named row its cells in the requested columns, zeros included."""
-    n = len(request)
-    found = read_columns(cells, request).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("col_id", "value"))).alias("m"))
-    at = F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")) if n else F.array().cast("array<bigint>")
-    return rows.select("row_id").join(found, "row_id", "left").select("row_id", F.transform(at, lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("values"))
+    found = listed(read_columns(cells, request), "row_id", "col_id")
+    return scattered(rows.select("row_id").join(found, "row_id", "left"), ["row_id"], len(request))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import count_true, nonzero, running
+from ..core import count_true, nonzero, running, settled
 
 
 def _scores(cells: DataFrame, names: DataFrame, key: str, other: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def normalize_fixed(cells: DataFrame, target: float = 1e4) -> DataFrame:
 
 def median_degree(cells: DataFrame) -> DataFrame:
     """The upper median of the columns' sums, at least 1, as a single row."""
-    sums = running(column_degrees(cells).groupBy("degree").agg(F.count("*").alias("k")), ["degree"], "k", "before")
+    # Written, as sums of doubles may differ in a bit when they are made again.
+    sums = running(settled(column_degrees(cells).groupBy("degree").agg(F.count("*").alias("k")), "degrees"), ["degree"], "k", "before")
     total = sums.agg(F.sum("k").alias("total"))
     ranked = sums.crossJoin(F.broadcast(total))  # total is one row
     return ranked.where(F.col("before") + F.col("k") > F.floor(F.col("total") / 2)).agg(F.greatest(F.min("degree"), F.lit(1.0)).alias("median"))

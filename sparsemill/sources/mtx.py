@@ -170,10 +170,8 @@ def read_mtx_sparse(spark: SparkSession, files: FileSet, columns: DataFrame | No
 def read_mtx_dense(spark: SparkSession, files: FileSet, columns: DataFrame | None = None) -> DataFrame:
     """(col_id, col_name, values): for each column its values in all rows, in order, zeros included."""
     m = _chosen(spark, files, columns)
-    n = m.rows.agg(F.count("*").alias("n"))
-    by = m.triplets.groupBy("col_id").agg(F.map_from_entries(F.collect_list(F.struct("row_id", "value"))).alias("m"))
-    out = m.cols.join(by, "col_id", "left").crossJoin(F.broadcast(n))  # one row
-    return out.select("col_id", "col_name", F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("values"))
+    lists = m.cols.join(edit.listed(m.triplets, "col_id", "row_id"), "col_id", "left")
+    return edit.scattered(lists, ["col_id", "col_name"], m.rows.count())
 
 
 def write_parquet(m: Matrix, folder: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsemill import catalog
-from sparsemill.core import ranged, running
+from sparsemill.core import numbered_ranges, ranged, running
 from sparsemill.operators import edit, graph, knn, stats
 
 
@@ -171,3 +171,25 @@ def test_median_and_sizes(spark):
     assert stats.median_degree(cells).first()["median"] == max(1.0, sums[len(sums) // 2])
     labels = spark.createDataFrame([(x,) for x in "bbacccb"], "label string")
     assert {(r["label"], r["new_label"]) for r in stats.relabelled_by_size(labels).collect()} == {("b", 0), ("c", 1), ("a", 2)}
+
+
+def test_ranges_of_names_and_pairs(spark):
+    """Running numbers over strings with a null, and over pairs; dense reads and merges of many columns."""
+    names = [(f"n{i * 7919 % 5000}é"[: 2 + i % 5] + str(i),) for i in range(3000)] + [(None,), ("",)]
+    df = spark.createDataFrame(names, "name string").repartition(5)
+    assert df.select(numbered_ranges(df, ["name"]).alias("r")).distinct().count() > 1
+    got = {r["name"]: r["n"] for r in running(df, ["name"], None, "n").collect()}
+    order = sorted(got, key=lambda x: (x is not None, (x or "").encode()))
+    assert [got[x] for x in order] == list(range(3002))
+    pairs = spark.range(4000).select((F.col("id") % 3).alias("a"), F.concat(F.lit("x"), F.col("id")).alias("b"))
+    got = sorted((r["a"], r["b"], r["n"]) for r in running(pairs, ["a", "b"], None, "n").collect())
+    assert [r[2] for r in got] == list(range(4000))
+
+
+def test_dense_read_of_many_columns(spark):
+    cells = spark.range(9000).select((F.col("id") % 3).alias("row_id"), F.col("id").alias("col_id"), (F.col("id") + 0.5).alias("value"))
+    rows = spark.range(4).withColumnRenamed("id", "row_id")
+    request = [8999, 5, 77777, *range(100, 2000)]
+    got = {r["row_id"]: r["values"] for r in edit.read_columns_dense(cells, rows, request).collect()}
+    assert all(got[i] == [c + 0.5 if c < 9000 and c % 3 == i else 0.0 for c in request] for i in range(4))
+    assert [r["values"] for r in edit.read_columns_dense(cells, rows, []).collect()] == [[]] * 4
