@@ -414,6 +414,26 @@ def file_set(spark, sf):
     return _r(out, 6, "value").select("row_name", "col_name", "row_id", "col_id", "value", "first_pos", "nnz")
 
 
+def streaming_variance(spark, sf):
+    """Quantities by part, as a stream of three batches in which lines of one order come late."""
+    import uuid
+
+    from .core import drop_at_exit, shared_dir
+    from .streaming import moments
+
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
+    lines = _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("row_id"), F.col("l_orderkey").alias("col_id"), F.col("l_quantity").cast("double").alias("value"), (F.col("l_linenumber") % 3).alias("batch"))
+    for b in range(3):
+        lines.where(F.col("batch") == b).drop("batch").write.parquet(f"{folder}/in/{b}")
+    with moments.state_store(spark):
+        stream = moments.streaming_moments(spark.readStream.schema("row_id long, col_id long, value double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*"))
+        run = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out", format="parquet")
+        run.awaitTermination()
+    out = moments.latest(spark.read.schema("row_id long, version long, n long, mean double, var double").parquet(f"{folder}/out"))
+    return _r(out, 6, "mean", "var")
+
+
 def match_files(spark, sf):
     r, c = _latent(spark, sf)
     x = _embedded(spark, sf)
@@ -457,7 +477,7 @@ normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns t
 knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
 sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_graph knn_graph_search knn_named poisson_pseudobulk
 poisson_rates residual_rates counterfactual counterfactual_nearest counterfactual_regression least_squares pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
-read_column_range relabelled_by_size observed_products topic_features file_set svd_approx svd_em svd_project bbknn match_files annotate annotate_posterior annotate_factors simulate_poisson simulate_mixture""".split()
+read_column_range relabelled_by_size observed_products topic_features file_set streaming_variance svd_approx svd_em svd_project bbknn match_files annotate annotate_posterior annotate_factors simulate_poisson simulate_mixture""".split()
 
 
 def queries() -> dict:
@@ -566,6 +586,7 @@ def oracle_sql() -> dict[str, str]:
         "observed_products": f"WITH {_FEW} SELECT a.row_id AS i, b.row_id AS j, round(sum(a.value * b.value), 4) AS product, count(*)::DOUBLE AS n FROM t a JOIN t b USING (col_id) GROUP BY 1, 2",
         "topic_features": f"WITH {_E}, {_PAIRS}, {_CELLS}, s AS (SELECT batch, count(*) AS n, count(*) OVER () AS nb FROM e GROUP BY 1), n AS MATERIALIZED (SELECT src, tgt FROM (SELECT src, tgt, greatest(1, least(20, n) // nb) AS q, row_number() OVER (PARTITION BY src, tgt_batch ORDER BY round(dist, 10), tgt) AS r FROM x JOIN s ON s.batch = tgt_batch) WHERE r <= q AND src <> tgt), g AS (SELECT DISTINCT least(a.src, a.tgt) AS src, greatest(a.src, a.tgt) AS tgt FROM n a JOIN n b ON a.src = b.tgt AND a.tgt = b.src), k AS (SELECT *, row_number() OVER (ORDER BY src, tgt) AS edge_id FROM g) SELECT a.row_id::BIGINT AS row_id, edge_id, (a.value + b.value) / 2 AS value FROM k JOIN t a ON a.col_id = src JOIN t b ON b.col_id = tgt AND a.row_id = b.row_id",
         "file_set": f"WITH {_FEW}, c AS (SELECT o_orderkey, concat('o', o_orderkey) AS col_name, row_number() OVER (ORDER BY o_orderkey) AS col_id, coalesce(k, 0) AS nnz FROM orders LEFT JOIN (SELECT col_id AS o, count(*) AS k FROM t GROUP BY 1) ON o = o_orderkey), i AS (SELECT *, (sum(nnz) OVER (ORDER BY col_id) - nnz)::BIGINT AS first_pos FROM c) SELECT concat('r', t.row_id) AS row_name, col_name, t.row_id + 1 AS row_id, i.col_id, round(value, 6) AS value, first_pos, nnz::BIGINT AS nnz FROM t JOIN i ON i.o_orderkey = t.col_id",
+        "streaming_variance": f"WITH {_T} SELECT row_id, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS var FROM t GROUP BY 1",
         "knn_cross_group": _sql_knn(2, _D, _E, "a.batch <> b.batch", "a.id, b.batch", ", b.batch AS tgt_batch"),
         "match_individuals": f"WITH {_E}, l AS (SELECT batch, unnest(range(1, 65)) AS f, unnest(v) AS x FROM e), s AS (SELECT batch, f, sum(x) AS x FROM l GROUP BY ALL), h AS (SELECT f, greatest(sqrt(sum(x * x)), 1e-8) AS h FROM s GROUP BY 1), p AS (SELECT batch, f, x / h AS x FROM s JOIN h USING (f)), u AS (SELECT batch, greatest(sqrt(sum(x * x)), 1e-8) AS u FROM p GROUP BY 1), y AS (SELECT batch, f, x / u AS x FROM p JOIN u USING (batch)), d AS (SELECT a.batch AS src, b.batch AS tgt, 1 - sum(a.x * b.x) AS dist FROM y a JOIN y b USING (f) WHERE a.batch <> b.batch GROUP BY 1, 2) SELECT src::BIGINT AS src, tgt::BIGINT AS tgt, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) AS r FROM d) WHERE r <= 2",
         "dedup_pairs": f"WITH n AS ({_sql_knn(6, _D, _E)}) SELECT src, tgt, dist FROM (SELECT *, row_number() OVER (PARTITION BY least(src, tgt), greatest(src, tgt) ORDER BY dist, src) AS r FROM n WHERE src <> tgt) WHERE r = 1",

@@ -12,6 +12,7 @@ from sparsemill.core import Matrix, canonical
 from sparsemill.functions import special, vector
 from sparsemill.operators import annotate, edit, knn, network, pseudobulk, regression, simulate, spectral, stats
 from sparsemill.plans import cohorts
+from sparsemill.streaming import moments
 from sparsemill.streaming.scores import streaming_sums
 
 
@@ -264,6 +265,40 @@ def test_stream_of_cells(spark, small, tmp_path):
     assert np.allclose([got[i] for i in range(12)], x.sum(1))
 
 
+def test_moments_over_a_stream(spark, tmp_path):
+    """Values around 1e9, late parts of cells, a key that a batch does not touch, nulls; after each batch as numpy's."""
+    rng = np.random.default_rng(3)
+    batches = [[(int(r), int(c), 1e9 + float(rng.normal())) for r, c in zip(rng.integers(0, 4, 200), rng.integers(0, 90, 200)) if b < 2 or r < 3] for b in range(3)]
+    batches[1] += [(None, 1, 5.0), (2, None, 5.0), (9, 9, 4.0)]
+    batches[2] += [(r, c, -1e9) for r, c, _ in batches[0][:15] if r < 3]
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, "row_id long, col_id long, value double").coalesce(1).write.parquet(str(tmp_path / "in" / str(b)))
+    with moments.state_store(spark):
+        stream = moments.streaming_moments(spark.readStream.schema("row_id long, col_id long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")))
+        run = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet")
+        run.awaitTermination()
+    versions = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["row_id"]: r["v"] for r in versions.groupBy("row_id").agg(F.max("version").alias("v")).collect()} == {0: 3, 1: 3, 2: 3, 3: 2, 9: 1}
+    cells = {}
+    for r, c, x in (x for b in batches for x in b if None not in x):
+        cells[r, c] = cells.get((r, c), 0.0) + x
+    got = {r["row_id"]: r for r in moments.latest(versions).collect()}
+    for r in (0, 1, 2, 3, 9):
+        x = np.array([v for (a, _), v in cells.items() if a == r])
+        assert got[r]["n"] == len(x) and abs(got[r]["mean"] - x.mean()) < 1e-6 * max(1, abs(x.mean()) * 1e-9 * 1e6)
+        assert got[r]["var"] is None if len(x) == 1 else abs(got[r]["var"] / x.var(ddof=1) - 1) < 1e-6
+
+
+def test_moments_merge():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=50) + 1e9, rng.normal(size=7) * 5 + 1e9
+    both = moments.merged(moments.of_values(x), moments.of_values(y))  # a mean near 1e9 is a multiple of 1e-7
+    assert both[0] == 57 and abs(both[2] / ((np.r_[x, y] - np.r_[x, y].mean()) ** 2).sum() - 1) < 1e-7
+    after = moments.replaced(moments.of_values(x), x[3], x[3] + 40)
+    x[3] += 40
+    assert abs(after[2] / ((x - x.mean()) ** 2).sum() - 1) < 1e-6 and moments.merged((0, 0.0, 0.0), both) == both == moments.merged(both, (0, 0.0, 0.0))
+
+
 @pytest.mark.parametrize("most", [100_000, 1_000])
 def test_many_checks_all_count(spark, monkeypatch, most):
     monkeypatch.setattr(network, "BROADCAST_CHECKS", most)
