@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import Matrix, canonical
+from .core import Matrix, canonical, settled
 from .functions.vector import doubles
 from .operators import annotate as annotation
 from .operators import edit, graph, knn, network, pseudobulk, regression, simulate, spectral, stats
@@ -347,6 +347,23 @@ def pairwise_delta(spark, sf, k: int = 5):
     return pseudobulk.pairwise_delta(_embedded(spark, sf), who, v.select("id", "v"), pairs.select(F.col("src").cast("long").alias("src"), F.col("tgt").cast("long").alias("tgt")), k)
 
 
+def paired_covariates(spark, sf):
+    """Batches as individuals: what each has beside its nearest, by factor, with the weight of the match."""
+    profiles = settled(knn.group_profiles(vectors(spark, sf), "batch"), "covar")
+    out = pseudobulk.matched_covariates(profiles, knn.match_groups(None, "batch", 1, True, profiles))
+    long = out.select(F.col("src").cast("long").alias("src"), F.col("tgt").cast("long").alias("tgt"), "weight", F.posexplode("v").alias("factor", "covar"))
+    return _r(long, 6, "covar", "weight")
+
+
+def paired_means(spark, sf):
+    """Differences of each batch from its three nearest, by weight."""
+    v = vectors(spark, sf)
+    who = v.select(F.col("id").alias("col_id"), F.col("batch").cast("long").alias("indv"), F.lit("ct1").alias("label"), F.lit(1.0).alias("z"))
+    matches = settled(knn.match_groups(v.withColumn("batch", F.col("batch").cast("long")), "batch", 3, True), "matches")
+    delta = pseudobulk.pairwise_delta(_embedded(spark, sf), who, v.select("id", "v"), matches.select("src", "tgt"), 5)
+    return pseudobulk.over_matches(delta, matches, "sum_delta", "mean_delta")
+
+
 def svd_approx(spark, sf):
     r, c = _latent(spark, sf)
     return spectral.svd(_embedded(spark, sf), r, c, 5)[2]
@@ -476,7 +493,7 @@ merge_batches common_names_union common_names_intersect column_index index_check
 normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns top_columns_cv pseudobulk_sum_mean annotate_join knn_l2
 knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
 sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_graph knn_graph_search knn_named poisson_pseudobulk
-poisson_rates residual_rates counterfactual counterfactual_nearest counterfactual_regression least_squares pairwise_delta pairwise_nearest column_degrees_scaled nonempty_columns read_block
+poisson_rates residual_rates counterfactual counterfactual_nearest counterfactual_regression least_squares pairwise_delta pairwise_nearest paired_covariates paired_means column_degrees_scaled nonempty_columns read_block
 read_column_range relabelled_by_size observed_products topic_features file_set streaming_variance svd_approx svd_em svd_project bbknn match_files annotate annotate_posterior annotate_factors simulate_poisson simulate_mixture""".split()
 
 
@@ -578,6 +595,7 @@ def oracle_sql() -> dict[str, str]:
         "residual_rates": _sql_residual(10),
         "counterfactual_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, n AS (SELECT src, tgt FROM x WHERE src_batch % 2 <> tgt_batch % 2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1) SELECT src AS col_id, row_id::BIGINT AS row_id, value FROM n JOIN t ON t.col_id = n.tgt",
         "pairwise_nearest": f"WITH {_E}, {_PAIRS}, {_CELLS}, {_MATCH}, g AS (SELECT src, tgt FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1), n AS (SELECT x.src, x.tgt, src_batch, tgt_batch FROM x JOIN g ON g.src = src_batch AND g.tgt = tgt_batch QUALIFY row_number() OVER (PARTITION BY x.src, tgt_batch ORDER BY round(dist, 10), x.tgt) <= 1), k AS (SELECT batch, count(*) AS k FROM e GROUP BY 1) SELECT src_batch::BIGINT AS src, tgt_batch::BIGINT AS tgt, 'ct1' AS label, a.row_id::BIGINT AS row_id, sum(a.value - b.value) AS sum_delta, sum(a.value - b.value) / any_value(k) AS mean_delta, ((sum(a.value) > 0)::INT + (sum(b.value) > 0)::INT)::INT AS nobs FROM n JOIN t a ON a.col_id = n.src JOIN t b ON b.col_id = n.tgt AND b.row_id = a.row_id JOIN k ON k.batch = src_batch GROUP BY src_batch, tgt_batch, a.row_id",
+        "paired_covariates": f"WITH {_E}, {_MATCH}, g AS (SELECT src, tgt FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) <= 1) SELECT src::BIGINT AS src, tgt::BIGINT AS tgt, 1.0::DOUBLE AS weight, (a.f - 1)::INT AS factor, round(a.x - b.x, 6) AS covar FROM g JOIN y a ON a.batch = src JOIN y b ON b.batch = tgt AND b.f = a.f",
         "column_degrees_scaled": f"WITH {_T} SELECT row_id, col_id, round(value / greatest(1, sqrt(d2 + 1)), 6) AS value FROM t JOIN {_NORMED} USING (col_id)",
         "nonempty_columns": f"WITH {_T} SELECT col_id, concat('o', col_id) AS col_name, count(*) AS nnz FROM t GROUP BY 1",
         "read_block": f"WITH {_FEW}, q(col_id, new_col) AS (VALUES {request}), p(row_id, new_row) AS (VALUES (3, 1), (1, 2), (24, 3), (77, 4)) SELECT new_row::BIGINT AS row_id, new_col::BIGINT AS col_id, value FROM t JOIN q USING (col_id) JOIN p USING (row_id)",

@@ -284,12 +284,16 @@ def group_profiles(vectors: DataFrame, group: str) -> DataFrame:
     return unit_vectors(scaled.select("group", F.transform("s", lambda s: s["x"]).alias("v")))
 
 
-def match_groups(vectors: DataFrame, group: str, k: int = 1) -> DataFrame:
-    """(src, tgt, dist): for each group, named by any type, its k nearest other groups by inner product of their profiles;
-    equal ones in order of the names."""
-    profiles = running(group_profiles(vectors, group).where("group is not null"), ["group"], None, "id")
-    found = knn(profiles, profiles, k + 1, "ip").where("src <> tgt")
+def match_groups(vectors: DataFrame, group: str, k: int = 1, weighted: bool = False, profiles: DataFrame | None = None) -> DataFrame:
+    """(src, tgt, dist[, weight]): for each group, named by any type, its k nearest other groups by inner product of their
+    profiles; equal ones in order of the names. weighted: with the weights of weights_of among a group's matches."""
+    known = profiles if profiles is not None else group_profiles(vectors, group)
+    known = settled(running(settled(known.where("group is not null"), "profiles"), ["group"], None, "id"), "profiles")
+    found = knn(known, known, k + 1, "ip").where("src <> tgt")
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.round("dist", 10), "tgt"))
     found = found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
-    a, b = (profiles.select(F.col("id").alias(x), F.col("group").alias(f"{x}_name")) for x in ("src", "tgt"))
-    return found.join(a, "src").join(b, "tgt").select(F.col("src_name").alias("src"), F.col("tgt_name").alias("tgt"), "dist")
+    if weighted:
+        found = with_weights(found)
+    a, b = (known.select(F.col("id").alias(x), F.col("group").alias(f"{x}_name")) for x in ("src", "tgt"))
+    more = ["weight"] if weighted else []
+    return found.join(a, "src").join(b, "tgt").select(F.col("src_name").alias("src"), F.col("tgt_name").alias("tgt"), "dist", *more)

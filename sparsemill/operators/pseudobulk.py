@@ -161,3 +161,19 @@ def pairwise_delta(cells: DataFrame, member: DataFrame, vectors: DataFrame, pair
     got = parts.groupBy("indv", "b", "label", "row_id").agg(F.sum(zy).alias("sum_delta"), (F.sum(F.when(F.col("arm") == 0, zy).otherwise(0.0)) > 0).cast("int").alias("o1"), (F.sum(F.when(F.col("arm") == 1, -zy).otherwise(0.0)) > 0).cast("int").alias("o2"))
     zsum = member.groupBy("indv", "label").agg(F.sum("z").alias("zsum"))
     return got.join(zsum, ["indv", "label"]).select(F.col("indv").alias("src"), F.col("b").alias("tgt"), "label", "row_id", "sum_delta", F.when(F.col("zsum") > 1e-8, F.col("sum_delta") / F.col("zsum")).alias("mean_delta"), (F.col("o1") + F.col("o2")).alias("nobs"))
+
+
+def matched_covariates(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, tgt, v): the profile (group, v) of each pair's first individual less that of its second; other columns of pairs
+    stay."""
+    a, b = (profiles.select(F.col("group").alias(x), F.col("v").alias(f"_{x}")) for x in ("src", "tgt"))
+    return pairs.join(a, "src").join(b, "tgt").withColumn("v", F.zip_with("_src", "_tgt", lambda x, y: x - y)).drop("_src", "_tgt")
+
+
+def over_matches(values: DataFrame, pairs: DataFrame, *names: str) -> DataFrame:
+    """values(src, tgt, label, row_id, names) of matched individuals to (src, label, row_id, names): means over the matches
+    with the weights of pairs(src, tgt, weight). Within a pair the columns have weights of their own, so that a column's
+    match counts by both. A pair without a value of its own (null) does not count."""
+    w = F.col("weight")
+    mean = lambda c: F.sum(w * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), w))
+    return values.join(pairs.select("src", "tgt", "weight"), ["src", "tgt"]).groupBy("src", "label", "row_id").agg(*[mean(c).alias(c) for c in names])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Matrix
-from ..operators.knn import match_groups, nearest_records
-from ..operators.pseudobulk import counterfactual, membership, pairwise_delta, pairwise_rates, poisson_gamma, pseudobulk, residual_rates
+from ..core import Matrix, settled
+from ..operators.knn import group_profiles, match_groups, nearest_records
+from ..operators.pseudobulk import counterfactual, matched_covariates, membership, over_matches, pairwise_delta, pairwise_rates, poisson_gamma, pseudobulk, residual_rates
 from ..operators.spectral import svd
 
 
@@ -39,10 +39,23 @@ def cocoa(m: Matrix, aligned: DataFrame, latent: DataFrame | None = None, rank:
 
 
 def pine(m: Matrix, aligned: DataFrame, latent: DataFrame | None = None, rank: int = 10, k_cell: int = 10, k_indv: int = 1) -> dict[str, DataFrame]:
-    """Differences of matched individuals; each unordered pair once, by its nearest record."""
+    """Differences of matched individuals. knn: each individual's matches with distance and weight; pairs: each unordered
+    pair once, by its nearest record; delta and rates by pair; mean_delta: delta over an individual's matches by weight;
+    covar_ind: (group, v), the individuals' profiles; covar_matched: what a pair's first has beside its second."""
     member = aligned.select("col_id", "indv", "label", "z")
     if latent is None:
         latent = svd(m.triplets, m.rows, m.cols, rank)[2].withColumnRenamed("col_id", "id")
-    pairs = match_groups(latent.join(member.select(F.col("col_id").alias("id"), "indv"), "id"), "indv", k_indv)
-    delta = pairwise_delta(m.triplets, member, latent, pairs, k_cell)
-    return {"pairs": nearest_records(pairs), "delta": delta, "rates": pairwise_rates(m.triplets, member, latent, pairs, m.rows, k_cell)}
+    v = latent.join(member.select(F.col("col_id").alias("id"), "indv"), "id")
+    profiles = settled(group_profiles(v, "indv"), "covar")
+    matches = settled(match_groups(v, "indv", k_indv, True, profiles), "matches")
+    pairs = matches.drop("weight")
+    delta = settled(pairwise_delta(m.triplets, member, latent, pairs, k_cell), "delta")
+    return {
+        "knn": matches,
+        "pairs": nearest_records(pairs),
+        "delta": delta,
+        "mean_delta": over_matches(delta, matches, "sum_delta", "mean_delta"),
+        "rates": pairwise_rates(m.triplets, member, latent, pairs, m.rows, k_cell),
+        "covar_ind": profiles,
+        "covar_matched": matched_covariates(profiles, matches),
+    }

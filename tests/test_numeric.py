@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsemill import catalog
-from sparsemill.operators import pseudobulk
+from sparsemill.operators import knn, pseudobulk
 from sparsemill.operators.knn import weights_of
 
 
@@ -84,6 +84,39 @@ def test_labels_are_among_those_marked(spark, sf):
     assert all(0.25 <= r["max_prob"] <= 1 + 1e-9 and abs(math.log(r["max_prob"]) - r["max_ln_prob"]) < 1e-9 for r in rows if r["argmax"] != "Incomplete")
 
 
+def test_means_over_matches_of_two_levels(spark):
+    """Weights between individuals times those between columns, against numpy; a null value does not count."""
+    rng = np.random.default_rng(9)
+    n, who = 24, np.repeat(np.arange(4), 6)
+    x, y = rng.normal(size=(n, 3)) + who[:, None] * 0.3, rng.integers(0, 5, (5, n)).astype(float)
+    v = spark.createDataFrame([(i, x[i].tolist(), f"p{who[i]}") for i in range(n)], "id long, v array<double>, indv string")
+    cells = spark.createDataFrame([(g, j, float(y[g, j])) for g in range(5) for j in range(n) if y[g, j]], "row_id long, col_id long, value double")
+    member = spark.createDataFrame([(j, f"p{who[j]}", "ct", 1.0) for j in range(n)], "col_id long, indv string, label string, z double")
+    matches = knn.match_groups(v, "indv", 2, True)
+    found = {(r["src"], r["tgt"]): (r["dist"], r["weight"]) for r in matches.collect()}
+    sums = np.array([x[who == k].sum(0) for k in range(4)])
+    prof = sums / np.linalg.norm(sums, axis=0)
+    prof /= np.linalg.norm(prof, axis=1, keepdims=True)
+    got = {(r["src"], r["row_id"]): r["sum_delta"] for r in pseudobulk.over_matches(pseudobulk.pairwise_delta(cells, member, v.select("id", "v"), matches.select("src", "tgt"), 3), matches, "sum_delta", "mean_delta").collect()}
+    for a in range(4):
+        near = sorted((round(1 - prof[a] @ prof[b], 10), b) for b in range(4) if b != a)[:2]
+        w = knn.weights_of([1 - prof[a] @ prof[b] for _, b in near])
+        assert all(np.allclose(found[f"p{a}", f"p{b}"], (d, u)) for (d, b), u in zip(near, w))
+        deltas = []
+        for _, b in near:
+            other = np.zeros((5, 6))
+            for i, j in enumerate(np.flatnonzero(who == a)):
+                d = ((x[who == b] - x[j]) ** 2).sum(1)
+                at = np.argsort(d)[:3]
+                u = np.array(knn.weights_of(d[at]))
+                other[:, i] = y[:, np.flatnonzero(who == b)[at]] @ u / u.sum()
+            deltas.append((y[:, who == a] - other).sum(1))
+        want = (w[0] * deltas[0] + w[1] * deltas[1]) / sum(w)
+        assert all(abs(got[f"p{a}", g] - want[g]) < 1e-9 for g in range(5))
+    covar = {(r["src"], r["tgt"]): r["v"] for r in pseudobulk.matched_covariates(knn.group_profiles(v, "indv"), matches).collect()}
+    assert all(np.allclose(d, prof[int(s[1])] - prof[int(t[1])]) for (s, t), d in covar.items()) and len(covar) == 8
+
+
 def test_rates_of_pairs(spark):
     """pairwise_rates beside the same rounds in numpy, for one pair of individuals and two labels."""
     rng = np.random.default_rng(5)
