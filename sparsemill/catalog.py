@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .core import Matrix, canonical, settled
 from .functions.vector import doubles
 from .operators import annotate as annotation
-from .operators import edit, graph, knn, network, pseudobulk, regression, simulate, spectral, stats
+from .operators import edit, graph, knn, mixture, network, pseudobulk, regression, simulate, spectral, stats
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -99,6 +99,12 @@ def filter_columns_nnz(spark, sf):
     return _out(edit.filter_columns(matrix(spark, sf), 4))
 
 
+def filtered_scores(spark, sf):
+    """Number of cells of the columns that a filter keeps, under their new and old numbers."""
+    _, kept, every = edit.filter_columns_scored(matrix(spark, sf), 4)
+    return kept.join(every.select(F.col("col_id").alias("old_id"), "col_name", F.col("nnz").alias("full_nnz")), "col_name")
+
+
 def merge_batches(spark, sf):
     parts = [(f, matrix(spark, sf, f"l_returnflag = '{f}'")) for f in "ANR"]
     return _out(edit.merge(parts, 2))
@@ -369,6 +375,28 @@ def svd_approx(spark, sf):
     return spectral.svd(_embedded(spark, sf), r, c, 5)[2]
 
 
+def svd_sampled(spark, sf):
+    r, c = _latent(spark, sf)
+    return spectral.svd_sampled(_embedded(spark, sf), r, c, 5, 200)[2]
+
+
+def edge_clusters(spark, sf):
+    """Edges between the orders of a customer, in five clusters of what their orders have in common."""
+    found = network.edge_features(_few(spark, sf), _chain(spark, sf))
+    return mixture.poisson_mixture(network.feature_incidence(found), _few_rows(spark), 5, rounds=10)["members"].drop("probs")
+
+
+def bbknn_matrix(spark, sf):
+    r, c = _latent(spark, sf)
+    return spectral.bbknn_matrix(_embedded(spark, sf), r, c, vectors(spark, sf).select(F.col("id").alias("col_id"), (F.col("batch") % 3).alias("batch")), 5, 9)["knn_adjusted"]
+
+
+def scaled_columns(spark, sf):
+    """Cells by their order's discount; orders without one keep theirs."""
+    factor = _t(spark, sf, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("col_id"), (1 - F.col("l_discount").cast("double")).alias("scale"))
+    return _r(edit.scale_columns(cells(spark, sf), factor), 6, "value")
+
+
 def svd_em(spark, sf):
     r, c = _latent(spark, sf)
     return spectral.svd_em(_embedded(spark, sf), r, c, 5)[2]
@@ -494,7 +522,7 @@ normalize_fixed normalize_median l2_columns laplacian_norm standardize_columns t
 knn_cosine knn_balanced knn_reciprocal knn_cross_group match_individuals dedup_pairs edge_features feature_incidence sample_incidence
 sample_adjacency marker_match qc_disqualified regression_residuals knn_weights knn_reweighted knn_reweighted_distances knn_indexed knn_graph knn_graph_search knn_named poisson_pseudobulk
 poisson_rates residual_rates counterfactual counterfactual_nearest counterfactual_regression least_squares pairwise_delta pairwise_nearest paired_covariates paired_means column_degrees_scaled nonempty_columns read_block
-read_column_range relabelled_by_size observed_products topic_features file_set streaming_variance svd_approx svd_em svd_project bbknn match_files annotate annotate_posterior annotate_factors simulate_poisson simulate_mixture""".split()
+read_column_range relabelled_by_size observed_products topic_features file_set streaming_variance scaled_columns filtered_scores edge_clusters svd_approx svd_sampled svd_em svd_project bbknn bbknn_matrix match_files annotate annotate_posterior annotate_factors simulate_poisson simulate_mixture""".split()
 
 
 def queries() -> dict:
@@ -604,6 +632,8 @@ def oracle_sql() -> dict[str, str]:
         "observed_products": f"WITH {_FEW} SELECT a.row_id AS i, b.row_id AS j, round(sum(a.value * b.value), 4) AS product, count(*)::DOUBLE AS n FROM t a JOIN t b USING (col_id) GROUP BY 1, 2",
         "topic_features": f"WITH {_E}, {_PAIRS}, {_CELLS}, s AS (SELECT batch, count(*) AS n, count(*) OVER () AS nb FROM e GROUP BY 1), n AS MATERIALIZED (SELECT src, tgt FROM (SELECT src, tgt, greatest(1, least(20, n) // nb) AS q, row_number() OVER (PARTITION BY src, tgt_batch ORDER BY round(dist, 10), tgt) AS r FROM x JOIN s ON s.batch = tgt_batch) WHERE r <= q AND src <> tgt), g AS (SELECT DISTINCT least(a.src, a.tgt) AS src, greatest(a.src, a.tgt) AS tgt FROM n a JOIN n b ON a.src = b.tgt AND a.tgt = b.src), k AS (SELECT *, row_number() OVER (ORDER BY src, tgt) AS edge_id FROM g) SELECT a.row_id::BIGINT AS row_id, edge_id, (a.value + b.value) / 2 AS value FROM k JOIN t a ON a.col_id = src JOIN t b ON b.col_id = tgt AND a.row_id = b.row_id",
         "file_set": f"WITH {_FEW}, c AS (SELECT o_orderkey, concat('o', o_orderkey) AS col_name, row_number() OVER (ORDER BY o_orderkey) AS col_id, coalesce(k, 0) AS nnz FROM orders LEFT JOIN (SELECT col_id AS o, count(*) AS k FROM t GROUP BY 1) ON o = o_orderkey), i AS (SELECT *, (sum(nnz) OVER (ORDER BY col_id) - nnz)::BIGINT AS first_pos FROM c) SELECT concat('r', t.row_id) AS row_name, col_name, t.row_id + 1 AS row_id, i.col_id, round(value, 6) AS value, first_pos, nnz::BIGINT AS nnz FROM t JOIN i ON i.o_orderkey = t.col_id",
+        "scaled_columns": f"WITH {_T} SELECT row_id, col_id, round(value * coalesce(1 - l_discount, 1), 6) AS value FROM t LEFT JOIN lineitem ON l_orderkey = col_id AND l_linenumber = 2",
+        "filtered_scores": f"WITH {_T} SELECT row_number() OVER (ORDER BY col_id) - 1 AS col_id, concat('o', col_id) AS col_name, count(*) AS nnz, col_id AS old_id, count(*) AS full_nnz FROM t GROUP BY t.col_id HAVING count(*) >= 4",
         "streaming_variance": f"WITH {_T} SELECT row_id, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS var FROM t GROUP BY 1",
         "knn_cross_group": _sql_knn(2, _D, _E, "a.batch <> b.batch", "a.id, b.batch", ", b.batch AS tgt_batch"),
         "match_individuals": f"WITH {_E}, l AS (SELECT batch, unnest(range(1, 65)) AS f, unnest(v) AS x FROM e), s AS (SELECT batch, f, sum(x) AS x FROM l GROUP BY ALL), h AS (SELECT f, greatest(sqrt(sum(x * x)), 1e-8) AS h FROM s GROUP BY 1), p AS (SELECT batch, f, x / h AS x FROM s JOIN h USING (f)), u AS (SELECT batch, greatest(sqrt(sum(x * x)), 1e-8) AS u FROM p GROUP BY 1), y AS (SELECT batch, f, x / u AS x FROM p JOIN u USING (batch)), d AS (SELECT a.batch AS src, b.batch AS tgt, 1 - sum(a.x * b.x) AS dist FROM y a JOIN y b USING (f) WHERE a.batch <> b.batch GROUP BY 1, 2) SELECT src::BIGINT AS src, tgt::BIGINT AS tgt, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 10), tgt) AS r FROM d) WHERE r <= 2",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..core import renumber, settled
 
 
-def annotation(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: DataFrame | None = None, disqualified: DataFrame | None = None, take_ln: bool = False, kappa_max: float = 100.0, iterations: int = 100, tol: float = 1e-4, sample: bool = False, seed: int = 1) -> dict[str, DataFrame]:
+def annotation(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: DataFrame | None = None, disqualified: DataFrame | None = None, take_ln: bool = False, kappa_max: float = 100.0, iterations: int = 100, tol: float = 1e-4, sample: bool = False, seed: int = 1, bessel: bool = False) -> dict[str, DataFrame]:
     """What markers(label, row_id[, set]) and counter-markers anti(label, row_id[, set]) say of the columns:
 
     annotation: (col_id, argmax, max_prob, max_ln_prob, max_score), a row for each of cols;
@@ -24,7 +24,8 @@ def annotation(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: Data
     are a marker of some label in it and brought to unit length; a label's score is the sum over sets of kappa mu'x less
     kappa_anti mu_anti'x. A round gives each column its best label, or one drawn with the seed, and sums columns by label.
     It ends when the mean score over two rounds moves by less than tol. Columns that are disqualified or have no cell on a
-    marker row are Incomplete. Markers without label or row, and repeated ones, do not count."""
+    marker row are Incomplete. kappa is the closed approximation in the mean direction's length or, with bessel, the
+    likeliest one. Markers without label or row, and repeated ones, do not count."""
     with_set = lambda m: m.select("label", "row_id", (F.col("set") if "set" in m.columns else F.lit(0)).cast("int").alias("set")).where("label is not null and row_id is not null").distinct()
     up = with_set(markers).withColumn("up", F.lit(1.0))
     marks = up if anti is None else up.join(with_set(anti).withColumn("down", F.lit(1.0)), ["label", "row_id", "set"], "full_outer")
@@ -90,7 +91,14 @@ def annotation(cells: DataFrame, cols: DataFrame, markers: DataFrame, anti: Data
             break
         stats = settled(marks.join(summed(best), ["set", "k", "row_id"], "left").fillna(0.0, ["s"]), "sums")
         size = kappa(stats, "up", total["n"]).join(kappa(stats, "down", total["n"]).withColumnRenamed("r", "r0"), "set")
-        size = size.select("set", concentration(F.col("r")).alias("kappa"), concentration(F.col("r0")).alias("kappa_anti"))  # a row a set
+        if bessel:
+            from ..functions import special
+
+            known = size.collect()  # a row a set
+            exact = [[min(float(k), float(kappa_max)) for k in special.concentration([r[c] for r in known], d)] for c in ("r", "r0")]
+            size = cells.sparkSession.createDataFrame([(r["set"], a, b) for r, a, b in zip(known, *exact)], "set int, kappa double, kappa_anti double")
+        else:
+            size = size.select("set", concentration(F.col("r")).alias("kappa"), concentration(F.col("r0")).alias("kappa_anti"))  # a row a set
         params = settled(stats.select("set", "k", "row_id", unit(F.col("s") * F.col("up")).alias("mu"), unit(F.col("s") * F.col("down")).alias("mu_anti")).join(F.broadcast(size), "set"), "directions")
         trace.append(total["score"])
         if it > 4:

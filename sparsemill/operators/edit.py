@@ -44,11 +44,18 @@ def select_rows(m: Matrix, names: DataFrame) -> Matrix:
 
 def filter_columns(m: Matrix, least: int) -> Matrix:
     """Columns with at least so many cells beyond 1e-8, numbered anew. Which they are is counted once and written."""
+    return filter_columns_scored(m, least)[0]
+
+
+def filter_columns_scored(m: Matrix, least: int) -> tuple[Matrix, DataFrame, DataFrame]:
+    """filter_columns, with the number of cells (col_id, col_name, nnz) of the columns that stay, under their new numbers,
+    and of all columns, under their old ones."""
     found = m.triplets.groupBy("col_id").agg(count_true(nonzero(F.col("value"))).alias("nnz"))
-    cols = m.cols.join(found, "col_id", "left").where(F.coalesce("nnz", F.lit(0)) >= least)
-    kept = renumber(settled(cols.drop("nnz"), "kept"), "col_id", "new")
+    every = settled(m.cols.join(found, "col_id", "left").select("col_id", "col_name", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz")), "scores")
+    kept = renumber(every.where(F.col("nnz") >= least), "col_id", "new")
     cells = m.triplets.join(kept.select("col_id", "new"), "col_id").select("row_id", F.col("new").alias("col_id"), "value")
-    return Matrix(cells, m.rows, kept.select(F.col("new").alias("col_id"), "col_name"))
+    scores = kept.select(F.col("new").alias("col_id"), "col_name", "nnz")
+    return Matrix(cells, m.rows, scores.drop("nnz")), scores, every
 
 
 def merge(parts: list[tuple[str, Matrix]], nnz_cutoff: int = 1, delim: str = "_", fixed_rows: DataFrame | None = None) -> Matrix:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparsemill.core import Matrix, canonical
 from sparsemill.functions import special, vector
-from sparsemill.operators import annotate, edit, knn, network, pseudobulk, regression, simulate, spectral, stats
+from sparsemill.operators import annotate, edit, knn, mixture, network, pseudobulk, regression, simulate, spectral, stats
 from sparsemill.plans import cohorts
 from sparsemill.streaming import moments
 from sparsemill.streaming.scores import streaming_sums
@@ -54,6 +54,117 @@ def test_svd(small, how):
     assert side[:15].all() != side[15:].all() or (side[:15] != side[0]).sum() == 0
 
 
+def test_svd_of_a_sample(spark, small):
+    """All columns sampled: what svd gives. A third of the columns of a planted matrix: nearly the same space, and every
+    column's projection on it."""
+    x, m = small
+    u, d, v, _ = spectral.svd_sampled(m.triplets, m.rows, m.cols, 2, 100)
+    u0, d0, v0, _ = spectral.svd(m.triplets, m.rows, m.cols, 2)
+    at = lambda t: np.array([r["v"] for r in t.orderBy("col_id").collect()])
+    assert np.allclose(u, u0, atol=1e-6) and np.allclose(d, d0) and np.allclose(at(v), at(v0), atol=1e-6)
+    rng = np.random.default_rng(5)
+    y = rng.poisson(np.exp(1 + 0.8 * rng.normal(size=(40, 2)) @ rng.normal(size=(2, 300))).clip(0, 200)).astype(float)
+    cells = spark.createDataFrame([(int(i), int(j), float(y[i, j])) for i, j in zip(*np.nonzero(y))], "row_id long, col_id long, value double")
+    rows, cols = spark.range(40).withColumnRenamed("id", "row_id"), spark.range(301).withColumnRenamed("id", "col_id")
+    exact = np.linalg.svd(standardized(normalized(y)), full_matrices=False)[0][:, :2]
+    for by in ("cv", "random"):
+        u, d, v, _ = spectral.svd_sampled(cells, rows, cols, 2, 100, by)
+        assert np.linalg.svd(u.T @ exact)[1].min() > 0.97
+        assert np.allclose(at(v)[:300], standardized(normalized(y)).T @ u / d, atol=1e-6) and v.count() == 301
+
+
+def test_bbknn_of_a_matrix(spark, small):
+    x, m = small
+    batches = m.cols.select("col_id", (F.col("col_id") % 2).alias("batch"))
+    for use_values in (False, True):
+        got = spectral.bbknn_matrix(m.triplets, m.rows, m.cols, batches, 3, 6, use_values)
+        u, d, v, ids = spectral.svd(m.triplets, m.rows, m.cols, 3)
+        assert np.allclose([r["v"] for r in got["u"].orderBy("row_id").collect()], u, atol=1e-6) and np.allclose([r["value"] for r in got["d"].orderBy("factor").collect()], d)
+        scale = d if use_values else 1.0
+        known = {r["col_id"]: np.array(r["v"]) * scale for r in v.collect()}
+        adjusted = {r["col_id"]: np.array(r["v"]) for r in got["factors_adjusted"].collect()}
+        edges = got["knn"].collect()
+        own = [(r["weight"], known[r["src"]] - known[r["tgt"]]) for r in edges if r["src"] % 2 == 1 and r["tgt"] % 2 == 0]
+        shift = sum(w * x for w, x in own) / max(1.0, sum(w for w, _ in own))
+        assert all(np.allclose(adjusted[i], known[i] - (shift if i % 2 else 0), atol=1e-6) for i in known)
+        assert got["knn_adjusted"].count() > 0 and got["factors"].count() == 30
+
+
+def test_rebuilt_matrix(spark, small):
+    _, m = small
+    u, d, v, ids = spectral.svd(m.triplets, m.rows, m.cols, 3)
+    full = np.maximum(u * d @ np.array([r["v"] for r in v.orderBy("col_id").collect()]).T, 0) + 1e-4
+    got = spectral.rebuilt(v, u, d, ids, [5, 2]).collect()
+    assert len(got) == 60 and all(abs(r["value"] - full[r["row_id"], r["col_id"]]) < 1e-6 for r in got)
+
+
+def test_overlap_and_scale(spark, small):
+    x, m = small
+    names = lambda *n: spark.createDataFrame([(a,) for a in n], "row_name string")
+    assert edit.rows_overlap(m.rows, names("zz", "r3")) and not edit.rows_overlap(m.rows, names("zz")) and not edit.rows_overlap(m.rows, m.rows.where("row_id < 0"))
+    got = {(r["row_id"], r["col_id"]): r["value"] for r in edit.scale_columns(m.triplets, spark.createDataFrame([(3, 2.0), (99, 5.0)], "col_id long, scale double")).collect()}
+    assert all(v == x[i, j] * (2 if j == 3 else 1) for (i, j), v in got.items()) and len(got) == (x != 0).sum()
+
+
+def test_log_bessel():
+    """The series in exact fractions at orders 1 to 500, and a relation between orders beyond it."""
+    from fractions import Fraction
+
+    for v in (0, 1, 2, 7, 40, 150, 500):
+        for x in (0.01, 1.0, 30.0, 400.0, 1500.0):
+            term, total, k, q = Fraction(1), 0.0, 0, Fraction(x) ** 2 / 4
+            logs = [0.0]
+            while k < x + 60:
+                k += 1
+                logs.append(logs[-1] + math.log(float(q)) - math.log(k) - math.log(v + k))
+            top = max(logs)
+            want = v * math.log(x / 2) - math.lgamma(v + 1) + top + math.log(math.fsum(math.exp(a - top) for a in logs))
+            assert abs(float(special.log_bessel_i(v, x)) - want) < 1e-8 * max(1, abs(want))
+    for x in (2001.0, 5000.0, 1e6):  # I(v - 1) - I(v + 1) = 2 v / x I(v)
+        for v in (1.0, 30.0, 400.0):
+            a, b, c = (float(special.log_bessel_i(o, x)) for o in (v - 1, v, v + 1))
+            assert abs(math.exp(a - b) - math.exp(c - b) - 2 * v / x) < 1e-8
+    assert np.allclose(special.log_bessel_i([0.5], [3000.0]), 3000 - 0.5 * np.log(2 * np.pi * 3000) + np.log1p(-np.exp(-6000)), atol=1e-8)
+
+
+def test_concentration_of_directions():
+    for d in (3, 20, 500):
+        for r in (0.05, 0.5, 0.95):
+            k = float(special.concentration(r, d)[0])
+            assert abs(math.exp(float(special.log_bessel_i(d / 2, k) - special.log_bessel_i(d / 2 - 1, k))) - r) < 1e-9
+    assert special.concentration([0.0], 5)[0] == 0.0
+
+
+def test_mixture_finds_planted_clusters(spark):
+    """As EM in numpy from the same start; the likelihood never falls; edges without a cell, odd cells and names."""
+    rng = np.random.default_rng(4)
+    kind, rates = np.arange(150) % 3, np.full((3, 12), 0.3)
+    for c in range(3):
+        rates[c, 4 * c : 4 * c + 4] = 4.0
+    y = rng.poisson(rates[kind]).astype(float)
+    cells = spark.createDataFrame([(int(e), int(r), float(y[e, r])) for e, r in zip(*np.nonzero(y))] + [(0, 99, 7.0), (5, 2, None), (6, 2, -3.0), (777, 50, 1.0)], "edge_id long, row_id long, value double")
+    rows = spark.range(14).withColumnRenamed("id", "row_id")
+    got = mixture.poisson_mixture(cells, rows, 3, seed=3)
+    assert all(b >= a - 1e-9 * abs(a) for a, b in zip(got["trace"], got["trace"][1:])) and len(got["trace"]) > 2
+    found = {r["edge_id"]: r for r in got["members"].collect()}
+    alive = [e for e in range(150) if y[e].sum()]
+    assert set(found) == set(alive)
+    names = {c: np.bincount([kind[e] for e in alive if found[e]["cluster"] == c], minlength=3).argmax() for c in range(3)}
+    assert sorted(names.values()) == [0, 1, 2] and np.mean([names[found[e]["cluster"]] == kind[e] for e in alive]) > 0.97
+    lam = np.zeros((3, 14))
+    for r in got["profiles"].collect():
+        lam[r["cluster"], r["row_id"]] = r["rate"]
+    full, share = np.hstack([y[alive], np.zeros((len(alive), 2))]), np.array([r["share"] for r in got["sizes"].orderBy("cluster").collect()])
+    z = full @ np.log(lam).T - lam.sum(1) + np.log(share)
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    assert np.allclose([found[e]["probs"] for e in alive], z, atol=1e-9) and lam.min() > 0 and abs(share.sum() - 1) < 1e-9
+    again = (z.T @ full + 1) / (1 + z.sum(0)[:, None])
+    assert np.abs(again - lam).max() < 0.05  # the rates are those of the memberships
+    assert mixture.poisson_mixture(cells.where("edge_id < 0"), rows, 3)["members"].count() == 0
+    assert mixture.poisson_mixture(cells.where("edge_id < 2"), rows, 5, rounds=3)["sizes"].count() == 2
+
+
 def test_columns_match_themselves(small):
     _, m = small
     got = spectral.match_columns(m.triplets, m.cols, m.triplets, m.rows, m.cols, 1, 4).collect()

@@ -51,7 +51,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 #: Held against numpy in test_numeric, test_search and test_models.
-NUMERIC = "annotate annotate_factors annotate_posterior bbknn counterfactual counterfactual_regression knn_graph knn_graph_search knn_indexed knn_reweighted knn_weights match_files paired_means pairwise_delta poisson_pseudobulk simulate_mixture simulate_poisson svd_approx svd_em svd_project".split()
+NUMERIC = "annotate annotate_factors annotate_posterior bbknn bbknn_matrix counterfactual counterfactual_regression edge_clusters knn_graph knn_graph_search knn_indexed knn_reweighted knn_weights match_files paired_means pairwise_delta poisson_pseudobulk simulate_mixture simulate_poisson svd_approx svd_em svd_project svd_sampled".split()
 
 
 def test_every_query_is_held_against_something():
