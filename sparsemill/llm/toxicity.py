@@ -251,7 +251,8 @@ def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with the columns of docs."""
+    """The rows of docs that are not predicted toxic, with the columns of docs, whatever their names. Null and empty texts have
+    no clause and stay; repeated rows and rows without doc_id are judged like others; an empty table stays empty."""
     lexicon, (a, b, c) = fit(docs, labels)
     scorer_input = docs.select("*")
 

@@ -263,7 +263,9 @@ def quality_scores(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the scorer keeps, with the columns of docs."""
+    """The rows of docs that the scorer keeps, with the columns of docs, whatever their names. Null and empty texts, and those
+    of fewer than three bytes, have the share of bad documents as their score and stay; repeated rows are judged each; an
+    empty table stays empty."""
     w, b, model = train(docs)
     prior = model.prior
 

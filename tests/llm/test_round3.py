@@ -202,6 +202,92 @@ def test_empty_tables(empty, tmp_path):
     assert sharding.read_shards(empty.sparkSession, sharding.write_shards(empty, f"file://{tmp_path}/none"), empty).collect() == []
 
 
+# 5, 9 and 10 beside plain versions
+
+
+def plain_clauses(text, words, stems):
+    """Weights of clauses by counters for what came before a word, without transducers."""
+    from sparsemill.llm import toxicity as t
+
+    kinds, out = {w: c for c, ws in (("T", t.TARGETS), ("N", t.NEGATIONS), ("R", t.REPORTS), ("H", t.THREATS)) for w in ws}, []
+    for clause in re.split(r"[.!?;\n]+", (text or "").lower()):
+        negated = aimed = hit = 0
+        quoted, strength, total = False, 1.0, 0.0
+        for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause):
+            stem = max([stems.get(w[:k], 0.0) for k in t.STEMS])
+            x, s = ("I", words[w]) if w in words else ("I", stem) if stem > 0 else (kinds.get(w, "o"), 1.0)
+            strength = s if x in "IH" else strength
+            if x == "N":
+                negated = 3
+            elif negated:
+                x, negated = {"I": "i", "H": "h"}.get(x, x), negated - 1
+            if x == "R":
+                quoted = True
+            elif quoted:
+                x = {"I": "q", "i": "q", "H": "p", "h": "p"}.get(x, x)
+            if x == "T":
+                x, aimed, hit = "B" if hit else "T", 3, 0
+            elif x in ("I", "H"):
+                x, aimed, hit = ({"I": "A", "H": "K"}[x] if aimed else x), max(0, aimed - 1), 2
+            else:
+                aimed, hit = max(0, aimed - 1), max(0, hit - 1)
+            total += {"I": 1.0, "A": 1.3, "B": 0.3, "i": 0.25, "q": 0.4, "H": 0.3, "K": 1.1, "h": 0.05, "p": 0.15}.get(x, 0.0) * strength
+        if total:
+            out.append(total)
+    return out
+
+
+def test_clauses_as_by_counters():
+    from sparsemill.llm import toxicity as t
+
+    lexicon = {"idiot": 1.0, "scum": 0.7, "lowei*": 0.5, "brut*": 0.9}
+    scorer, rng = t.Scorer(lexicon), random.Random(7)
+    words, stems = {"idiot": 1.0, "scum": 0.7}, {"lowei": 0.5, "brut": 0.9}
+    pool = [*t.TARGETS[:4], *t.THREATS[:4], *t.NEGATIONS[:4], *t.REPORTS[:4], "idiot", "scum", "loweia", "brutal", "house", "and", "tree", "idiotic", "Idiot", "x1", "isn't"]
+    for _ in range(400):
+        text = " ".join(rng.choice(pool) + rng.choice(["", "", "", ",", ".", "!", "\n", " ;"]) for _ in range(rng.randint(0, 40)))
+        assert np.allclose(scorer.clauses(text), plain_clauses(text, words, stems)), text
+
+
+def test_em_as_document_by_document():
+    """Label model from counted patterns, beside one that goes over every document's votes."""
+    from sparsemill.llm import weak_quality as wq
+
+    rng = np.random.default_rng(2)
+    names, n = list(wq.LABELLERS), 400
+    bad = rng.random(n) < 0.2
+    votes = np.array([np.where(rng.random(n) < np.where(bad, 0.4, 0.05), rng.integers(0, 2, n), 2) for _ in names])
+    patterns = (votes * 3 ** np.arange(len(names))[:, None]).sum(0)
+    known, counts = np.unique(patterns, return_counts=True)
+    got = wq.estimate(known, counts)
+    start = [np.array(wq.PROSE if m == "prose" else wq.DEFECT) for m in names]
+    prior, table = 0.15, [t.copy() for t in start]
+    for _ in range(wq.EM_ROUNDS):
+        post = []
+        for j in range(n):
+            p = [1 - prior, prior]
+            for i in range(len(names)):
+                p = [p[y] * table[i][y][votes[i, j]] for y in (0, 1)]
+            post.append(p[1] / (p[0] + p[1]))
+        prior = min(0.5, max(0.005, (sum(post) + 1.5) / (n + 10)))
+        for i, m in enumerate(names):
+            for y in (0, 1):
+                weight = [q if y else 1 - q for q in post]
+                own = [sum(w for w, v in zip(weight, votes[i]) if v == k) + (5 + wq.BELIEF[m == "prose"][y] * sum(weight)) * start[i][y][k] for k in range(3)]
+                table[i][y] = np.array(own) / sum(own)
+    assert abs(got.prior - prior) < 1e-9 and all(np.allclose(a, b, atol=1e-9) for a, b in zip(got.table, table))
+
+
+def test_packing_query_beats_best_fit(spark):
+    """With the crossovers that the query itself spends, on a whole table."""
+    from sparsemill.llm import packing
+
+    pieces = queries.queries()["op9_best_fit_packing"](spark, "/root/testdata/sf0.01").select("length", "sequence_id").collect()
+    lengths = np.array([r["length"] for r in pieces])
+    n = packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), [0] * len(lengths), [], 1024)
+    assert -(-int(lengths.sum()) // 1024) <= len({r["sequence_id"] for r in pieces}) < n
+
+
 @pytest.mark.parametrize("name", ["mixing_targets", "text_statistics", "fingerprint_texts", "op11_fill_in_middle"])
 def test_sql(spark, sf, name):
     import duckdb
