@@ -97,22 +97,23 @@ class Encoder:
 
     _made: dict[tuple, Encoder] = {}
 
-    def __init__(self, path: str, cut: str, end_id: int | None):
+    def __init__(self, path: str, cut: str, end_id: int | None, kept: int = KEPT_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.units = _Units(tokenizer)
+        self.units.most = kept
         self.pieces, self.find = _Pieces(self.units), re.compile(CUTS[cut]).findall
         self.rule, self.lower = re.compile(RULES[cut]).findall, cut == "words"
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     @classmethod
-    def of(cls, path: str, cut: str, end_id: int | None) -> Encoder:
-        """One for each worker process."""
-        if (key := (path, cut, end_id)) not in cls._made:
-            cls._made[key] = cls(path, cut, end_id)
+    def of(cls, path: str, cut: str, end_id: int | None, kept: int = KEPT_UNITS) -> Encoder:
+        """One for each worker process. kept: it keeps the ids of at most twice so many units."""
+        if (key := (path, cut, end_id, kept)) not in cls._made:
+            cls._made[key] = cls(path, cut, end_id, kept)
         return cls._made[key]
 
     def encode(self, text: str | None) -> bytes:

@@ -36,6 +36,8 @@ END_ID = 2
 #: The dictionary is trained on the first ids of about so many documents, those with the least hash of doc_id.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 32 << 10
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+#: Units that a worker's encoder keeps, twice: a quarter of all words are new ones.
+KEPT_UNITS = 400_000
 BLOCKS = "part int, number long, n_ids long, lo long, hi long, block binary"
 
 
@@ -93,7 +95,7 @@ def train_dictionary(docs: DataFrame, path: str, cut: str, width: int, n: int, s
     def train(batches):
         import zstandard
 
-        encoder, samples = Encoder.of(path, cut, END_ID), []
+        encoder, samples = Encoder.of(path, cut, END_ID, KEPT_UNITS), []
         for b in batches:
             samples += [serialize(encoder.encode(t)[: 4 * SAMPLE_IDS], width) for t in b.column("_text").to_pylist() if len(samples) < 4 * SAMPLE_DOCS]
         try:
@@ -125,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, cut: str = "
         import zstandard
         from pyspark import TaskContext
 
-        encoder = Encoder.of(path, cut, END_ID)
+        encoder = Encoder.of(path, cut, END_ID, KEPT_UNITS)
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         part, number, before, now, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
