@@ -17,7 +17,7 @@ from sparsemill.operators.knn import weights_of
 def embedded(spark, sf):
     rows = sorted(catalog.vectors(spark, sf).collect(), key=lambda r: r["id"])
     v = np.array([r["v"] for r in rows])
-    return [r["id"] for r in rows], v, np.array([r["batch"] for r in rows]), np.round(np.exp(v), 6)
+    return [r["id"] for r in rows], v, np.array([r["batch"] for r in rows]), np.round(np.exp(v) * 1024) / 1024
 
 
 def standardised(cells):
