@@ -9,7 +9,7 @@ sets and verified exactly.
 For components, sets that are already connected are not compared again. Each group is first compared with one other, a
 star that it shares much of its prefix with, which connects nearly all copies of a text. Sets that have the same star but
 are still apart are compared in blocks, as differences from the star; the last round takes every other pair of groups
-that is still apart. For the join itself, all sets of a component are compared in blocks, as every link lies within one.
+that is still apart, and where a posting has more of these than a few a row, its groups meet in blocks as well. For the join itself, all sets of a component are compared in blocks, as every link lies within one.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SHINGLE, PERCENT = 5, 80
 COMMON_SHINGLES = 1 << 18
 #: Components of more sets than this are compared in blocks of two parts of about so many.
 LINK_BLOCK = 512
+#: A posting whose rows make more pairs than so many a row has its groups compared in blocks.
+DENSE = 4
 #: Stands for the component of a group whose sets are in several.
 APART = -(1 << 63)
 #: Texts are hashed in chunks of about so many bytes.
@@ -275,12 +277,13 @@ def group_pairs(postings: DataFrame, stars: bool) -> DataFrame:
     With stars, one pair (star, b) for each b: in every run of sets near in size, the star is of those with the largest part
     of their prefix in postings the one whose size is next to the run's median; of a group's stars the one with the most
     postings is taken. Without: all pairs a < b whose sizes and positions allow a link, but for those with distances (far)
-    to the same pivot.
+    to the same pivot. A posting with more than DENSE of these a row gives no pairs but one row (pivot, b) with dense for
+    each group b that has one: all groups with the same such pivot, which is the most common one of the posting, must meet.
     """
+    most = DENSE
 
     def pairs(batches):
         import numpy as np
-        import pyarrow as pa
 
         for s, g, n, pos, comp, shared, pivot, far in _runs(batches, ["s", "g", "n", "pos", "comp", "shared", "pivot", "far"]):
             edges = _bounds(s)
@@ -290,12 +293,13 @@ def group_pairs(postings: DataFrame, stars: bool) -> DataFrame:
             fit = ((comp[i] != comp[i + 1]) | (comp[i] == APART)) & _may_link(n[i], pos[i], n[i + 1], pos[i + 1])
             i = i[fit if stars else fit & ((pivot[i] != pivot[i + 1]) | np.isnan(far[i] + far[i + 1]))]
             star = i + (shared[i + 1] >= shared[i] - 0.1)
-            left, right = [g[star]], [g[2 * i + 1 - star]]
+            left, right, homes, guests = [g[star]], [g[2 * i + 1 - star]], [g[:0]], [g[:0]]
             for lo, hi in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
                 own = comp[lo:hi]
                 if own[0] != APART and (own == own[0]).all():
                     continue
                 if not stars:
+                    met, few, made = np.zeros(hi - lo, bool), [], 0
                     for i in range(lo, hi - 1):  # ascending in size
                         end = lo + int(np.searchsorted(n[lo:hi], 5 * n[i] // 4, "right"))
                         j = np.arange(i + 1, end)
@@ -303,8 +307,21 @@ def group_pairs(postings: DataFrame, stars: bool) -> DataFrame:
                         j = j[_may_link(n[i], pos[i], n[j], pos[j])]
                         j = j[(pivot[j] != pivot[i]) | np.isnan(far[j] + far[i])]
                         if len(j):
-                            left.append(np.full(len(j), g[i]))
-                            right.append(g[j])
+                            met[i - lo] = met[j - lo] = True
+                            made += len(j)
+                            if made <= most * (hi - lo):
+                                few.append((np.full(len(j), g[i]), g[j]))
+                            else:
+                                few.clear()
+                    if made > most * (hi - lo):
+                        at = lo + np.flatnonzero(met)
+                        pivots, count = np.unique(pivot[at], return_counts=True)
+                        mixed = pivots.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
+                        homes.append(np.full(len(at), pivots[np.lexsort((mixed ^ (mixed >> np.uint64(29)), count))[-1]]))
+                        guests.append(g[at])
+                    else:
+                        left += [x for x, _ in few]
+                        right += [x for _, x in few]
                     continue
                 i = lo
                 while i < hi:
@@ -324,13 +341,21 @@ def group_pairs(postings: DataFrame, stars: bool) -> DataFrame:
             if both.size:
                 if not stars:
                     both.sort(axis=0)
-                both, k = np.unique(both, axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(k, pa.int64())], ["a", "b", "k"])
+                yield batch(both, False)
+            if len(homes) > 1:
+                yield batch(np.stack([np.concatenate(homes), np.concatenate(guests)]), True)
+
+    def batch(both, dense):
+        import numpy as np
+        import pyarrow as pa
+
+        both, k = np.unique(both, axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(k, pa.int64()), pa.array(np.full(len(k), dense))], ["a", "b", "k", "dense"])
 
     dealt = postings.select("s", "g", "n", "pos", F.coalesce("comp", F.lit(APART)).alias("comp"), "shared", "pivot", "far")
-    found = dealt.repartition("s").sortWithinPartitions("s", "n", "g").mapInArrow(pairs, "a long, b long, k long")
+    found = dealt.repartition("s").sortWithinPartitions("s", "n", "g").mapInArrow(pairs, "a long, b long, k long, dense boolean")
     if not stars:
-        return found.select("a", "b").distinct()
+        return found.select("a", "b", "dense").distinct()
     return found.groupBy("b", "a").agg(F.sum("k").alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
 
 
@@ -569,7 +594,6 @@ def _connected(docs: DataFrame) -> tuple[DataFrame, ...]:
     groups = stage_table(classes.groupBy("g").agg(F.min("cid").alias("first"), F.count("*").alias("k")), "groups")
     within = classes.join(groups.where("k > 1"), "g").select("g", "first", "cid", "n")
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     shared = index.groupBy("g", "n").agg(F.count("*").alias("k")).select("g", (F.col("k") / length).alias("shared"))
     of = classes.select("g", "cid")
 
@@ -601,16 +625,25 @@ def _connected(docs: DataFrame) -> tuple[DataFrame, ...]:
     state = stage_table(state.select("g", "cid", "comp", F.coalesce("pivot", "cid").alias("pivot"), F.coalesce("far", F.lit(math.nan)).alias("far")), "state")
     one = F.count("*") == 1
     grouped = state.groupBy("g").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("comp"), F.when(one, F.min("pivot")).otherwise(F.min("cid")).alias("pivot"), F.when(one, F.min("far")).otherwise(F.lit(math.nan)).alias("far"))
-    pairs = stage_table(group_pairs(index.join(grouped, "g").withColumn("shared", F.lit(0.0)), False), "group-pairs")
-    pairs = stage_table(overlapping(pairs, cut), "kept-pairs")
+    met = stage_table(group_pairs(index.join(grouped, "g").withColumn("shared", F.lit(0.0)), False), "group-pairs")
+    pairs = stage_table(overlapping(met.where("not dense").select("a", "b"), cut), "kept-pairs")
     a, b = (state.select(F.col("g").alias(f"g{x}"), F.col("cid").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
     wide = pairs.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(a, "ga").join(b, "gb").where("comp_a <> comp_b").select("a", "b")
     inner = within.select("cid", "n", F.col("g").alias("s")).join(state.select("cid", "comp", "pivot", "far"), "cid")
     inner = inner.select("s", F.col("cid").alias("g"), "n", F.lit(0).alias("pos"), "comp", F.lit(0.0).alias("shared"), "pivot", "far")
     old = tests.select("a", "b").unionByName(tests.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    wide = stage_table(wide.unionByName(group_pairs(inner, False)).distinct().join(old, ["a", "b"], "left_anti"), "pairs")
-    known = known.unionByName(needed_sets_of(wide, known, docs, classes))
+    met_inner = stage_table(group_pairs(inner, False), "class-pairs")
+    wide = stage_table(wide.unionByName(met_inner.where("not dense").select("a", "b")).distinct().join(old, ["a", "b"], "left_anti"), "pairs")
+
+    # where very many are
+    guests = met.where("dense").select(F.col("a").alias("key"), F.col("b").alias("g")).join(of, "g").select("key", "cid")
+    guests = guests.unionByName(met_inner.where("dense").select(F.col("a").alias("key"), F.col("b").alias("cid"))).distinct()
+    guests = guests.join(state.select("cid", "comp"), "cid").join(classes.select("cid", "n", "copies"), "cid")
+    guests = stage_table(guests.select("cid", "n", "copies", "comp", "key", F.col("key").alias("root")), "guests")
+    wanted = wide.unionByName(guests.select(F.col("key").alias("a"), F.col("cid").alias("b")))
+    known = known.unionByName(needed_sets_of(wanted, known, docs, classes))
     found = found.unionByName(stage_table(verified(wide, known).where("linked").select("a", "b"), "links"))
+    found = found.unionByName(stage_table(links_near_stars(guests, known), "guest-links"))
     return cut, classes, known, components(found), found
 
 

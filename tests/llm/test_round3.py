@@ -345,3 +345,47 @@ def test_queries(spark, sf):
     check_law([(r["shard"], r["slot"]) for r in shards], 16)
     data = {r["doc_id"]: (r["text"] or "").encode() for r in docs}
     assert {(r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in shards} == {(k, len(v) + 1, zlib.crc32(v), "rows", None) for k, v in data.items()}
+
+
+def far_group(rng, n):
+    """Near copies of one text of which many are too far from any one of them, chains of others and a shared passage."""
+    base = [f"v{rng.randint(0, 9999)}" for _ in range(150)]
+    made = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(0, 150, 5), rng.choice([1, 2, 3, 4, 5])):
+            text[at] = f"new{i}-{at}"
+        made.append((i, " ".join(text)))
+    return made
+
+
+def test_pairs_of_a_large_group_grow_with_its_rows(spark):
+    from sparsemill.llm import jaccard_join
+
+    for n in (60, 240):  # one posting, each row with a star of its own: all pairs may link
+        rows = [(7, 100 + i, 50, 0, 100 + i, 0.0, 1000 + i, 0.5) for i in range(n)]
+        frame = spark.createDataFrame(rows, "s long, g long, n int, pos int, comp long, shared double, pivot long, far double")
+        met = jaccard_join.group_pairs(frame, False).collect()
+        assert len(met) <= jaccard_join.DENSE * n and {r["b"] for r in met if r["dense"]} == {r[1] for r in rows} and len({r["a"] for r in met}) == 1
+
+
+@pytest.mark.parametrize("dense", [0, 4, 10**6])
+def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch, dense):
+    from sparsemill.llm import jaccard_join
+    from test_operators import plain_components, shingle_set
+
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", 40)
+    seen = []
+    whole = jaccard_join.links_near_stars
+    monkeypatch.setattr(jaccard_join, "links_near_stars", lambda members, sets: seen.append(members.count()) or whole(members, sets))
+    rng = random.Random(4)
+    made = far_group(rng, 130)
+    made += [(1000 + i, t + " and one more") for i, t in made[:20]] + [(2000, made[3][1])]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = jaccard_join.link_components(frame, count_links=True).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_components(made))
+    sets = {i: shingle_set(t) for i, t in made}
+    links = lambda i: sum(j != i and 100 * len(x & sets[i]) >= 80 * len(x | sets[i]) for j, x in sets.items())
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: links(i) for i in sets}
+    assert len(seen) == 2 and (seen[1] > 0 or dense > 4) and (seen[1] == 0 or dense <= 4)
