@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from operator import attrgetter
 
 CUTS = {"words": r"[^ \t\n\r]+", "gaps": r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"}
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -22,7 +23,7 @@ RULES = {
     "gaps": f" ?[{_LETTER}]+|{_SHORT}| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+",
 }
 #: Characters on whose kind Unicode tables may differ; texts with one, or with any beyond Latin-1, take the other way.
-ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]|[^\x00-\xff]")
+ODD = bytes([*range(9), 11, 12, *range(14, 32), *range(0x7F, 0xA1), 0xAD])
 #: A worker keeps the ids of at most twice so many pieces and units, of at most so many characters each.
 KEPT_PIECES, KEPT_UNITS, KEPT_CHARS = 30_000, 120_000, 48
 
@@ -33,6 +34,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def is_plain(text: str) -> bool:
+    """Whether a text is of Latin-1 characters without ODD ones."""
+    try:
+        written = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return len(written.translate(None, ODD)) == len(written)
+
+
 def byte_letters() -> dict[int, str]:
     """The characters that byte-level vocabularies write for bytes: themselves if they can be seen, else from U+0100 on."""
     seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -66,14 +76,18 @@ class _Units(_Kept):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.merge, self.letters = tokenizer, tokenizer.model.tokenize, byte_letters()
+        self.blank, self.id = self.letters[32], attrgetter("id")
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
         if (ids := self.elder.pop(unit, None)) is None:
-            written = unit.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.merge(written)]).tobytes()
+            if unit.isascii() and unit.isprintable():
+                written = unit.replace(" ", self.blank)
+            else:
+                written = unit.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", map(self.id, self.merge(written))).tobytes()
         return self.keep(unit, ids)
 
 
@@ -119,7 +133,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if not ODD.search(text):
+        if is_plain(text):
             return b"".join(map(self.units.__getitem__, self.rule(text.lower() if self.lower else text))) + self.end
         try:
             return b"".join(map(self.pieces.__getitem__, self.find(text))) + self.end

@@ -29,6 +29,8 @@ WORK, FEW, MANY = 200_000, 4, 400
 INJECTED = 32
 #: Bins filled below this share are packed again together with those of other problems.
 POOR = 0.97
+#: A worker keeps the ids of at most twice so many units, about 200 bytes each, as nearly each new one costs a merge.
+KEPT_UNITS = 400_000
 PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,7 +47,7 @@ def token_pieces(docs: DataFrame, path: str, cut: str = "gaps", capacity: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, item = Encoder.of(path, cut, END_ID), TaskContext.get().partitionId() << 33
+        encoder, item = Encoder.of(path, cut, END_ID, KEPT_UNITS), TaskContext.get().partitionId() << 33
         for b in batches:
             out = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), few_at_once(b.column("text"))):

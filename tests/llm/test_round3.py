@@ -389,3 +389,21 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch, dense):
     links = lambda i: sum(j != i and 100 * len(x & sets[i]) >= 80 * len(x | sets[i]) for j, x in sets.items())
     assert {r["doc_id"]: r["n_links"] for r in got} == {i: links(i) for i in sets}
     assert len(seen) == 2 and (seen[1] > 0 or dense > 4) and (seen[1] == 0 or dense <= 4)
+
+
+def test_plain_texts_and_kept_units_of_packing():
+    from tokenizers import Tokenizer
+
+    from sparsemill.llm import encoding, packing
+
+    odd = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]|[^\x00-\xff]")
+    for x in [*map(chr, range(0x180)), "", "plain text", "é\n\r\tè", "a\U0001f600"]:
+        assert encoding.is_plain(x) == (not odd.search(x)) and encoding.is_plain(f"a {x} b") == (not odd.search(x))
+    e = encoding.Encoder.of(tokenizer_path(A), "gaps", 2, packing.KEPT_UNITS)
+    whole = Tokenizer.from_file(tokenizer_path(A))
+    for x in [*map(chr, range(0x100)), "  two\n\n  blanks\t é ", "a\rb", " 'll 12 ½ x!? "]:
+        for text in (x, f"a{x}b", f"a {x}  b", f"{x}\n {x}"):
+            assert np.frombuffer(e.encode(text), "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+    for i in range(300_000):  # more than a generation had before; those seen first are still there
+        e.units.keep(f" unit{i}", b"")
+    assert " unit0" in e.units
