@@ -64,3 +64,22 @@ def test_run_on_odd_rows(spark, tmp_path):
 def test_all_queries_are_listed(spark):
     found = queries.queries()
     assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in found)] == [] and "pipeline" in found
+
+
+def test_near_copies_stage_lists_few_pairs_of_a_large_group(spark, sf, monkeypatch):
+    from test_operators import plain_components
+    from test_round3 import far_group
+
+    made, seen, whole = far_group(random.Random(9), 360), [], jaccard_join.group_pairs
+
+    def pairs(postings, stars):
+        found = whole(postings, stars)
+        if not stars:
+            seen.append((found.count(), postings.count()))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "group_pairs", pairs)
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    kept = corpus_pipeline.near_copies_stage(spark, frame, sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in plain_components(made)})
+    assert len(seen) == 2 and seen[0][0] > 0 and all(n <= jaccard_join.DENSE * k for n, k in seen)
