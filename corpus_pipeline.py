@@ -9,6 +9,10 @@ from sparsemill.llm import jaccard_join, packing, source_mixing, toxicity, weak_
 from sparsemill.llm.common import stage_table, table
 from sparsemill.llm.encoding import tokenizer_path
 
+#: Workers of the packing stage keep the ids of at most twice so many units, as the same workers serve the other stages too:
+#: some 25 MB each, where op9's may keep 160 MB. Other units are merged anew, which costs CPU seconds and changes no id.
+KEPT_UNITS = 60_000
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go. Null and empty texts have no clause and stay; rows without doc_id and repeated
@@ -37,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of pieces, see packing.pack: null and empty texts are one token, repeated rows are packed each, a long text is as
     many pieces as it needs; an empty table gives no rows."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), kept=KEPT_UNITS)
 
 
 STAGES = [

@@ -52,6 +52,18 @@ def few_at_once(column, n: int = 256):
         yield from column.slice(lo, n).to_pylist()
 
 
+def give_back() -> None:
+    """Memory that this Python worker has freed goes back to the system. Otherwise it stays with the worker, and workers serve
+    one stage after another. Only the C library knows how; where it has no such call, nothing happens."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

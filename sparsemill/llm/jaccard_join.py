@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, small, stage_table, table, text_or_empty
+from .common import give_back, in_small_batches, small, stage_table, table, text_or_empty
 
 SHINGLE, PERCENT = 5, 80
 #: The order of shingles knows at most so many common ones (12 bytes each in every task); all others count as rare.
@@ -147,6 +147,8 @@ def common_shingles(docs: DataFrame):
                 yield condensed()
                 kept, n, seen = [], 0, set()
         yield condensed()
+        kept.clear()
+        give_back()
 
     found = docs.select("text").mapInArrow(repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = found.where("n >= 4").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toPandas()
@@ -199,6 +201,7 @@ def prefixes(docs: DataFrame, common) -> DataFrame:
                 *plain, lists = zip(*out)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, types)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "g", "rank", "prefix"])
+        give_back()
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(cut, kinds)
 
@@ -413,6 +416,7 @@ def needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     out, n = [], 0
             if out:
                 yield batch(out)
+        give_back()
 
     return docs.join(_hinted(classes.select(F.col("cid").alias("doc_id"), "d1")), "doc_id").select("doc_id", "d1", "text").mapInArrow(cut, "cid long, set array<long>")
 

@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_at_once, in_small_batches, stage_table, table
+from .common import few_at_once, give_back, in_small_batches, stage_table, table
 from .encoding import Encoder, tokenizer_path
 
 CAPACITY = 1024
@@ -40,14 +40,15 @@ def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, path: str, cut: str = "gaps", capacity: int = CAPACITY) -> DataFrame:
-    """Rows of PIECES for every document; null text has the end id only. item tells repeated rows apart."""
+def token_pieces(docs: DataFrame, path: str, cut: str = "gaps", capacity: int = CAPACITY, kept: int = KEPT_UNITS) -> DataFrame:
+    """Rows of PIECES for every document; null text has the end id only. item tells repeated rows apart. kept: a worker keeps
+    the ids of at most twice so many units."""
 
     def encode(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, item = Encoder.of(path, cut, END_ID, KEPT_UNITS), TaskContext.get().partitionId() << 33
+        encoder, item = Encoder.of(path, cut, END_ID, kept), TaskContext.get().partitionId() << 33
         for b in batches:
             out = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), few_at_once(b.column("text"))):
@@ -58,6 +59,7 @@ def token_pieces(docs: DataFrame, path: str, cut: str = "gaps", capacity: int =
             names = ["item", "doc_id", "piece", "start", "length", "ids_crc32"]
             kinds = [pa.int32() if n == "piece" else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], names)
+            give_back()
 
     in_small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -271,14 +273,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, problem_pieces: int
     return first.where(F.col("filled") >= POOR).select("item", ids).unionByName(second.select("item", ids2))
 
 
-def pack(docs: DataFrame, tokenizer: str, cut: str = "gaps", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, cut: str = "gaps", capacity: int = CAPACITY, kept: int = KEPT_UNITS) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are pieces of one token (the end id); repeated rows are packed as often as they occur; rows
     without doc_id keep a null one. An empty table gives no rows. Bins hold at most `capacity` pieces, so the running
-    sum within a sequence is over a bounded group.
+    sum within a sequence is over a bounded group. kept is a worker's memory of units, see token_pieces; the result does not
+    depend on it.
     """
-    pieces = stage_table(token_pieces(docs, tokenizer, cut, capacity), "pieces")
+    pieces = stage_table(token_pieces(docs, tokenizer, cut, capacity, kept), "pieces")
     short = pieces.join(pack_pieces(pieces, capacity), "item")
     place = F.col("length").cast("long")
     from pyspark.sql import Window

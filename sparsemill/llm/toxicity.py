@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_at_once, hash_unit, in_small_batches, stage_table, table, text_or_empty, window_hashes, word_hashes, words
+from .common import few_at_once, give_back, hash_unit, in_small_batches, stage_table, table, text_or_empty, window_hashes, word_hashes, words
 
 # Word lists that the grammar starts from.
 INSULTS = "idiot moron loser scum trash clown stupid pathetic worthless disgusting dumb imbecile dummkopf idiotin abschaum crétin imbécile connard abruti estúpido imbécil basura escoria".split()
@@ -263,6 +263,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             f = [document_features(scorer.clauses(t)) for t in few_at_once(batch.column("text"))]
             yield batch.filter(pa.array([a + b * x + c * y < 0 for x, y in f], pa.bool_()))
+        give_back()
 
     return scorer_input.mapInArrow(keep, docs.schema)
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_at_once, hash_unit, in_small_batches, stage_table, table
+from .common import few_at_once, give_back, hash_unit, in_small_batches, stage_table, table
 
 GOOD, BAD, NONE = 0, 1, 2
 #: The scorer is fitted on at most about so many documents, drawn by a hash of doc_id.
@@ -275,6 +275,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
         score = _scorer(w, b, prior)
         for batch in batches:
             yield batch.filter(pa.array([score(t) < 0.5 for t in few_at_once(batch.column("text"))], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
