@@ -193,3 +193,44 @@ def test_dense_read_of_many_columns(spark):
     got = {r["row_id"]: r["values"] for r in edit.read_columns_dense(cells, rows, request).collect()}
     assert all(got[i] == [c + 0.5 if c < 9000 and c % 3 == i else 0.0 for c in request] for i in range(4))
     assert [r["values"] for r in edit.read_columns_dense(cells, rows, []).collect()] == [[]] * 4
+
+
+def pairs_of_blocks(monkeypatch, search) -> int:
+    """How many pairs of blocks a search meets."""
+    met, made = [], knn._search
+    monkeypatch.setattr(knn, "_search", lambda pairs, *more: met.append(pairs) or made(pairs, *more))
+    search()
+    monkeypatch.undo()
+    return met[0].count()
+
+
+@pytest.fixture(scope="module")
+def batches(spark):
+    return frame(spark, np.random.default_rng(8).normal(size=(1000, 8))).withColumn("batch", F.col("id") % 10).cache()
+
+
+def test_balanced_search_meets_blocks_of_a_batch_by_its_size(spark, monkeypatch, batches):
+    """Ten batches of a hundred in blocks of a hundred are about ten blocks on either side, not ten for each batch."""
+    monkeypatch.setattr(knn, "BLOCK", 100)
+    assert pairs_of_blocks(monkeypatch, lambda: knn.knn(batches, batches, 2, "l2", "batch", block=100)) <= 200
+
+
+@pytest.mark.parametrize("space", ["l2", "ip"])
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_lists_carried_over_blocks_are_exact(space, k):
+    """Lists brought up to date block by block: a far outlier, copies, ties by id, fewer rows than k, large and tiny values."""
+    rng = np.random.default_rng(k)
+    for scale in (1.0, 1e-3, 1e6, 1e20):
+        x, y = rng.normal(size=(300, 16)), rng.normal(size=(700, 16))
+        y[5] *= 1000
+        y[20:90] = y[20]
+        x[:4] = y[20]
+        x, y, ids = x * scale, y * scale, rng.permutation(700)
+        best, tgt = np.full((300, k), np.inf), np.full((300, k), knn.NOBODY)
+        for part in np.split(np.arange(700), [30, 31, 300, 550]):
+            knn.nearer(x, y[part], ids[part], k, space, best, tgt)
+        d = 1 - np.einsum("id,jd->ij", x, y) if space == "ip" else ((x[:, None] - y[None]) ** 2).sum(2)
+        want = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 10)), axis=1)[:, :k]
+        assert np.allclose(best, np.take_along_axis(d, want, 1), rtol=1e-9, atol=1e-9 * min(scale, 1) ** 2)
+        if scale <= 1:
+            assert (tgt == ids[want]).all()
