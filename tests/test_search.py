@@ -215,6 +215,12 @@ def test_balanced_search_meets_blocks_of_a_batch_by_its_size(spark, monkeypatch,
     assert pairs_of_blocks(monkeypatch, lambda: knn.knn(batches, batches, 2, "l2", "batch", block=100)) <= 200
 
 
+def test_search_across_groups_meets_blocks_of_a_batch_by_its_size(spark, monkeypatch, batches):
+    """About ten blocks on either side, less those of one batch; before, a hundred on either side."""
+    monkeypatch.setattr(knn, "BLOCK", 100)
+    assert pairs_of_blocks(monkeypatch, lambda: knn.knn(batches, batches, 2, "l2", "batch", True, block=100)) <= 180
+
+
 @pytest.mark.parametrize("space", ["l2", "ip"])
 @pytest.mark.parametrize("k", [1, 3, 40])
 def test_lists_carried_over_blocks_are_exact(space, k):
