@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import running, settled
@@ -55,10 +55,15 @@ def topic_data(cells: DataFrame, cols: DataFrame, latent: DataFrame, k: int = 10
     (edge_id, src, tgt), names (edge_id, edge_name), vertices (col_id, edge_id, value) and adjacency."""
     from .knn import balanced_knn, reciprocal, reweighted
 
-    graph = settled(reweighted(reciprocal(balanced_knn(latent, k)), latent, k), "graph")
-    once = graph.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight").groupBy("src", "tgt").agg(F.avg("weight").alias("weight"))
+    mutual = settled(reciprocal(balanced_knn(latent, k)).select("src", "tgt"), "mutual")
+    graph = reweighted(mutual, latent, k)  # without weighted only the adjacency has weights, and they wait for it
+    if weighted:
+        graph = settled(graph, "graph")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("tgt"))
+    kept = graph if weighted else mutual.withColumn("_r", place).where(F.col("_r") <= k).withColumn("weight", F.lit(1.0))
+    once = kept.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight").groupBy("src", "tgt").agg(F.avg("weight").alias("weight"))
     found = settled(edge_features(cells, once, cutoff, weighted, max_weight), "edge-features")
-    edges = settled(numbered_edges(found), "edges")
+    edges = settled(numbered_edges(settled(found.select("src", "tgt").distinct(), "edges")), "edges")
     features = found.join(edges, ["src", "tgt"]).select("row_id", "edge_id", "value")
     return {"features": features, "edges": edges, "names": edge_names(edges, cols), "vertices": vertex_incidence(edges), "adjacency": adjacency(graph)}
 

@@ -165,3 +165,23 @@ def test_parts_of_topic_data(spark, sf):
     edges = got["edges"].count()
     assert edges and got["names"].count() == edges and got["vertices"].count() == 2 * edges
     assert {r["edge_id"] for r in got["features"].select("edge_id").distinct().collect()} <= set(range(1, edges + 1))
+
+
+def test_unweighted_topic_data_waits_with_weights(spark, sf, monkeypatch):
+    """Features without weights ask for none; the adjacency still has them."""
+    from sparsemill.operators import knn, network
+
+    v = catalog.vectors(spark, sf).where("id < 60").select("id", "batch", "v").cache()
+    cells = v.select(F.explode(F.expr("array(0L, 1L)")).alias("row_id"), F.col("id").alias("col_id"), F.lit(1.0).alias("value"))
+    names = v.select(F.col("id").alias("col_id"), F.concat(F.lit("v"), "id").alias("col_name"))
+
+    def none(distances):
+        raise AssertionError("weights")
+
+    monkeypatch.setattr(knn, "weights_of", none)
+    got = network.topic_data(cells, names, v, 20, weighted=False)
+    edges = got["edges"].count()
+    assert edges and got["features"].count() == 2 * edges
+    monkeypatch.undo()
+    got = network.topic_data(cells, names, v, 20, weighted=False)["adjacency"]
+    assert got.count() == 2 * edges and not got.where("value <= 0 or value > 1").count()
