@@ -505,3 +505,62 @@ def test_annotation_of_factors(spark, small):
     marks = spark.createDataFrame([("one", i) for i in range(4)] + [("two", i) for i in range(4, 8)] + [("two", 77)], "label string, row_id long")
     got = {r["col_id"]: r["argmax"] for r in annotate.annotate_factors(u, d, v, ids, m.cols, marks)["annotation"].collect()}
     assert sum(got[i] == ("one" if i < 15 else "two") for i in range(30)) >= 29
+
+
+class Kept:
+    """A state that counts how often it is read and written."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def getValue(self, at):
+        self.calls += 1
+        return self.rows.get(at)
+
+    def updateValue(self, at, value):
+        self.calls += 1
+        self.rows[at] = value
+
+    def getValueState(self, name, *kind):
+        return self.__dict__.setdefault(name, Kept())
+
+    getMapState = getValueState
+
+
+@pytest.mark.parametrize("block, portion, most", [(8192, 1 << 19, 40), (50, 700, 10_000)])
+def test_moments_read_and_write_blocks(monkeypatch, block, portion, most):
+    """One key with most of 6,000 cells and others, named by text, in three batches with late parts: few calls of the state;
+    small blocks that are split and batches taken in by portions give the same moments, and one version a batch."""
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(moments, "BLOCK_ROWS", block)
+    monkeypatch.setattr(moments, "PACKED_ROWS", portion)
+    rng, kept, of, cells, last = np.random.default_rng(6), Kept(), moments.Moments("k"), {}, {}
+    of.init(kept)
+    for batch in range(3):
+        n = 2500
+        names = ["hot" if x < 0.8 else f"k{int(x * 1000)}" for x in rng.random(n)]
+        table = pa.table({"key": names, "hash": pa.array([hash(x) for x in names], "int64"), "cell": pa.array(rng.integers(0, 4000, n)), "value": rng.integers(1, 50, n) + 1e6})
+        packs = [moments._packed(table.slice(lo, 100)) for lo in range(0, n, 100)]
+        out = pd.concat(list(of.handleInputRows((3,), iter([pd.DataFrame({"pack": packs[:9], "rows": 100}), pd.DataFrame({"pack": packs[9:], "rows": 100})]), None)))
+        for k, c, v in zip(names, table["cell"].to_pylist(), table["value"].to_pylist()):
+            cells.setdefault(k, {})[c] = cells.get(k, {}).get(c, 0.0) + v
+        assert sorted(out["k"]) == sorted(set(names))
+        for r in out.itertuples(index=False):
+            last[r.k] = last.get(r.k, 0) + 1
+            x = np.array(list(cells[r.k].values()))
+            assert (r.version, r.n) == (last[r.k], len(x)) and abs(r.mean - x.mean()) < 1e-6
+            assert np.isnan(r.var) if len(x) == 1 else abs(r.var - x.var(ddof=1)) <= 1e-9 * x.var(ddof=1) + 1e-3
+    assert sum(s.calls for s in (kept.sizes, kept.cells, kept.keys)) <= most
+    if block == 50:
+        assert len(kept.cells.rows) > 60 and max(len(moments._table([r[0]])) for r in kept.cells.rows.values()) < 3 * block
