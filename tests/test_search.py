@@ -90,6 +90,32 @@ def test_search_along_the_graph(sets):
     assert recall(graph.search_graph(asked, v, made, 5), knn.knn(asked, v, 5)) >= 0.9
 
 
+def test_search_among_few_targets_is_exact_without_a_walk(sets, monkeypatch):
+    """Every vector as a query: no round of a walk, and the rows of the exact search."""
+    v = sets["clusters"]
+    links = v.select(F.col("id").alias("src"), ((F.col("id") + 1) % 3000).alias("tgt"), F.lit(1.0).alias("dist"))
+    monkeypatch.setattr(graph, "_best", None)
+    got = graph.search_graph(v, v, links, 5)
+    assert {tuple(r) for r in got.select("src", "tgt").collect()} == {tuple(r) for r in knn.knn(v, v, 5).select("src", "tgt").collect()}
+
+
+def test_walk_along_the_graph(sets):
+    v = sets["tables"]
+    asked = v.where("id % 50 = 3").withColumn("id", F.col("id") + 100_000)
+    made = knn.knn(v, v, 17).where("src <> tgt")
+    assert recall(graph.search_graph(asked, v, made, 5, dense=0), knn.knn(asked, v, 5)) >= 0.9
+
+
+def test_first_lists_of_many_vectors_come_from_more_and_larger_blocks(spark, monkeypatch):
+    """For many vectors the first lists alone hold most neighbours; blocks measured by portions of rows."""
+    assert graph._first_blocks(4000) == (graph.TREES, graph.LEAF) and graph._first_blocks(100_000) == (graph.MOST_TREES, graph.MOST_LEAF)
+    monkeypatch.setattr(graph, "LEAF_ROWS", 100)
+    v = frame(spark, np.random.default_rng(9).normal(size=(2000, 32))).cache()
+    planes, middle = graph._planes(v, 2000, 32, 16, 512, 7)
+    first = graph._best(graph._first_lists(v, planes, middle, 24, 512, "l2"), 24)
+    assert recall(first, knn.knn(v, v, 6).where("src <> tgt")) >= 0.9 and first.where("src = tgt").isEmpty()
+
+
 def test_graph_of_copies_and_holes(spark):
     """One vector a third of all rows; nulls, holes, other lengths, repeated ids; few rows and none."""
     x = np.random.default_rng(2).normal(size=(900, 4))
