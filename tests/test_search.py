@@ -108,7 +108,7 @@ def test_walk_along_the_graph(sets):
 
 def test_first_lists_of_many_vectors_come_from_more_and_larger_blocks(spark, monkeypatch):
     """For many vectors the first lists alone hold most neighbours; blocks measured by portions of rows."""
-    assert graph._first_blocks(4000) == (graph.TREES, graph.LEAF) and graph._first_blocks(100_000) == (graph.MOST_TREES, graph.MOST_LEAF)
+    assert graph._first_blocks(4000) == (graph.TREES, graph.LEAF) and graph._first_blocks(200_000) == (graph.MOST_TREES, graph.MOST_LEAF)
     monkeypatch.setattr(graph, "LEAF_ROWS", 100)
     v = frame(spark, np.random.default_rng(9).normal(size=(2000, 32))).cache()
     planes, middle = graph._planes(v, 2000, 32, 16, 512, 7)
